@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from cellweave.llm.chunk_codec import codec_query
 from cellweave.llm.decontaminate import decontamination_query
+from cellweave.llm.fingerprints import fingerprint_query
+from cellweave.llm.html_text import html_query
+from cellweave.llm.ordinal_quality import quality_query
+from cellweave.llm.privacy import privacy_query
 from cellweave.llm.token_counts import token_count_query
 from cellweave.llm.token_files import token_file_query
 
 QUERIES = {
+    "op1_ordinal_quality": quality_query,
     "op2_token_files": token_file_query,
     "op4_token_counts": token_count_query,
     "op5_decontaminate": decontamination_query,
     "op6_chunk_codec": codec_query,
+    "op7_html_text": html_query,
+    "op8_privacy": privacy_query,
+    "op9_fingerprints": fingerprint_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
