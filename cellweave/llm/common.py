@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,14 +38,16 @@ def map_texts(
     make: Callable[[], Callable[[list[str]], list[list]]],
     keep: Iterable[str] | None = None,
     batch_chars: int = 4_000_000,
+    arrow: bool = False,
 ) -> DataFrame:
     """Add columns computed from whole texts, one row out for each row in.
 
-    ``make()`` runs once in a task and returns a function from a list of texts to
-    one list for each field. Null texts arrive as ``""``. ``keep`` names the input
-    columns that stay (all by default); an input column whose name equals a new
-    field's is replaced by it. Texts reach the function in runs of at most
-    ``batch_chars`` characters or one document, whichever is more.
+    ``make()`` runs once in a task and returns a function from a list of texts (with
+    ``arrow`` a string array) to one list for each field. Null texts arrive as
+    ``""``. ``keep`` names the input columns that stay (all by default); an input
+    column whose name equals a new field's is replaced by it. Texts reach the
+    function in runs of at most ``batch_chars`` bytes or one document, whichever is
+    more.
     """
     new = [f.name for f in fields]
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
@@ -57,11 +60,11 @@ def map_texts(
         target = to_arrow_schema(schema)
         work = make()
         for batch in batches:
-            at = batch.schema.get_field_index(TEXT)
-            texts = batch.column(at).to_pylist()
-            for lo, hi in text_runs(texts, batch_chars):
-                made = work(texts[lo:hi])
+            texts = batch.column(batch.schema.get_field_index(TEXT))
+            for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), batch_chars):
                 part = batch.slice(lo, hi - lo)
+                own = texts.slice(lo, hi - lo)
+                made = work(own if arrow else own.to_pylist())
                 cols = [part.column(i) for i in range(len(names))]
                 cols += [pa.array(v, type=target.field(len(names) + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, names=target.names)
@@ -69,16 +72,16 @@ def map_texts(
     return src.mapInArrow(run, schema)
 
 
-def text_runs(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive index ranges whose texts hold at most ``most`` characters, or one text."""
+def text_runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive index ranges whose sizes sum to at most ``most``, or of one text."""
     lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > lo and size + n > most:
             yield lo, i
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
 
 
 class TwoAgeCache(dict):
@@ -94,6 +97,7 @@ class TwoAgeCache(dict):
         if value is None:
             value = self.fill(key)
         if len(self) >= self.most:
+            self.old = None  # freed before the copy
             self.old = dict(self)
             self.clear()
         self[key] = value

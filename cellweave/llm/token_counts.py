@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.byte_level import Pretokenizer
 from cellweave.llm.common import PIECES, TwoAgeCache, map_texts, table, vocabulary_path
+from cellweave.llm.vector_text import MARK, SPACE, letter_ends, name_pieces, sums_between, text_bytes
 
 CACHE_PIECES = 250_000
 
@@ -66,24 +70,54 @@ def merge_list(spec: dict) -> list[tuple[str, str]]:
     return [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
 
 
+def count_pieces(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Starts of pieces of UTF-8 texts whose tokens do not depend on each other; a piece ends where the next begins.
+
+    Cuts stand before ASCII white space that follows a visible ASCII character or a
+    letter, and before an ASCII mark that follows a letter.
+    """
+    begin = np.zeros(len(data), bool)
+    if len(data):
+        letter, space, mark = letter_ends(data), SPACE[data], MARK[data]
+        begin[1:] = (letter[:-1] | mark[:-1]) & space[1:] | letter[:-1] & mark[1:]
+        begin[edges[:-1][edges[:-1] < len(data)]] = True
+    return np.flatnonzero(begin)
+
+
 _COUNTERS: dict[str, TwoAgeCache] = {}
 
 
 def piece_counter(path: str) -> TwoAgeCache:
-    """Map from a piece of text (cut where white space begins) to its number of tokens."""
+    """Map from a piece of text, as UTF-8, to its number of tokens."""
     found = _COUNTERS.get(path)
     if found is None:
         cut = Pretokenizer(path)
         words = TwoAgeCache(MergeCounter(merge_list(cut.spec)).count, CACHE_PIECES)
         count = words.__getitem__
 
-        def fill(piece: str) -> int:
-            return sum(1 if p in cut.special else count(p) for p in cut(piece))
+        def fill(piece: bytes) -> int:
+            return sum(1 if p in cut.special else count(p) for p in cut(piece.decode("utf-8")))
 
         found = _COUNTERS[path] = TwoAgeCache(fill, CACHE_PIECES)
     return found
 
 
+def count_batch(cache: TwoAgeCache, texts: pa.Array) -> np.ndarray:
+    """Number of tokens of each text."""
+    data, edges = text_bytes(texts)
+    starts = count_pieces(data, edges)
+    codes, names = name_pieces(data, starts, np.append(starts[1:], len(data)))
+    each = np.array([cache[p] for p in names], np.int64)
+    counts = sums_between(each[codes], np.searchsorted(starts, edges))
+    whole = data.tobytes()
+    at = whole.find(b"<|")
+    while at >= 0:  # may begin a special string, which holds cut points
+        k = int(np.searchsorted(edges, at, side="right")) - 1
+        counts[k] = sum(cache[p.encode()] for p in PIECES.findall(texts[k].as_py()))
+        at = whole.find(b"<|", int(edges[k + 1]))
+    return counts
+
+
 def token_counts(df: DataFrame, vocabulary_file: str, limit: int, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``n_bytes, n_tokens, over_limit`` to every row.
 
@@ -93,16 +127,15 @@ def token_counts(df: DataFrame, vocabulary_file: str, limit: int, text_col: str
 
     def make():
         cache = piece_counter(vocabulary_file)
-        get = cache.__getitem__
 
-        def run(texts):
-            counts = [sum(map(get, PIECES.findall(t))) for t in texts]
-            return [[len(t.encode("utf-8")) for t in texts], counts, [c > limit for c in counts]]
+        def run(texts: pa.Array):
+            counts = count_batch(cache, texts)
+            return [pc.binary_length(texts), counts, counts > limit]
 
         return run
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return map_texts(df, text_col, fields, make, keep)
+    return map_texts(df, text_col, fields, make, keep, arrow=True)
 
 
 def token_count_query(spark, sf_dir: str) -> DataFrame:

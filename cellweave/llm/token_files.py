@@ -15,7 +15,6 @@ written anew.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -27,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import WORDS, TwoAgeCache, map_texts, shared_dir, table, tokenizer, vocabulary_path
+from cellweave.llm.common import TwoAgeCache, map_texts, shared_dir, table, tokenizer, vocabulary_path
+from cellweave.llm.vector_text import LETTER, LOWER, MARK, SPACE, gather, letter_ends, name_pieces, sums_between, text_bytes
 
 MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sBIQQI")
@@ -35,7 +35,7 @@ BLOCK_IDS = 4096
 #: Ids in a shard, beyond which the next document starts another one.
 SHARD_IDS = 1 << 20
 #: Distinct words that a worker remembers in each half of its cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 350_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -101,39 +101,69 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-#: A word of letters that every Unicode version knows, with ASCII marks after it.
-_STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-@[-`{-~]*)")
+#: Any special string of a vocabulary file begins so; texts that hold it go to the library whole.
+_SPECIAL = b"<|"
 
 
-def word_encoder(path: str, end_id: int | None):
-    """Function from texts to little-endian u32 id strings, for a lower-casing tokenizer that drops white space.
+def word_pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of pieces of UTF-8 texts that a lower-casing word tokenizer treats apart.
 
-    Such a tokenizer gives a text the ids of its white-space-free runs one after
-    another, and a run the ids of its letters and then those of the marks behind
-    them. So the library encodes each distinct part once in a worker.
+    Cuts stand at ASCII white space, after a letter before an ASCII mark, and after
+    an ASCII mark (but the apostrophe, which may join a contraction) before a letter.
     """
-    end = b"" if end_id is None else struct.pack("<I", end_id)
-    if path not in _CACHES:
+    n = len(data)
+    space = SPACE[data]
+    letter, mark = letter_ends(data), MARK[data]
+    begin = np.zeros(n, bool)
+    begin[1:] = space[:-1] | letter[:-1] & mark[1:] | mark[:-1] & (data[:-1] != 0x27) & LETTER[data[1:]]
+    begin[edges[:-1][edges[:-1] < n]] = True
+    begin &= ~space
+    starts = np.flatnonzero(begin)
+    # A piece ends where the next begins or at the first white space after it.
+    stop = begin | space
+    stop[0:1] = False
+    stops = np.append(np.flatnonzero(stop), n)
+    return starts, stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
+
+
+class WordEncoder:
+    """Ids of texts for a lower-casing tokenizer that drops white space, each distinct piece encoded once."""
+
+    def __init__(self, path: str, end_id: int | None):
         lib = tokenizer(path)
-        parts = TwoAgeCache(lambda w: np.array(lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), CACHE_WORDS)
-
-        def run_ids(run: str) -> bytes:
-            stem = _STEM.fullmatch(run)
-            if stem is None:
-                return parts[run]
-            return parts[stem[1].lower()] + (parts[stem[2]] if stem[2] else b"")
-
-        _CACHES[path] = TwoAgeCache(run_ids, CACHE_WORDS)
-    cache = _CACHES[path]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        get = cache.__getitem__
-        return [b"".join(map(get, WORDS.findall(t))) + end for t in texts]
-
-    return encode
-
-
-_CACHES: dict[str, TwoAgeCache] = {}
+        self._whole = lambda text: np.array(lib.encode(text, add_special_tokens=False).ids, np.uint32)
+        self._width = width = np.dtype("<u2" if lib.get_vocab_size() <= 1 << 16 else "<u4")
+        self._cache = TwoAgeCache(lambda piece: np.array(lib.encode(piece.decode("utf-8"), add_special_tokens=False).ids, width).tobytes(), CACHE_WORDS)
+        self._end = np.zeros(0, np.uint32) if end_id is None else np.array([end_id], np.uint32)
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        data, edges = text_bytes(texts)
+        odd: dict[int, np.ndarray] = {}
+        whole = data.tobytes()
+        at = whole.find(_SPECIAL)
+        while at >= 0:
+            k = int(np.searchsorted(edges, at, side="right")) - 1
+            odd[k] = self._whole(texts[k].as_py())
+            at = whole.find(_SPECIAL, int(edges[k + 1]))
+        folded = LOWER[data]
+        starts, ends = word_pieces(folded, edges)
+        codes, names = name_pieces(folded, starts, ends)
+        ids, added = gather(list(map(self._cache.__getitem__, names)), codes, self._width)
+        per_text = sums_between(added, np.searchsorted(starts, edges))
+        stops = np.cumsum(per_text)
+        return [np.concatenate([odd[k] if k in odd else ids[b - n : b], self._end]) for k, (b, n) in enumerate(zip(stops.tolist(), per_text.tolist(), strict=True))]
+
+
+_ENCODERS: dict[tuple, WordEncoder] = {}
+
+
+def word_encoder(path: str, end_id: int | None) -> WordEncoder:
+    """The encoder of a vocabulary file, once in a worker."""
+    key = (path, end_id)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, end_id)
+    return _ENCODERS[key]
 
 
 def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
@@ -181,6 +211,7 @@ def write_token_files(
         [T.StructField("ids", T.BinaryType())],
         lambda: _packed(vocabulary_file, end_id, bits),
         keep=["doc"],
+        arrow=True,
     )
     dealt = encoded.withColumn("bucket", bucket_of("doc", bounds)).repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "ids")
 
@@ -215,11 +246,7 @@ def write_token_files(
 
 def _packed(vocabulary_file: str, end_id: int | None, bits: int):
     encode = word_encoder(vocabulary_file, end_id)
-
-    def run(texts: list[str]) -> list[list[bytes]]:
-        return [[struct.pack("<I", len(d) // 4) + pack(np.frombuffer(d, "<u4"), bits) for d in encode(texts)]]
-
-    return run
+    return lambda texts: [[struct.pack("<I", len(d)) + pack(d, bits) for d in encode(texts)]]
 
 
 def read_token_files(spark, path: str) -> DataFrame:
