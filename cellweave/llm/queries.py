@@ -8,12 +8,14 @@ from cellweave.llm.fingerprints import fingerprint_query
 from cellweave.llm.html_text import html_query
 from cellweave.llm.ordinal_quality import quality_query
 from cellweave.llm.privacy import privacy_query
+from cellweave.llm.substring_dedup import substring_query
 from cellweave.llm.token_counts import token_count_query
 from cellweave.llm.token_files import token_file_query
 
 QUERIES = {
     "op1_ordinal_quality": quality_query,
     "op2_token_files": token_file_query,
+    "op3_substring_dedup": substring_query,
     "op4_token_counts": token_count_query,
     "op5_decontaminate": decontamination_query,
     "op6_chunk_codec": codec_query,
