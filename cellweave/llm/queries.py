@@ -6,6 +6,7 @@ from cellweave.llm.chunk_codec import codec_query
 from cellweave.llm.decontaminate import decontamination_query
 from cellweave.llm.fingerprints import fingerprint_query
 from cellweave.llm.html_text import html_query
+from cellweave.llm.near_dedup import near_dedup_query
 from cellweave.llm.ordinal_quality import quality_query
 from cellweave.llm.privacy import privacy_query
 from cellweave.llm.substring_dedup import substring_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_html_text": html_query,
     "op8_privacy": privacy_query,
     "op9_fingerprints": fingerprint_query,
+    "op10_near_dedup": near_dedup_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
