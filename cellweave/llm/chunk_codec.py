@@ -127,9 +127,9 @@ def encode_texts(df: DataFrame, vocabulary_file: str, text_col: str = "text", ke
     return map_texts(df, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], make, keep)
 
 
-def round_trip(df: DataFrame, vocabulary_file: str, text_col: str = "text", keep: list[str] | None = None, decoded_col: str | None = None) -> DataFrame:
+def round_trip(df: DataFrame, vocabulary_file: str, text_col: str = "text", keep: list[str] | None = None, ids_col: str | None = None, decoded_col: str | None = None) -> DataFrame:
     """Encode, then decode the ids. Adds ``n_tokens, ids_sha256, decoded_sha256`` to every row,
-    and the decoded text as ``decoded_col`` if named. Null texts count as empty; columns of these names are replaced."""
+    and the ids and the decoded text under ``ids_col`` and ``decoded_col`` if named. Null texts count as empty; columns of these names are replaced."""
 
     def make():
         own = codec(vocabulary_file)
@@ -142,11 +142,15 @@ def round_trip(df: DataFrame, vocabulary_file: str, text_col: str = "text", keep
                 [hashlib.sha256(i).hexdigest() for i in ids],
                 [hashlib.sha256(d.encode("utf-8")).hexdigest() for d in decoded],
             ]
+            if ids_col:
+                out.append([np.frombuffer(i, "<i4") for i in ids])
             return out + ([decoded] if decoded_col else [])
 
         return run
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids_col:
+        fields.append(T.StructField(ids_col, T.ArrayType(T.IntegerType())))
     if decoded_col:
         fields.append(T.StructField(decoded_col, T.StringType()))
     return map_texts(df, text_col, fields, make, keep)
