@@ -11,66 +11,104 @@ them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.common import TwoAgeCache, map_texts, table
+from cellweave.llm.token_files import word_pieces
+from cellweave.llm.vector_text import LETTER, LOWER, MARK, name_pieces, sums_between, text_bytes
 
 #: Most labelled rows that the model is fitted on, taken in the order of a hash of
 #: their ids. The driver holds their features; scoring covers every row.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: A feature needs this many occurrences in the fitted documents to get a weight.
 LEAST_SEEN = 6
 #: Tail probability of the best grade from which a document is kept.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.65
 #: Times that a shape feature counts.
 SHAPE_WEIGHT = 4
 CACHE_WORDS = 250_000
 
-_WORD = re.compile(r"\w+")
-_UPPER = bytes(range(0x41, 0x5B))
-_LETTERS = _UPPER + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
-_DIGITS = bytes(range(0x30, 0x3A))
-_MARKS = bytes(b for b in range(0x21, 0x7F) if b not in _LETTERS + _DIGITS and b not in b".,'\"()-:;?")
+_LETTER = LETTER.copy()
+_LETTER[0x80:] = True
+_UPPER = np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+_NOISE = MARK & ~_DIGIT
+_NOISE[list(b".,'\"()-:;?")] = False
 
 
-def feature_hash(name: str) -> int:
+def feature_hash(name: bytes) -> int:
     """32 bits that stand for a feature."""
-    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass"))
-
-
-def shape_features(text: str, words: list[str], distinct: int) -> list[str]:
-    """Graded properties of a whole text, named as words that no text holds."""
-    data = text.encode("utf-8", "surrogatepass")
-    n = max(1, len(data))
-    letters = n - len(data.translate(None, _LETTERS))
-    upper = n - len(data.translate(None, _UPPER))
-    marks = n - len(data.translate(None, _MARKS))
-    digits = n - len(data.translate(None, _DIGITS))
-    count = max(1, len(words))
-    size = min(9, int(np.log2(count)))
-    lines = text.split("\n")
-    out = [f"\x01size={size}", f"\x01distinct={size // 2}:{int(10 * distinct / count)}", f"\x01lines={int(10 * len(set(lines)) / len(lines))}"]
-    out += [f"\x01mean={min(15, sum(map(len, words)) // count)}", f"\x01digits={min(10, 50 * digits // n)}"]
+    return xxhash.xxh32_intdigest(name)
+
+
+def beginnings(piece: bytes) -> list[bytes]:
+    """Beginnings of four to seven bytes of a longer piece: they stand for inflected and compound forms."""
+    return [b"\x02" + piece[:n] for n in (4, 5, 6, 7) if len(piece) > n]
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Features of a run of texts: distinct pieces, which text holds which (each pair once), and shapes."""
+
+    names: list[bytes]
+    text: np.ndarray
+    code: np.ndarray
+    shapes: list[list[bytes]]
+
+
+def features_of(texts: pa.Array) -> Batch:
+    """Pieces (words and runs of marks, A-Z lower-cased) and graded properties of whole texts."""
+    data, edges = text_bytes(texts)
+    folded = LOWER[data]
+    starts, ends = word_pieces(folded, edges)
+    codes, names = name_pieces(folded, starts, ends)
+    first = np.searchsorted(starts, edges)
+    count = np.diff(first)
+    pairs = np.unique(np.repeat(np.arange(len(count)), count) * max(1, len(names)) + codes)
+    text, code = np.divmod(pairs, max(1, len(names)))
+    distinct = np.bincount(text, minlength=len(count))
+    length = sums_between(ends - starts, first)
+    sums = {k: sums_between(kind[data], edges) for k, kind in (("letters", _LETTER), ("upper", _UPPER), ("digits", _DIGIT), ("marks", _NOISE))}
+    shapes = []
+    for k, (t, n) in enumerate(zip(texts.to_pylist(), np.diff(edges).tolist(), strict=True)):
+        lines = (t or "").split("\n")
+        shapes.append(_shape(n, int(count[k]), int(distinct[k]), int(length[k]), {c: int(v[k]) for c, v in sums.items()}, len(set(lines)) / len(lines)))
+    return Batch(names, text, code, shapes)
+
+
+def _shape(n: int, count: int, distinct: int, length: int, sums: dict[str, int], lines: float) -> list[bytes]:
+    """Graded properties of a text, named as words that no text holds."""
+    size = min(9, max(1, count).bit_length() - 1)
+    out = [f"size={size}", f"distinct={size // 2}:{10 * distinct // max(1, count)}", f"lines={int(10 * lines)}"]
+    out += [f"mean={min(15, length // max(1, count))}", f"digits={min(10, 50 * sums['digits'] // max(1, n))}"]
     # Cumulative levels: a text over a level has the features of all lower ones.
-    out += [f"\x01upper>{t}" for t in (5, 10, 20, 40, 60, 80) if 100 * upper > t * letters]
-    out += [f"\x01marks>{t}" for t in (0.2, 0.5, 1, 2, 4, 8, 16) if 100 * marks > t * n]
+    out += [f"upper>{t}" for t in (5, 10, 20, 40, 60, 80) if 100 * sums["upper"] > t * sums["letters"]]
+    out += [f"marks>{t}" for t in (0.2, 0.5, 1, 2, 4, 8, 16) if 100 * sums["marks"] > t * n]
     # A few properties stand against hundreds of words, so each counts several times.
-    return out * SHAPE_WEIGHT
+    return [b"\x01" + f.encode() for f in out] * SHAPE_WEIGHT
 
 
-def text_features(text: str) -> tuple[set[str], list[str]]:
-    """Distinct lower-case words and shape features of a text."""
-    words = _WORD.findall(text.lower())
-    found = set(words)
-    return found, shape_features(text, words, len(found))
+def hashed(batch: Batch) -> list[np.ndarray]:
+    """Feature hashes of each text of a batch."""
+    own = np.array([feature_hash(n) for n in batch.names], np.uint32)
+    begun = [[feature_hash(b) for b in beginnings(n)] for n in batch.names]
+    edge = np.searchsorted(batch.text, np.arange(len(batch.shapes) + 1))
+    out = []
+    for k, shape in enumerate(batch.shapes):
+        codes = batch.code[edge[k] : edge[k + 1]]
+        starts = {h for c in codes.tolist() for h in begun[c]}
+        out.append(np.concatenate([own[codes], np.fromiter(starts, np.uint32, len(starts)), np.array([feature_hash(f) for f in shape], np.uint32)]))
+    return out
 
 
 @dataclass(frozen=True)
@@ -84,20 +122,48 @@ class OrdinalModel:
         """P(grade >= k) for k = 1 .. K - 1."""
         return [1.0 / (1.0 + float(np.exp(min(60.0, max(-60.0, t - score))))) for t in self.thresholds]
 
-    def scorer(self) -> Callable[[str], float]:
-        """Function from a text to its score, with a cache of word weights."""
+    def scorer(self) -> Callable[[pa.Array], np.ndarray]:
+        """Function from texts to their scores; the weights of each piece are looked up once in a worker."""
         weights = self.weights
-        cache = TwoAgeCache(lambda w: weights.get(feature_hash(w), 0.0), CACHE_WORDS)
-        get = cache.__getitem__
-
-        def score(text: str) -> float:
-            words, shape = text_features(text)
-            return float(sum(sorted(x for x in map(get, words) if x)) + sum(weights.get(feature_hash(f), 0.0) for f in shape))
+        # Beginnings with a weight get numbers, so that each counts once in a text.
+        number: dict[bytes, int] = {}
+        begun_weights: list[float] = []
+
+        def look(piece: bytes) -> tuple[float, tuple[int, ...]]:
+            found = []
+            for b in beginnings(piece):
+                if b not in number:
+                    w = weights.get(feature_hash(b), 0.0)
+                    if not w:
+                        continue
+                    number[b] = len(begun_weights)
+                    begun_weights.append(w)
+                found.append(number[b])
+            return weights.get(feature_hash(piece), 0.0), tuple(found)
+
+        cache = TwoAgeCache(look, CACHE_WORDS)
+
+        def score(texts: pa.Array) -> np.ndarray:
+            batch = features_of(texts)
+            found = list(map(cache.__getitem__, batch.names))
+            n = len(batch.shapes)
+            own = np.array([f[0] for f in found])
+            total = np.bincount(batch.text, own[batch.code], n) if len(found) else np.zeros(n)
+            size = np.array([len(f[1]) for f in found], np.int64)
+            flat = np.array([b for f in found for b in f[1]], np.int64)
+            if len(flat):
+                first = np.cumsum(size) - size
+                many = size[batch.code]
+                where = np.repeat(first[batch.code] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                pairs = np.unique(np.repeat(batch.text, many) * len(begun_weights) + flat[where])
+                text, begun = np.divmod(pairs, len(begun_weights))
+                total = total + np.bincount(text, np.array(begun_weights)[begun], n)
+            return total + np.array([sum(weights.get(feature_hash(f), 0.0) for f in s) for s in batch.shapes])
 
         return score
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 160, l2: float = 3e-5, rate: float = 0.2) -> OrdinalModel:
+def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 160, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood of the cumulative link by Adam over all rows.
 
     Thresholds are a first value and log gaps, so they stay ordered. Row order does
@@ -155,16 +221,9 @@ def fit_model(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, id_co
     rated = docs.join(F.broadcast(chosen), "id")
 
     def make():
-        def run(texts):
-            out = []
-            for t in texts:
-                words, shape = text_features(t)
-                out.append(np.array([feature_hash(w) for w in words] + [feature_hash(f) for f in shape], np.uint32).view(np.int32))
-            return [out]
-
-        return run
+        return lambda texts: [[f.view(np.int32) for f in hashed(features_of(texts))]]
 
-    rows = map_texts(rated, "text", [T.StructField("features", T.ArrayType(T.IntegerType()))], make, keep=["id", "grade"]).toArrow()
+    rows = map_texts(rated, "text", [T.StructField("features", T.ArrayType(T.IntegerType()))], make, keep=["id", "grade"], arrow=True).toArrow()
     seen: dict[int, tuple[int, np.ndarray]] = {}
     for i, g, f in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
         own = np.sort(f.values.to_numpy(zero_copy_only=False).view(np.uint32))
@@ -186,10 +245,10 @@ def rate(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[
     def make():
         score = model.scorer()
 
-        def run(texts):
+        def run(texts: pa.Array):
             if not model.thresholds:
                 return [[None] * len(texts)] * 3 + [[True] * len(texts)]
-            tails = [model.tails(score(t)) for t in texts]
+            tails = [model.tails(s) for s in score(texts).tolist()]
             return [[sum(t) for t in tails], tails, [t[-1] for t in tails], [t[-1] >= keep_from for t in tails]]
 
         return run
@@ -200,7 +259,7 @@ def rate(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[
         T.StructField("p_best", T.DoubleType()),
         T.StructField("kept", T.BooleanType()),
     ]
-    return map_texts(df, text_col, fields, make, keep)
+    return map_texts(df, text_col, fields, make, keep, arrow=True)
 
 
 def grades(labels: DataFrame) -> DataFrame:
