@@ -133,11 +133,39 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows)])
 
 
+class Forest:
+    """Union-find that tells which edges span; forgets all after ``most`` vertices, which only lets more edges through."""
+
+    def __init__(self, most: int = 1_000_000):
+        self._up: dict[int, int] = {}
+        self._most = most
+
+    def _root(self, v: int) -> int:
+        up = self._up
+        path = []
+        while (w := up.get(v, v)) != v:
+            path.append(v)
+            v = w
+        for p in path:
+            up[p] = v
+        return v
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether the edge joins two trees, which it then does."""
+        if len(self._up) > self._most:
+            self._up.clear()
+        a, b = self._root(a), self._root(b)
+        if a == b:
+            return False
+        self._up[max(a, b)] = min(a, b)
+        return True
+
+
 _LINK = "key long, a long, b long, signature binary, radius float"
 _LINK_NAMES = ["key", "a", "b", "signature", "radius"]
 
 
-def _edges_batch(edges: set[tuple[int, int]]) -> pa.RecordBatch:
+def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     n = len(edges)
     return pa.RecordBatch.from_arrays(
         [pa.nulls(n, pa.int64()), pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.float32())],
@@ -149,7 +177,8 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2 inside a task: edges (key null) and leaders of each bucket."""
 
     def block(ids: np.ndarray, signs: np.ndarray, bands: np.ndarray) -> Iterator[pa.RecordBatch]:
-        edges: set[tuple[int, int]] = set()
+        edges: list[tuple[int, int]] = []
+        forest = Forest()
         for b in range(BANDS):
             order = np.argsort(bands[:, b], kind="stable")
             value = bands[order, b]
@@ -166,7 +195,8 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(got):
                         leads[got] = False
                         radius[lead] = 1 - near[joins].min()
-                        edges.update(zip(ids[got].tolist(), [int(ids[lead])] * len(got), strict=True))
+                        top = int(ids[lead])
+                        edges += [(v, top) for v in ids[got].tolist() if forest.joins(v, top)]
                     rest = others[~joins]
             pick = np.flatnonzero(leads)
             yield pa.RecordBatch.from_arrays(
@@ -191,32 +221,37 @@ def _cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2 between tasks: rows sorted by key; edges between leaders that may have members over the threshold."""
+    """Step 2 between tasks: rows sorted by key; edges between leaders that may have members over the threshold.
+
+    Of all edges that a task sees only those that span come out.
+    """
     slack = 1 - PERCENT / 100 + MARGIN
     key, ids, signs, radii = None, [], [], []
+    forest = Forest()
 
-    def links() -> set[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
+    def links() -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
         if len(ids) > COMPARED:
-            out.update((i, ids[0]) for i in ids[1:])
+            out += [(i, ids[0]) for i in ids[1:]]
         elif len(ids) > 1:
             rows = np.stack([np.frombuffer(s, "<u8") for s in signs])
             r = np.array(radii)
             for i in range(len(ids) - 1):
                 near = 1 - similarity(rows[i], rows[i + 1 :]) <= slack + r[i] + r[i + 1 :]
-                out.update((ids[i + 1 + j], ids[i]) for j in np.flatnonzero(near).tolist())
-        return {(a, b) for a, b in out if a != b}
+                out += [(ids[i + 1 + j], ids[i]) for j in np.flatnonzero(near).tolist()]
+        return [(a, b) for a, b in out if forest.joins(a, b)]
 
     names = ["a", "b"]
     for batch in batches:
-        edges: set[tuple[int, int]] = set()
+        edges: list[tuple[int, int]] = []
         for k, a, b, s, r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if k is None:
-                edges.add((a, b))
+                if forest.joins(a, b):
+                    edges.append((a, b))
                 continue
             if k != key:
                 if len(ids) > 1:
-                    edges |= links()
+                    edges += links()
                 key, ids, signs, radii = k, [], [], []
             ids.append(a)
             signs.append(s)
