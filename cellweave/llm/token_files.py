@@ -35,7 +35,7 @@ BLOCK_IDS = 4096
 #: Ids in a shard, beyond which the next document starts another one.
 SHARD_IDS = 1 << 20
 #: Distinct words that a worker remembers in each half of its cache.
-CACHE_WORDS = 350_000
+CACHE_WORDS = 220_000
 
 
 def bits_for(vocabulary: int) -> int:
