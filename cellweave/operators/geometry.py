@@ -117,7 +117,7 @@ def triangulation_edges(points: list[tuple]) -> list[tuple[int, int]]:
     triangles = triangulate(points)
     if not triangles:
         order = sorted(range(len(points)), key=lambda i: points[i])
-        return [(min(i, j), max(i, j)) for i, j in zip(order, order[1:], strict=False)]
+        return sorted((min(i, j), max(i, j)) for i, j in zip(order, order[1:], strict=False))
     return sorted({(min(e), max(e)) for t in triangles for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))})
 
 
