@@ -2,7 +2,9 @@
 
 import hashlib
 
+import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from cellweave.llm.common import tokenizer, vocabulary_path
@@ -60,6 +62,18 @@ def test_stages_take_odd_rows(spark, small):
     assert corpus_pipeline.encode(spark, docs, small).count() == len(rows)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    cursor = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in cursor.description]
+    df = QUERIES[name](spark, small)
+    assert sorted(df.columns) == sorted(columns)
+    assert rows_of(df.select(*columns)) == sorted(cursor.fetchall(), key=repr)
+
+
 def test_queries_are_registered_once_each():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
