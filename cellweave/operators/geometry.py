@@ -121,6 +121,37 @@ def triangulation_edges(points: list[tuple]) -> list[tuple[int, int]]:
     return sorted({(min(e), max(e)) for t in triangles for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))})
 
 
+def voronoi_polygons(points: list[tuple], box: tuple[float, float, float, float]) -> list[list[tuple[float, float]]]:
+    """Voronoi cell of each distinct point inside a box (x0, y0, x1, y1), corners counter-clockwise.
+
+    The box is cut by the bisector to each Delaunay neighbour: a cell has no other
+    sides, so open cells end at the box.
+    """
+    near: dict[int, set[int]] = {i: set() for i in range(len(points))}
+    for i, j in triangulation_edges(points):
+        near[i].add(j)
+        near[j].add(i)
+    x0, y0, x1, y1 = box
+    out = []
+    for i, (px, py) in enumerate(points):
+        cell = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        for j in sorted(near[i]):
+            qx, qy = points[j]
+            mx, my, dx, dy = (px + qx) / 2, (py + qy) / 2, qx - px, qy - py
+            side = [(x - mx) * dx + (y - my) * dy for x, y in cell]
+            cut = []
+            for k in range(len(cell)):
+                a, b, sa, sb = cell[k - 1], cell[k], side[k - 1], side[k]
+                if (sa < 0) != (sb < 0):
+                    t = sa / (sa - sb)
+                    cut.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+                if sb < 0:
+                    cut.append(b)
+            cell = cut
+        out.append(cell)
+    return out
+
+
 def outline(points: list[tuple], longest: float) -> list[int]:
     """Points on the border of the triangulation after dropping triangles with an edge over ``longest``.
 

@@ -102,6 +102,71 @@ def canonical_correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, np.linalg.svd(qa.T @ qb, compute_uv=False)[0]))
 
 
+def canonical_pairs(df: DataFrame, group: str, unit: str, item: str, value: str, permutations: int, pseudo: float = 1e-3, seed: int = 0) -> DataFrame:
+    """``a, b, corr, share``: first canonical correlation of the items' log values between two groups over
+    shared units, and the share of unit permutations that it exceeds. Null where too few units are shared.
+
+    Pairs of groups are formed after aggregation; a task holds the table of one pair.
+    """
+    logs = df.groupBy(group, unit, item).agg(F.ln(F.lit(pseudo) + F.avg(value)).alias("v"))
+    rows = logs.groupBy(group, unit).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), "v"))).alias("x"))
+    rows = rows.select(F.col(group).alias("g"), F.col(unit).alias("u"), F.transform("x", lambda s: s["v"]).alias("x"))
+    both = rows.select(F.col("g").alias("a"), "u", F.col("x").alias("xa")).join(rows.select(F.col("g").alias("b"), "u", F.col("x").alias("xb")), "u").where("a < b")
+    kind = df.schema[group].dataType.simpleString()
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("u")
+        a, b = np.array(p["xa"].tolist()), np.array(p["xb"].tolist())
+        out = {"a": p["a"].iloc[0], "b": p["b"].iloc[0], "corr": None, "share": None}
+        if len(p) > 2:
+            rng = np.random.default_rng(seed)
+            out["corr"] = canonical_correlation(a, b)
+            out["share"] = float(np.mean([out["corr"] > canonical_correlation(a[rng.permutation(len(a))], b) for _ in range(permutations)]))
+        return pd.DataFrame([out])
+
+    return both.groupBy("a", "b").applyInPandas(run, f"a {kind}, b {kind}, corr double, share double")
+
+
+def studentized_range_p(q: float, k: int, df: float) -> float:
+    """Upper tail of the studentised range of k means with df degrees of freedom, by Gauss-Legendre quadrature."""
+    if q <= 0:
+        return 1.0
+    nodes, weights = np.polynomial.legendre.leggauss(96)
+    z, wz = 8 * nodes, 8 * weights
+    cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))
+    phi, dens = cdf(z), np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    # s is the pooled deviation over its true value: its density is that of a scaled chi.
+    low, top = max(0.0, 1 - 10 / math.sqrt(df)), 1 + 10 / math.sqrt(max(1.0, df))
+    s, ws = low + (nodes + 1) * (top - low) / 2, weights * (top - low) / 2
+    log_c = df / 2 * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2)
+    chi = np.exp(log_c + (df - 1) * np.log(s) - df * s * s / 2)
+    inner = np.array([k * np.sum(wz * dens * (phi - cdf(z - q * v)) ** (k - 1)) for v in s])
+    return float(min(1.0, max(0.0, 1 - np.sum(ws * chi * inner))))
+
+
+def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``a, b, difference, pvalue`` of all pairs of group means; groups are few, their sums are formed in Spark."""
+    v = F.col(value).cast("double")
+    kind = df.schema[group].dataType.simpleString()
+    sums = df.where(v.isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("v"))
+    one = sums.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), "n", "m", "v"))).alias("r"))
+
+    def run(batches):
+        for p in batches:
+            for rows in p["r"]:
+                k, free = len(rows), sum(r["n"] for r in rows) - len(rows)
+                mse = sum(r["n"] * r["v"] for r in rows) / free if free > 0 else 0.0
+                out = []
+                for i, a in enumerate(rows):
+                    for b in rows[i + 1 :]:
+                        d = b["m"] - a["m"]
+                        se = math.sqrt(mse / 2 * (1 / a["n"] + 1 / b["n"]))
+                        out.append((a["g"], b["g"], d, studentized_range_p(abs(d) / se, k, free) if se else None))
+                yield pd.DataFrame(out, columns=["a", "b", "difference", "pvalue"])
+
+    return one.mapInPandas(run, f"a {kind}, b {kind}, difference double, pvalue double")
+
+
 def log_means(df: DataFrame, by: Sequence[str], columns: Sequence[str], pseudo: float = 1e-3) -> DataFrame:
     """ln(pseudo + mean) of columns in each group: the input of canonical correlation."""
     return df.groupBy(*by).agg(*[F.ln(F.lit(pseudo) + F.avg(c)).alias(c) for c in columns])

@@ -363,6 +363,12 @@ def corr_top_abs(spark, sf):
     return r6(composition.top_correlations(composition.long_correlations(sums, ["region"], "cell_type", "v"), 0.1), "corr")
 
 
+@query(f"WITH {_LONG}, c AS (SELECT p.cell_type AS a, q.cell_type AS b, corr(p.v, q.v) AS corr FROM l p JOIN l q ON p.region = q.region AND p.cell_type < q.cell_type GROUP BY 1, 2) SELECT a, b, round(corr, 6) AS corr FROM c WHERE abs(corr) > 0.05 AND 'purchase' IN (a, b)")
+def corr_touching(spark, sf):
+    sums = cells_view(spark, sf).groupBy("region", "cell_type").agg(F.sum("value").alias("v"))
+    return r6(composition.correlations_touching(composition.long_correlations(sums, ["region"], "cell_type", "v"), 0.05, "purchase"), "corr")
+
+
 @query("SELECT o_orderpriority AS grp, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept, round(corr(CAST(o_custkey AS DOUBLE), o_totalprice), 6) AS corr FROM orders GROUP BY 1")
 def scatter_fit(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_orderpriority", "grp")
@@ -493,6 +499,19 @@ def centroid_enrichment(spark, sf):
     return composition.centroid_enrichment(centres, "cn", "label", "value", average)
 
 
+@query(f"WITH {_FREQ} SELECT combination, round(cum_freq, 6) AS cum_freq, round(freq, 6) AS marginal FROM freqs WHERE cum_freq > 0.85 ORDER BY cum_freq LIMIT 1")
+def combo_share_at(spark, sf):
+    return r6(neighborhoods.share_at(neighborhoods.combination_frequencies(_combinations(spark, sf)), 0.85), "cum_freq", "marginal")
+
+
+@query(
+    f"WITH {_FREQ}, s AS (SELECT combination, string_split(combination, ',') AS items FROM freqs WHERE freq >= 0.001) SELECT b.combination AS dst, count(*) AS in_degree FROM s a JOIN s b "
+    "ON len(b.items) = len(a.items) + 1 AND list_has_all(b.items, a.items) GROUP BY 1"
+)
+def combo_in_degree(spark, sf):
+    return neighborhoods.in_degrees(neighborhoods.combination_graph(neighborhoods.combination_frequencies(_combinations(spark, sf))))
+
+
 # --- interactions ----------------------------------------------------------------------------------
 
 R = 50
@@ -625,7 +644,7 @@ def mwu_pvalue(spark, sf):
 
 @query()
 def interaction_test(spark, sf):
-    found = interactions.identify_interactions(cells_view(spark, sf), "cond", 60, 5, 10)
+    found = interactions.identify_interactions(cells_view(spark, sf), "cond", 128, 5, 10)
     return found.select("type1", "type2", "condition", "expected_mean", "observed_mean", "pvalue", "logfold_group", "interaction")
 
 
@@ -736,6 +755,23 @@ def log_group_means(spark, sf):
     return r6(stats.log_means(spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_orderpriority", "grp"), ["grp"], ["o_totalprice"]), "o_totalprice")
 
 
+@query()
+def cca_of_neighbourhoods(spark, sf):
+    wide = composition.densified_share(cells_view(spark, sf), ["cn", "region"], "cell_type")
+    return stats.canonical_pairs(wide, "cn", "region", "cell_type", "percent", 20)
+
+
+@query()
+def tukey_of_shares(spark, sf):
+    shares = composition.densified_share(cells_view(spark, sf), ["cn", "region"], "cell_type")
+    return stats.tukey_hsd(shares.where("cell_type = 'purchase'"), "cn", "percent")
+
+
+@query()
+def voronoi_cells(spark, sf):
+    return interactions.voronoi_cells(cells_view(spark, sf), (0.0, 0.0, 2003.0, 1999.0))
+
+
 @query()
 def ml_predict(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from cellweave.operators.geometry import density_clusters, outline, triangulate, triangulation_edges
+from cellweave.operators.geometry import density_clusters, outline, triangulate, triangulation_edges, voronoi_polygons
 
 
 def circle_is_empty(points, t):
@@ -69,3 +69,18 @@ def test_clusters_and_noise():
 def test_outline_of_a_grid():
     points = list(itertools.product(range(5), range(5)))
     assert sorted(points[i] for i in outline(points, 2)) == sorted(p for p in points if 0 in p or 4 in p)
+
+
+def area(poly):
+    return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(poly, poly[1:] + poly[:1], strict=True))) / 2
+
+
+def test_voronoi_cells_fill_the_box_and_hold_their_points():
+    r = random.Random(2)
+    points = list({(r.randrange(100), r.randrange(100)) for _ in range(80)})
+    cells = voronoi_polygons(points, (0, 0, 100, 100))
+    assert sum(map(area, cells)) == pytest.approx(10_000)
+    for (px, py), cell in zip(points, cells, strict=True):
+        for x, y in cell:
+            own = (x - px) ** 2 + (y - py) ** 2
+            assert own <= min((x - a) ** 2 + (y - b) ** 2 for a, b in points) + 1e-6

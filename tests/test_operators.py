@@ -141,6 +141,21 @@ def test_student_and_canonical():
     assert stats.nonnegative_tucker(x, (2, 2, 2), steps=4000)[2] < 0.01 * x.var()
 
 
+def test_studentised_range():
+    assert stats.studentized_range_p(3.877676, 3, 10) == pytest.approx(0.05, abs=2e-4)
+    assert stats.studentized_range_p(3.633, 4, 1e5) == pytest.approx(0.05, abs=1e-3)
+
+
+def test_tukey_and_canonical_pairs(spark):
+    r = random.Random(1)
+    rows = [(g, f"u{i}", t, m + r.gauss(0, 1)) for g, m in (("a", 0.0), ("b", 0.0), ("c", 5.0)) for i in range(12) for t in "xy"]
+    df = spark.createDataFrame(rows, "g string, u string, t string, v double")
+    p = {(x["a"], x["b"]): x["pvalue"] for x in stats.tukey_hsd(df, "g", "v").collect()}
+    assert p["a", "c"] < 1e-4 and p["a", "b"] > 0.05
+    out = stats.canonical_pairs(df.withColumn("v", F.abs("v")), "g", "u", "t", "v", 10).collect()
+    assert len(out) == 3 and all(0 <= x["corr"] <= 1 and 0 <= x["share"] <= 1 for x in out)
+
+
 def test_labels_and_metadata(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "cell_id long, t string")
     assert [r["n"] for r in annotate.map_labels(df, "t", {"a": "x"}, "n").orderBy("t").collect()] == ["x", None]
