@@ -11,7 +11,7 @@ of each hash is the least id that holds it.
    block, however many hold it.
 2. Entries are dealt by hash into buckets of bounded size, packed as arrays. For each
    hash the least id of all blocks settles the rest.
-3. Decisions meet their documents again by id; windows become word intervals, which
+3. Decisions meet their documents again by groups of ids; windows become word intervals, which
    are merged and cut out.
 """
 
@@ -35,6 +35,9 @@ BLOCK_WORDS = 1_500_000
 #: Mean entries of a bucket in the second step.
 BUCKET_ENTRIES = 2_000_000
 
+#: Groups of documents, for each shuffle partition, to which decisions are sent.
+GROUPS = 4
+
 _RANDOM = np.random.default_rng(7_013)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -158,8 +161,7 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             a, b = edge[k], edge[k + 1]
-            run = np.concatenate([[0], np.flatnonzero(np.diff(text[a:b])) + 1])
-            rows.append((k, None, None, None, h[a:b].tobytes(), ids[text[a:b][run]].tobytes(), np.diff(np.append(run, b - a)).astype("<u4").tobytes()))
+            rows.append((k, None, None, None, h[a:b].tobytes(), *_runs(ids[text[a:b]])))
         return _batch(rows)
 
     for batch in batches:
@@ -182,63 +184,70 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "doc", "text_hash", "spans", "hashes", "docs", "counts"])
 
 
-def _global(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: one row for each document and bucket with the hashes to be removed; settled intervals pass."""
-    names = ["doc", "text_hash", "spans", "hashes"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    at, held = None, []
+def _runs(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Ids without repeats of neighbours, and how often each stands."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+    return ids[first].tobytes(), np.diff(np.append(first, len(ids))).astype("<u4").tobytes()
 
-    def out():
+
+def _global(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Step 2: one row for each bucket and group of documents with all hashes to be removed there; settled intervals pass."""
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
         h = np.concatenate([np.frombuffer(x[0], "<u8") for x in held])
         ids = np.concatenate([np.repeat(np.frombuffer(x[1], "<i8"), np.frombuffer(x[2], "<u4")) for x in held])
         gone = _settle(h, ids)
         h, ids = h[gone], ids[gone]
-        order = np.argsort(ids, kind="stable")
-        h, ids = h[order], ids[order]
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]]).tolist() if len(ids) else [0]
-        cols = [ids[edge[:-1]].tolist(), [None] * (len(edge) - 1), [None] * (len(edge) - 1), [h[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        group = ids % groups
+        order = np.lexsort((ids, group))
+        h, ids, group = h[order], ids[order], group[order]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist() if len(group) else [0]
+        return _batch([(int(group[a]), None, None, None, h[a:b].tobytes(), *_runs(ids[a:b])) for a, b in zip(edge, edge[1:], strict=False)])
 
+    at, held = None, []
     for batch in batches:
-        rows = batch.to_pylist()
-        settled = [r for r in rows if r["bucket"] < 0]
+        rows = list(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
+        settled = [(r[1] % groups, *r[1:]) for r in rows if r[0] < 0]
         if settled:
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in settled], k) for n, k in zip(names, kinds, strict=True)], names=names)
+            yield _batch(settled)
         for r in rows:
-            if r["bucket"] < 0:
+            if r[0] < 0:
                 continue
-            if held and r["bucket"] != at:
-                yield out()
+            if held and r[0] != at:
+                yield out(held)
                 held = []
-            at = r["bucket"]
-            held.append((r["hashes"], r["docs"], r["counts"]))
+            at = r[0]
+            held.append(r[4:7])
     if held:
-        yield out()
+        yield out(held)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Step 3: rows sorted by id, decisions before texts; one row for each text."""
-    key, spans, found = None, {}, []
+    """Step 3: rows sorted by group, decisions before texts; one row for each text."""
+    at, spans, found = None, {}, {}
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
     for batch in batches:
         out: list[tuple] = []
-        for doc, kind, text_hash, span, hashes, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-            if doc is None or doc != key:
-                key, spans, found = doc, {}, []
+        for group, kind, doc, text_hash, span, hashes, docs, counts, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            if group != at:
+                at, spans, found = group, {}, {}
             if kind == 0:
                 if span is not None:
-                    spans.setdefault(text_hash, set()).add(span)
+                    spans.setdefault((doc, text_hash), set()).add(span)
                 else:
-                    found.append(np.frombuffer(hashes, "<u8"))
+                    h, stop = np.frombuffer(hashes, "<u8"), 0
+                    for d, n in zip(np.frombuffer(docs, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True):
+                        found.setdefault(d, []).append(h[stop : stop + n])
+                        stop += n
                 continue
             data = text.encode("utf-8")
             words = data.split()
-            cut = [tuple(x) for s in spans.get(text_hash, ()) for x in np.frombuffer(s, "<i4").reshape(-1, 2).tolist()]
-            if found and len(words) >= window:
+            cut = [tuple(x) for s in spans.get((doc, text_hash), ()) for x in np.frombuffer(s, "<i4").reshape(-1, 2).tolist()]
+            if doc in found and len(words) >= window:
                 raw = np.frombuffer(data, np.uint8)
                 starts, ends = word_bounds(raw, np.array([0, len(raw)]))
-                h, _, at = window_hashes(word_hashes(raw, starts, ends), np.array([len(starts)]), window)
-                cut += intervals(at[np.isin(h, np.concatenate(found))], window)
+                h, _, place = window_hashes(word_hashes(raw, starts, ends), np.array([len(starts)]), window)
+                cut += intervals(place[np.isin(h, np.concatenate(found[doc]))], window)
             cut = merged(cut)
             kept, done = [], 0
             for a, b in cut:
@@ -265,13 +274,16 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     buckets = max(parts, int(size / 7 / BUCKET_ENTRIES) + 1)
     entries = known.mapInArrow(lambda batches: _local(batches, window, buckets), _ROWS)
     dealt = entries.repartition(parts, F.when(F.col("bucket") < 0, F.col("doc")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket")
-    decided = dealt.mapInArrow(_global, "doc long, text_hash long, spans binary, hashes binary")
-    none = F.lit(None)
-    both = decided.select("doc", F.lit(0).alias("kind"), "text_hash", "spans", "hashes", none.cast("string").alias("text")).unionByName(
-        src.select("doc", F.lit(1).alias("kind"), "text_hash", none.cast("binary").alias("spans"), none.cast("binary").alias("hashes"), "text")
-    )
+    groups = parts * GROUPS
+    decided = dealt.mapInArrow(lambda batches: _global(batches, groups), _ROWS).withColumnRenamed("bucket", "group")
+    none = lambda kind: F.lit(None).cast(kind)
     # Null ids are dealt by text: nothing has to meet there.
-    met = both.repartition(parts, F.coalesce("doc", "text_hash")).sortWithinPartitions("doc", "kind")
+    texts = src.select(
+        F.pmod(F.coalesce("doc", "text_hash"), F.lit(groups)).cast("int").alias("group"), F.lit(1).alias("kind"), "doc", "text_hash",
+        *[none("binary").alias(c) for c in ("spans", "hashes", "docs", "counts")], "text",
+    )
+    both = decided.select("group", F.lit(0).alias("kind"), "doc", "text_hash", "spans", "hashes", "docs", "counts", none("string").alias("text")).unionByName(texts)
+    met = both.repartition(parts, "group").sortWithinPartitions("group", "kind")
     return met.mapInArrow(lambda batches: _cut(batches, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>")
 
 
