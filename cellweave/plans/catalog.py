@@ -723,7 +723,7 @@ def _cosine_sql(a: str, b: str) -> str:
 
 @query(
     f"WITH s AS (SELECT vec_id AS sid, embedding AS g FROM embeddings WHERE vec_id < 4), d AS (SELECT vec_id, sid, {_cosine_sql('embedding', 'g')} AS d FROM embeddings, s) "
-    "SELECT vec_id, CAST(arg_min(sid, round(d, 9)) AS INTEGER) AS seed, round(min(d), 6) AS distance FROM d GROUP BY vec_id"
+    "SELECT vec_id, CAST(arg_min(sid, round(d, 9)) AS INTEGER) AS seed, round(min(d), 6) + 0 AS distance FROM d GROUP BY vec_id"
 )
 def nearest_centroid(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
