@@ -26,8 +26,8 @@ from cellweave.llm.common import PIECES, TwoAgeCache, map_texts, table, tokenize
 #: Bytes under the rolling hash; mean bytes between cuts is 2 ** CUT_BITS.
 ROLL = 32
 CUT_BITS = 9
-CACHE_CHUNKS = 20_000
-CACHE_PIECES = 220_000
+CACHE_CHUNKS = 8_000
+CACHE_PIECES = 100_000
 
 _GEAR = np.random.default_rng(20_240_501).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 _SPACE = np.zeros(256, bool)

@@ -38,7 +38,8 @@ LEAST_BITS = 6.0
 #: Disclosing terms that one pass over the texts carries; further passes take the rest.
 TERMS_A_PASS = 1_000_000
 #: Distinct terms that a task counts before it passes its sums on.
-COUNTED = 300_000
+COUNTED = 200_000
+CACHE_TERMS = 100_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -144,7 +145,7 @@ def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "term", "context"])
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TwoAgeCache(term_hash, COUNTED)
+        cache = TwoAgeCache(term_hash, CACHE_TERMS)
         sums: Counter = Counter()
 
         def out():
@@ -200,7 +201,7 @@ def _mark(df: DataFrame, terms: list[int], text_col: str, keep: list[str], spans
     strong = frozenset(terms)
 
     def make():
-        cache = TwoAgeCache(lambda w: term_hash(w) in strong, COUNTED)
+        cache = TwoAgeCache(lambda w: term_hash(w) in strong, CACHE_TERMS)
 
         def one(text: str) -> list[tuple]:
             out = [] if more else base_spans(text)
