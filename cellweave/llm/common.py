@@ -51,7 +51,8 @@ def map_texts(
     """
     new = [f.name for f in fields]
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
-    src = df.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT))
+    own_text = [] if text_col in names else [F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT)]
+    src = df.select(*[F.col(f"`{c}`") for c in names], *own_text)  # a text that stays is not sent twice
     schema = T.StructType([src.schema[c] for c in names] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,8 @@ def map_texts(
         target = to_arrow_schema(schema)
         work = make()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(TEXT))
+            texts = batch.column(names.index(text_col) if text_col in names else len(names))
+            texts = texts.fill_null("") if texts.null_count else texts
             for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), batch_chars):
                 part = batch.slice(lo, hi - lo)
                 own = texts.slice(lo, hi - lo)

@@ -32,9 +32,11 @@ FIT_ROWS = 8_000
 LEAST_SEEN = 6
 #: Tail probability of the best grade from which a document is kept.
 KEEP_FROM = 0.65
+#: Bytes of text that are rated at a time: pairs of texts and pieces take tens of bytes for each byte.
+RUN_BYTES = 1_000_000
 #: Times that a shape feature counts.
 SHAPE_WEIGHT = 4
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _LETTER = LETTER.copy()
 _LETTER[0x80:] = True
@@ -223,7 +225,7 @@ def fit_model(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, id_co
     def make():
         return lambda texts: [[f.view(np.int32) for f in hashed(features_of(texts))]]
 
-    rows = map_texts(rated, "text", [T.StructField("features", T.ArrayType(T.IntegerType()))], make, keep=["id", "grade"], arrow=True).toArrow()
+    rows = map_texts(rated, "text", [T.StructField("features", T.ArrayType(T.IntegerType()))], make, keep=["id", "grade"], batch_chars=RUN_BYTES, arrow=True).toArrow()
     seen: dict[int, tuple[int, np.ndarray]] = {}
     for i, g, f in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
         own = np.sort(f.values.to_numpy(zero_copy_only=False).view(np.uint32))
@@ -259,7 +261,7 @@ def rate(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[
         T.StructField("p_best", T.DoubleType()),
         T.StructField("kept", T.BooleanType()),
     ]
-    return map_texts(df, text_col, fields, make, keep, arrow=True)
+    return map_texts(df, text_col, fields, make, keep, RUN_BYTES, arrow=True)
 
 
 def grades(labels: DataFrame) -> DataFrame:

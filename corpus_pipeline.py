@@ -22,14 +22,19 @@ ORACLE_SQL = None
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """All columns as one value beside the text, so that no name of theirs meets one of an operator."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried_row"), F.col("text").alias("text"))
+    """All other columns as one value beside the text, so that no name of theirs meets one of an operator."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("carried_row"), "text")
+
+
+def _put_back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order."""
+    return found.select(*[F.col("text") if c == "text" else F.col(f"carried_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the best grade reaches the classifier's limit."""
     model = fit_model(docs.select("doc_id", "text"), grades(table(spark, sf_dir, "labels")))
-    return rate(_carried(docs), model, keep=["carried_row"]).where("kept").select("carried_row.*")
+    return _put_back(rate(_carried(docs), model, keep=["carried_row", "text"]).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +57,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = contamination(_carried(docs), table(spark, sf_dir, "benchmark"), keep=["carried_row"])
-    return found.where("not contaminated").select("carried_row.*")
+    found = contamination(_carried(docs), table(spark, sf_dir, "benchmark"), keep=["carried_row", "text"])
+    return _put_back(found.where("not contaminated"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
