@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and terms that the corpus shows to disclose an entity.
 
 Protected entities are the strings that the patterns find. Over the whole corpus it
-is counted how many different contexts an entity has (n_e), in how many of them a
-term stands (n_te) and how many documents hold the term at all (n_t). A term tells
+is counted how many different texts hold an entity (n_e), in how many of them a term
+stands beside it (n_te) and how many hold the term at all (n_t). A term tells
 
     log2( (n_te / n_t) / (n_e / N) )    bits
 
-about the entity, N being the number of documents. Terms over the threshold, seen in
-enough contexts and found beside the entity in most documents that hold them, would
+about the entity, N being the number of different texts. The last share is also taken of
+documents, copies included on both of its sides, and the less of the two counts: neither
+copies of the entity's texts nor of the others make it look common. Terms over the
+threshold, seen in enough contexts and beside the entity in most texts that hold them, would
 give it away after it is removed; they become spans of their own and are generalised
 with the rest.
 """
@@ -15,7 +17,6 @@ with the rest.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +33,15 @@ KINDS = ("email", "ip", "card", "phone", "term")
 REACH = 5
 #: Different contexts that must hold the term beside the entity.
 LEAST_CONTEXTS = 4
-#: Share of the term's documents in which it stands beside the entity.
+#: Share of the term's different texts in which it stands beside the entity.
 LEAST_SHARE = 0.5
 LEAST_BITS = 6.0
 #: Disclosing terms that one pass over the texts carries; further passes take the rest.
 TERMS_A_PASS = 1_000_000
 #: Distinct terms that a task counts before it passes its sums on.
 COUNTED = 200_000
+#: Repeated texts whose hashes and numbers of copies are broadcast; more of them are joined by a shuffle.
+COPIES_SENT = 1_000_000
 CACHE_TERMS = 100_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -125,50 +128,70 @@ def contexts(text: str) -> Iterator[tuple[int, list[int], int]]:
 def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Terms over the thresholds: ``term`` (hash), ``bits``, ``share``, ``contexts``, one row a term (its most telling entity).
 
-    Contexts that repeat word for word count once, so copies of a document do not
-    make its words telling. Counts cover all rows; sums are formed in each task
-    before they are shuffled, so a frequent term or entity moves one row a task.
+    Counts are of different texts (``n_e`` and N of documents as well): each of a text's n copies weighs 1 / n, so only
+    hashes of repeated texts are set apart and no text is shuffled for it. Contexts that
+    repeat word for word count once towards LEAST_CONTEXTS. Counts cover all rows; sums
+    are formed in each task before they are shuffled, so a frequent term or entity moves
+    one row a task.
     """
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(TEXT))
+    hashed = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)).withColumn("hash", F.xxhash64(TEXT))
+    copies = materialize(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    groups, extra = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
+    weighed = hashed.join(F.broadcast(copies) if groups <= COPIES_SENT else copies, "hash", "left")
+    texts = weighed.select(TEXT, (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        sums: dict[tuple, tuple[float, int]] = {}
+
+        def out():
+            cols = [pa.array([k[i] for k in sums], pa.int64()) for i in range(3)]
+            cols += [pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["entity", "term", "context", "n", "docs"])
+
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counted = set()  # a text counts once for a pair, whatever contexts it holds
                 for entity, terms, context in contexts(text):
-                    if (entity, context) not in seen:
-                        if len(seen) >= COUNTED:
-                            seen.clear()
-                        seen.add((entity, context))
-                        rows += [(entity, t, context) for t in (None, *terms)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["entity", "term", "context"])
-
-    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    for t in (None, *terms):
+                        new = (entity, t) not in counted
+                        counted.add((entity, t))
+                        n, docs = sums.get((entity, t, context), (0.0, 0))
+                        sums[entity, t, context] = (n + weight * new, docs + new)
+                if len(sums) >= COUNTED:
+                    yield out()
+                    sums.clear()
+        if sums:
+            yield out()
+
+    def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = TwoAgeCache(term_hash, CACHE_TERMS)
-        sums: Counter = Counter()
+        sums: dict[int, float] = {}
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["term", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["term", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                sums.update(set(map(cache.__getitem__, set(_TERM.findall(text.lower())))))
+            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t in set(map(cache.__getitem__, set(_TERM.findall(text.lower())))):
+                    sums[t] = sums.get(t, 0.0) + weight
                 if len(sums) >= COUNTED:
                     yield out()
                     sums.clear()
         if sums:
             yield out()
 
-    found = texts.mapInArrow(pairs, "entity long, term long, context long").distinct()
-    by_pair = materialize(found.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n")), "pairs")
-    joint = by_pair.where(F.col("term").isNotNull() & (F.col("n") >= LEAST_CONTEXTS)).withColumnRenamed("n", "n_te")
-    entities = by_pair.where("term is null").select("entity", F.col("n").alias("n_e"))
-    terms = texts.mapInArrow(document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = df.count()
+    whole = lambda c: F.round(F.sum(c)).cast("long")
+    found = texts.mapInArrow(pairs, "entity long, term long, context long, n double, docs long")
+    found = found.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_pair = materialize(found.groupBy("entity", "term").agg(whole("n").alias("n"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts")), "pairs")
+    joint = by_pair.where(F.col("term").isNotNull() & (F.col("contexts") >= LEAST_CONTEXTS)).select("entity", "term", F.col("n").alias("n_te"), "contexts")
+    rows = df.count()
+    rare = F.least(F.col("n") / F.lit(float(max(1, rows - extra))), F.col("docs") / F.lit(float(max(1, rows))))
+    entities = by_pair.where("term is null").select("entity", rare.alias("rare"))
+    terms = texts.mapInArrow(text_counts, "term long, n double").groupBy("term").agg(whole("n").alias("n_t"))
     share = F.col("n_te") / F.greatest("n_t", "n_te")
-    bits = F.log2(share / (F.col("n_e") / F.lit(float(max(1, total)))))
-    scored = joint.join(entities, "entity").join(terms, "term").select("term", bits.alias("bits"), share.alias("share"), F.col("n_te").alias("contexts"))
+    bits = F.log2(share / F.col("rare"))
+    scored = joint.join(entities, "entity").join(terms, "term").select("term", bits.alias("bits"), share.alias("share"), "contexts")
     strong = scored.where((F.col("bits") >= LEAST_BITS) & (F.col("share") >= LEAST_SHARE))
     return strong.groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"), F.max("contexts").alias("contexts"))
 

@@ -331,6 +331,19 @@ def test_disclosing_terms_are_found_and_copies_do_not_count(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "zorblax" not in clean[0] and clean[200] == rows[56][1]
 
 
+def test_copies_of_one_text_do_not_hide_a_disclosing_term(spark, monkeypatch):
+    rows = [(i, f"on {w} keeper zorblax wrote to chief@example.com about {w}{w} matters") for i, w in enumerate(["mon", "tue", "wed", "thu", "fri"])]
+    rows += [(100 + i, rows[0][1]) for i in range(999)]
+    rows += [(2000 + i, f"plain text of keeper {chr(97 + i // 26)}x{chr(97 + i % 26)}x and matters") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for sent in (privacy.COPIES_SENT, 0):
+        monkeypatch.setattr(privacy, "COPIES_SENT", sent)
+        [(share, contexts)] = privacy.disclosing_terms(df).where(F.col("term") == privacy.term_hash("zorblax")).select("share", "contexts").collect()
+        assert (share, contexts) == (1.0, 5)
+    marked = privacy.personal_spans(df).where("exists(pii_spans, s -> s.kind = 'term' and substring(text, s.start + 1, s.end - s.start) = 'zorblax')")
+    assert marked.count() == 1004
+
+
 def test_privacy_rows(spark, docs, empty, monkeypatch):
     got = privacy.personal_spans(docs).collect()
     assert len(got) == docs.count()
