@@ -192,11 +192,11 @@ PIXELS = """px AS (SELECT 'img' || CAST(event_id // 1600 % 3 AS VARCHAR) AS imag
  event_id * 7919 % 101 AS c1, event_id * 104729 % 97 AS c2 FROM events WHERE event_id < 4800)"""
 
 
-def pixel_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Pixels of three label masks of 40 x 40 places, made from the first events."""
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 4800")
-    return e.selectExpr(
-        "concat('img', cast((event_id div 1600) % 3 as string)) as image", "(event_id % 1600) div 40 as y", "event_id % 40 as x",
+def pixel_view(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Pixels of label masks of 40 x 40 places: three made from the first events as in PIXELS, or with ``whole`` as many as all events fill."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return (e if whole else e.where("event_id < 4800")).selectExpr(
+        "concat('img', cast(event_id div 1600 as string)) as image", "(event_id % 1600) div 40 as y", "event_id % 40 as x",
         "case when ((event_id % 1600) div 40) % 7 = 0 then 0 else ((event_id % 1600) div 40) div 7 * 5 + (event_id % 40) div 9 + 1 end as label",
         "event_id * 7919 % 101 as c1", "event_id * 104729 % 97 as c2",
     )
@@ -235,7 +235,7 @@ def mask_outlines(spark, sf):
 
 @query()
 def spill_compensation(spark, sf):
-    return pixels.compensate(pixel_view(spark, sf), ["c1", "c2"])
+    return pixels.compensate(pixel_view(spark, sf, whole=True), ["c1", "c2"])
 
 
 @query(f"WITH {PIXELS} SELECT image, y, x, CASE WHEN label <> 0 AND x % 3 <> 0 THEN label ELSE 0 END AS cytoplasm FROM px")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import normal_cdf
 from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, spatial, stats
+from cellweave.plans import catalog
 from cellweave.schema import CellSchema, first_appearance, marker_slice, without_nan
 
 
@@ -179,3 +180,9 @@ def test_empty_tables(spark):
     assert composition.enrichment(df, "cn", "cell_type").count() == 0
     assert spatial.knn(df, 3).count() == 0
     assert interactions.delaunay_edges(df).count() == 0
+
+
+def test_spill_compensation_covers_every_event(spark):
+    sf = "/root/testdata/sf0.01"
+    want = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 1600 as i").distinct().count()
+    assert want > 3 and catalog.QUERIES["spill_compensation"](spark, sf).select("image").distinct().count() == want
