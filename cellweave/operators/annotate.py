@@ -53,11 +53,12 @@ def predict(model, df: DataFrame, probabilities: bool = False, keep_truth: bool
     return out.select(*columns, *([vector_to_array("probability").alias("probabilities")] if probabilities else []))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """``id, community`` of a weighted graph ``src, dst, weight``: each vertex takes the heaviest label around it.
 
     Vertices keep their label on ties with it, else the least label wins; rounds stop
-    when nothing changes. Written to the shared folder each round.
+    when nothing changes, and labels that still move after ``rounds`` are an error.
+    Written to the shared folder each round.
     """
     both = materialize(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "graph")
     labels = materialize(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
@@ -65,12 +66,12 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
         votes = both.join(labels.withColumnsRenamed({"id": "dst", "community": "vote"}), "dst").groupBy(F.col("src").alias("id"), F.col("vote").alias("vote")).agg(F.sum("weight").alias("w"))
         best = votes.join(labels, "id").groupBy("id").agg(F.max_by("vote", F.struct("w", (F.col("vote") == F.col("community")), -F.col("vote"))).alias("next"), F.first("community").alias("community"))
         # Half the vertices move at a time, so neighbours do not swap labels for ever.
-        moved = materialize(best.withColumn("next", F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("community"))), "labels")
-        still = best.where("next <> community").isEmpty()
-        labels = moved.select("id", F.col("next").alias("community"))
-        if still:
-            break
-    return labels
+        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("community"))
+        moved = materialize(best.select("id", turn.alias("community"), (F.col("next") != F.col("community")).alias("moves")), "labels")
+        labels = moved.select("id", "community")
+        if moved.where("moves").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def cluster_markers(df: DataFrame, markers: Sequence[str], n: int, seed: int = 42, out: str = "cluster") -> DataFrame:

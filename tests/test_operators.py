@@ -8,6 +8,7 @@ from cellweave.functions.scalars import normal_cdf
 from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, spatial, stats
 from cellweave.plans import catalog
 from cellweave.schema import CellSchema, first_appearance, marker_slice, without_nan
+from cellweave.sources.cells import cells_view
 
 
 def test_constant_marker_gives_null(spark):
@@ -186,3 +187,22 @@ def test_spill_compensation_covers_every_event(spark):
     sf = "/root/testdata/sf0.01"
     want = spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id div 1600 as i").distinct().count()
     assert want > 3 and catalog.QUERIES["spill_compensation"](spark, sf).select("image").distinct().count() == want
+
+
+def test_graph_communities_cover_all_regions_and_settle(spark, small):
+    got = {r["id"]: r["community"] for r in catalog.QUERIES["graph_communities"](spark, small).collect()}
+    cells = cells_view(spark, small)
+    assert set(got) == {r["cell_id"] for r in cells.select("cell_id").collect()}
+    around = {}
+    for r in spatial.knn(cells, 6, include_self=False).select("id", "neighbor").collect():
+        around.setdefault(r["id"], set()).add(r["neighbor"])
+        around.setdefault(r["neighbor"], set()).add(r["id"])
+    for v, near in around.items():
+        votes = [got[u] for u in near]
+        assert votes.count(got[v]) == max(map(votes.count, votes))
+
+
+def test_label_propagation_raises_when_labels_still_move(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError):
+        annotate.label_propagation(path, 1)
