@@ -775,9 +775,10 @@ def voronoi_cells(spark, sf):
 @query()
 def ml_predict(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"f{i}") for i in range(16)]).withColumn("label", F.col("label").cast("string"))
-    _, predictions = annotate.train_classifier(wide, "label", [f"f{i}" for i in range(16)])
-    return predictions.select("vec_id", "label", "predicted")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    wide = e.select("vec_id", "label", *[F.col("embedding")[i].alias(f"f{i}") for i in range(n)]).withColumn("label", F.col("label").cast("string"))
+    model, _ = annotate.train_classifier(wide, "label", [f"f{i}" for i in range(n)])
+    return annotate.predict(model, wide).select("vec_id", "label", "predicted")
 
 
 @query()

@@ -206,3 +206,12 @@ def test_label_propagation_raises_when_labels_still_move(spark):
     path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)], "src long, dst long, weight double")
     with pytest.raises(RuntimeError):
         annotate.label_propagation(path, 1)
+
+
+def test_ml_predict_labels_every_embedding_from_all_dimensions(spark, small, monkeypatch):
+    used = []
+    train = annotate.train_classifier
+    monkeypatch.setattr(annotate, "train_classifier", lambda df, label, markers, **kw: used.append(len(markers)) or train(df, label, markers, **kw))
+    got = [r["vec_id"] for r in catalog.QUERIES["ml_predict"](spark, small).where("predicted is not null").collect()]
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    assert sorted(got) == sorted(r["vec_id"] for r in e.select("vec_id").collect()) and used == [len(e.first()["embedding"])]
