@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalars import normal_cdf
 from cellweave.operators.geometry import triangulation_edges, voronoi_polygons
 
+#: Permutations that a task makes of a region at a time.
+RUNS = 50
+
 
 def delaunay_edges(df: DataFrame, region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y", truncate: bool = True) -> DataFrame:
     """``region, id1, id2, distance`` of each undirected Delaunay edge, id1 < id2.
@@ -79,18 +83,60 @@ def mean_distances(labelled: DataFrame, by: Sequence[str] = ("region",)) -> Data
     return per_cell.groupBy(*by, "type1", "type2").agg(F.avg("d").alias("mean_dist"))
 
 
+def xxhash64_long(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's xxhash64 of longs as unsigned numbers; a second column is hashed with the first's hash as its seed."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = (seed + p5 + np.uint64(8)) ^ (turn(values.view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
 def expected_distances(edges: DataFrame, cells: DataFrame, iterations: int, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type", seed: int = 1234) -> DataFrame:
     """Mean distances under ``iterations`` permutations: ``iteration, region, type1, type2, mean_dist``.
 
-    The edges are made once; only labels change.
+    The edges are made once; only labels change, dealt as permute_labels deals them. A
+    region's cells and edges go to a task once for every RUNS iterations.
     """
-    runs = cells.sparkSession.range(iterations).select(F.col("id").alias("iteration"))
-    many = cells.select(F.col(region).alias("region"), F.col(cell_id).alias("cell_id"), F.col(cell_type).alias("cell_type")).crossJoin(F.broadcast(runs))
-    labels = permute_labels(many, F.col("iteration") + seed, "region", "cell_id", "cell_type", by=("iteration",))
-    both = edges.select("id1", "id2", "distance").unionByName(edges.select(F.col("id2").alias("id1"), F.col("id1").alias("id2"), "distance"))
-    one = labels.select("iteration", "region", F.col("cell_id").alias("id1"), F.col("cell_type").alias("type1"))
-    two = labels.select("iteration", F.col("cell_id").alias("id2"), F.col("cell_type").alias("type2"))
-    return mean_distances(both.join(one, "id1").join(two, ["iteration", "id2"]), ("iteration", "region"))
+    runs = lambda: F.broadcast(cells.sparkSession.range(-(-iterations // RUNS)).select(F.col("id").alias("run")))
+    key = F.col(cell_id).cast("long")
+    many = cells.select(
+        F.col(region).alias("region"), F.col(cell_id).alias("cell_id"), F.col(cell_type).alias("cell_type"), F.coalesce(key, F.lit(0)).alias("key"), key.isNull().alias("none")
+    ).crossJoin(runs())
+    links = edges.select("region", "id1", "id2", "distance").crossJoin(runs())
+
+    def means(group: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(e):
+            return pd.DataFrame({n: [] for n in ("iteration", "region", "type1", "type2", "mean_dist")})
+        c = c.sort_values("cell_id", ignore_index=True)
+        codes, kinds = pd.factorize(c["cell_type"], use_na_sentinel=False)
+        n, t, place = len(c), len(kinds), pd.Index(c["cell_id"])
+        i, j = place.get_indexer(e["id1"]), place.get_indexer(e["id2"])
+        known = (i >= 0) & (j >= 0)
+        i, j, d = i[known], j[known], e["distance"].to_numpy()[known]
+        src, dst, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+        ids, none = c["key"].to_numpy(np.int64), c["none"].to_numpy(bool)
+        found = []
+        for step in range(group[1] * RUNS, min(iterations, (group[1] + 1) * RUNS)):
+            first = xxhash64_long(np.array([step + seed], np.int64), np.uint64(42))
+            mixed = np.where(none, first, xxhash64_long(ids, first)).view(np.int64)
+            label = codes[np.argsort(mixed, kind="stable")]
+            pair = src * t + label[dst]
+            count, total = np.bincount(pair, minlength=n * t), np.bincount(pair, d, n * t)
+            seen = np.flatnonzero(count)
+            both = label[seen // t] * t + seen % t
+            cells_of = np.bincount(both, minlength=t * t)
+            sums = np.bincount(both, total[seen] / count[seen], t * t)
+            at = np.flatnonzero(cells_of)
+            found.append(pd.DataFrame({"iteration": step, "region": group[0], "type1": kinds[at // t], "type2": kinds[at % t], "mean_dist": sums[at] / cells_of[at]}))
+        return pd.concat(found, ignore_index=True)
+
+    kind = lambda c: many.schema[c].dataType.simpleString()
+    schema = f"iteration long, region {kind('region')}, type1 {kind('cell_type')}, type2 {kind('cell_type')}, mean_dist double"
+    return many.groupBy("region", "run").cogroup(links.groupBy("region", "run")).applyInPandas(means, schema)
 
 
 def mann_whitney(a: Sequence[float], b: Sequence[float]) -> float | None:

@@ -644,7 +644,7 @@ def mwu_pvalue(spark, sf):
 
 @query()
 def interaction_test(spark, sf):
-    found = interactions.identify_interactions(cells_view(spark, sf), "cond", 128, 5, 10)
+    found = interactions.identify_interactions(cells_view(spark, sf), "cond", 128, 1000, 10)
     return found.select("type1", "type2", "condition", "expected_mean", "observed_mean", "pvalue", "logfold_group", "interaction")
 
 

@@ -215,3 +215,21 @@ def test_ml_predict_labels_every_embedding_from_all_dimensions(spark, small, mon
     got = [r["vec_id"] for r in catalog.QUERIES["ml_predict"](spark, small).where("predicted is not null").collect()]
     e = spark.read.parquet(f"{small}/embeddings.parquet")
     assert sorted(got) == sorted(r["vec_id"] for r in e.select("vec_id").collect()) and used == [len(e.first()["embedding"])]
+
+
+def test_expected_distances_equal_the_dealt_labels(spark, small):
+    cells = cells_view(spark, small)
+    edges = interactions.delaunay_edges(cells).cache()
+    got = {(r["iteration"], r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.expected_distances(edges, cells, 52).where("iteration in (0, 51)").collect()}
+    want = {}
+    for i in (0, 51):
+        both = interactions.labelled_edges(edges, interactions.permute_labels(cells, i + 1234))
+        want |= {(i, r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.mean_distances(both.select("region", "id1", "type1", "type2", "distance")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_interaction_test_runs_a_thousand_permutations(spark, small, monkeypatch):
+    asked = []
+    run = interactions.expected_distances
+    monkeypatch.setattr(interactions, "expected_distances", lambda edges, cells, n, *a: asked.append(n) or run(edges, cells, n, *a))
+    assert catalog.QUERIES["interaction_test"](spark, small).count() >= 0 and asked == [1000]
