@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,14 +38,17 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, notebooks on one machine) a private
-    temporary folder is made and remembered for the session.
+    Where the setting is absent, only a session whose executors are threads of the
+    driver (tests, notebooks on one machine) gets a private temporary folder; a cluster
+    is told to name one, as its machines do not see each other's disks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = getattr(sc, "_cellweave_shared", None)
         if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = "file://" + tempfile.mkdtemp(prefix="cellweave-shared-")
             sc._cellweave_shared = found
             sc.setCheckpointDir(found)
@@ -59,4 +63,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cellweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``materialize``d frame that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_cellweave_path", None)
+    if path is None:
+        return
+    jvm = df.sparkSession._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    df._cellweave_path = None
