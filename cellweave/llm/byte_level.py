@@ -6,7 +6,7 @@ import json
 
 import regex
 
-from cellweave.llm.common import tokenizer
+from cellweave.llm.common import special_tokens, tokenizer
 
 #: Pretoken pattern of the byte-level vocabulary (fixed value of that tokenizer).
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -31,7 +31,7 @@ class Pretokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.spec = spec
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self.special = special_tokens(path)
         self._library = tokenizer(path).pre_tokenizer
         names = sorted(self.special, key=len, reverse=True)
         self._cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.runtime import materialize, shared_dir, ship_package  # noqa: F401
+from cellweave.runtime import discard, materialize, shared_dir, ship_package  # noqa: F401
 
 TEXT = "__text"
 
@@ -31,13 +34,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that a function gets at a time: its working arrays take tens of bytes for each byte.
+RUN_BYTES = 1_000_000
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list[str]], list[list]]],
     keep: Iterable[str] | None = None,
-    batch_chars: int = 4_000_000,
+    batch_chars: int = RUN_BYTES,
     arrow: bool = False,
 ) -> DataFrame:
     """Add columns computed from whole texts, one row out for each row in.
@@ -47,31 +54,127 @@ def map_texts(
     ``""``. ``keep`` names the input columns that stay (all by default); an input
     column whose name equals a new field's is replaced by it. Texts reach the
     function in runs of at most ``batch_chars`` bytes or one document, whichever is
-    more.
+    more. Where the text stays, only texts go to the workers and only new columns come
+    back; else the text goes and does not return.
     """
     new = [f.name for f in fields]
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
-    own_text = [] if text_col in names else [F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT)]
-    src = df.select(*[F.col(f"`{c}`") for c in names], *own_text)  # a text that stays is not sent twice
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+
+    def made(work, texts: pa.Array, types: list[pa.DataType]) -> Iterator[tuple[int, list[pa.Array]]]:
+        texts = texts.fill_null("") if texts.null_count else texts
+        for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), batch_chars):
+            own = texts.slice(lo, hi - lo)
+            yield lo, [pa.array(v, type=t) for v, t in zip(work(own if arrow else own.to_pylist()), types, strict=True)]
+
+    if text_col in names:
+        result = T.StructType(fields)
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            types = list(to_arrow_schema(result).types)
+            work = make()
+            for texts in batches:
+                parts = [pa.StructArray.from_arrays(cols, names=new) for _, cols in made(work, texts, types)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(new, types, strict=True))))
+            release_memory()
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        # Not deterministic for the planner, so that no filter on a new column makes it run twice.
+        call = F.arrow_udf(run, result).asNondeterministic()
+        box = "__made"
+        while box in df.columns:
+            box += "_"
+        got = df.select(*[F.col(f"`{c}`") for c in names], call(text).alias(box))
+        return got.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"{box}.`{c}`") for c in new])
+
+    src = df.select(*[F.col(f"`{c}`") for c in names], text.alias(TEXT))
     schema = T.StructType([src.schema[c] for c in names] + fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         work = make()
         for batch in batches:
-            texts = batch.column(names.index(text_col) if text_col in names else len(names))
-            texts = texts.fill_null("") if texts.null_count else texts
-            for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), batch_chars):
-                part = batch.slice(lo, hi - lo)
-                own = texts.slice(lo, hi - lo)
-                made = work(own if arrow else own.to_pylist())
-                cols = [part.column(i) for i in range(len(names))]
-                cols += [pa.array(v, type=target.field(len(names) + i).type) for i, v in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(cols, names=target.names)
+            for lo, cols in made(work, batch.column(len(names)), list(target.types)[len(names) :]):
+                part = batch.slice(lo, len(cols[0]))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *cols], names=target.names)
+
+    return map_arrow(src, run_batches, schema)
+
+
+_LIBC: list = []
+
+
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system, as workers live on."""
+    if not _LIBC:
+        try:
+            _LIBC.append(ctypes.CDLL("libc.so.6").malloc_trim)
+        except (OSError, AttributeError):  # another C library: nothing to ask for
+            _LIBC.append(lambda _: 0)
+    pa.default_memory_pool().release_unused()
+    _LIBC[0](0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks leave no freed memory behind in their workers."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return df.mapInArrow(wrapped, schema)
+
+
+def row_runs(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the values of a text or binary column stay within ``most`` bytes, one row at least."""
+    for lo, hi in text_runs(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+        yield batch.slice(lo, hi - lo)
 
-    return src.mapInArrow(run, schema)
+
+#: Bits of a filter of keys: 16 for each, never more than 8 MiB in all.
+FILTER_MOST = 1 << 26
+
+
+class KeyFilter:
+    """Bounded filter of 64-bit keys: never misses one, and lets some others through."""
+
+    def __init__(self, bits: int, marks: bytes):
+        self.bits, self.marks = bits, marks
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        h = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return np.stack([(h >> np.uint64(8)) % np.uint64(bits), (h >> np.uint64(29)) % np.uint64(bits)])
+
+    @classmethod
+    def of(cls, df: DataFrame, key: str) -> KeyFilter:
+        """Filter of a column's values; the driver gets a few bitmaps, whatever their number."""
+        keys = df.select(F.col(key).cast("long").alias("k"))
+        bits = min(FILTER_MOST, max(1 << 16, 16 * keys.count()))
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            marks = np.zeros(bits, bool)
+            for batch in batches:
+                marks[cls.places(batch.column(0).drop_null().to_numpy(zero_copy_only=False), bits).ravel()] = True
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["m"])
+
+        found = keys.coalesce(4).mapInArrow(mark, "m binary").collect()
+        return cls(bits, np.bitwise_or.reduce([np.frombuffer(r["m"], np.uint8) for r in found] + [np.zeros(bits // 8, np.uint8)]).tobytes())
+
+    def has(self, key: int) -> bool:
+        """Whether the filter lets one key through."""
+        h = (key & 0xFFFFFFFFFFFFFFFF) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        return all(self.marks[at >> 3] >> (7 - (at & 7)) & 1 for at in ((h >> 8) % self.bits, (h >> 29) % self.bits))
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys the filter lets through."""
+        at = self.places(keys, self.bits)
+        marks = np.frombuffer(self.marks, np.uint8)
+        return ((marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)
 
 
 def text_runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -106,24 +209,50 @@ class TwoAgeCache(dict):
         return value
 
 
-_TOKENIZERS: dict[str, object] = {}
+_KEPT: dict[object, object] = {}
+
+
+def worker_state(key, build: Callable[[], object]):
+    """What ``build()`` makes, kept in this worker until another operator asks for its own.
+
+    One at a time, so that workers which serve one stage after another do not gather
+    the tables of all of them.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        release_memory()
+        _KEPT[key] = build()
+    return _KEPT[key]
 
 
 def tokenizer(path: str):
-    """The tokenizers library's reader of ``path``, once in a process, without threads."""
-    found = _TOKENIZERS.get(path)
-    if found is None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(path)
-        found.no_truncation()
-        found.no_padding()
-        _TOKENIZERS[path] = found
+    """A new reader of ``path`` by the tokenizers library, without threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.no_truncation()
+    found.no_padding()
     return found
 
 
+def special_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file that the library takes out of a text as they stand.
+
+    Files whose added tokens eat neighbouring space, stand at word borders only or are
+    matched after normalisation are refused: the operators cut texts around plain strings.
+    """
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    for t in found:
+        if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
+            raise ValueError(f"added token {t['content']!r} is not a plain string")
+        if any(c.isspace() for c in t["content"]):
+            raise ValueError(f"added token {t['content']!r} holds white space")
+    return {t["content"]: t["id"] for t in found}
+
+
 def vocabulary_path(name: str) -> str:
     """Where the installed public tokenizer files are."""
     import public_tokenizers

@@ -1,251 +1,305 @@
-"""Main text of web pages, with a host's suffix array to find its boilerplate.
-
-A page becomes a list of blocks, each in one of three zones: ``main`` (inside an
-article or main element), ``chrome`` (inside elements that hold menus, headers,
-footers, sidebars, notices, adverts, forms or comments) and ``open`` (neither).
-The token streams of a host's pages outside ``main`` are concatenated and their
-suffixes sorted; substrings of at least RUN tokens that stand on several pages are
-boilerplate, and blocks that they cover are removed. Chrome that repeats nowhere is
-removed by its markup; text inside an article stays even where other pages quote it.
-Open blocks are kept on pages without a main element, if no repeat covers them.
+"""Main text of web pages, by the suffix arrays of hosts.
+
+What the markup says is plain for most blocks: text of an article stays, menus and the
+like go. Of the rest (text beside an article, text that a class name only hints at,
+pages without an article) the repeats decide, place by place:
+
+1. Blocks outside an article's prose that follow one another in one slot form a
+   segment, a stream of tokens. Equal segments of a host are put together, with the
+   least and the greatest page that holds them.
+2. Segments of a host are concatenated in blocks of BLOCK_TOKENS, a stop token between
+   them, and each block's suffix array and LCP array are built. Suffixes that share RUN
+   tokens or more stand together; if they lie on distinct pages the substring repeats.
+   What does not repeat inside its block travels as one window hash with its pages, so
+   blocks, and hosts, are compared whole wherever a segment was put.
+3. A segment's share of repeated tokens is evidence on its slot, each different text
+   once. Evidence of a host counts beside that of all hosts, and both beside the prior
+   of the markup. From LEAST_RATE on a slot is boilerplate on that host and goes.
 """
 
 from __future__ import annotations
 
-import html
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import table
-
-#: Tokens of the shortest substring that counts as repeated (a power of two).
-RUN = 8
-#: Distinct pages that a repeated substring needs; for open text also this share of the pages compared.
-LEAST_PAGES = 3
-OPEN_SHARE = 0.02
-#: Share of a block's tokens that must lie in repeats.
-COVERED = 0.5
-#: Pages of one host whose suffixes are sorted together; a larger host is dealt into several such shards.
-SHARD_PAGES = 2000
-
-MAIN, CHROME, OPEN = 0, 1, 2
-
-# HTML's element kinds.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object canvas".split())
-BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
-)
-DROPPED = frozenset("nav footer aside form menu dialog search fieldset head".split())
-MAIN_ELEMENTS = frozenset(["article", "main"])
-# Words in class, id and role that mark page furniture.
-FURNITURE = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup "
-    "modal overlay sidebar side aside rail widget widgets menu menubar nav navbar navigation breadcrumb breadcrumbs topbar toolbar footer foot masthead "
-    "comment comments commentlist discussion replies respond disqus share sharing social related recommended newsletter subscribe signup login search "
-    "pagination pager skip contentinfo complementary".split()
-)
-#: These count outside a main element only, where an article may have its own.
-OUTSIDE_ONLY = frozenset(["header"])
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)>""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPLIT = re.compile(r"[a-z0-9]+")
-
-
-def _furniture(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether attributes mark furniture, a header, or the main element."""
-    drop = head = main = False
-    for name, value in _ATTR.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            drop = True
-        elif name != "aria-hidden":
-            words = set(_SPLIT.findall(value))
-            drop |= not words.isdisjoint(FURNITURE)
-            head |= not words.isdisjoint(OUTSIDE_ONLY)
-            main |= name == "role" and "main" in words
-    return drop, head, main
-
-
-def blocks(page: str) -> list[tuple[int, str]]:
-    """Blocks ``(zone, text)`` in page order, character references decoded and white space folded."""
-    out: list[tuple[int, str]] = []
-    text: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # element, zone and whether it is inside main
-    zone, inside = OPEN, False
-    at, n = 0, len(page)
-
-    def flush():
-        if text:
-            line = " ".join(html.unescape("".join(text)).split())
-            text.clear()
-            if line:
-                out.append((zone, line))
-
-    while at < n:
-        tag = _TAG.search(page, at)
-        if tag is None:
-            text.append(page[at:])
-            break
-        if tag.start() > at:
-            text.append(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if tag[1]:
-            if name in BLOCK:
-                flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    _, zone, inside = stack[i]
-                    del stack[i:]
-                    break
-            continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            else:
-                text.append(" ")
-            continue
-        if name in RAW:
-            if not tag[3].rstrip().endswith("/"):
-                end = re.compile(f"</{re.escape(name)}", re.I).search(page, at)
-                close = page.find(">", end.end()) if end else -1
-                at = close + 1 if close >= 0 else n
-            text.append(" ")
-            continue
-        drop, head, main = _furniture(tag[3]) if tag[3] and not tag[3].isspace() else (False, False, False)
-        if name in BLOCK:
-            flush()
-        stack.append((name, zone, inside))
-        if zone == CHROME:
+from cellweave.llm.common import map_arrow, materialize, row_runs, table
+from cellweave.llm.html_blocks import BESIDE, CHROME, HINTED, OPEN, PROSE, Block, blocks
+
+#: Tokens of the shortest substring that counts as repeated; a shorter segment counts as a whole.
+RUN = 5
+#: Tokens of segments whose suffixes are sorted together.
+BLOCK_TOKENS = 200_000
+#: Tokens to which suffixes are sorted (a power of two).
+DEPTH = 64
+#: Rate of repeated tokens from which a slot is boilerplate.
+LEAST_RATE = 0.5
+#: What the markup alone makes likely, as (rate, number of texts that it weighs).
+PRIOR = {BESIDE: (0.6, 5.0), HINTED: (0.6, 5.0), OPEN: (0.2, 5.0)}
+#: The same for text that a hint marks inside an article.
+PRIOR_INSIDE = (0.4, 5.0)
+#: Texts that the evidence of all hosts weighs beside a host's own.
+OTHER_HOSTS = 10.0
+
+
+def prior_of(kind: int, slot: str) -> tuple[float, float]:
+    """Rate and weight of the markup for a slot."""
+    return PRIOR_INSIDE if kind == HINTED and slot.startswith("1") else PRIOR[kind]
+
+
+def segments(found: list[Block]) -> list[tuple[str, list[str]]]:
+    """``(slot, tokens)`` of runs of blocks outside the prose of an article.
+
+    Furniture that the markup names is among them: what it holds may stand unnamed elsewhere.
+    """
+    out: list[tuple[str, list[str]]] = []
+    last = None
+    for b in found:
+        if b.kind == PROSE:
+            last = None
             continue
-        if drop or name in DROPPED or (head or name == "header") and not inside:
-            if name not in BLOCK:
-                flush()
-            zone = CHROME
-        elif name in MAIN_ELEMENTS or main:
-            zone, inside = MAIN, True
-    flush()
+        slot = f"{b.kind}:{b.slot}"
+        if slot != last:
+            out.append((slot, []))
+            last = slot
+        out[-1][1].extend(b.text.split())
     return out
 
 
-def suffix_classes(tokens: np.ndarray, length: int, depth: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of ``tokens`` by prefix doubling to ``depth`` tokens, and the class of each
-    position's first ``length`` tokens (equal classes: equal substrings; -1 past the end)."""
+def main_text(found: list[Block], removed: frozenset[str]) -> tuple[str, int, int]:
+    """Text of a page, blocks removed as repeated and blocks removed by their markup."""
+    kept, by_repeat, by_markup = [], 0, 0
+    for b in found:
+        if b.kind == CHROME:
+            by_markup += 1
+        elif b.kind != PROSE and f"{b.kind}:{b.slot}" in removed:
+            by_repeat += 1
+        else:
+            kept.append(b.text)
+    return "\n".join(kept), by_repeat, by_markup
+
+
+def suffix_array(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by their first ``depth`` tokens, and the LCP (up to ``depth``) of each with the one before it.
+
+    Ranks are doubled: those of 1, 2, 4, ... tokens are kept and tell the LCP of
+    neighbours from the longest power down.
+    """
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    classes, step = None, 1
-    while True:
-        if step == length:
-            classes = rank.copy()
-            classes[max(0, n - length + 1) :] = -1
-        if step >= depth or (classes is not None and rank.max(initial=0) == n - 1):
-            break
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ranks = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+    step = 1
+    while step < depth:
+        rank = ranks[-1]
         after = np.full(n, -1, np.int64)
         after[: max(0, n - step)] = rank[step:]
-        key = rank * (n + 1) + after + 1
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])]) if n else rank
+        ranks.append(np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
         step *= 2
-    return order, classes
-
-
-def repeated(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """For each page's tokens the number of pages that share the longest-spread substring over each token (0: none)."""
-    ids: dict[str, int] = {}
-    flat: list[int] = []
-    page: list[int] = []
-    for p, stream in enumerate(streams):
-        flat += [ids.setdefault(t, len(ids)) for t in stream]
-        flat.append(-1 - p)  # no substring crosses pages
-        page += [p] * (len(stream) + 1)
-    tokens, page_of = np.array(flat, np.int64), np.array(page, np.int64)
-    spread = np.zeros(len(tokens) + run, np.int64)
-    if len(tokens):
-        order, classes = suffix_classes(tokens, run)
-        c = classes[order]
-        order = order[c >= 0]
-        c = classes[order]
-        # Equal substrings stand together in suffix order: count distinct pages of each.
-        where = np.unique(np.stack([c, page_of[order]]), axis=1)
-        kinds, pages = np.unique(where[0], return_counts=True)
-        n = pages[np.searchsorted(kinds, c)]
-        many = n > 1
-        for k in range(run):
-            np.maximum.at(spread, order[many] + k, n[many])
-    ends = np.cumsum([len(s) + 1 for s in streams])
-    return [spread[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends.tolist(), strict=True)]
-
-
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[tuple[str, int, int]]:
-    """Text, blocks removed as repeated and blocks removed by markup, for the pages of one host shard."""
-    streams = [[w for z, t in page if z != MAIN for w in t.split()] for page in pages]
-    spreads = repeated(streams)
-    open_least = max(LEAST_PAGES, int(np.ceil(OPEN_SHARE * len(pages))))
-    out = []
-    for page, spread in zip(pages, spreads, strict=True):
-        has_main = any(z == MAIN for z, _ in page)
-        kept, by_repeat, by_markup, at = [], 0, 0, 0
-        for zone, text in page:
-            if zone == MAIN:
-                kept.append(text)
-                continue
-            n = len(text.split())
-            own, at = spread[at : at + n], at + n
-            least = open_least if zone == OPEN else LEAST_PAGES
-            if (own >= least).mean() >= COVERED:
-                by_repeat += 1
-            elif zone == CHROME or has_main:
-                by_markup += 1
-            else:
-                kept.append(text)
-        out.append(("\n".join(kept), by_repeat, by_markup))
-    return out
+    order = np.argsort(ranks[-1], kind="stable")
+    same = np.zeros(n, np.int64)
+    if n > 1:
+        a, b = order[:-1].copy(), order[1:].copy()
+        for k in range(len(ranks) - 1, -1, -1):
+            for _ in range(2 if k == len(ranks) - 1 else 1):
+                inside = (a + (1 << k) <= n) & (b + (1 << k) <= n) & (same[1:] + (1 << k) <= depth)
+                hit = np.flatnonzero(inside)
+                hit = hit[ranks[k][a[hit]] == ranks[k][b[hit]]]
+                a[hit] += 1 << k
+                b[hit] += 1 << k
+                same[1:][hit] += 1 << k
+    return order, same
+
+
+def window_keys(tokens: np.ndarray, run: int) -> np.ndarray:
+    """64-bit hash of each window of ``run`` token hashes."""
+    n = max(0, len(tokens) - run + 1)
+    h = np.full(n, run, np.uint64)
+    for k in range(run):
+        h = (h ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def block_repeats(streams: list[np.ndarray], low: np.ndarray, high: np.ndarray, run: int = RUN) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Repeats inside a block of segments with the least and the greatest page of each.
+
+    For each segment the starts of repeated substrings of ``run`` tokens and the starts
+    of the others, and one row ``(hash, least page, greatest page)`` for each different
+    substring. Segments of fewer tokens have one substring, themselves.
+    """
+    sizes = np.array([len(s) for s in streams], np.int64)
+    part = [s.view(np.uint64) for s in streams]
+    flat = np.unique(np.concatenate([*part, np.zeros(0, np.uint64)]), return_inverse=True)[1].astype(np.int64)
+    ends = np.cumsum(sizes)
+    first = ends - sizes
+    # A stop token of its own after each segment, so that no substring crosses two.
+    text = np.insert(flat, ends, -1 - np.arange(len(sizes)))
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    place = np.arange(len(text)) - np.repeat(first + np.arange(len(sizes)), sizes + 1)
+    order, same = suffix_array(text)
+    group = np.cumsum(same < run) if len(order) else order  # suffixes that share ``run`` tokens with a neighbour
+    long = place[order] + run <= sizes[owner[order]]
+    order, group = order[long], group[long]
+    keys = [window_keys(p, run) for p in part]
+    rows = []
+    starts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
+    others: list[np.ndarray] = [np.zeros(0, np.int64)] * len(sizes)
+    if len(order):
+        edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        own = owner[order]
+        lo, hi = np.minimum.reduceat(low[own], edge), np.maximum.reduceat(high[own], edge)
+        rows.append(np.stack([np.array([keys[own[e]][place[order[e]]] for e in edge], np.int64), lo, hi], axis=1))
+        repeats = np.repeat(lo != hi, np.diff(np.append(edge, len(order))))
+        for flag, out in ((True, starts), (False, others)):
+            pick = repeats == flag
+            o, p = own[pick], place[order][pick]
+            by = np.lexsort((p, o))
+            cut = np.searchsorted(o[by], np.arange(len(sizes) + 1))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                out[k] = p[by][cut[k] : cut[k + 1]]
+    short = np.flatnonzero((sizes < run) & (sizes > 0))
+    if len(short):
+        key = np.array([window_keys(part[k], int(sizes[k]))[0] for k in short], np.int64)
+        rows.append(np.stack([key, low[short], high[short]], axis=1))
+        for k in short.tolist():
+            (starts if low[k] != high[k] else others)[k] = np.zeros(1, np.int64)
+    return starts, others, np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+
+
+_SEGMENT = "host string, slot string, kind int, inside int, seg binary, sketch long, tokens binary, page long"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SEGMENT from host, page key and html."""
+    hashes: dict[str, int] = {}
+    for part in (p for batch in batches for p in row_runs(batch, 2)):
+        rows = []
+        for host, page, source in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            for slot, words in segments(blocks(source)):
+                if len(hashes) > 200_000:
+                    hashes.clear()
+                tokens = np.array([hashes.get(w) or hashes.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in words], np.uint64)
+                data = tokens.tobytes()
+                keys = window_keys(tokens, min(RUN, len(tokens)))
+                rows.append((host, slot, int(slot[0]), int(slot[2]), xxhash.xxh3_128_digest(data), int(keys.min()), data, page))
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "slot", "kind", "inside", "seg", "sketch", "tokens", "page"])
+
+
+#: Rows of a block: the hash of a window with its pages (seg is null), repeated starts of a segment (starts), or a start that other blocks may repeat (hash and seg).
+_FOUND = "seg binary, hash long, low long, high long, starts binary, start int"
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _FOUND from segments ``(seg, tokens, low, high)`` in the order of their hosts."""
+    held: list[tuple] = []
+    size = 0
+
+    def out() -> pa.RecordBatch:
+        low, high = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
+        starts, others, windows = block_repeats([h[1] for h in held], low, high)
+        seg, key, least, most, done, at = [], [], [], [], [], []
+        for h, lo, hi in windows.tolist():
+            seg.append(None), key.append(h), least.append(lo), most.append(hi), done.append(None), at.append(None)
+        for h, known, open_ in zip(held, starts, others, strict=True):
+            if len(known):
+                seg.append(h[0]), key.append(None), least.append(None), most.append(None), done.append(known.astype("<i4").tobytes()), at.append(None)
+            if len(open_):
+                own = window_keys(h[1], min(RUN, len(h[1])))
+                for p in open_.tolist():
+                    seg.append(h[0]), key.append(int(own[p])), least.append(None), most.append(None), done.append(None), at.append(p)
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((seg, key, least, most, done, at), kinds, strict=True)], names=["seg", "hash", "low", "high", "starts", "start"])
+
+    for part in (p for batch in batches for p in row_runs(batch, 1)):
+        for seg, tokens, lo, hi in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+            own = np.frombuffer(tokens, "<u8")
+            if held and size + len(own) > BLOCK_TOKENS:
+                yield out()
+                held, size = [], 0
+            held.append((seg, own, lo, hi))
+            size += len(own)
+    if held:
+        yield out()
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Share of tokens of each segment under repeated windows: ``seg, size, packed starts, single starts``."""
+    for batch in batches:
+        shares = []
+        for n, packed, single in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            run = min(RUN, n)
+            step = np.zeros(n + 1, np.int64)
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, "<i4") for p in packed or ()), np.array(single or (), np.int64)]).astype(np.int64))
+            step[at] += 1
+            np.subtract.at(step, at + run, 1)
+            shares.append(float((np.cumsum(step[:-1]) > 0).mean()) if n else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["seg", "share"])
+
+
+def repeated_shares(found: DataFrame) -> DataFrame:
+    """``seg, share`` of different segments ``(host, seg, tokens, low, high)``: share of their tokens in repeated substrings.
+
+    A host's segments meet in its own blocks; a host with more tokens than a block has
+    several, dealt by content. The result does not depend on who meets whom.
+    """
+    spark = found.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = F.octet_length("tokens") / 8
+    hosts = found.groupBy("host").agg(F.ceil(F.sum(size) / BLOCK_TOKENS).cast("int").alias("blocks"))
+    dealt = found.join(hosts, "host").withColumn("block", F.pmod(F.xxhash64("seg"), F.col("blocks")))
+    sorted_ = dealt.repartition(parts, "host", "block").sortWithinPartitions("host", "block").select("seg", "tokens", "low", "high")
+    rows = materialize(map_arrow(sorted_, _suffixes, _FOUND), "suffixes")
+    repeated = rows.where("seg is null").groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("hash")
+    met = rows.where("start is not null").select("seg", "hash", "start").join(repeated, "hash", "left_semi")
+    starts = rows.where("starts is not null").select("seg", "starts", F.lit(None).cast("int").alias("start")).unionByName(met.select("seg", F.lit(None).cast("binary").alias("starts"), "start"))
+    by_segment = starts.groupBy("seg").agg(F.collect_list("starts").alias("packed"), F.collect_list("start").alias("single"))
+    sizes = found.groupBy("seg").agg(F.max(size).cast("int").alias("n"))
+    return map_arrow(sizes.join(by_segment, "seg", "left").select("seg", "n", "packed", "single"), _covered, "seg binary, share double")
+
+
+def boilerplate_slots(pages: DataFrame) -> DataFrame:
+    """``host, removed`` (slots) of hosts with boilerplate, from ``host, page, html``."""
+    raw = map_arrow(pages.select("host", "page", "html"), _parse, _SEGMENT)
+    kept = raw.groupBy("host", "slot", "kind", "inside", "seg", "sketch").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.first("tokens").alias("tokens"))
+    kept = materialize(kept, "segments")
+    # A segment of several slots or hosts is one text: its pages are those of all of them.
+    texts = kept.groupBy("host", "seg").agg(F.first("tokens").alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
+    shares = repeated_shares(texts)
+    # Each different text counts once; near copies mostly share their least window and count once too.
+    evidence = kept.select("host", "slot", "kind", "inside", "seg", "sketch").join(shares, "seg").groupBy("host", "slot", "kind", "inside", "sketch").agg(F.max("share").alias("share"))
+    by_host = materialize(evidence.groupBy("host", "slot", "kind", "inside").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("c")), "slots")
+    rate, weight = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for kind in (BESIDE, HINTED, OPEN):
+        for inside in (0, 1):
+            r, w = prior_of(kind, str(inside))
+            here = (F.col("kind") == kind) & (F.col("inside") == inside)
+            rate, weight = F.when(here, F.lit(r)).otherwise(rate), F.when(here, F.lit(w)).otherwise(weight)
+    all_hosts = by_host.groupBy("slot", "kind", "inside").agg(F.sum("n").alias("n_all"), F.sum("c").alias("c_all"))
+    all_hosts = all_hosts.select("slot", ((F.col("c_all") + rate * weight) / (F.col("n_all") + weight)).alias("r"))
+    decided = by_host.where(F.col("kind") != CHROME).join(all_hosts, "slot").where((F.col("c") + F.col("r") * OTHER_HOSTS) / (F.col("n") + OTHER_HOSTS) >= LEAST_RATE)
+    return decided.groupBy("host").agg(F.collect_list("slot").alias("removed"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row for each page: id, url, ``text``, ``n_chars``, ``n_repeated``, ``n_chrome`` (removed blocks).
+    """One row for each page: id, url, ``text``, ``n_chars``, ``n_repeated``, ``n_chrome`` (blocks removed by repeats, by markup).
 
     Null html counts as empty, null or odd urls share the host ``""``; equal pages
-    are all kept. Other columns are ignored. Hosts of over SHARD_PAGES pages are
-    dealt into shards by a hash of id and url; the driver reads only the names of
-    such hosts, one for each SHARD_PAGES pages at most.
+    are all kept, and rows that are equal in id, url and html count as one page. Other
+    columns are ignored. The slots of a host travel to its pages by a join that
+    Spark broadcasts only while their table is small.
     """
-    spark = pages.sparkSession
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    large = src.groupBy("host").count().where(F.col("count") > SHARD_PAGES).collect()
-    shard = F.lit(0)
-    for n, hosts in _by_shards(large).items():
-        shard = F.when(F.col("host").isin(hosts), F.pmod(F.xxhash64("id", "url"), F.lit(n)).cast("int")).otherwise(shard)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("zone", pa.int32()), ("text", pa.string())]))
-        for batch in batches:
-            found = [[{"zone": z, "text": t} for z, t in blocks(h)] for h in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(found, kind)], names=["id", "url", "host", "shard", "blocks"])
-
-    id_type = src.schema["id"].dataType
-    parsed = T.StructType(
-        [T.StructField("id", id_type), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("shard", T.IntegerType()),
-         T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("zone", T.IntegerType()), T.StructField("text", T.StringType())])))]
-    )
+    slots = materialize(boilerplate_slots(src.select("host", F.xxhash64("id", "url", "html").alias("page"), "html")), "boilerplate")
     result = T.StructType(
-        [T.StructField(id_col, id_type), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
+        [T.StructField(id_col, src.schema["id"].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
          T.StructField("n_repeated", T.LongType()), T.StructField("n_chrome", T.LongType())]
     )
 
@@ -253,34 +307,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(result)
-        key, held = None, []
-
-        def out():
-            made = main_texts([h[2] for h in held])
-            cols = [[h[0] for h in held], [h[1] for h in held], [m[0] for m in made], [len(m[0]) for m in made], [m[1] for m in made], [m[2] for m in made]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], names=target.names)
-
-        for batch in batches:
-            ids, urls, hosts, shards, found = (batch.column(i) for i in range(5))
-            for i, u, h, s, b in zip(ids.to_pylist(), urls.to_pylist(), hosts.to_pylist(), shards.to_pylist(), found.to_pylist(), strict=True):
-                if held and (h, s) != key:
-                    yield out()
-                    held.clear()
-                key = (h, s)
-                held.append((i, u, [(x["zone"], x["text"]) for x in b]))
-        if held:
-            yield out()
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = src.select("id", "url", "host", shard.alias("shard"), "html").mapInArrow(parse, parsed).repartition(parts, "host", "shard")
-    return dealt.sortWithinPartitions("host", "shard", "id").mapInArrow(extract, result)
-
+        for part in (p for batch in batches for p in row_runs(batch, 2)):
+            made = [main_text(blocks(h), frozenset(r or ())) for h, r in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            cols = [part.column(0), part.column(1), [m[0] for m in made], [len(m[0]) for m in made], [m[1] for m in made], [m[2] for m in made]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], names=target.names)
 
-def _by_shards(large) -> dict[int, list[str]]:
-    out: dict[int, list[str]] = {}
-    for row in sorted(large):
-        out.setdefault(-(-row["count"] // SHARD_PAGES), []).append(row["host"])
-    return out
+    return map_arrow(src.join(slots, "host", "left").select("id", "url", "html", "removed"), extract, result)
 
 
 def html_query(spark, sf_dir: str) -> DataFrame:

@@ -9,11 +9,12 @@
    radius of their cluster. Leaders of a bucket are then linked unless their distance
    exceeds the threshold distance by more than both radii and a margin, so no pair
    over the threshold is parted by an estimate.
-3. Members of a candidate component meet with their texts, in chunks of bounded size,
+3. Members of a candidate component meet with their texts in chunks of bounded size,
    and links are confirmed on full sets through an inverted index: a breadth-first
    search that drops what it has reached, so a group of thousands costs few scans and
-   no pairs are listed. Components of several chunks are joined by probes: first a
-   few members of each, then all that have not joined the largest part.
+   no pairs are listed. Components of several chunks are joined in two steps: a few
+   probes of each meet all its chunks, which joins what hangs together. Then only
+   members of parts that still share a band bucket meet, bucket by bucket.
 4. Confirmed links give the components.
 """
 
@@ -23,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize, table, text_runs
+from cellweave.llm.common import KeyFilter, discard, map_arrow, materialize, row_runs, table
 from cellweave.llm.substring_dedup import window_hashes, word_bounds, word_hashes
 from cellweave.llm.vector_text import LOWER, text_bytes
 
@@ -39,17 +39,16 @@ BANDS, ROWS, BITS = 32, 4, 2
 MINIMA = BANDS * ROWS
 #: Estimated similarity from which a member joins a leader's cluster.
 JOIN = 0.5
-#: Five standard errors of the estimate at the threshold.
-MARGIN = 0.25
+#: Estimates err by 0.046 (one standard error at the threshold); three add up when leaders
+#: are compared (their distance and two radii), by 0.08. The margin is five of those.
+MARGIN = 0.4
 #: Leaders of one bucket that are compared one by one; more are all linked (and confirmed or parted later).
 COMPARED = 256
 #: Representatives that a task clusters at a time.
 BLOCK = 20_000
-#: Members that are confirmed together, and probes of a component that spans several chunks.
-CHUNK = 8000
-PROBES = 64
-#: Bits of the filter that picks texts of candidates: 16 for each, never more than 8 MiB in all.
-FILTER_MOST = 1 << 26
+#: Members that are confirmed together, their shingles, and probes of a component that spans several chunks.
+CHUNK, CHUNK_SHINGLES = 256, 1_000_000
+PROBES = 16
 
 _RANDOM = np.random.default_rng(90_210)
 _A = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,18 +110,16 @@ def similarity(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc", "n", "set_key", "signature", "bands"]
-    for batch in batches:
-        for lo, hi in text_runs(pc.binary_length(batch.column(1)).to_pylist(), 4_000_000):
-            part = batch.slice(lo, hi - lo)
-            sets = shingle_sets(part.column(1))
-            least = [minima(s) if len(s) else None for s in sets]
-            cols = [
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([None if m is None else packed(m) for m in least], pa.binary()),
-                pa.array([None if m is None else band_hashes(m) for m in least], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
+    for part in (p for batch in batches for p in row_runs(batch, 1)):
+        sets = shingle_sets(part.column(1))
+        least = [minima(s) if len(s) else None for s in sets]
+        cols = [
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            pa.array([None if m is None else packed(m) for m in least], pa.binary()),
+            pa.array([None if m is None else band_hashes(m) for m in least], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=names)
 
 
 def _fixed(rows: np.ndarray) -> pa.Array:
@@ -262,29 +259,30 @@ def _join_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in edges], pa.int64()) for i in range(2)], names=names)
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``v, root`` for every vertex of ``edges`` (a, b): root is the least vertex of its component.
 
-    Large-star and small-star steps in turn. Each round is written to the shared
-    folder, which cuts lineage; sums of hashes tell when nothing changes any more.
-    Minima are aggregated before they are joined back, so a hub with many edges is a
-    skewed join that adaptive execution splits, never a group in one task.
+    Large-star and small-star steps in turn, until nothing changes; their number grows
+    with the logarithm of the vertices. Each round is written to the shared folder,
+    which cuts lineage, and the round before it is deleted; sums of hashes tell when
+    nothing changes any more. Minima are aggregated before they are joined back, so a
+    hub with many edges is a skewed join that adaptive execution splits, never a group
+    in one task.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(most):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        before, now = now, materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        discard(before)
         new = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == new:
             break
         state = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).unionByName(roots)
 
@@ -350,22 +348,25 @@ def linked(sets: list[np.ndarray], probes: int = 0) -> list[tuple[int, int]]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3: rows (group key, probe flag, vertex, text) sorted by key, probes first; confirmed edges."""
-    key, ids, texts, probes = None, [], [], 0
+    """Step 3: rows (group key, chunk, part, probe flag, vertex, text) sorted by group, probes first; confirmed edges.
+
+    Texts become sets as they come; a group's sets are held until it ends.
+    """
+    key, ids, sets, probes = None, [], [], 0
 
     def out():
-        found = linked(shingle_sets(pa.array(texts, pa.string())), probes)
+        found = linked(sets, probes)
         pairs = {(max(ids[a], ids[b]), min(ids[a], ids[b])) for a, b in found if ids[a] != ids[b]}
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    for batch in batches:
-        for c, k, r, flag, v, t in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+    for part in (p for batch in batches for p in row_runs(batch, 5)):
+        for c, k, r, flag, v, s in zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(part.column(5)), strict=True):
             if (c, k, r) != key:
                 if len(ids) > 1:
                     yield out()
-                key, ids, texts, probes = (c, k, r), [], [], 0
+                key, ids, sets, probes = (c, k, r), [], [], 0
             ids.append(v)
-            texts.append(t)
+            sets.append(s)
             probes += flag
     if len(ids) > 1:
         yield out()
@@ -374,33 +375,18 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(rows: DataFrame, parts: int) -> DataFrame:
     """Confirmed edges of ``comp, chunk, part, probe, v, text`` rows; each (comp, chunk, part) is one group."""
     dealt = rows.select("comp", "chunk", "part", "probe", "v", "text").repartition(parts, "comp", "chunk", "part")
-    return dealt.sortWithinPartitions("comp", "chunk", "part", F.col("probe").desc(), "v").mapInArrow(_confirm, "a long, b long")
+    return map_arrow(dealt.sortWithinPartitions("comp", "chunk", "part", F.col("probe").desc(), "v"), _confirm, "a long, b long")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Join texts to ``members`` (v, ...). A bounded filter drops most other texts before they are shuffled."""
-    n = members.count()
-    bits = min(FILTER_MOST, max(1 << 16, 16 * n))
-
-    def places(ids: np.ndarray) -> np.ndarray:
-        h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return np.stack([(h >> np.uint64(8)) % np.uint64(bits), (h >> np.uint64(29)) % np.uint64(bits)])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(bits, bool)
-        for batch in batches:
-            marks[places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["m"])
-
-    found = members.select("v").coalesce(4).mapInArrow(mark, "m binary").collect()
-    marks = np.bitwise_or.reduce([np.frombuffer(r["m"], np.uint8) for r in found] + [np.zeros(bits // 8, np.uint8)]).tobytes()
+    wanted = KeyFilter.of(members, "v")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(flags[places(batch.column(0).to_numpy(zero_copy_only=False))].all(axis=0)))
+            yield batch.filter(pa.array(wanted(batch.column(0).to_numpy(zero_copy_only=False)).astype(bool)))
 
-    near = docs.where("doc is not null").select("doc", "text").mapInArrow(pick, "doc long, text string")
+    near = map_arrow(docs.where("doc is not null").select("doc", "text"), pick, "doc long, text string")
     return members.join(near.withColumnRenamed("doc", "v"), "v")
 
 
@@ -414,24 +400,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, "doc long, n long, set_key binary, signature binary, bands binary"), "signed")
+    signed = materialize(map_arrow(docs, _sign, "doc long, n long, set_key binary, signature binary, bands binary"), "signed")
     usable = signed.where("doc is not null and set_key is not null")
-    classes = materialize(usable.groupBy("set_key").agg(F.min(F.struct("doc", "signature", "bands")).alias("x")).select("set_key", F.col("x.doc").alias("rep"), "x.signature", "x.bands"), "classes")
+    classes = materialize(usable.groupBy("set_key").agg(F.min(F.struct("doc", "n", "signature", "bands")).alias("x")).select("set_key", F.col("x.doc").alias("rep"), "x.n", "x.signature", "x.bands"), "classes")
 
-    leaders = classes.select("rep", "signature", "bands").mapInArrow(_cluster, _LINK)
+    leaders = map_arrow(classes.select("rep", "signature", "bands"), _cluster, _LINK)
     dealt = leaders.repartition(parts, F.coalesce("key", "a")).sortWithinPartitions("key")
-    candidates = connected_components(dealt.mapInArrow(_join_leaders, "a long, b long"))
+    candidates = connected_components(map_arrow(dealt, _join_leaders, "a long, b long"))
 
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    chunks = F.ceil(F.col("n") / F.lit(CHUNK)).cast("int")
-    members = candidates.join(sizes, "root").select("v", F.col("root").alias("comp"), chunks.alias("chunks"))
+    # Of several classes with one representative (a repeated id) the larger set counts.
+    load = classes.groupBy(F.col("rep").alias("v")).agg(F.max("n").alias("n"))
+    placed = candidates.join(load, "v")
+    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)), F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"))
+    members = candidates.join(sizes, "root").select("v", F.col("root").alias("comp"), "chunks")
     members = members.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     texts = materialize(_texts_of(docs, members).withColumn("part", F.lit(0)).withColumn("probe", F.lit(0)), "members")
     links = materialize(_confirmed(texts, parts), "links")
 
     wide = texts.where("chunks > 1")
     if not wide.isEmpty():
-        links = _join_chunks(wide, links, parts)
+        links = _join_chunks(wide, classes.select(F.col("rep").alias("v"), "bands"), links, parts)
 
     # A document with several texts joins the classes of all of them.
     own = usable.select("doc", "set_key").join(classes.select("set_key", "rep"), "set_key")
@@ -445,34 +433,60 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
-def _join_chunks(wide: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+def _join_chunks(wide: DataFrame, bands: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """Links across the chunks of large components.
 
     PROBES members of each component, picked by hash, are compared with all its
-    chunks, which joins the large parts. Whatever has not joined its component's
-    largest part then meets every chunk, in parts of CHUNK: exact, and little as long
-    as most members hang together.
+    chunks, which joins what hangs together. Any link that is still unknown lies
+    between two parts of a component that share a band bucket (or no candidate either).
+    So members of buckets with several parts meet there: those outside the bucket's
+    largest part with all of it, in parts of CHUNK, and with each other.
     """
+    names = ["comp", "chunk", "part", "probe", "v", "text"]
     inside = wide.select("comp", "v", "chunks").distinct()
-    for probing in (True, False):
-        if probing:
-            total = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-            share = F.lit(PROBES) / F.col("n")
-            picked = inside.join(total, "comp").where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000)
-        else:
-            roots = connected_components(links)
-            placed = inside.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-            largest = placed.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("top"))
-            picked = placed.join(largest, "comp").where("root <> top")
-        count = picked.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).select("comp", F.ceil(F.col("k") / F.lit(CHUNK)).cast("int").alias("ways"))
-        picked = picked.select("comp", "v").join(count, "comp").withColumn("part", F.pmod(F.xxhash64("v", F.lit(2)), F.col("ways")).cast("int"))
-        probes = wide.drop("part", "probe", "chunk").join(picked.select("comp", "v", "part"), ["comp", "v"])
-        probes = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1))
-        crowd = wide.drop("part").join(count, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
-        names = ["comp", "chunk", "part", "probe", "v", "text"]
-        more = _confirmed(probes.select(*names).unionByName(crowd.select(*names)), parts)
-        links = materialize(links.unionByName(more), "links")
-    return links
+    total = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    share = F.lit(PROBES) / F.col("n")
+    picked = inside.join(total, "comp").where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).select("v")
+    probes = wide.join(picked, "v", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1))
+    joined = materialize(links.unionByName(_confirmed(probes.select(*names).unionByName(wide.select(*names)), parts)), "links")
+    discard(links)
+
+    roots = connected_components(joined)
+    split = inside.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    # Parts of a component that is one part by now need no look; neither do buckets of one part.
+    several = split.groupBy("comp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("comp")
+    open_ = split.join(several, "comp", "left_semi").select("v", "root").join(bands, "v")
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS))), batch.column(1).take(pa.array(np.repeat(np.arange(n), BANDS))), pa.array(keys)], names=["v", "root", "key"])
+
+    spread = materialize(map_arrow(open_, buckets, "v long, root long, key long"), "buckets")
+    mixed = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    by_part = spread.join(mixed, "key", "left_semi").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    shape = by_part.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    shape = shape.select(
+        "key", "top", F.ceil(F.col("most") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int").alias("ways"),
+    )
+    met = spread.join(shape, "key").withColumn("main", F.col("root") == F.col("top"))
+    slot = lambda many, seed: F.pmod(F.xxhash64("v", F.lit(seed)), many).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
+    others = met.where("not main").withColumn("part", slot(F.col("ways"), 2))
+    # Chunks 0 .. chunks - 1 hold the largest part, the ones after it the parts of the others.
+    rows = [
+        met.where("main").withColumn("chunk", slot(F.col("chunks"), 3)).withColumn("part", every(F.col("ways"))).withColumn("probe", F.lit(0)),
+        others.withColumn("chunk", every(F.col("chunks"))).withColumn("probe", F.lit(1)),
+        others.withColumn("chunk", F.col("chunks") + F.col("part")).withColumn("part", every(F.col("ways"))).withColumn("probe", F.lit(0)),
+        others.withColumn("chunk", every(F.col("ways"))).withColumn("chunk", F.col("chunk") + F.col("chunks")).withColumn("probe", F.lit(1)),
+    ]
+    asked = [r.select(F.col("key").alias("comp"), "chunk", "part", "probe", "v") for r in rows]
+    asked = asked[0].unionByName(asked[1]).unionByName(asked[2]).unionByName(asked[3])
+    texts = wide.select("v", "text").distinct()
+    out = materialize(joined.unionByName(_confirmed(asked.join(texts, "v"), parts)), "links")
+    discard(joined)
+    return out
 
 
 def near_dedup_query(spark, sf_dir: str) -> DataFrame:

@@ -1,48 +1,54 @@
 """Personal data: fixed patterns, and terms that the corpus shows to disclose an entity.
 
-Protected entities are the strings that the patterns find. Over the whole corpus it
-is counted how many different texts hold an entity (n_e), in how many of them a term
-stands beside it (n_te) and how many hold the term at all (n_t). A term tells
-
-    log2( (n_te / n_t) / (n_e / N) )    bits
-
-about the entity, N being the number of different texts. The last share is also taken of
-documents, copies included on both of its sides, and the less of the two counts: neither
-copies of the entity's texts nor of the others make it look common. Terms over the
-threshold, seen in enough contexts and beside the entity in most texts that hold them, would
-give it away after it is removed; they become spans of their own and are generalised
-with the rest.
+Protected are the strings that the fixed patterns find, and the fact that a text holds
+one (of a kind, or of any). Each is an event e with information content -log2 p(e),
+p being a share of the corpus' different texts. How much a term t tells about it is
+their pointwise mutual information
+
+    log2( p(e | t) / p(e) ),
+
+with p(e | t) taken at the lower end of its confidence interval, so that a few chance
+meetings tell little. A term that tells LEAST_SHARE or more of the information would
+give the entity away after it is removed: it becomes a span of its own and is
+generalised with the rest. Terms are words, and tokens with digits by their form (a
+key of forty hexadecimal digits, a number of sixteen), as such tokens never recur.
+
+Events of kinds meet every term of a text; single entities meet the terms around them.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import TEXT, TwoAgeCache, map_texts, materialize, table
+from cellweave.llm.common import RUN_BYTES, TEXT, KeyFilter, TwoAgeCache, map_arrow, materialize, release_memory, row_runs, table, text_runs
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as its context.
 REACH = 5
-#: Different contexts that must hold the term beside the entity.
-LEAST_CONTEXTS = 4
-#: Share of the term's different texts in which it stands beside the entity.
-LEAST_SHARE = 0.5
-LEAST_BITS = 6.0
-#: Disclosing terms that one pass over the texts carries; further passes take the rest.
+#: Different texts (for a single entity: different contexts too) in which a term must meet an event.
+LEAST_TEXTS = 2
+#: Share of an event's information from which a term discloses it.
+LEAST_SHARE = 0.6
+#: Standard errors below the observed share at which p(e | t) is taken (Wilson's interval).
+ERRORS = 3.0
+#: Disclosing terms that one pass over the texts carries, 8 bytes each; further passes take the rest.
 TERMS_A_PASS = 1_000_000
 #: Distinct terms that a task counts before it passes its sums on.
 COUNTED = 200_000
 #: Repeated texts whose hashes and numbers of copies are broadcast; more of them are joined by a shuffle.
 COPIES_SENT = 1_000_000
-CACHE_TERMS = 100_000
+CACHE_TERMS = 150_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,7 +56,8 @@ _DIGIT = re.compile("[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]{3,}")
+_HEX = re.compile(r"[0-9a-f]{8,}")
 
 
 def luhn(digits: str) -> bool:
@@ -108,163 +115,235 @@ def term_hash(term: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str) -> Iterator[tuple[int, list[int], int]]:
-    """Entity hash, hashes of the terms around it and hash of the context, for each base span."""
+def term_of(token: str) -> str:
+    """The term that a token stands for: the lower-case word, or the form of a token with digits; empty for short numbers."""
+    if token.isalpha():
+        return token.lower()
+    low = token.lower()
+    if low.isdigit():
+        return f"#9x{len(low)}" if len(low) > 4 else ""
+    return f"#{'hex' if _HEX.fullmatch(low) else 'mix'}x{len(low)}"
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """Tokens ``(start, end, term)`` outside base spans."""
+    out = []
+    ends, starts = sorted(b for _, _, b in spans), [a for a, _, _ in spans]
+    for m in _TERM.finditer(text):
+        # Outside if as many spans have ended at its start as have begun before its end.
+        if spans and bisect_left(starts, m.end()) != sum_ended(ends, m.start()):
+            continue
+        term = term_of(m[0])
+        if term:
+            out.append((m.start(), m.end(), term))
+    return out
+
+
+def sum_ended(ends: list[int], at: int) -> int:
+    """Number of sorted ends at or before a position."""
+    return bisect_left(ends, at + 1)
+
+
+def term_keys(text: str, spans: list[tuple[int, int, int]], key) -> set:
+    """``key`` of the different tokens of a text outside base spans (``key`` maps equal terms to equal values)."""
+    if spans:
+        return {key(text[a:b]) for a, b, _ in free_terms(text, spans)}
+    return set(map(key, set(_TERM.findall(text))))
+
+
+def events(text: str) -> Iterator[tuple[str, set[str], str | None]]:
+    """Events of a text with the terms that meet them and, for single entities, their context."""
     spans = base_spans(text)
     if not spans:
         return
-    words = [(m.start(), m.end(), m[0]) for m in _TERM.finditer(text)]
-    starts = [w[0] for w in words]
-    free = [True] * len(words)
-    for a, _, b in spans:  # words inside an entity are the entity, not its context
-        for i in range(int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))):
-            free[i] = False
+    free = free_terms(text, spans)
+    everything = {t for _, _, t in free}
+    for name in sorted({"any", *(KINDS[k] for _, k, _ in spans)}):
+        yield name, everything, None
+    starts = [f[0] for f in free]
     for a, kind, b in spans:
-        i, j = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))
-        near = [words[k][2].lower() for k in [*range(max(0, i - REACH), i), *range(j, min(len(words), j + REACH))] if free[k]]
-        yield term_hash(f"{KINDS[kind]}:{text[a:b].lower()}"), sorted({term_hash(t) for t in near}), term_hash(" ".join(near))
+        i, j = bisect_left(starts, a), bisect_left(starts, b)
+        near = [t for _, _, t in [*free[max(0, i - REACH) : i], *free[j : j + REACH]]]
+        yield f"{KINDS[kind]}:{text[a:b].lower()}", set(near), " ".join(near)
+
+
+def wilson(hits, n):
+    """Lower end of the interval of a share of ``hits`` in ``n``, as a column."""
+    p, z2 = hits / n, ERRORS * ERRORS
+    return (p + z2 / (2 * n) - ERRORS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
 
 def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Terms over the thresholds: ``term`` (hash), ``bits``, ``share``, ``contexts``, one row a term (its most telling entity).
+    """Terms over the threshold: ``term`` (hash), ``bits``, ``share`` (of the event's information), ``texts``, one row a term (its most telling event).
 
-    Counts are of different texts (``n_e`` and N of documents as well): each of a text's n copies weighs 1 / n, so only
-    hashes of repeated texts are set apart and no text is shuffled for it. Contexts that
-    repeat word for word count once towards LEAST_CONTEXTS. Counts cover all rows; sums
-    are formed in each task before they are shuffled, so a frequent term or entity moves
-    one row a task.
+    Counts are of different texts: each of a text's n copies weighs 1 / n, so only
+    hashes of repeated texts are set apart and no text is shuffled for it. They cover
+    all rows; sums are formed in each task before they are shuffled, so a frequent term
+    or event moves one row a task. Only terms that meet an event often enough, picked
+    by a bounded filter, are counted in the whole corpus.
     """
     hashed = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)).withColumn("hash", F.xxhash64(TEXT))
     copies = materialize(hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     groups, extra = copies.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0))).first()
     weighed = hashed.join(F.broadcast(copies) if groups <= COPIES_SENT else copies, "hash", "left")
     texts = weighed.select(TEXT, (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("weight"))
+    rows = max(1, df.count() - extra)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, tuple[float, int]] = {}
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, float] = {}
 
         def out():
             cols = [pa.array([k[i] for k in sums], pa.int64()) for i in range(3)]
-            cols += [pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, names=["entity", "term", "context", "n", "docs"])
-
-        for batch in batches:
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counted = set()  # a text counts once for a pair, whatever contexts it holds
-                for entity, terms, context in contexts(text):
-                    for t in (None, *terms):
-                        new = (entity, t) not in counted
-                        counted.add((entity, t))
-                        n, docs = sums.get((entity, t, context), (0.0, 0))
-                        sums[entity, t, context] = (n + weight * new, docs + new)
+            return pa.RecordBatch.from_arrays([*cols, pa.array(list(sums.values()), pa.float64())], names=["event", "term", "context", "n"])
+
+        for part in (p for batch in batches for p in row_runs(batch, 0)):
+            for text, weight in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                seen = set()  # a text counts once for a pair, whatever contexts it holds
+                for event, terms, context in events(text):
+                    e, c = term_hash(event), None if context is None else term_hash(context)
+                    for t in (None, *map(term_hash, terms)):
+                        new = (e, t) not in seen
+                        seen.add((e, t))
+                        sums[e, t, c] = sums.get((e, t, c), 0.0) + weight * new
                 if len(sums) >= COUNTED:
                     yield out()
                     sums.clear()
         if sums:
             yield out()
 
+    whole = lambda c: F.round(F.sum(c)).cast("long")
+    found = map_arrow(texts, meetings, "event long, term long, context long, n double").groupBy("event", "term", "context").agg(F.sum("n").alias("n"))
+    pairs = materialize(found.groupBy("event", "term").agg(whole("n").alias("n"), F.count("context").alias("contexts")), "pairs")
+    enough = (F.col("n") >= LEAST_TEXTS) & ((F.col("contexts") == 0) | (F.col("contexts") >= LEAST_TEXTS))
+    joint = pairs.where(F.col("term").isNotNull() & enough).select("event", "term", F.col("n").alias("n_te"))
+    wanted = KeyFilter.of(joint.select("term").distinct(), "term")
+
     def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = TwoAgeCache(term_hash, CACHE_TERMS)
+        def look(token: str) -> int | bool:
+            h = term_hash(term_of(token))
+            return h if wanted.has(h) else False
+
+        key = TwoAgeCache(look, CACHE_TERMS).__getitem__
         sums: dict[int, float] = {}
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["term", "n"])
 
-        for batch in batches:
-            for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in set(map(cache.__getitem__, set(_TERM.findall(text.lower())))):
-                    sums[t] = sums.get(t, 0.0) + weight
+        for part in (p for batch in batches for p in row_runs(batch, 0)):
+            for text, weight in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for t in term_keys(text, base_spans(text), key):
+                    if t is not False:
+                        sums[t] = sums.get(t, 0.0) + weight
                 if len(sums) >= COUNTED:
                     yield out()
                     sums.clear()
         if sums:
             yield out()
 
-    whole = lambda c: F.round(F.sum(c)).cast("long")
-    found = texts.mapInArrow(pairs, "entity long, term long, context long, n double, docs long")
-    found = found.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_pair = materialize(found.groupBy("entity", "term").agg(whole("n").alias("n"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("contexts")), "pairs")
-    joint = by_pair.where(F.col("term").isNotNull() & (F.col("contexts") >= LEAST_CONTEXTS)).select("entity", "term", F.col("n").alias("n_te"), "contexts")
-    rows = df.count()
-    rare = F.least(F.col("n") / F.lit(float(max(1, rows - extra))), F.col("docs") / F.lit(float(max(1, rows))))
-    entities = by_pair.where("term is null").select("entity", rare.alias("rare"))
-    terms = texts.mapInArrow(text_counts, "term long, n double").groupBy("term").agg(whole("n").alias("n_t"))
-    share = F.col("n_te") / F.greatest("n_t", "n_te")
-    bits = F.log2(share / F.col("rare"))
-    scored = joint.join(entities, "entity").join(terms, "term").select("term", bits.alias("bits"), share.alias("share"), "contexts")
-    strong = scored.where((F.col("bits") >= LEAST_BITS) & (F.col("share") >= LEAST_SHARE))
-    return strong.groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"), F.max("contexts").alias("contexts"))
+    chance = pairs.where("term is null").select("event", (F.col("n") / F.lit(float(rows))).alias("p"))
+    terms = map_arrow(texts, text_counts, "term long, n double").groupBy("term").agg(whole("n").alias("n_t"))
+    bits = F.log2(wilson(F.col("n_te"), F.greatest("n_t", "n_te")) / F.col("p"))
+    scored = joint.join(chance, "event").where("p > 0 and p < 1").join(terms, "term").select("term", bits.alias("bits"), (bits / -F.log2("p")).alias("share"), F.col("n_te").alias("texts"))
+    return scored.where(F.col("share") >= LEAST_SHARE).groupBy("term").agg(F.max("bits").alias("bits"), F.max("share").alias("share"), F.max("texts").alias("texts"))
 
 
-def _span_type() -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())]))
+SPAN_TYPE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.IntegerType())]))
 
 
-def personal_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, spans_col: str = "pii_spans") -> DataFrame:
-    """Add ``pii_spans`` (start, kind, end in code points) to every row: fixed patterns and disclosing terms.
+def _mark(df: DataFrame, text_col: str, before: str | None, terms: np.ndarray, box: str, rewritten: bool) -> DataFrame:
+    """Add ``box`` (spans, text): spans of ``before``, or else of the fixed patterns, with those of ``terms`` (sorted hashes).
 
-    Null and empty texts have none. A column of that name is replaced. The fixed
-    patterns' spans are always there, whatever the corpus counts say.
+    ``text`` is the text in general terms, null where nothing changes or where ``rewritten`` is not asked for.
+    """
+    result = T.StructType([T.StructField("spans", SPAN_TYPE), T.StructField("text", T.StringType())])
+
+    def spans_of(text: str, known: list[dict] | None, strong) -> list[tuple[int, int, int]]:
+        base = base_spans(text)
+        out = base if known is None else [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in known]
+        if len(terms) and True in term_keys(text, base, strong):
+            out = sorted([*out, *((a, 4, b) for a, b, _ in free_terms(text, base) if strong(text[a:b]))])
+        return out
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = list(to_arrow_schema(result).types)
+        order = array("q", terms.tobytes())
+
+        def look(token: str) -> bool:
+            h = term_hash(term_of(token))
+            i = bisect_left(order, h)
+            return i < len(order) and order[i] == h
+
+        strong = TwoAgeCache(look, CACHE_TERMS).__getitem__
+        for texts, known in batches:
+            parts = []
+            for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), RUN_BYTES):
+                own = texts.slice(lo, hi - lo).to_pylist()
+                found = [spans_of(t, k, strong) for t, k in zip(own, known.slice(lo, hi - lo).to_pylist(), strict=True)]
+                new = [replaced(t, [(a, KINDS[k], b) for a, k, b in s]) if rewritten and s else None for t, s in zip(own, found, strict=True)]
+                named = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in s] for s in found]
+                parts.append(pa.StructArray.from_arrays([pa.array(named, types[0]), pa.array(new, types[1])], names=["spans", "text"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("spans", types[0]), ("text", types[1])]))
+        release_memory()
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    call = F.arrow_udf(run, result).asNondeterministic()
+    earlier = F.col(f"`{before}`") if before else F.lit(None).cast(SPAN_TYPE)
+    return df.withColumn(box, call(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), earlier))
+
+
+def _marked(df: DataFrame, text_col: str, rewritten: bool) -> tuple[DataFrame, str]:
+    """``df`` with a column of spans and changed texts, and that column's name.
+
+    Terms beyond TERMS_A_PASS take further passes, each written to the shared folder
+    before the next, so the driver and the plan hold the terms of one at a time.
     """
     strong = materialize(disclosing_terms(df, text_col).select("term"), "terms")
-    n = strong.count()
-    passes = max(1, -(-n // TERMS_A_PASS))
-    kept = [c for c in (df.columns if keep is None else keep) if c != spans_col]
-    src = df
+    passes = max(1, -(-strong.count() // TERMS_A_PASS))
+    box, before = _free("__pii", df), None
     for k in range(passes):
-        slice_ = [r["term"] for r in strong.where(F.pmod("term", F.lit(passes)) == k).collect()]
-        carry = kept if k == passes - 1 else [*kept, *([] if text_col in kept else [text_col])]
-        if k:
-            src = src.withColumnRenamed(spans_col, "__spans")
-        src = _mark(src, slice_, text_col, carry, spans_col, k > 0)
-    return src
-
+        terms = np.sort(np.asarray(strong.where(F.pmod("term", F.lit(passes)) == k).toArrow().column(0).to_numpy(), np.int64))
+        last = k == passes - 1
+        df = _mark(df, text_col, before, terms, box, rewritten and last)
+        if not last:
+            before = _free("__pii_before", df)
+            df = materialize(df.withColumn(before, F.col(f"{box}.spans")).drop(box), "spans")
+    return (df.drop(before) if before else df), box
 
-def _mark(df: DataFrame, terms: list[int], text_col: str, keep: list[str], spans_col: str, more: bool) -> DataFrame:
-    strong = frozenset(terms)
 
-    def make():
-        cache = TwoAgeCache(lambda w: term_hash(w) in strong, CACHE_TERMS)
+def _free(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
-        def one(text: str) -> list[tuple]:
-            out = [] if more else base_spans(text)
-            if strong and any(map(cache.__getitem__, set(_TERM.findall(text.lower())))):
-                out = sorted([*out, *((m.start(), 4, m.end()) for m in _TERM.finditer(text) if cache[m[0].lower()])])
-            return [{"start": a, "kind": KINDS[kind], "end": b} for a, kind, b in out]
 
-        return lambda texts: [list(map(one, texts))]
+def personal_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, spans_col: str = "pii_spans") -> DataFrame:
+    """Add ``pii_spans`` (start, kind, end in code points) to every row: fixed patterns and disclosing terms.
 
-    made = map_texts(df, text_col, [T.StructField(spans_col, _span_type())], make, keep + (["__spans"] if more else []))
-    if more:
-        both = F.array_sort(F.concat("__spans", spans_col))
-        made = made.withColumn(spans_col, both).drop("__spans")
-    return made
+    Spans stand by start, then kind as listed in KINDS. Null and empty texts have none.
+    A column of that name is replaced. The fixed patterns' spans are always there,
+    whatever the corpus counts say; terms inside them are no spans of their own.
+    """
+    kept = [c for c in (df.columns if keep is None else keep) if c != spans_col]
+    found, box = _marked(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_col])]), text_col, False)
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.col(f"{box}.spans").alias(spans_col))
 
 
 def sanitise(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """Texts with every span put in general terms (``[EMAIL]`` and the like); all rows and columns stay.
+    """Texts with every span put in general terms (``[EMAIL]`` and the like); all rows and columns stay, whatever their names.
 
     Overlapping spans become one, named by the first. ``length_col``, where present,
-    is set anew for changed texts. Null texts stay null.
+    is set anew for changed texts. Null texts stay null, texts without spans are not
+    touched, repeated rows and ids stay.
     """
-    columns = df.columns
-    found = personal_spans(df, text_col, spans_col="__pii")
-    schema = found.select(*columns).schema
-    at, length = columns.index(text_col), columns.index(length_col) if length_col in columns else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(i) for i in range(len(columns))]
-            spans = batch.column(len(columns)).to_pylist()
-            texts = cols[at].to_pylist()
-            new = [t if not s else replaced(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
-            cols[at] = pa.array(new, cols[at].type)
-            if length is not None:
-                old = cols[length].to_pylist()
-                cols[length] = pa.array([n if a is b else len(b) for a, b, n in zip(texts, new, old, strict=True)], cols[length].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
-
-    return found.select(*columns, "__pii").mapInArrow(run, schema)
+    found, box = _marked(df, text_col, True)
+    new = {text_col: F.coalesce(F.col(f"{box}.text"), F.col(f"`{text_col}`"))}
+    if length_col in df.columns:
+        own = F.col(f"`{length_col}`")
+        new[length_col] = F.coalesce(F.char_length(F.col(f"{box}.text")).cast(df.schema[length_col].dataType), own)
+    return found.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
 def replaced(text: str, spans: list[tuple[int, str, int]]) -> str:
@@ -281,11 +360,12 @@ def replaced(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def privacy_query(spark, sf_dir: str) -> DataFrame:
-    """op8 over every whole text of documents."""
+    """op8 over every whole text of documents; ``n_spans`` counts all spans, terms included. Rows of null texts and ids stay."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal_spans(docs, keep=["doc_id"])
     base = F.filter("pii_spans", lambda s: s["kind"] != "term")
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda spans: F.array_join(F.transform(spans, name), ",")
     counts = [F.expr(f"cast(size(filter(pii_spans, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
+    total = F.size("pii_spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"), total)

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.byte_level import Pretokenizer
-from cellweave.llm.common import PIECES, TwoAgeCache, map_texts, table, vocabulary_path
-from cellweave.llm.vector_text import MARK, SPACE, letter_ends, name_pieces, sums_between, text_bytes
+from cellweave.llm.common import PIECES, TwoAgeCache, map_texts, table, vocabulary_path, worker_state
+from cellweave.llm.vector_text import MARK, SPACE, letter_ends, name_pieces, sums_between, text_bytes, texts_holding
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
+#: Bytes of text that are cut into pieces at a time.
+RUN_BYTES = 2_000_000
 
 
 class MergeCounter:
@@ -84,37 +86,28 @@ def count_pieces(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-_COUNTERS: dict[str, TwoAgeCache] = {}
-
-
-def piece_counter(path: str) -> TwoAgeCache:
+class PieceCounter:
     """Map from a piece of text, as UTF-8, to its number of tokens."""
-    found = _COUNTERS.get(path)
-    if found is None:
+
+    def __init__(self, path: str):
         cut = Pretokenizer(path)
+        self.special = [t.encode("utf-8") for t in cut.special]
         words = TwoAgeCache(MergeCounter(merge_list(cut.spec)).count, CACHE_PIECES)
+        cut.spec = None
         count = words.__getitem__
-
-        def fill(piece: bytes) -> int:
-            return sum(1 if p in cut.special else count(p) for p in cut(piece.decode("utf-8")))
-
-        found = _COUNTERS[path] = TwoAgeCache(fill, CACHE_PIECES)
-    return found
+        self.cache = TwoAgeCache(lambda piece: sum(1 if p in cut.special else count(p) for p in cut(piece.decode("utf-8"))), CACHE_PIECES)
 
 
-def count_batch(cache: TwoAgeCache, texts: pa.Array) -> np.ndarray:
+def count_batch(counter: PieceCounter, texts: pa.Array) -> np.ndarray:
     """Number of tokens of each text."""
+    cache = counter.cache
     data, edges = text_bytes(texts)
     starts = count_pieces(data, edges)
     codes, names = name_pieces(data, starts, np.append(starts[1:], len(data)))
     each = np.array([cache[p] for p in names], np.int64)
     counts = sums_between(each[codes], np.searchsorted(starts, edges))
-    whole = data.tobytes()
-    at = whole.find(b"<|")
-    while at >= 0:  # may begin a special string, which holds cut points
-        k = int(np.searchsorted(edges, at, side="right")) - 1
+    for k in texts_holding(data, edges, counter.special):  # a special string holds cut points
         counts[k] = sum(cache[p.encode()] for p in PIECES.findall(texts[k].as_py()))
-        at = whole.find(b"<|", int(edges[k + 1]))
     return counts
 
 
@@ -126,16 +119,16 @@ def token_counts(df: DataFrame, vocabulary_file: str, limit: int, text_col: str
     """
 
     def make():
-        cache = piece_counter(vocabulary_file)
+        counter = worker_state(("counts", vocabulary_file), lambda: PieceCounter(vocabulary_file))
 
         def run(texts: pa.Array):
-            counts = count_batch(cache, texts)
+            counts = count_batch(counter, texts)
             return [pc.binary_length(texts), counts, counts > limit]
 
         return run
 
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    return map_texts(df, text_col, fields, make, keep, arrow=True)
+    return map_texts(df, text_col, fields, make, keep, RUN_BYTES, arrow=True)
 
 
 def token_count_query(spark, sf_dir: str) -> DataFrame:

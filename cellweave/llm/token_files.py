@@ -26,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import TwoAgeCache, map_texts, shared_dir, table, tokenizer, vocabulary_path
-from cellweave.llm.vector_text import LETTER, LOWER, MARK, SPACE, gather, letter_ends, name_pieces, sums_between, text_bytes
+from cellweave.llm.common import TwoAgeCache, map_arrow, map_texts, row_runs, shared_dir, special_tokens, table, tokenizer, vocabulary_path, worker_state
+from cellweave.llm.vector_text import LETTER, LOWER, MARK, SPACE, gather, letter_ends, name_pieces, sums_between, text_bytes, texts_holding
 
 MAGIC = b"TPK1"
 HEAD = struct.Struct("<4sBIQQI")
 BLOCK_IDS = 4096
 #: Ids in a shard, beyond which the next document starts another one.
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 18
+#: Shards in a file: a reader holds a file's values at once, so both numbers bound its memory.
+FILE_SHARDS = 32
 #: Distinct words that a worker remembers in each half of its cache.
-CACHE_WORDS = 220_000
+CACHE_WORDS = 150_000
+#: Bytes of text that are cut into pieces at a time.
+RUN_BYTES = 2_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -101,10 +105,6 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-#: Any special string of a vocabulary file begins so; texts that hold it go to the library whole.
-_SPECIAL = b"<|"
-
-
 def word_pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pieces of UTF-8 texts that a lower-casing word tokenizer treats apart.
 
@@ -127,10 +127,14 @@ def word_pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class WordEncoder:
-    """Ids of texts for a lower-casing tokenizer that drops white space, each distinct piece encoded once."""
+    """Ids of texts for a lower-casing tokenizer that drops white space, each distinct piece encoded once.
+
+    Texts that hold a special string of the vocabulary go to the library whole.
+    """
 
     def __init__(self, path: str, end_id: int | None):
         lib = tokenizer(path)
+        self._special = [t.encode("utf-8") for t in special_tokens(path)]
         self._whole = lambda text: np.array(lib.encode(text, add_special_tokens=False).ids, np.uint32)
         self._width = width = np.dtype("<u2" if lib.get_vocab_size() <= 1 << 16 else "<u4")
         self._cache = TwoAgeCache(lambda piece: np.array(lib.encode(piece.decode("utf-8"), add_special_tokens=False).ids, width).tobytes(), CACHE_WORDS)
@@ -139,13 +143,7 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
         data, edges = text_bytes(texts)
-        odd: dict[int, np.ndarray] = {}
-        whole = data.tobytes()
-        at = whole.find(_SPECIAL)
-        while at >= 0:
-            k = int(np.searchsorted(edges, at, side="right")) - 1
-            odd[k] = self._whole(texts[k].as_py())
-            at = whole.find(_SPECIAL, int(edges[k + 1]))
+        odd = {k: self._whole(texts[k].as_py()) for k in texts_holding(data, edges, self._special)}
         folded = LOWER[data]
         starts, ends = word_pieces(folded, edges)
         codes, names = name_pieces(folded, starts, ends)
@@ -155,17 +153,6 @@ class WordEncoder:
         return [np.concatenate([odd[k] if k in odd else ids[b - n : b], self._end]) for k, (b, n) in enumerate(zip(stops.tolist(), per_text.tolist(), strict=True))]
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
-def word_encoder(path: str, end_id: int | None) -> WordEncoder:
-    """The encoder of a vocabulary file, once in a worker."""
-    key = (path, end_id)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, end_id)
-    return _ENCODERS[key]
-
-
 def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
     """Ids that exist in ``df`` and cut it into about ``parts`` equal ranges, ascending.
 
@@ -179,10 +166,17 @@ def range_bounds(df: DataFrame, id_col: str, parts: int) -> list[int]:
 
 
 def bucket_of(id_col: str, bounds: list[int]):
-    """Number of bounds below the id; null ids come first, in bucket 0."""
+    """Number of bounds below the id; null ids come first, in bucket 0.
+
+    Looked up in two steps of about the square root of their number.
+    """
     if not bounds:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col(id_col))), F.lit(0))
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda found: F.size(F.filter(found, lambda b: b < F.col(id_col)))
+    whole = F.array(*[F.lit(int(b)) for b in bounds])
+    passed = F.greatest(below(F.array(*[F.lit(int(b)) for b in bounds[::step]])) - 1, F.lit(0)) * step
+    return F.coalesce(passed + below(F.slice(whole, passed + 1, F.lit(step))), F.lit(0))
 
 
 def write_token_files(
@@ -211,9 +205,11 @@ def write_token_files(
         [T.StructField("ids", T.BinaryType())],
         lambda: _packed(vocabulary_file, end_id, bits),
         keep=["doc"],
+        batch_chars=RUN_BYTES,
         arrow=True,
     )
-    dealt = encoded.withColumn("bucket", bucket_of("doc", bounds)).repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "ids")
+    # One range of ids for each task: bucket numbers are partition numbers.
+    dealt = encoded.withColumn("bucket", bucket_of("doc", bounds)).repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "doc", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seq, first, names, docs, held = None, 0, 0, [], [], 0
@@ -225,8 +221,8 @@ def write_token_files(
                 names=["bucket", "seq", "n_ids", "docs", "shard"],
             )
 
-        for batch in batches:
-            for doc, data, bucket in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for part in (p for batch in batches for p in row_runs(batch, 1)):
+            for doc, data, bucket in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 n = int.from_bytes(data[:4], "little")
                 if docs and (bucket != at or held + n > SHARD_IDS):
                     yield out()
@@ -239,13 +235,13 @@ def write_token_files(
         if docs:
             yield out()
 
-    made = dealt.mapInArrow(shards, "bucket int, seq int, n_ids long, docs array<long>, shard binary")
-    made.write.parquet(path)
+    made = map_arrow(dealt, shards, "bucket int, seq int, n_ids long, docs array<long>, shard binary")
+    made.write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
     return path
 
 
 def _packed(vocabulary_file: str, end_id: int | None, bits: int):
-    encode = word_encoder(vocabulary_file, end_id)
+    encode = worker_state(("words", vocabulary_file, end_id), lambda: WordEncoder(vocabulary_file, end_id))
     return lambda texts: [[struct.pack("<I", len(d)) + pack(d, bits) for d in encode(texts)]]
 
 
@@ -262,8 +258,8 @@ def read_token_files(spark, path: str) -> DataFrame:
         base += row["n"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, docs, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for part in (p for batch in batches for p in row_runs(batch, 2)):
+            for bucket, docs, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(data)
                 everything = shard.ids(0, shard.n_ids)
                 zero = bases[bucket] + shard.first_id
@@ -277,7 +273,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return files.select("bucket", "docs", "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return map_arrow(files.select("bucket", "docs", "shard"), read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_query(spark, sf_dir: str) -> DataFrame:

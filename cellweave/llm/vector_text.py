@@ -74,3 +74,18 @@ def sums_between(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive edges."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[edges[1:]] - total[edges[:-1]]
+
+
+def texts_holding(data: np.ndarray, edges: np.ndarray, strings: list[bytes]) -> list[int]:
+    """Numbers of the texts that hold one of some byte strings."""
+    whole, out = data.tobytes(), set()
+    for s in strings:
+        at = whole.find(s)
+        while at >= 0:
+            k = int(np.searchsorted(edges, at, side="right")) - 1
+            if at + len(s) <= edges[k + 1]:
+                out.add(k)
+                at = whole.find(s, int(edges[k + 1]))
+            else:  # stands across two texts
+                at = whole.find(s, at + 1)
+    return sorted(out)
