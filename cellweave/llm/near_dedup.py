@@ -10,11 +10,11 @@
    exceeds the threshold distance by more than both radii and a margin, so no pair
    over the threshold is parted by an estimate.
 3. Members of a candidate component meet with their texts in chunks of bounded size,
-   and links are confirmed on full sets through an inverted index: a breadth-first
-   search that drops what it has reached, so a group of thousands costs few scans and
-   no pairs are listed. Components of several chunks are joined in two steps: a few
-   probes of each meet all its chunks, which joins what hangs together. Then only
-   members of parts that still share a band bucket meet, bucket by bucket.
+   a few probes of the component in each chunk, and links are confirmed on full sets: a
+   breadth-first search that drops what it has reached and looks only at sets that share
+   one of their rarest shingles (which any pair over the threshold must), so a group of
+   thousands costs few comparisons and no pairs are listed. What does not hang together
+   with the largest part of a component of several chunks then meets all its members.
 4. Confirmed links give the components.
 """
 
@@ -46,9 +46,11 @@ MARGIN = 0.4
 COMPARED = 256
 #: Representatives that a task clusters at a time.
 BLOCK = 20_000
-#: Members that are confirmed together, their shingles, and probes of a component that spans several chunks.
+#: Members that are confirmed together and their shingles; probes of a component of several chunks.
 CHUNK, CHUNK_SHINGLES = 256, 1_000_000
 PROBES = 16
+#: The same for the members outside a component's largest part, and for those they meet.
+RESIDUE, RESIDUE_SHINGLES = 4096, 2_000_000
 
 _RANDOM = np.random.default_rng(90_210)
 _A = _RANDOM.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -292,40 +294,58 @@ def linked(sets: list[np.ndarray], probes: int = 0) -> list[tuple[int, int]]:
 
     With ``probes`` the first so many sets are compared with all, but the others not
     with each other.
+
+    A link means that at least PERCENT % of either set are shared, so the two share one
+    of the first n - ceil(n * PERCENT / 100) + 1 shingles in any common order; the order
+    is from rare to common. Only sets that meet so are counted.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(n), sizes)
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.zeros(0, np.int64)
+    codes, seen = np.unique(np.concatenate(sets) if n else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)[1:]
     first = np.concatenate([[0], np.cumsum(sizes)])
+    by_rarity = np.empty(len(seen), np.int64)
+    by_rarity[np.argsort(seen, kind="stable")] = np.arange(len(seen))
+    codes = by_rarity[codes]
+    codes = codes[np.lexsort((codes, owner))]  # each set from rare to common
+    need = -(-PERCENT * sizes // 100)
+    heads = sizes - need + 1
+    in_head = np.arange(len(codes)) - first[owner] < heads[owner]
     edges: list[tuple[int, int]] = []
 
     def index(members: np.ndarray):
-        """Postings of the members' shingles."""
-        inside = np.zeros(n, bool)
-        inside[members] = True
-        pick = np.flatnonzero(inside[owner])
+        """Postings of the members' first shingles."""
+        pick = np.flatnonzero(in_head & members[owner])
         order = pick[np.argsort(codes[pick], kind="stable")]
-        return owner[order], np.searchsorted(codes[order], np.arange(int(codes.max(initial=-1)) + 2))
+        return owner[order], codes[order]
 
-    def links_of(i: int, posting, edge) -> np.ndarray:
+    def links_of(i: int, posting: np.ndarray, keys: np.ndarray) -> np.ndarray:
         own = codes[first[i] : first[i + 1]]
-        lo, count = edge[own], edge[own + 1] - edge[own]
+        head = own[: heads[i]]
+        lo = np.searchsorted(keys, head)
+        count = np.searchsorted(keys, head, side="right") - lo
         total = int(count.sum())
         if not total:
             return np.zeros(0, np.int64)
-        where = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
-        found, both = np.unique(posting[where], return_counts=True)
-        return found[100 * both >= PERCENT * (sizes[i] + sizes[found] - both)]
-
-    left = np.ones(n, bool)
+        met = np.unique(posting[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)])
+        met = met[(sizes[met] >= need[i]) & (sizes[i] >= need[met])]
+        if not len(met):
+            return met
+        many = sizes[met]
+        where = np.repeat(first[met] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        theirs = codes[where]
+        at = np.searchsorted(own, theirs)
+        hit = own[np.minimum(at, len(own) - 1)] == theirs
+        both = np.add.reduceat(hit, np.cumsum(many) - many)
+        return met[100 * both >= PERCENT * (sizes[i] + sizes[met] - both)]
+
+    everything = np.ones(n, bool)
+    posting, keys = index(everything)
     if probes:
-        posting, edge = index(np.arange(n))
         for i in range(probes):
-            edges += [(i, j) for j in links_of(i, posting, edge).tolist() if j != i]
+            edges += [(i, j) for j in links_of(i, posting, keys).tolist() if j != i]
         return edges
-    posting, edge = index(np.arange(n))
-    indexed = n
+    left, indexed = everything, n
     for seed in range(n):
         if not left[seed]:
             continue
@@ -335,11 +355,11 @@ def linked(sets: list[np.ndarray], probes: int = 0) -> list[tuple[int, int]]:
             i = queue.pop()
             alive = int(left.sum()) if len(queue) % 16 == 0 else indexed
             if alive * 2 < indexed:  # search only among what is not reached yet
-                posting, edge = index(np.flatnonzero(left))
+                posting, keys = index(left)
                 indexed = alive
             if not indexed:
                 break
-            for j in links_of(i, posting, edge).tolist():
+            for j in links_of(i, posting, keys).tolist():
                 if left[j]:
                     left[j] = False
                     edges.append((i, j))
@@ -372,9 +392,13 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+#: Columns of members to be confirmed: (comp, chunk, part) is a group.
+_ROWS = ["comp", "chunk", "part", "probe", "v", "text"]
+
+
 def _confirmed(rows: DataFrame, parts: int) -> DataFrame:
-    """Confirmed edges of ``comp, chunk, part, probe, v, text`` rows; each (comp, chunk, part) is one group."""
-    dealt = rows.select("comp", "chunk", "part", "probe", "v", "text").repartition(parts, "comp", "chunk", "part")
+    """Confirmed edges of rows of _ROWS."""
+    dealt = rows.select(*_ROWS).repartition(parts, "comp", "chunk", "part")
     return map_arrow(dealt.sortWithinPartitions("comp", "chunk", "part", F.col("probe").desc(), "v"), _confirm, "a long, b long")
 
 
@@ -411,15 +435,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Of several classes with one representative (a repeated id) the larger set counts.
     load = classes.groupBy(F.col("rep").alias("v")).agg(F.max("n").alias("n"))
     placed = candidates.join(load, "v")
-    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)), F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"))
-    members = candidates.join(sizes, "root").select("v", F.col("root").alias("comp"), "chunks")
+    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    members = placed.join(sizes, "root").select("v", "n", F.col("root").alias("comp"), "members", _pieces("members", "shingles", CHUNK, CHUNK_SHINGLES).alias("chunks"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     texts = materialize(_texts_of(docs, members).withColumn("part", F.lit(0)).withColumn("probe", F.lit(0)), "members")
-    links = materialize(_confirmed(texts, parts), "links")
+    # A few members of a component of several chunks stand in all of them and join what hangs together.
+    picked = texts.where("chunks > 1").where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1_000_000)) * F.col("members") < PROBES * 1_000_000)
+    probes = picked.withColumn("own", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunk <> own")
+    links = materialize(_confirmed(texts.select(*_ROWS).unionByName(probes.select(*_ROWS)), parts), "links")
 
     wide = texts.where("chunks > 1")
     if not wide.isEmpty():
-        links = _join_chunks(wide, classes.select(F.col("rep").alias("v"), "bands"), links, parts)
+        links = _join_chunks(wide, links, parts)
 
     # A document with several texts joins the classes of all of them.
     own = usable.select("doc", "set_key").join(classes.select("set_key", "rep"), "set_key")
@@ -433,59 +460,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
 
 
-def _join_chunks(wide: DataFrame, bands: DataFrame, links: DataFrame, parts: int) -> DataFrame:
-    """Links across the chunks of large components.
+def _pieces(members: str, shingles: str, most: int, most_shingles: int):
+    """Number of pieces in which so many members with so many shingles stay within both bounds."""
+    return F.greatest(F.ceil(F.col(members) / F.lit(most)), F.ceil(F.col(shingles) / F.lit(most_shingles)), F.lit(1)).cast("int")
 
-    PROBES members of each component, picked by hash, are compared with all its
-    chunks, which joins what hangs together. Any link that is still unknown lies
-    between two parts of a component that share a band bucket (or no candidate either).
-    So members of buckets with several parts meet there: those outside the bucket's
-    largest part with all of it, in parts of CHUNK, and with each other.
-    """
-    names = ["comp", "chunk", "part", "probe", "v", "text"]
-    inside = wide.select("comp", "v", "chunks").distinct()
-    total = inside.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-    share = F.lit(PROBES) / F.col("n")
-    picked = inside.join(total, "comp").where(F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1_000_000)) < share * 1_000_000).select("v")
-    probes = wide.join(picked, "v", "left_semi").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("probe", F.lit(1))
-    joined = materialize(links.unionByName(_confirmed(probes.select(*names).unionByName(wide.select(*names)), parts)), "links")
-    discard(links)
 
-    roots = connected_components(joined)
-    split = inside.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
-    # Parts of a component that is one part by now need no look; neither do buckets of one part.
-    several = split.groupBy("comp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("comp")
-    open_ = split.join(several, "comp", "left_semi").select("v", "root").join(bands, "v")
+def _join_chunks(wide: DataFrame, links: DataFrame, parts: int) -> DataFrame:
+    """Links across the chunks of large components.
 
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS))), batch.column(1).take(pa.array(np.repeat(np.arange(n), BANDS))), pa.array(keys)], names=["v", "root", "key"])
-
-    spread = materialize(map_arrow(open_, buckets, "v long, root long, key long"), "buckets")
-    mixed = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    by_part = spread.join(mixed, "key", "left_semi").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    shape = by_part.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    shape = shape.select(
-        "key", "top", F.ceil(F.col("most") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("most")) / CHUNK).cast("int").alias("ways"),
-    )
-    met = spread.join(shape, "key").withColumn("main", F.col("root") == F.col("top"))
-    slot = lambda many, seed: F.pmod(F.xxhash64("v", F.lit(seed)), many).cast("int")
+    Whatever has not joined its component's largest part meets all members of the
+    component, in pieces of RESIDUE: exact. Each member is sent once for each RESIDUE of
+    such outsiders, and each outsider once for each RESIDUE of members.
+    """
+    inside = wide.select("comp", "v", "n").distinct()
+    roots = connected_components(links)
+    placed = inside.join(roots, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    by_part = placed.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    shape = by_part.groupBy("comp").agg(F.max_by("root", F.struct("k", "root")).alias("top"), F.sum("k").alias("members"), F.sum("s").alias("shingles"), F.max("k").alias("most"), F.max_by("s", F.struct("k", "root")).alias("top_s"))
+    shape = shape.where("members > most").withColumn("out", F.col("members") - F.col("most")).withColumn("out_s", F.col("shingles") - F.col("top_s"))
+    shape = shape.select("comp", "top", _pieces("members", "shingles", RESIDUE, RESIDUE_SHINGLES).alias("pieces"), _pieces("out", "out_s", RESIDUE, RESIDUE_SHINGLES).alias("ways"))
+    met = wide.drop("chunk", "part", "probe").join(placed.join(shape, "comp").select("v", "root", "top", "pieces", "ways").distinct(), "v")
     every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    others = met.where("not main").withColumn("part", slot(F.col("ways"), 2))
-    # Chunks 0 .. chunks - 1 hold the largest part, the ones after it the parts of the others.
-    rows = [
-        met.where("main").withColumn("chunk", slot(F.col("chunks"), 3)).withColumn("part", every(F.col("ways"))).withColumn("probe", F.lit(0)),
-        others.withColumn("chunk", every(F.col("chunks"))).withColumn("probe", F.lit(1)),
-        others.withColumn("chunk", F.col("chunks") + F.col("part")).withColumn("part", every(F.col("ways"))).withColumn("probe", F.lit(0)),
-        others.withColumn("chunk", every(F.col("ways"))).withColumn("chunk", F.col("chunk") + F.col("chunks")).withColumn("probe", F.lit(1)),
-    ]
-    asked = [r.select(F.col("key").alias("comp"), "chunk", "part", "probe", "v") for r in rows]
-    asked = asked[0].unionByName(asked[1]).unionByName(asked[2]).unionByName(asked[3])
-    texts = wide.select("v", "text").distinct()
-    out = materialize(joined.unionByName(_confirmed(asked.join(texts, "v"), parts)), "links")
-    discard(joined)
+    crowd = met.withColumn("chunk", F.pmod(F.xxhash64("v", F.lit(3)), F.col("pieces")).cast("int")).withColumn("part", every(F.col("ways"))).withColumn("probe", F.lit(0))
+    others = met.where("root <> top").withColumn("chunk", every(F.col("pieces"))).withColumn("part", F.pmod(F.xxhash64("v", F.lit(2)), F.col("ways")).cast("int")).withColumn("probe", F.lit(1))
+    out = materialize(links.unionByName(_confirmed(crowd.select(*_ROWS).unionByName(others.select(*_ROWS)), parts)), "links")
+    discard(links)
     return out
 
 
