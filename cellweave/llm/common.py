@@ -61,48 +61,63 @@ def map_texts(
     names = [c for c in (df.columns if keep is None else keep) if c not in new]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
-    def made(work, texts: pa.Array, types: list[pa.DataType]) -> Iterator[tuple[int, list[pa.Array]]]:
-        texts = texts.fill_null("") if texts.null_count else texts
-        for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), batch_chars):
-            own = texts.slice(lo, hi - lo)
-            yield lo, [pa.array(v, type=t) for v, t in zip(work(own if arrow else own.to_pylist()), types, strict=True)]
-
     if text_col in names:
-        result = T.StructType(fields)
-
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            types = list(to_arrow_schema(result).types)
-            work = make()
-            for texts in batches:
-                parts = [pa.StructArray.from_arrays(cols, names=new) for _, cols in made(work, texts, types)]
-                yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(new, types, strict=True))))
-            release_memory()
-
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        # Not deterministic for the planner, so that no filter on a new column makes it run twice.
-        call = F.arrow_udf(run, result).asNondeterministic()
-        box = "__made"
-        while box in df.columns:
-            box += "_"
-        got = df.select(*[F.col(f"`{c}`") for c in names], call(text).alias(box))
+        box = free_name("__made", df)
+        got = with_struct(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text_col])]), box, [text], T.StructType(fields), lambda: _of_lists(make(), arrow), batch_chars)
         return got.select(*[F.col(f"`{c}`") for c in names], *[F.col(f"{box}.`{c}`") for c in new])
 
     src = df.select(*[F.col(f"`{c}`") for c in names], text.alias(TEXT))
     schema = T.StructType([src.schema[c] for c in names] + fields)
 
-    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
+        work = _of_lists(make(), arrow)
+        for part in (p for batch in batches for p in row_runs(batch, len(names), most=batch_chars)):
+            made = [pa.array(v, type=t) for v, t in zip(work(part.column(len(names))), list(target.types)[len(names) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *made], names=target.names)
+
+    return map_arrow(src, run, schema)
+
+
+def _of_lists(work: Callable, arrow: bool) -> Callable:
+    return work if arrow else lambda texts: work(texts.to_pylist())
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def with_struct(df: DataFrame, box: str, columns: list, result: T.StructType, make: Callable[[], Callable[..., list]], most: int = RUN_BYTES) -> DataFrame:
+    """Add ``box``, a struct of ``result`` computed in Python from ``columns``, the first of them text without nulls.
+
+    ``make()`` runs once in a task and returns a function from slices of the columns
+    (Arrow arrays) to one list or array for each field. Other columns do not leave the
+    JVM, so no name of theirs meets one of an operator.
+    """
+
+    def of_run(work, types, arrays):
+        for lo, hi in text_runs(pc.binary_length(arrays[0]).to_pylist(), most):
+            made = work(*(a.slice(lo, hi - lo) for a in arrays))
+            yield pa.StructArray.from_arrays([pa.array(v, type=t) for v, t in zip(made, types, strict=True)], names=result.names)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = list(to_arrow_schema(result).types)
         work = make()
-        for batch in batches:
-            for lo, cols in made(work, batch.column(len(names)), list(target.types)[len(names) :]):
-                part = batch.slice(lo, len(cols[0]))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *cols], names=target.names)
+        for arrays in batches:
+            parts = list(of_run(work, types, arrays if isinstance(arrays, tuple) else (arrays,)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(zip(result.names, types, strict=True))))
+        release_memory()
 
-    return map_arrow(src, run_batches, schema)
+    run.__annotations__ = {"batches": Iterator[pa.Array] if len(columns) == 1 else Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    # Not deterministic for the planner, so that no filter on the struct makes it run twice.
+    return df.withColumn(box, F.arrow_udf(run, result).asNondeterministic()(*columns))
 
 
 _LIBC: list = []
@@ -129,9 +144,10 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(wrapped, schema)
 
 
-def row_runs(batch: pa.RecordBatch, column: int, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch in which the values of a text or binary column stay within ``most`` bytes, one row at least."""
-    for lo, hi in text_runs(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), most):
+def row_runs(batch: pa.RecordBatch, *columns: int, most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch in which the values of some text or binary columns stay within ``most`` bytes, one row at least."""
+    sizes = [sum(row) for row in zip(*(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in columns), strict=True)]
+    for lo, hi in text_runs(sizes, most):
         yield batch.slice(lo, hi - lo)
 
 

@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import map_texts, table
+from cellweave.llm.common import free_name, materialize, table, with_struct, worker_state
 
 WINDOW = 10
-#: Bytes of normalised item text that one automaton holds; a larger benchmark is
-#: cut into several automata, each of which scans the texts once.
+#: Bytes of item text that one automaton holds. A larger benchmark is cut into parts
+#: of about this size; each is read to the driver and scanned for in a pass of its own.
 AUTOMATON_BYTES = 16_000_000
 
 _FOLD = bytes(
@@ -92,21 +92,59 @@ class Scanner:
         return len(words), merged, items
 
 
-_SCANNERS: dict[str, list[Scanner]] = {}
+_PART = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("words", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
+_RESULT = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("n_items", T.LongType()),
+        T.StructField("item_ids", T.ArrayType(T.StringType())),
+        T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("contaminated", T.BooleanType()),
+    ]
+)
 
 
-def _shards(items: list[tuple]) -> list[list[tuple]]:
-    """Runs of items whose texts stay within AUTOMATON_BYTES, one item at least."""
-    out: list[list[tuple]] = [[]]
-    size = 0
-    for item in items:
-        n = len((item[1] or "").encode("utf-8"))
-        if out[-1] and size + n > AUTOMATON_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += n
-    return out
+def _described(text: str, n: int, words: list[tuple[int, int]], names: set[str | None]) -> tuple:
+    """A row of _RESULT from hit word intervals and hit items."""
+    hit = np.zeros(n + 1, bool)
+    for a, b in words:
+        hit[a:b] = True
+    n_hit = int(hit.sum())
+    out = []
+    if n_hit:
+        where = word_spans(text)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
+        out = [{"start": where[a][0], "end": where[b - 1][1]} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return n, n_hit, len(names), sorted("null" if i is None else i for i in names), out, n_hit > 0
+
+
+def _scanned(df: DataFrame, box: str, text_col: str, items: list[tuple], window: int, before: str | None, last: bool) -> DataFrame:
+    """Add ``box``: what ``before`` knows and what one automaton of ``items`` finds, in its last form after the last pass."""
+    ids = [i for i, _ in items]
+    key = ("windows", window, hashlib.sha256(repr(items).encode()).hexdigest())
+
+    def make():
+        scanner = worker_state(key, lambda: Scanner(item_windows(items, window)))
+
+        def one(text: str, known: dict | None) -> tuple:
+            n, words, found = scanner.scan(text)
+            names = {ids[k] for k in found}
+            if known is not None:
+                words = [*words, *((w["start"], w["end"]) for w in known["words"])]
+                names.update(known["items"])
+            return _described(text, n, words, names) if last else (n, [{"start": a, "end": b} for a, b in words], sorted(names, key=lambda i: (i is None, i)))
+
+        return lambda texts, known: [list(c) for c in zip(*map(one, texts.to_pylist(), known.to_pylist()), strict=True)]
+
+    earlier = F.col(f"`{before}`") if before else F.lit(None).cast(_PART)
+    return with_struct(df, box, [F.coalesce(F.col(f"`{text_col}`"), F.lit("")), earlier], _RESULT if last else _PART, make)
 
 
 def contamination(
@@ -121,51 +159,28 @@ def contamination(
     """Add ``n_words, n_hit, n_items, item_ids, hit_spans, contaminated`` to every row.
 
     ``hit_spans`` are code point spans of the original text. Null texts have no
-    words; null or empty items have no windows; items with equal ids count once
-    and null ids are named ``null``. An empty benchmark hits nothing. The benchmark
-    is read to the driver as question and answer sets are; one automaton holds at
-    most AUTOMATON_BYTES of it and further ones take the rest.
+    words; null or empty items have no windows; items with equal ids count once; those
+    without an id count as one, named ``null``. An empty benchmark hits nothing.
+    Columns of these names are replaced. The driver holds AUTOMATON_BYTES of the
+    benchmark, or one item, at a time: of a larger one each part takes a pass over
+    the texts, written to the shared folder before the next.
     """
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).dropDuplicates().collect()
-    items = sorted(((r["i"] if r["i"] is not None else "null", r["t"] or "") for r in rows), key=lambda x: (x[0], x[1]))
-    shards = _shards(items)
-    groups = [[i for i, _ in part] for part in shards]
-    keyed = hashlib.sha256(repr((window, items)).encode()).hexdigest()
-
-    def make():
-        if keyed not in _SCANNERS:
-            _SCANNERS.clear()
-            _SCANNERS[keyed] = [Scanner(item_windows(part, window)) for part in shards]
-        scanners = _SCANNERS[keyed]
-
-        def one(text):
-            n, spans, names = 0, [], set()
-            for scanner, ids in zip(scanners, groups, strict=True):
-                n, own, ks = scanner.scan(text)
-                spans += own
-                names.update(ids[k] for k in ks)
-            hit = np.zeros(n + 1, bool)
-            for a, b in spans:
-                hit[a:b] = True
-            n_hit = int(hit.sum())
-            out = []
-            if n_hit:
-                where = word_spans(text)
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit])))
-                out = [{"start": where[a][0], "end": where[b - 1][1]} for a, b in zip(edge[::2], edge[1::2], strict=True)]
-            return n, n_hit, len(names), sorted(names), out, n_hit > 0
-
-        return lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)]
-
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("n_items", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())),
-        T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField("contaminated", T.BooleanType()),
-    ]
-    return map_texts(df, text_col, fields, make, keep)
+    known = benchmark.select(F.col(item_id).cast("string").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).dropDuplicates()
+    size = known.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
+    passes = max(1, -(-size // AUTOMATON_BYTES))
+    kept = [c for c in (df.columns if keep is None else keep) if c not in _RESULT.names]
+    out = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text_col])])
+    before = None
+    for k in range(passes):
+        rows = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()
+        items = sorted(((r["i"], r["t"]) for r in rows), key=lambda x: (x[0] is None, x[0] or "", x[1]))
+        box, last = free_name("__found", out), k == passes - 1
+        out = _scanned(out, box, text_col, items, window, before, last)
+        if before:
+            out = out.drop(before)
+        if not last:
+            out, before = materialize(out, "scanned"), box
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"{box}.{c}").alias(c) for c in _RESULT.names])
 
 
 def items_digest(ids: list[str]) -> str:

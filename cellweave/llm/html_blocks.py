@@ -113,6 +113,7 @@ def blocks(page: str) -> list[Block]:
     open_names: Counter = Counter()
     chrome, hint, inside, any_main = 0, "", False, False
     silent: _Silent | None = None
+    endless: set[str] = set()  # elements of RAW that nothing ends any more
     muted = False  # inside an unclosed element without text: up to the next block
     at, last = 0, max(page.rfind(">"), page.rfind("<!--"))
 
@@ -166,7 +167,9 @@ def blocks(page: str) -> list[Block]:
             if raw.rstrip().endswith("/"):
                 continue
             if name in RAW:
-                end = _RAW_END[name].search(page, at)
+                end = None if name in endless else _RAW_END[name].search(page, at)
+                if end is None:
+                    endless.add(name)
                 if end:
                     stop = page.find(">", end.end())
                     at = stop + 1 if stop >= 0 else len(page)

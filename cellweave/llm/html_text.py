@@ -6,14 +6,14 @@ pages without an article) the repeats decide, place by place:
 
 1. Blocks outside an article's prose that follow one another in one slot form a
    segment, a stream of tokens. Equal segments of a host are put together, with the
-   least and the greatest page that holds them.
+   least and the greatest of the pages that hold them.
 2. Segments of a host are concatenated in blocks of BLOCK_TOKENS, a stop token between
    them, and each block's suffix array and LCP array are built. Suffixes that share RUN
    tokens or more stand together; if they lie on distinct pages the substring repeats.
    What does not repeat inside its block travels as one window hash with its pages, so
    blocks, and hosts, are compared whole wherever a segment was put.
-3. A segment's share of repeated tokens is evidence on its slot, each different text
-   once. Evidence of a host counts beside that of all hosts, and both beside the prior
+3. A segment's share of repeated tokens is evidence on its slot, once for each page (a
+   page and its copies count as one). Evidence of a host counts beside that of all hosts, and both beside the prior
    of the markup. From LEAST_RATE on a slot is boilerplate on that host and goes.
 """
 
@@ -39,11 +39,11 @@ BLOCK_TOKENS = 200_000
 DEPTH = 64
 #: Rate of repeated tokens from which a slot is boilerplate.
 LEAST_RATE = 0.5
-#: What the markup alone makes likely, as (rate, number of texts that it weighs).
+#: What the markup alone makes likely, as (rate, number of pages that it weighs).
 PRIOR = {BESIDE: (0.6, 5.0), HINTED: (0.6, 5.0), OPEN: (0.2, 5.0)}
 #: The same for text that a hint marks inside an article.
 PRIOR_INSIDE = (0.4, 5.0)
-#: Texts that the evidence of all hosts weighs beside a host's own.
+#: Pages that the evidence of all hosts weighs beside a host's own.
 OTHER_HOSTS = 10.0
 
 
@@ -119,7 +119,7 @@ def suffix_array(tokens: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np
 def window_keys(tokens: np.ndarray, run: int) -> np.ndarray:
     """64-bit hash of each window of ``run`` token hashes."""
     n = max(0, len(tokens) - run + 1)
-    h = np.full(n, run, np.uint64)
+    h = np.full(n, run * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF, np.uint64)
     for k in range(run):
         h = (h ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
@@ -172,24 +172,42 @@ def block_repeats(streams: list[np.ndarray], low: np.ndarray, high: np.ndarray,
     return starts, others, np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
 
 
-_SEGMENT = "host string, slot string, kind int, inside int, seg binary, sketch long, tokens binary, page long"
+_SEGMENT = "host string, slot string, kind int, inside int, seg binary, tokens binary, page long"
+
+
+_MINIMA = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _SEGMENT from host, page key and html."""
+    """Rows of _SEGMENT from host and html.
+
+    A page is known by three minima over the windows of its whole text, so that a page
+    and its copies, whose text is no boilerplate, mostly count as one.
+    """
     hashes: dict[str, int] = {}
-    for part in (p for batch in batches for p in row_runs(batch, 2)):
+
+    def hashed(words: list[str]) -> np.ndarray:
+        if len(hashes) > 200_000:
+            hashes.clear()
+        return np.array([hashes.get(w) or hashes.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in words], np.uint64)
+
+    def known_by(tokens: np.ndarray) -> int:
+        keys = window_keys(tokens, min(RUN, len(tokens))).view(np.uint64)
+        return xxhash.xxh3_64_intdigest(np.array([(keys * m).min() for m in _MINIMA], np.uint64).tobytes()) - (1 << 63)
+
+    for part in (p for batch in batches for p in row_runs(batch, 1)):
         rows = []
-        for host, page, source in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-            for slot, words in segments(blocks(source)):
-                if len(hashes) > 200_000:
-                    hashes.clear()
-                tokens = np.array([hashes.get(w) or hashes.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))) for w in words], np.uint64)
+        for host, source in zip(*(part.column(i).to_pylist() for i in range(2)), strict=True):
+            found = blocks(source)
+            own = segments(found)
+            if own:
+                page = known_by(hashed([w for b in found for w in b.text.split()]))
+            for slot, words in own:
+                tokens = hashed(words)
                 data = tokens.tobytes()
-                keys = window_keys(tokens, min(RUN, len(tokens)))
-                rows.append((host, slot, int(slot[0]), int(slot[2]), xxhash.xxh3_128_digest(data), int(keys.min()), data, page))
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "slot", "kind", "inside", "seg", "sketch", "tokens", "page"])
+                rows.append((host, slot, int(slot[0]), int(slot[2]), xxhash.xxh3_128_digest(data), data, page))
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["host", "slot", "kind", "inside", "seg", "tokens", "page"])
 
 
 #: Rows of a block: the hash of a window with its pages (seg is null), repeated starts of a segment (starts), or a start that other blocks may repeat (hash and seg).
@@ -265,15 +283,12 @@ def repeated_shares(found: DataFrame) -> DataFrame:
 
 
 def boilerplate_slots(pages: DataFrame) -> DataFrame:
-    """``host, removed`` (slots) of hosts with boilerplate, from ``host, page, html``."""
-    raw = map_arrow(pages.select("host", "page", "html"), _parse, _SEGMENT)
-    kept = raw.groupBy("host", "slot", "kind", "inside", "seg", "sketch").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.first("tokens").alias("tokens"))
-    kept = materialize(kept, "segments")
-    # A segment of several slots or hosts is one text: its pages are those of all of them.
-    texts = kept.groupBy("host", "seg").agg(F.first("tokens").alias("tokens"), F.min("low").alias("low"), F.max("high").alias("high"))
+    """``host, removed`` (slots) of hosts with boilerplate, from ``host, html``."""
+    raw = materialize(map_arrow(pages.select("host", "html"), _parse, _SEGMENT), "segments")
+    texts = raw.groupBy("host", "seg").agg(F.first("tokens").alias("tokens"), F.min("page").alias("low"), F.max("page").alias("high"))
     shares = repeated_shares(texts)
-    # Each different text counts once; near copies mostly share their least window and count once too.
-    evidence = kept.select("host", "slot", "kind", "inside", "seg", "sketch").join(shares, "seg").groupBy("host", "slot", "kind", "inside", "sketch").agg(F.max("share").alias("share"))
+    places = raw.groupBy("host", "slot", "kind", "inside", "page", "seg").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    evidence = places.join(shares, "seg").groupBy("host", "slot", "kind", "inside", "page").agg(F.avg("share").alias("share"))
     by_host = materialize(evidence.groupBy("host", "slot", "kind", "inside").agg(F.count(F.lit(1)).alias("n"), F.sum("share").alias("c")), "slots")
     rate, weight = F.lit(None).cast("double"), F.lit(None).cast("double")
     for kind in (BESIDE, HINTED, OPEN):
@@ -291,13 +306,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row for each page: id, url, ``text``, ``n_chars``, ``n_repeated``, ``n_chrome`` (blocks removed by repeats, by markup).
 
     Null html counts as empty, null or odd urls share the host ``""``; equal pages
-    are all kept, and rows that are equal in id, url and html count as one page. Other
-    columns are ignored. The slots of a host travel to its pages by a join that
+    and rows are all kept, but count as one in the search for repeats. Other columns are
+    ignored. The slots of a host travel to its pages by a join that
     Spark broadcasts only while their table is small.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    slots = materialize(boilerplate_slots(src.select("host", F.xxhash64("id", "url", "html").alias("page"), "html")), "boilerplate")
+    slots = materialize(boilerplate_slots(src), "boilerplate")
     result = T.StructType(
         [T.StructField(id_col, src.schema["id"].dataType), T.StructField(url_col, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
          T.StructField("n_repeated", T.LongType()), T.StructField("n_chrome", T.LongType())]

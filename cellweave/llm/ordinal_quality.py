@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import TwoAgeCache, map_texts, table
+from cellweave.llm.common import RUN_BYTES, TwoAgeCache, map_texts, table
 from cellweave.llm.token_files import word_pieces
 from cellweave.llm.vector_text import LETTER, LOWER, MARK, name_pieces, sums_between, text_bytes
 
@@ -32,8 +32,6 @@ FIT_ROWS = 8_000
 LEAST_SEEN = 6
 #: Tail probability of the best grade from which a document is kept.
 KEEP_FROM = 0.65
-#: Bytes of text that are rated at a time: pairs of texts and pieces take tens of bytes for each byte.
-RUN_BYTES = 1_000_000
 #: Times that a shape feature counts.
 SHAPE_WEIGHT = 4
 CACHE_WORDS = 100_000
@@ -165,11 +163,39 @@ class OrdinalModel:
         return score
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def thresholds_of(p: np.ndarray, d: int) -> np.ndarray:
+    """Ascending thresholds from parameters: the first one and the logarithms of the gaps."""
+    return p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
+
+
+def loss_and_gradient(p: np.ndarray, rows: np.ndarray, cols: np.ndarray, y: np.ndarray, d: int, k: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of grades ``y`` with its ridge term, and the gradient.
+
+    ``p``: ``d`` weights, the first threshold and the logarithms of the gaps. Row
+    ``rows[i]`` holds feature ``cols[i]``.
+    """
+    n, w = len(y), p[:d]
+    s = np.bincount(rows, w[cols], n) if d else np.zeros(n)
+    edges = np.concatenate([[-np.inf], thresholds_of(p, d), [np.inf]])
+    hi, lo = _sigmoid(edges[y + 1] - s), _sigmoid(edges[y] - s)
+    hi[y == k - 1], lo[y == 0] = 1.0, 0.0
+    inside = np.maximum(hi - lo, 1e-9)
+    dens_hi, dens_lo = hi * (1 - hi), lo * (1 - lo)
+    by_score = (dens_hi - dens_lo) / inside / n
+    by_theta = np.bincount(y, -dens_hi / inside, k)[: k - 1] / n + np.bincount(y, dens_lo / inside, k)[1:] / n
+    by_gap = np.exp(p[d + 1 :]) * by_theta[::-1].cumsum()[::-1][1:]
+    grad = np.concatenate([np.bincount(cols, by_score[rows], d) + l2 * w, [by_theta.sum()], by_gap])
+    return float(-np.log(inside).mean() + l2 * (w @ w) / 2), grad
+
+
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = 160, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
     """Maximum likelihood of the cumulative link by Adam over all rows.
 
-    Thresholds are a first value and log gaps, so they stay ordered. Row order does
-    not matter; a feature that repeats within a row counts as often.
+    Row order does not matter; a feature that repeats within a row counts as often.
     """
     rows = np.repeat(np.arange(len(features)), [len(f) for f in features])
     keys, code, seen = np.unique(np.concatenate(features) if features else np.zeros(0, np.uint32), return_inverse=True, return_counts=True)
@@ -179,30 +205,18 @@ def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: in
     rows, cols = rows[mask], place[code[mask]]
     keys = keys[good]
     y = np.asarray(grades, np.int64)
-    n, d, k = len(y), len(keys), n_grades
-    share = np.clip(np.cumsum(np.bincount(y, minlength=k))[:-1] / n, 1e-4, 1 - 1e-4)
+    d, k = len(keys), n_grades
+    share = np.clip(np.cumsum(np.bincount(y, minlength=k))[:-1] / len(y), 1e-4, 1 - 1e-4)
     first = np.log(share / (1 - share))
     p = np.concatenate([np.zeros(d), [first[0]], np.log(np.maximum(1e-2, np.diff(first)))])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for step in range(1, steps + 1):
-        w, gaps = p[:d], np.exp(p[d + 1 :])
-        theta = p[d] + np.concatenate([[0.0], np.cumsum(gaps)])
-        s = np.bincount(rows, w[cols], n)
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        hi, lo = sig(edges[y + 1] - s), sig(edges[y] - s)
-        hi[y == k - 1], lo[y == 0] = 1.0, 0.0
-        dens_hi, dens_lo = hi * (1 - hi), lo * (1 - lo)
-        inv = 1 / np.maximum(hi - lo, 1e-9)
-        by_score = (dens_hi - dens_lo) * inv / n
-        by_theta = np.bincount(y, -dens_hi * inv, k)[: k - 1] / n + np.bincount(y, dens_lo * inv, k)[1:] / n
-        grad = np.concatenate([np.bincount(cols, by_score[rows], d) + l2 * w, [by_theta.sum()], gaps * by_theta[::-1].cumsum()[::-1][1:]])
+        _, grad = loss_and_gradient(p, rows, cols, y, d, k, l2)
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         now = rate * min(1.0, 3 * (1 - step / (steps + 1)))
         p = p - now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    theta = p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
-    return OrdinalModel({int(h): float(x) for h, x in zip(keys, p[:d], strict=True) if abs(x) > 1e-4}, tuple(map(float, theta)))
+    return OrdinalModel({int(h): float(x) for h, x in zip(keys, p[:d], strict=True) if abs(x) > 1e-4}, tuple(map(float, thresholds_of(p, d))))
 
 
 def fit_model(documents: DataFrame, ratings: DataFrame, n_grades: int = 3, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", fit_rows: int = FIT_ROWS) -> OrdinalModel:

@@ -25,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import RUN_BYTES, TEXT, KeyFilter, TwoAgeCache, map_arrow, materialize, release_memory, row_runs, table, text_runs
+from cellweave.llm.common import TEXT, KeyFilter, TwoAgeCache, free_name, map_arrow, materialize, row_runs, table, with_struct
+from cellweave.llm.vector_text import LETTER, name_pieces, text_bytes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as its context.
@@ -57,6 +57,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W_]{3,}")
+_TOKEN_BYTE = LETTER.copy()
+_TOKEN_BYTE[0x30:0x3A] = _TOKEN_BYTE[0x80:] = True
 _HEX = re.compile(r"[0-9a-f]{8,}")
 
 
@@ -144,11 +146,30 @@ def sum_ended(ends: list[int], at: int) -> int:
     return bisect_left(ends, at + 1)
 
 
-def term_keys(text: str, spans: list[tuple[int, int, int]], key) -> set:
-    """``key`` of the different tokens of a text outside base spans (``key`` maps equal terms to equal values)."""
-    if spans:
-        return {key(text[a:b]) for a, b, _ in free_terms(text, spans)}
-    return set(map(key, set(_TERM.findall(text))))
+def named_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Different runs of token bytes of a batch of texts, the number of the run at each place, and the text of each place.
+
+    ASCII marks, space and the underscore never belong to a token, so tokens lie inside such runs.
+    """
+    data, edges = text_bytes(texts)
+    solid = _TOKEN_BYTE[data]
+    begin, stop = solid.copy(), np.append(~solid, True)
+    begin[1:] &= ~solid[:-1]
+    first = edges[:-1][np.diff(edges) > 0]
+    begin[first] = solid[first]
+    stop[1:-1] |= begin[1:]
+    starts, stops = np.flatnonzero(begin), np.flatnonzero(stop)
+    ends = stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
+    long = ends - starts > 2
+    starts, ends = starts[long], ends[long]
+    codes, names = name_pieces(data, starts, ends)
+    return names, codes, np.searchsorted(edges, starts, side="right") - 1
+
+
+def keys_of_run(run: bytes, key) -> tuple:
+    """Different keys of the tokens of a run, without the false ones."""
+    found = (key(run.decode()),) if run.isascii() else tuple({key(t) for t in _TERM.findall(run.decode("utf-8"))})
+    return tuple(k for k in found if k is not False)
 
 
 def events(text: str) -> Iterator[tuple[str, set[str], str | None]]:
@@ -224,19 +245,29 @@ def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
             return h if wanted.has(h) else False
 
         key = TwoAgeCache(look, CACHE_TERMS).__getitem__
+        runs = TwoAgeCache(lambda run: keys_of_run(run, key), CACHE_TERMS)
         sums: dict[int, float] = {}
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(sums.keys()), pa.int64()), pa.array(list(sums.values()), pa.float64())], names=["term", "n"])
 
         for part in (p for batch in batches for p in row_runs(batch, 0)):
-            for text, weight in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for t in term_keys(text, base_spans(text), key):
-                    if t is not False:
-                        sums[t] = sums.get(t, 0.0) + weight
-                if len(sums) >= COUNTED:
-                    yield out()
-                    sums.clear()
+            weights = part.column(1).to_numpy(zero_copy_only=False)
+            marked = {}
+            for i, text in enumerate(part.column(0).to_pylist()):
+                if spans := base_spans(text):
+                    marked[i] = {k for a, b, _ in free_terms(text, spans) if (k := key(text[a:b])) is not False}
+            names, codes, owner = named_tokens(part.column(0))
+            keys = [runs[n] for n in names]
+            wanted_code = np.array([bool(k) for k in keys], bool)
+            hit = np.flatnonzero(wanted_code[codes]) if len(keys) else np.zeros(0, np.int64)
+            met = {(t, k) for t, c in zip(owner[hit].tolist(), codes[hit].tolist(), strict=True) if t not in marked for k in keys[c]}
+            met.update((t, k) for t, ks in marked.items() for k in ks)  # tokens inside an entity do not count
+            for t, k in met:
+                sums[k] = sums.get(k, 0.0) + weights[t]
+            if len(sums) >= COUNTED:
+                yield out()
+                sums.clear()
         if sums:
             yield out()
 
@@ -257,17 +288,14 @@ def _mark(df: DataFrame, text_col: str, before: str | None, terms: np.ndarray, b
     """
     result = T.StructType([T.StructField("spans", SPAN_TYPE), T.StructField("text", T.StringType())])
 
-    def spans_of(text: str, known: list[dict] | None, strong) -> list[tuple[int, int, int]]:
+    def spans_of(text: str, known: list[dict] | None, strong, look: bool) -> list[tuple[int, int, int]]:
         base = base_spans(text)
         out = base if known is None else [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in known]
-        if len(terms) and True in term_keys(text, base, strong):
+        if look:
             out = sorted([*out, *((a, 4, b) for a, b, _ in free_terms(text, base) if strong(text[a:b]))])
         return out
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = list(to_arrow_schema(result).types)
+    def make():
         order = array("q", terms.tobytes())
 
         def look(token: str) -> bool:
@@ -276,21 +304,23 @@ def _mark(df: DataFrame, text_col: str, before: str | None, terms: np.ndarray, b
             return i < len(order) and order[i] == h
 
         strong = TwoAgeCache(look, CACHE_TERMS).__getitem__
-        for texts, known in batches:
-            parts = []
-            for lo, hi in text_runs(pc.binary_length(texts).to_pylist(), RUN_BYTES):
-                own = texts.slice(lo, hi - lo).to_pylist()
-                found = [spans_of(t, k, strong) for t, k in zip(own, known.slice(lo, hi - lo).to_pylist(), strict=True)]
-                new = [replaced(t, [(a, KINDS[k], b) for a, k, b in s]) if rewritten and s else None for t, s in zip(own, found, strict=True)]
-                named = [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in s] for s in found]
-                parts.append(pa.StructArray.from_arrays([pa.array(named, types[0]), pa.array(new, types[1])], names=["spans", "text"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("spans", types[0]), ("text", types[1])]))
-        release_memory()
-
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    call = F.arrow_udf(run, result).asNondeterministic()
+        runs = TwoAgeCache(lambda run: bool(keys_of_run(run, strong)), CACHE_TERMS)
+
+        def run(texts: pa.Array, known: pa.Array):
+            own = texts.to_pylist()
+            may = np.zeros(len(own), bool)
+            if len(terms):
+                names, codes, owner = named_tokens(texts)
+                hit = np.array([runs[n] for n in names], bool)
+                may[owner[hit[codes]] if len(names) else []] = True
+            found = [spans_of(t, k, strong, m) for t, k, m in zip(own, known.to_pylist(), may.tolist(), strict=True)]
+            new = [replaced(t, [(a, KINDS[k], b) for a, k, b in s]) if rewritten and s else None for t, s in zip(own, found, strict=True)]
+            return [[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in s] for s in found], new
+
+        return run
+
     earlier = F.col(f"`{before}`") if before else F.lit(None).cast(SPAN_TYPE)
-    return df.withColumn(box, call(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), earlier))
+    return with_struct(df, box, [F.coalesce(F.col(f"`{text_col}`"), F.lit("")), earlier], result, make)
 
 
 def _marked(df: DataFrame, text_col: str, rewritten: bool) -> tuple[DataFrame, str]:
@@ -301,24 +331,17 @@ def _marked(df: DataFrame, text_col: str, rewritten: bool) -> tuple[DataFrame, s
     """
     strong = materialize(disclosing_terms(df, text_col).select("term"), "terms")
     passes = max(1, -(-strong.count() // TERMS_A_PASS))
-    box, before = _free("__pii", df), None
+    box, before = free_name("__pii", df), None
     for k in range(passes):
         terms = np.sort(np.asarray(strong.where(F.pmod("term", F.lit(passes)) == k).toArrow().column(0).to_numpy(), np.int64))
         last = k == passes - 1
         df = _mark(df, text_col, before, terms, box, rewritten and last)
         if not last:
-            before = _free("__pii_before", df)
+            before = free_name("__pii_before", df)
             df = materialize(df.withColumn(before, F.col(f"{box}.spans")).drop(box), "spans")
     return (df.drop(before) if before else df), box
 
 
-def _free(name: str, df: DataFrame) -> str:
-    """A column name that ``df`` does not have."""
-    while name in df.columns:
-        name += "_"
-    return name
-
-
 def personal_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, spans_col: str = "pii_spans") -> DataFrame:
     """Add ``pii_spans`` (start, kind, end in code points) to every row: fixed patterns and disclosing terms.
 

@@ -13,6 +13,11 @@ of each hash is the least id that holds it.
    hash the least id of all blocks settles the rest.
 3. Decisions meet their documents again by groups of ids; windows become word intervals, which
    are merged and cut out.
+
+Buckets are dealt by a second, independent hash, so two windows count as equal in step 2
+if 64 bits agree and log2(buckets) more. As buckets grow with the windows, n windows have
+n * BUCKET_ENTRIES / 2**65 false equalities to be expected: one in 2e13 windows (some 100
+TB of text), one in a million runs over 100 MB.
 """
 
 from __future__ import annotations
@@ -22,11 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import table, text_runs
+from cellweave.llm.common import map_arrow, row_runs, table
 from cellweave.llm.vector_text import SPACE, text_bytes
 
 WINDOW = 13
@@ -35,13 +39,16 @@ BLOCK_WORDS = 1_500_000
 #: Mean entries of a bucket in the second step.
 BUCKET_ENTRIES = 2_000_000
 
-#: Groups of documents, for each shuffle partition, to which decisions are sent.
+#: Groups of documents to which decisions are sent: for each shuffle partition, and bytes of text of one at most.
 GROUPS = 4
+GROUP_BYTES = 32_000_000
 
 _RANDOM = np.random.default_rng(7_013)
 _BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
+#: Of the hash that deals windows into buckets.
+_DEAL = np.uint64(0xA0761D6478BD642F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _powers = np.ones(1, np.uint64)
 
@@ -88,14 +95,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mixed(total[stops] - total[stops - lengths] + lengths.astype(np.uint64))
 
 
+def rolled(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
+    """Polynomial of each ``window`` word hashes."""
+    n = max(0, len(words) - window + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(window):
+        h *= base
+        h += words[k : k + n]
+    return h
+
+
 def window_hashes(words: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number and word position of every window inside one text; counts: words of each text."""
     n = len(words) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(window):
-        h = h * _ROLL + words[k : k + n]
+    h = rolled(words, window, _ROLL)
     text = np.repeat(np.arange(len(counts)), counts)
     inside = np.flatnonzero(text[:n] == text[window - 1 :])
     first = np.cumsum(counts) - counts
@@ -145,8 +160,11 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
         ids = np.concatenate([b[0] for b in held])
         keys = np.concatenate([b[1] for b in held])
         counts = np.concatenate([b[2] for b in held])
-        h, text, at = window_hashes(np.concatenate([b[3] for b in held]), counts, window)
+        words = np.concatenate([b[3] for b in held])
+        h, text, at = window_hashes(words, counts, window)
         gone = _settle(h, ids[text])
+        first = np.cumsum(counts) - counts
+        deal = _mixed(rolled(words, window, _DEAL)[(first[text] + at)[~gone]])
         rows: list[tuple] = []
         t, p = text[gone], at[gone]
         if len(t):
@@ -155,7 +173,7 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
                 spans = np.array(intervals(p[a:b], window), "<i4").tobytes()
                 rows.append((-1, int(ids[t[a]]), int(keys[t[a]]), spans, None, None, None))
         h, text = h[~gone], text[~gone]
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        bucket = ((deal >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         h, text, bucket = h[order], text[order], bucket[order]
         edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -164,17 +182,15 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
             rows.append((k, None, None, None, h[a:b].tobytes(), *_runs(ids[text[a:b]])))
         return _batch(rows)
 
-    for batch in batches:
-        for lo, hi in text_runs(pc.binary_length(batch.column(2)).to_pylist(), 4_000_000):
-            part = batch.slice(lo, hi - lo)
-            data, edges = text_bytes(part.column(2))
-            starts, ends = word_bounds(data, edges)
-            per = np.diff(np.searchsorted(starts, edges))
-            held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), per, word_hashes(data, starts, ends)))
-            size += len(starts)
-            if size >= BLOCK_WORDS:
-                yield out()
-                held, size = [], 0
+    for part in (p for batch in batches for p in row_runs(batch, 2)):
+        data, edges = text_bytes(part.column(2))
+        starts, ends = word_bounds(data, edges)
+        per = np.diff(np.searchsorted(starts, edges))
+        held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), per, word_hashes(data, starts, ends)))
+        size += len(starts)
+        if size >= BLOCK_WORDS:
+            yield out()
+            held, size = [], 0
     if held:
         yield out()
 
@@ -205,8 +221,8 @@ def _global(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Recor
         return _batch([(int(group[a]), None, None, None, h[a:b].tobytes(), *_runs(ids[a:b])) for a, b in zip(edge, edge[1:], strict=False)])
 
     at, held = None, []
-    for batch in batches:
-        rows = list(zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True))
+    for part in (p for batch in batches for p in row_runs(batch, 3, 4, 5, 6, most=8_000_000)):
+        rows = list(zip(*(part.column(i).to_pylist() for i in range(7)), strict=True))
         settled = [(r[1] % groups, *r[1:]) for r in rows if r[0] < 0]
         if settled:
             yield _batch(settled)
@@ -226,9 +242,9 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     """Step 3: rows sorted by group, decisions before texts; one row for each text."""
     at, spans, found = None, {}, {}
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-    for batch in batches:
+    for part in (p for batch in batches for p in row_runs(batch, 4, 5, 6, 7, 8, most=4_000_000)):
         out: list[tuple] = []
-        for group, kind, doc, text_hash, span, hashes, docs, counts, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+        for group, kind, doc, text_hash, span, hashes, docs, counts, text in zip(*(part.column(i).to_pylist() for i in range(9)), strict=True):
             if group != at:
                 at, spans, found = group, {}, {}
             if kind == 0:
@@ -272,10 +288,10 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     known = src.where("doc is not null").select("doc", "text_hash", "text")
     size = known.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(parts, int(size / 7 / BUCKET_ENTRIES) + 1)
-    entries = known.mapInArrow(lambda batches: _local(batches, window, buckets), _ROWS)
+    entries = map_arrow(known, lambda batches: _local(batches, window, buckets), _ROWS)
     dealt = entries.repartition(parts, F.when(F.col("bucket") < 0, F.col("doc")).otherwise(F.col("bucket").cast("long"))).sortWithinPartitions("bucket")
-    groups = parts * GROUPS
-    decided = dealt.mapInArrow(lambda batches: _global(batches, groups), _ROWS).withColumnRenamed("bucket", "group")
+    groups = max(parts * GROUPS, int(size / GROUP_BYTES) + 1)
+    decided = map_arrow(dealt, lambda batches: _global(batches, groups), _ROWS).withColumnRenamed("bucket", "group")
     none = lambda kind: F.lit(None).cast(kind)
     # Null ids are dealt by text: nothing has to meet there.
     texts = src.select(
@@ -284,7 +300,7 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     )
     both = decided.select("group", F.lit(0).alias("kind"), "doc", "text_hash", "spans", "hashes", "docs", "counts", none("string").alias("text")).unionByName(texts)
     met = both.repartition(parts, "group").sortWithinPartitions("group", "kind")
-    return met.mapInArrow(lambda batches: _cut(batches, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>")
+    return map_arrow(met, lambda batches: _cut(batches, window), "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<start: int, end: int>>")
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:
