@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.runtime import materialize
+from cellweave.runtime import discard, materialize
 
 
 def map_labels(df: DataFrame, column: str, names: Mapping, out: str) -> DataFrame:
@@ -53,25 +53,115 @@ def predict(model, df: DataFrame, probabilities: bool = False, keep_truth: bool
     return out.select(*columns, *([vector_to_array("probability").alias("probabilities")] if probabilities else []))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def label_propagation(edges: DataFrame) -> DataFrame:
     """``id, community`` of a weighted graph ``src, dst, weight``: each vertex takes the heaviest label around it.
 
-    Vertices keep their label on ties with it, else the least label wins; rounds stop
-    when nothing changes, and labels that still move after ``rounds`` are an error.
-    Written to the shared folder each round.
+    Vertices keep their label on ties with it, else the least label wins. Half of the
+    vertices, by a hash of the round, move at a time, so neighbours do not swap labels for
+    ever; each move of a vertex alone makes the weight of edges inside labels grow, so
+    the rounds come to an end. Written to the shared folder each round.
     """
     both = materialize(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "graph")
     labels = materialize(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
-    for step in range(rounds):
+    step = 0
+    while True:
         votes = both.join(labels.withColumnsRenamed({"id": "dst", "community": "vote"}), "dst").groupBy(F.col("src").alias("id"), F.col("vote").alias("vote")).agg(F.sum("weight").alias("w"))
         best = votes.join(labels, "id").groupBy("id").agg(F.max_by("vote", F.struct("w", (F.col("vote") == F.col("community")), -F.col("vote"))).alias("next"), F.first("community").alias("community"))
-        # Half the vertices move at a time, so neighbours do not swap labels for ever.
-        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("community"))
+        # Later rounds move fewer at a time: in the end single vertices, which cannot go round in circles.
+        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2 + step // 8)) == 0, F.col("next")).otherwise(F.col("community"))
         moved = materialize(best.select("id", turn.alias("community"), (F.col("next") != F.col("community")).alias("moves")), "labels")
+        discard(labels)
         labels = moved.select("id", "community")
+        labels._cellweave_path = moved._cellweave_path
         if moved.where("moves").isEmpty():
             return labels
-    raise RuntimeError(f"labels still move after {rounds} rounds")
+        step += 1
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of ``labels`` (id, community) on a weighted graph ``src, dst, weight``; loops count once."""
+    sides = edges.join(labels.withColumnsRenamed({"id": "src", "community": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "community": "b"}), "dst")
+    total, inside = sides.agg(F.sum("weight"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0))).first()
+    if not total:
+        return 0.0
+    degrees = sides.select(F.col("a").alias("c"), "weight").unionByName(sides.select(F.col("b").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
+    return inside / total - resolution * degrees.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * total * total)
+
+
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, patience: int = 4) -> DataFrame:
+    """``id, community`` of a weighted undirected graph ``src, dst, weight`` by local moves and merging.
+
+    On each level vertices move to the neighbouring community that adds most to the
+    modularity, half of them at a time; the best labelling met is kept once ``patience``
+    rounds in turn have not raised it. Then communities become the vertices of the next
+    level, until a level merges none. Communities are named by their least vertex. All
+    levels are joins and aggregates; the driver holds one number a round.
+    """
+    graph = materialize(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
+    vertices = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()
+    whole = materialize(vertices.select("id", F.col("id").alias("community")), "communities")
+    total = graph.agg(F.sum("weight")).first()[0] or 0.0
+    while total:
+        level = _moved(graph, total, resolution, patience)
+        before, whole = whole, materialize(
+            whole.join(level.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")), "communities"
+        )
+        discard(before)
+        a, b = level.select(F.col("id").alias("src"), F.col("community").alias("a")), level.select(F.col("id").alias("dst"), F.col("community").alias("b"))
+        merged = graph.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        settled = level.where("id <> community").isEmpty()
+        old, graph = graph, materialize(merged, "graph")
+        discard(old)
+        discard(level)
+        if settled:
+            break
+    names = whole.groupBy("community").agg(F.min("id").alias("name"))
+    return whole.join(names, "community").select("id", F.col("name").alias("community"))
+
+
+def _moved(graph: DataFrame, total: float, resolution: float, patience: int) -> DataFrame:
+    """Best labelling of one level: ``id, community``."""
+    ends = materialize(graph.where("src <> dst").select("src", "dst", "weight").unionByName(graph.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "ends")
+    degree = graph.select(F.col("src").alias("id"), "weight").unionByName(graph.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
+    labels = materialize(degree.select("id", F.col("id").alias("community"), "k"), "moves")
+    best, most, waited, step = labels, modularity(graph, labels.select("id", "community"), resolution), 0, 0
+    while waited < patience:
+        tot = labels.groupBy("community").agg(F.sum("k").alias("tot"))
+        near = ends.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
+        own = labels.select("id", F.col("community").alias("c"), F.lit(0.0).alias("w"))  # a vertex may stay where none of its neighbours is
+        asked = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(labels, "id").join(tot.withColumnRenamed("community", "c"), "c")
+        rest = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
+        gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(2.0 * total)
+        chosen = asked.groupBy("id").agg(F.max_by("c", F.struct(F.round(gain, 9), F.col("c") == F.col("community"), -F.col("c"))).alias("next"), F.first("community").alias("community"), F.first("k").alias("k"))
+        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("community"))
+        moved = materialize(chosen.select("id", turn.alias("community"), "k", (F.col("next") != F.col("community")).alias("moves")), "moves")
+        if labels is not best:
+            discard(labels)
+        labels = moved
+        now = modularity(graph, labels.select("id", "community"), resolution)
+        if now > most + 1e-9:
+            if best is not labels:
+                discard(best)
+            best, most, waited = labels, now, 0
+        else:
+            waited += 1
+        step += 1
+        if moved.where("moves").isEmpty():
+            break
+    discard(ends)
+    # Communities are named by their least vertex, so names of one level are vertices of it.
+    names = best.groupBy("community").agg(F.min("id").alias("name"))
+    return materialize(best.join(names, "community").select("id", F.col("name").alias("community")), "level")
+
+
+def resolution_sweep(edges: DataFrame, resolutions: Sequence[float]) -> DataFrame:
+    """``resolution, communities, modularity`` of the communities at each resolution."""
+    rows = []
+    for r in resolutions:
+        found = materialize(modularity_communities(edges, r), "sweep")
+        rows.append((float(r), found.select("community").distinct().count(), modularity(edges, found, r)))
+        discard(found)
+    return edges.sparkSession.createDataFrame(rows, "resolution double, communities long, modularity double")
 
 
 def cluster_markers(df: DataFrame, markers: Sequence[str], n: int, seed: int = 42, out: str = "cluster") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.functions.scalars import ratio
 
@@ -125,3 +126,29 @@ def linear_fit(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and correlation of y on x in each group."""
     aggs = [F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("corr")]
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def by_absolute_sum(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """``df`` with ``row_rank`` and ``column_rank`` (from 1): rows and columns of a long table by their sums of absolute values, greatest first, ties by name."""
+
+    def ranks(of: str, name: str) -> DataFrame:
+        sums = df.groupBy(of).agg(F.sum(F.abs(F.col(value))).alias("__s"))
+        return sums.select(of, F.row_number().over(Window.orderBy(F.desc("__s"), of)).alias(name))  # one row a name, already aggregated
+
+    return df.join(ranks(row, "row_rank"), row).join(ranks(column, "column_rank"), column)
+
+
+def custom_order(df: DataFrame, column: str, order: Sequence) -> DataFrame:
+    """Rows whose value is listed, in the order of the list, with its position (from 0) as ``place``."""
+    listed = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], T.StructType([T.StructField(column, df.schema[column].dataType), T.StructField("place", T.IntegerType())]))
+    return df.join(listed, column).orderBy("place")
+
+
+def side_by_side(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Columns of two tables by a shared key, rows of either kept; a column of both is taken from the left where it has a value.
+
+    Tables are never zipped by position: rows of a distributed table have none.
+    """
+    clash = [c for c in right.columns if c in left.columns and c != key]
+    both = left.join(right.withColumnsRenamed({c: f"__{c}" for c in clash}), key, "full_outer")
+    return both.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in clash}).drop(*[f"__{c}" for c in clash])

@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import normal_cdf
+from cellweave.functions.scalars import phi
 from cellweave.operators.geometry import triangulation_edges, voronoi_polygons
+from cellweave.operators.ranking import running_before
+from cellweave.runtime import materialize
 
-#: Permutations that a task makes of a region at a time.
-RUNS = 50
+#: Permutations that a block deals at a time, and cells of a block at even density.
+RUNS, BLOCK_CELLS = 20, 2000
+#: Rounds of a permutation, and the modulus of its hashes.
+ROUNDS, PRIME = 24, 2_147_483_647
 
 
 def delaunay_edges(df: DataFrame, region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y", truncate: bool = True) -> DataFrame:
@@ -63,18 +67,64 @@ def labelled_edges(edges: DataFrame, cells: DataFrame, cell_id: str = "cell_id",
     return both.join(ends, "id1").join(other, "id2")
 
 
-def permute_labels(cells: DataFrame, seed: Column | int, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type", by: Sequence[str] = ()) -> DataFrame:
-    """Labels dealt anew inside each region by a hash of seed and id: ``by.., region, cell_id, cell_type``.
+def swapped(x: Column, n: Column, step: int) -> Column:
+    """Place of ``x`` under permutation number ``step`` of 0 .. n - 1.
 
-    The label of the n-th cell in hash order goes to the n-th cell in id order, so
-    the labels of a region stay the same multiset.
+    A swap-or-not shuffle: in each round a place and its mirror image change places or
+    not, as a hash of the greater one says; mirrors are drawn by squares, as equal steps
+    between them would only shift places. So a permutation of any length needs neither
+    the other places nor a sort. n is less than 2 ** 31.
     """
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    w = Window.partitionBy(*by, region)
-    mixed = F.xxhash64(seed.cast("long"), F.col(cell_id).cast("long"))
-    to = cells.select(*by, region, cell_id, F.row_number().over(w.orderBy(cell_id)).alias("__n"))
-    given = cells.select(*by, region, cell_type, F.row_number().over(w.orderBy(mixed, F.col(cell_id))).alias("__n"))
-    return to.join(given, [*by, region, "__n"]).drop("__n")
+    rounds = F.array(*[F.lit(step * ROUNDS + i + 1).cast("long") for i in range(ROUNDS)])
+
+    def one(at: Column, c: Column) -> Column:
+        drawn = c * 48271 % PRIME
+        mirror = (drawn * drawn % PRIME * 69621 % PRIME % n + n - at) % n
+        top = F.greatest(at, mirror)
+        bit = F.floor((top + c) % PRIME * (c * 40692 % PRIME) % PRIME / 1024) % 2
+        return F.when(bit == 1, mirror).otherwise(at)
+
+    return F.aggregate(rounds, x.cast("long"), one)
+
+
+def swapped_places(x: np.ndarray, n: int, steps: np.ndarray) -> np.ndarray:
+    """``swapped`` of each place (rows) under each permutation (columns), with numpy."""
+    at = np.repeat(x.astype(np.int64)[:, None], len(steps), axis=1)
+    for i in range(ROUNDS):
+        c = steps.astype(np.int64) * ROUNDS + i + 1
+        drawn = c * 48271 % PRIME
+        mirror = (drawn * drawn % PRIME * 69621 % PRIME % n + n)[None, :] - at
+        mirror %= n
+        top = np.maximum(at, mirror)
+        bit = (top + c) % PRIME * (c * 40692 % PRIME) % PRIME // 1024 % 2
+        at = np.where(bit == 1, mirror, at)
+    return at
+
+
+def _places(cells: DataFrame, region: str, cell_id: str) -> DataFrame:
+    """``cells`` with ``__place``: number of cells of the region with a smaller id."""
+    return running_before(cells.withColumn("__one", F.lit(1)), [region], cell_id, "__one", "__place").drop("__one")
+
+
+def _bounds(cells: DataFrame, region: str, cell_type: str) -> DataFrame:
+    """``region, __type, __low, __high, __n``: each type's share of the places of a region, types in order."""
+    counts = cells.groupBy(region, F.col(cell_type).alias("__type")).agg(F.count(F.lit(1)).alias("__k"))
+    w = Window.partitionBy(region)  # a row for each type
+    high = F.sum("__k").over(w.orderBy(F.col("__type").asc_nulls_first()))
+    return counts.select(region, "__type", (high - F.col("__k")).alias("__low"), high.alias("__high"), F.sum("__k").over(w).alias("__n"))
+
+
+def permute_labels(cells: DataFrame, step: int, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type") -> DataFrame:
+    """Labels dealt anew inside each region: ``region, cell_id, cell_type``.
+
+    The labels of a region, sorted, are dealt to its cells, sorted by id, under
+    permutation ``step``: the multiset of labels stays, and no sort is made for it.
+    """
+    bounds = _bounds(cells, region, cell_type)
+    placed = _places(cells.select(region, cell_id), region, cell_id).join(bounds.select(region, "__n").distinct(), region)
+    dealt = placed.withColumn("__to", swapped(F.col("__place"), F.col("__n"), step))
+    on = (F.col(f"c.{region}") == F.col(f"b.{region}")) & (F.col("__to") >= F.col("__low")) & (F.col("__to") < F.col("__high"))
+    return dealt.alias("c").join(bounds.drop("__n").alias("b"), on).select(F.col(f"c.{region}").alias(region), F.col(f"c.{cell_id}").alias(cell_id), F.col("b.__type").alias(cell_type))
 
 
 def mean_distances(labelled: DataFrame, by: Sequence[str] = ("region",)) -> DataFrame:
@@ -83,106 +133,106 @@ def mean_distances(labelled: DataFrame, by: Sequence[str] = ("region",)) -> Data
     return per_cell.groupBy(*by, "type1", "type2").agg(F.avg("d").alias("mean_dist"))
 
 
-def xxhash64_long(values: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
-    """Spark's xxhash64 of longs as unsigned numbers; a second column is hashed with the first's hash as its seed."""
-    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
-    with np.errstate(over="ignore"):
-        h = (seed + p5 + np.uint64(8)) ^ (turn(values.view(np.uint64) * p2, 31) * p1)
-        h = turn(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-    return h ^ (h >> np.uint64(32))
-
-
-def expected_distances(edges: DataFrame, cells: DataFrame, iterations: int, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type", seed: int = 1234) -> DataFrame:
+def expected_distances(
+    edges: DataFrame, cells: DataFrame, iterations: int, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type",
+    x: str = "x", y: str = "y", first: int = 0,
+) -> DataFrame:
     """Mean distances under ``iterations`` permutations: ``iteration, region, type1, type2, mean_dist``.
 
-    The edges are made once; only labels change, dealt as permute_labels deals them. A
-    region's cells and edges go to a task once for every RUNS iterations.
+    The edges are made once. Each goes with both its directions to the block of the grid
+    that its first end lies in, with the places of both ends, and a block deals their
+    labels as permute_labels deals them, for all iterations; only sums of pairs of
+    types leave it. So neither cells nor edges are copied, and a region of any size
+    spreads over tasks.
     """
-    runs = lambda: F.broadcast(cells.sparkSession.range(-(-iterations // RUNS)).select(F.col("id").alias("run")))
-    key = F.col(cell_id).cast("long")
-    many = cells.select(
-        F.col(region).alias("region"), F.col(cell_id).alias("cell_id"), F.col(cell_type).alias("cell_type"), F.coalesce(key, F.lit(0)).alias("key"), key.isNull().alias("none")
-    ).crossJoin(runs())
-    links = edges.select("region", "id1", "id2", "distance").crossJoin(runs())
-
-    def means(group: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(e):
-            return pd.DataFrame({n: [] for n in ("iteration", "region", "type1", "type2", "mean_dist")})
-        c = c.sort_values("cell_id", ignore_index=True)
-        codes, kinds = pd.factorize(c["cell_type"], use_na_sentinel=False)
-        n, t, place = len(c), len(kinds), pd.Index(c["cell_id"])
-        i, j = place.get_indexer(e["id1"]), place.get_indexer(e["id2"])
-        known = (i >= 0) & (j >= 0)
-        i, j, d = i[known], j[known], e["distance"].to_numpy()[known]
-        src, dst, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-        ids, none = c["key"].to_numpy(np.int64), c["none"].to_numpy(bool)
+    box = cells.groupBy(F.col(region).alias("__r")).agg(
+        F.sqrt(F.greatest((F.max(x) - F.min(x)) * (F.max(y) - F.min(y)), F.lit(1.0)) * BLOCK_CELLS / F.count(F.lit(1))).alias("__side")
+    )
+    spots = _places(cells, region, cell_id).join(box, F.col(region) == F.col("__r"))
+    spots = spots.select(F.col(cell_id).alias("id"), F.col("__place").alias("place"), F.floor(F.col(x) / F.col("__side")).alias("bx"), F.floor(F.col(y) / F.col("__side")).alias("by"))
+    spots = materialize(spots, "places")
+    own = spots.withColumnsRenamed({"id": "id1", "place": "a"})
+    other = spots.select(F.col("id").alias("id2"), F.col("place").alias("b"))
+    both = edges.select(F.col("region").alias("r"), "id1", "id2", "distance").unionByName(edges.select(F.col("region").alias("r"), F.col("id2").alias("id1"), F.col("id1").alias("id2"), "distance"))
+    links = materialize(both.join(own, "id1").join(other, "id2").select("r", "bx", "by", "a", "b", "distance"), "links")
+    bounds = _bounds(cells, region, cell_type).withColumnRenamed(region, "r").select("r", F.col("__type").alias("type"), F.col("__low").alias("low"), F.col("__n").alias("n"))
+    kinds = materialize(links.select("r", "bx", "by").distinct().join(bounds, "r"), "kinds")  # of its own, as it meets the links below
+
+    def sums(key: tuple, e: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        names = ["iteration", "region", "type1", "type2", "total", "cells"]
+        if not len(e) or not len(k):
+            return pd.DataFrame({c: [] for c in names})
+        k = k.sort_values("low", ignore_index=True)
+        low, n, t, types = k["low"].to_numpy(), int(k["n"].iloc[0]), len(k), k["type"].to_numpy(dtype=object)
+        places, where = np.unique(np.concatenate([e["a"].to_numpy(), e["b"].to_numpy()]), return_inverse=True)
+        sources, src = np.unique(where[: len(e)], return_inverse=True)
+        dst, d, m = where[len(e) :], e["distance"].to_numpy(), len(sources)
         found = []
-        for step in range(group[1] * RUNS, min(iterations, (group[1] + 1) * RUNS)):
-            first = xxhash64_long(np.array([step + seed], np.int64), np.uint64(42))
-            mixed = np.where(none, first, xxhash64_long(ids, first)).view(np.int64)
-            label = codes[np.argsort(mixed, kind="stable")]
-            pair = src * t + label[dst]
-            count, total = np.bincount(pair, minlength=n * t), np.bincount(pair, d, n * t)
-            seen = np.flatnonzero(count)
-            both = label[seen // t] * t + seen % t
-            cells_of = np.bincount(both, minlength=t * t)
-            sums = np.bincount(both, total[seen] / count[seen], t * t)
-            at = np.flatnonzero(cells_of)
-            found.append(pd.DataFrame({"iteration": step, "region": group[0], "type1": kinds[at // t], "type2": kinds[at % t], "mean_dist": sums[at] / cells_of[at]}))
+        for at in range(first, first + iterations, RUNS):
+            steps = np.arange(at, min(first + iterations, at + RUNS))
+            labels = np.searchsorted(low, swapped_places(places, n, steps), side="right") - 1
+            for i, step in enumerate(steps.tolist()):
+                label = labels[:, i]
+                pair = src * t + label[dst]
+                count, total = np.bincount(pair, minlength=m * t), np.bincount(pair, d, m * t)
+                seen = np.flatnonzero(count)
+                kind = label[sources][seen // t] * t + seen % t
+                many, mean = np.bincount(kind, minlength=t * t), np.bincount(kind, total[seen] / count[seen], t * t)
+                hit = np.flatnonzero(many)
+                found.append(pd.DataFrame({"iteration": step, "region": key[0], "type1": types[hit // t], "type2": types[hit % t], "total": mean[hit], "cells": many[hit]}))
         return pd.concat(found, ignore_index=True)
 
-    kind = lambda c: many.schema[c].dataType.simpleString()
-    schema = f"iteration long, region {kind('region')}, type1 {kind('cell_type')}, type2 {kind('cell_type')}, mean_dist double"
-    return many.groupBy("region", "run").cogroup(links.groupBy("region", "run")).applyInPandas(means, schema)
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"iteration long, region {kind(links, 'r')}, type1 {kind(bounds, 'type')}, type2 {kind(bounds, 'type')}, total double, cells long"
+    blocks = links.groupBy("r", "bx", "by").cogroup(kinds.groupBy("r", "bx", "by")).applyInPandas(sums, schema)
+    return blocks.groupBy("iteration", "region", "type1", "type2").agg((F.sum("total") / F.sum("cells")).alias("mean_dist"))
 
 
-def mann_whitney(a: Sequence[float], b: Sequence[float]) -> float | None:
-    """Two-sided p-value, normal approximation with tie and continuity correction; None if undefined."""
-    n, m = len(a), len(b)
-    if not n or not m:
-        return None
-    values = sorted([(v, 0) for v in a] + [(v, 1) for v in b])
-    rank_sum, ties, i = 0.0, 0, 0
-    while i < n + m:
-        j = i
-        while j < n + m and values[j][0] == values[i][0]:
-            j += 1
-        rank_sum += sum(1 for k in range(i, j) if values[k][1] == 0) * (i + j + 1) / 2
-        ties += (j - i) ** 3 - (j - i)
-        i = j
-    u = rank_sum - n * (n + 1) / 2
-    u = max(u, n * m - u)
-    total = n + m
-    var = n * m / 12 * (total + 1 - ties / (total * (total - 1)))
-    if var <= 0:
-        return 1.0
-    return min(1.0, 2 * (1 - normal_cdf((u - n * m / 2 - 0.5) / var**0.5)))
+def rank_test(df: DataFrame, by: Sequence[str], value: str, first: str) -> DataFrame:
+    """``by.., pvalue``: Mann-Whitney test of the values where the flag ``first`` holds against the others.
 
-
-def mann_whitney_p(a: str, b: str) -> Column:
-    """p-values of two columns of arrays; null where one is null or empty."""
-
-    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else mann_whitney(list(x), list(y)) for x, y in zip(xs, ys, strict=True)], dtype="float64")
-
-    return F.pandas_udf(run, "double")(F.col(a), F.col(b))
+    Two-sided, normal approximation with tie and continuity correction; null where one
+    side is empty, 1 where all values are equal. Values are first counted, then ranked
+    by running totals that cut large groups into pieces; no list is formed. Null values
+    are left out.
+    """
+    flag = F.col(first)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.sum(F.when(flag, 1).otherwise(0)).alias("__a"), F.count(F.lit(1)).alias("__t"))
+    ranked = running_before(counts, by, "__v", "__t", "__before")
+    t = F.col("__t").cast("double")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(F.col("__a") * (F.col("__before") + (t + 1) / 2)).alias("rank_sum"), F.sum(t * t * t - t).alias("ties"), F.sum("__a").cast("double").alias("n"), F.sum(t).alias("total")
+    )
+    n, m, total = F.col("n"), F.col("total") - F.col("n"), F.col("total")
+    u = F.col("rank_sum") - n * (n + 1) / 2
+    var = n * m / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
+    z = (F.greatest(u, n * m - u) - n * m / 2 - 0.5) / F.sqrt(var)
+    p = F.when((n == 0) | (m == 0), F.lit(None)).when(F.coalesce(var, F.lit(0.0)) <= 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * (1 - phi(z))))
+    return sums.select(*by, p.alias("pvalue"))
 
 
 def compare_distances(observed: DataFrame, expected: DataFrame, min_observed: int = 10) -> DataFrame:
-    """One row for each expected (type1, type2, condition): both lists and means, p-value and log2 fold.
+    """One row for each expected (type1, type2, condition): numbers and means of both sides, p-value and log2 fold.
 
-    ``observed`` holds one ``d`` a cell, ``expected`` one a region and iteration; lists
-    need more than ``min_observed`` values. Pairs never observed keep null figures.
+    ``observed`` holds one ``d`` a cell, ``expected`` one a region and iteration; a side
+    counts if it has more than ``min_observed`` values. Pairs never observed keep null
+    figures.
     """
     key = ["type1", "type2", "condition"]
-    lists = lambda df, n: df.groupBy(*key).agg(F.array_sort(F.collect_list("d")).alias(n), F.avg("d").alias(f"{n}_mean")).where(F.size(n) > min_observed)
-    both = lists(expected, "expected").join(lists(observed, "observed"), key, "left")
-    return both.withColumn("pvalue", mann_whitney_p("expected", "observed")).withColumn("logfold_group", F.log2(F.col("observed_mean") / F.col("expected_mean"))).withColumn(
-        "interaction", F.concat("type1", F.lit(" --> "), "type2")
-    )
+    both = observed.select(*key, "d", F.lit(True).alias("seen")).unionByName(expected.select(*key, "d", F.lit(False).alias("seen")))
+    side = lambda flag, name: (F.sum(F.when(flag, 1).otherwise(0)).alias(f"n_{name}"), F.avg(F.when(flag, F.col("d"))).alias(f"{name}_mean"))
+    means = both.groupBy(*key).agg(*side(F.col("seen"), "observed"), *side(~F.col("seen"), "expected")).where(F.col("n_expected") > min_observed)
+    enough = F.col("n_observed") > min_observed
+    out = means.join(rank_test(both, key, "d", "seen"), key)
+    figures = {"observed_mean": F.when(enough, F.col("observed_mean")), "pvalue": F.when(enough, F.col("pvalue")), "n_observed": F.when(enough, F.col("n_observed"))}
+    return out.withColumns(figures).withColumn("logfold_group", F.log2(F.col("observed_mean") / F.col("expected_mean"))).withColumn("interaction", F.concat("type1", F.lit(" --> "), "type2"))
+
+
+def cell_distances(edges: DataFrame, cells: DataFrame, condition: str, threshold: float, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type") -> DataFrame:
+    """``type1, type2, condition, d``: each cell's mean distance to its neighbours of a type, edges up to ``threshold`` only."""
+    conditions = cells.groupBy(F.col(region).alias("region")).agg(F.max(condition).alias("condition"))
+    near = labelled_edges(edges, cells, cell_id, cell_type).where(F.col("distance") <= threshold)
+    return near.groupBy("region", "id1", "type1", "type2").agg(F.avg("distance").alias("d")).join(conditions, "region").select("type1", "type2", "condition", "d")
 
 
 def identify_interactions(
@@ -194,14 +244,21 @@ def identify_interactions(
     Observed edges are cut at ``threshold`` before they are averaged for each cell,
     expected means after they are formed.
     """
-    from cellweave.runtime import materialize
-
     edges = materialize(delaunay_edges(cells, region, cell_id, x, y), "edges")
+    return compare_edges(edges, cells, condition, threshold, iterations, min_observed, region, cell_id, cell_type, x, y)
+
+
+def compare_edges(
+    edges: DataFrame, cells: DataFrame, condition: str, threshold: float, iterations: int, min_observed: int = 10,
+    region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type", x: str = "x", y: str = "y", digits: int | None = None,
+) -> DataFrame:
+    """The comparison over given undirected edges; ``digits``: distances that agree so far are ties."""
     conditions = cells.groupBy(F.col(region).alias("region")).agg(F.max(condition).alias("condition"))
-    near = labelled_edges(edges, cells, cell_id, cell_type).where(F.col("distance") <= threshold)
-    observed = near.groupBy("region", "id1", "type1", "type2").agg(F.avg("distance").alias("d")).join(conditions, "region")
-    means = expected_distances(edges, cells, iterations, region, cell_id, cell_type)
+    observed = cell_distances(edges, cells, condition, threshold, region, cell_id, cell_type)
+    means = expected_distances(edges, cells, iterations, region, cell_id, cell_type, x, y)
     expected = means.where(F.col("mean_dist") <= threshold).withColumnRenamed("mean_dist", "d").join(conditions, "region")
+    if digits is not None:
+        observed, expected = (side.withColumn("d", F.round("d", digits)) for side in (observed, expected))
     return compare_distances(observed, expected, min_observed)
 
 
@@ -230,9 +287,10 @@ def top_differences(table: DataFrame, a: str, b: str, n: int = 5) -> DataFrame:
     return table.withColumn("difference", F.abs(F.col(a) - F.col(b))).orderBy(F.round("difference", 9).desc(), "pair").limit(n)
 
 
-def observed_spread(filtered: DataFrame, top: DataFrame) -> DataFrame:
-    """Mean and standard error of the observed distances of the top pairs in each condition."""
-    values = filtered.join(top.select("pair"), "pair", "left_semi").select("condition", "interaction", F.explode("observed").alias("d"))
+def observed_spread(observed: DataFrame, top: DataFrame) -> DataFrame:
+    """``condition, interaction, mean, se`` of the observed distances (``type1, type2, condition, d``) of the top pairs."""
+    named = observed.withColumn("pair", F.concat("type1", F.lit("_"), "type2")).withColumn("interaction", F.concat("type1", F.lit(" --> "), "type2"))
+    values = named.join(top.select("pair"), "pair", "left_semi")
     return values.groupBy("condition", "interaction").agg(F.avg("d").alias("mean"), (F.stddev_samp("d") / F.sqrt(F.count("d"))).alias("se"))
 
 

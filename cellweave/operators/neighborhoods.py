@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators.spatial import knn, neighbour_windows
+from cellweave.runtime import materialize
+
 
 def minimal_combination(counts: Column, limit: Column | float) -> Column:
     """Ascending indices of the shortest prefix of descending counts whose sum exceeds ``limit``.
@@ -121,3 +124,23 @@ def elbow(windows: DataFrame, labels: Sequence[str], ks: Sequence[int], seed: in
     finally:
         data.unpersist()
     return windows.sparkSession.createDataFrame(rows, "k int, cost double")
+
+
+def combination_map(
+    cells: DataFrame, label: str, labels: Sequence[str], k: int = 75, threshold: float = 0.85, kept: float = 0.85, least: float = 0.001,
+    region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y",
+) -> dict[str, DataFrame]:
+    """The whole way from labelled cells to the map of their neighbourhoods.
+
+    ``windows`` of the k nearest other cells, ``combinations`` that make up more than
+    ``threshold`` of each, their ``frequencies``, the ``edges`` between frequent ones, the
+    ``top`` ones up to the first whose running share passes ``kept``, and that
+    ``share``. Cells of a region with fewer than k others use all of them.
+    """
+    near = knn(cells, k, region, cell_id, x, y, include_self=False, extra=(label,))
+    windows = materialize(neighbour_windows(near, label, list(labels)), "windows")
+    found = combinations(windows, labels, k, threshold)
+    frequencies = materialize(combination_frequencies(found), "frequencies")
+    share = share_at(frequencies, kept)
+    top = frequencies.where(F.col("cum_freq") - F.col("marginal") <= kept)
+    return {"windows": windows, "combinations": found, "frequencies": frequencies, "edges": combination_graph(frequencies, least), "top": top, "share": share}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import clip, phi, ratio
+from cellweave.operators.ranking import exact_quantiles
 
 
 def filter_cells(df: DataFrame, nuclear: str, size: str, nuclear_over: float = 1, size_over: float = 1) -> DataFrame:
@@ -56,15 +57,19 @@ def double_zscore(df: DataFrame, markers: Sequence[str], by: Sequence[str] = ())
 
 
 def minmax(df: DataFrame, markers: Sequence[str], by: Sequence[str] = (), low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip to the exact low and high quantiles (linear interpolation) and scale to [0, 1]."""
-    aggs = {f"__q_{m}": F.percentile(m, F.array(F.lit(low), F.lit(high))) for m in markers}
-    wide = _stats(df, by, aggs)
-
-    def scaled(m: str) -> Column:
-        a, b = F.col(f"__q_{m}")[0], F.col(f"__q_{m}")[1]
-        return ratio(clip(F.col(m), a, b) - a, b - a)
+    """Clip to the exact low and high quantiles (linear interpolation) and scale to [0, 1].
 
-    return _project(wide, {m: scaled(m) for m in markers}, df.columns)
+    Quantiles of the whole table are found by narrowing, so no task holds a marker's
+    values; those of groups are aggregated, so a group's different values meet in a task.
+    """
+    if by:
+        wide = _stats(df, by, {f"__q_{m}": F.percentile(m, F.array(F.lit(low), F.lit(high))) for m in markers})
+        bounds = {m: (F.col(f"__q_{m}")[0], F.col(f"__q_{m}")[1]) for m in markers}
+    else:
+        found = exact_quantiles(df, markers, (low, high))
+        wide, bounds = df, {m: tuple(F.lit(q).cast("double") for q in found[m]) for m in markers}
+    scaled = {m: ratio(clip(F.col(m), a, b) - a, b - a) for m, (a, b) in bounds.items()}
+    return _project(wide, scaled, df.columns)
 
 
 def arcsinh(df: DataFrame, markers: Sequence[str], cofactor: float = 150) -> DataFrame:
@@ -112,8 +117,8 @@ def remove_noise(df: DataFrame, markers: Sequence[str], z_sum_over: float, count
 
 def noise_thresholds(df: DataFrame, markers: Sequence[str], cut_off: float = 0.01) -> DataFrame:
     """Exact 1 - cut_off quantiles of both scores: suggested limits for remove_noise."""
-    scored = noise_scores(df, markers)
-    return scored.agg(F.percentile("marker_count", F.lit(1 - cut_off)).alias("count_limit"), F.percentile("z_sum", F.lit(1 - cut_off)).alias("z_sum_limit"))
+    found = exact_quantiles(noise_scores(df, markers), ["marker_count", "z_sum"], (1 - cut_off,))
+    return df.sparkSession.createDataFrame([(found["marker_count"][0], found["z_sum"][0])], "count_limit double, z_sum_limit double")
 
 
 def score_histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:

@@ -7,10 +7,14 @@ over many tasks.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.runtime import materialize
 
@@ -56,6 +60,81 @@ def near_any(df: DataFrame, sources: DataFrame, radius: float, region: str = "re
     return own.join(near, on, "left_semi").drop("__gx", "__gy")
 
 
+#: Points that the grid block around a point should hold, for each neighbour asked for, and points that are asked about together.
+BLOCK_SHARE, ASKED = 24.0, 512
+
+
+def _nearest(k: int, include_self: bool):
+    """Task of ``knn``: rows sorted by (region, gx, gy), candidates before the points that ask; one row for each point.
+
+    Columns in: region, gx, gy, asks, id, x, y, reach, whole, all candidates of a grid
+    cell's 3 x 3 block standing in that cell. Distances of a slice of points to the
+    block's candidates are formed at once; the block is the largest thing held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, crowd, held = None, [], []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            kind = held[0].column("region").type, held[0].column("id").type
+            asked = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(crowd) if crowd else asked.slice(0, 0)
+            order = table.sort_by("id")
+            ids = order.column("id").combine_chunks()
+            cx, cy = order.column("x").to_numpy().astype(float), order.column("y").to_numpy().astype(float)
+            for at in range(0, asked.num_rows, ASKED):
+                part = asked.slice(at, ASKED)
+                x, y = part.column("x").to_numpy().astype(float), part.column("y").to_numpy().astype(float)
+                dx, dy = x[:, None] - cx[None, :], y[:, None] - cy[None, :]
+                d2 = dx * dx + dy * dy
+                own = part.column("id").combine_chunks()
+                if not include_self:
+                    where = pc.index_in(own, value_set=ids).to_numpy(zero_copy_only=False)
+                    known = ~np.isnan(where.astype(float))
+                    d2[np.flatnonzero(known), where[known].astype(int)] = np.inf
+                n = min(k, d2.shape[1])
+                if n:
+                    # The k nearest, then all that are as near as the last of them, so that ties go by id.
+                    last = np.partition(d2, n - 1, axis=1)[:, n - 1] if n < d2.shape[1] else np.full(len(x), np.inf)
+                    row, col = np.nonzero((d2 <= last[:, None]) & np.isfinite(d2))
+                    by = np.lexsort((col, d2[row, col], row))
+                    row, col = row[by], col[by]
+                    first = np.searchsorted(row, np.arange(len(x)))
+                    rank = np.arange(len(row)) - first[row]
+                    row, col = row[rank < n], col[rank < n]
+                else:
+                    row, col = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                count = np.bincount(row, minlength=len(x))
+                edge = np.concatenate([[0], np.cumsum(count)])
+                far = np.array([d2[i, col[edge[i + 1] - 1]] if count[i] else np.inf for i in range(len(x))])
+                done = part.column("whole").to_numpy(zero_copy_only=False).astype(bool) | ((count == k) & (far < part.column("reach").to_numpy()))
+                near = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([ids.take(pa.array(col)), pa.array(d2[row, col])], names=["neighbor", "d2"]))
+                yield pa.RecordBatch.from_arrays([part.column("region").combine_chunks().cast(kind[0]), own.cast(kind[1]), pa.array(done), near], names=["region", "id", "done", "near"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Borders between grid cells inside the batch.
+            codes = [batch.column("region").dictionary_encode().indices.to_numpy(), batch.column("gx").to_numpy(), batch.column("gy").to_numpy()]
+            edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                now = (batch.column("region")[lo].as_py(), int(codes[1][lo]), int(codes[2][lo]))
+                if now != key:
+                    if held:
+                        yield from answers()
+                    key, crowd, held = now, [], []
+                part = batch.slice(lo, hi - lo)
+                asks = part.column("asks")
+                crowd.append(part.filter(pc.invert(asks)))
+                mine = part.filter(asks)
+                if mine.num_rows:
+                    held.append(mine)
+        if held:
+            yield from answers()
+
+    return run
+
+
 def knn(
     df: DataFrame, k: int, region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y",
     include_self: bool = True, others: DataFrame | None = None, extra: tuple[str, ...] = (),
@@ -63,51 +142,59 @@ def knn(
     """``region, id, neighbor, d2, rank`` (and ``extra`` columns of the neighbour), rank from 1, ties by neighbour id.
 
     A region with fewer points than ``k`` gives all it has. ``others`` holds the
-    candidates, ``df`` itself by default.
-
-    Each round looks into the 3 x 3 grid cells around a point. A point is done when
-    its k-th neighbour is no further than the border of that block can be, or the
-    block covers its region; the rest try again with cells of twice the side. Only
-    unfinished points go on, and each round is written to the shared folder.
+    candidates, ``df`` itself by default; ids are unique in each.
+
+    Each round looks into the 3 x 3 grid cells around a point. Candidates are sent to the
+    nine cells that may ask for them, points to their own, and each cell is answered in
+    one pass with numpy: one shuffle of points, none of pairs. A point is done when its
+    k-th neighbour is no further than the border of that block can be, or the block covers
+    its region; the rest try again with cells of twice the side. Only unfinished points go
+    on, and each round is written to the shared folder.
     """
-    points = df.select(F.col(region).alias("region"), F.col(cell_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    spark = df.sparkSession
+    place = [F.col(region).alias("region"), F.col(cell_id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
+    known = "x is not null and y is not null and not isnan(x) and not isnan(y)"
+    points = df.select(*place).where(known)
     source = df if others is None else others
-    crowd = source.select(F.col(region).alias("region"), F.col(cell_id).alias("neighbor"), F.col(x).alias("x"), F.col(y).alias("y"), *extra)
+    crowd = source.select(*place).where(known)
     width = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
-    # A first side that puts about 4k points into nine cells of even density.
-    side = F.greatest(width * F.sqrt(F.lit(4.0 * (k + 1) / 9) / F.count(F.lit(1))), F.lit(1e-9))
-    frames = crowd.groupBy("region").agg(width.alias("width"), side.alias("side"))
+    # A first side that puts about BLOCK_SHARE * k points into nine cells of even density.
+    side = F.greatest(width * F.sqrt(F.lit(BLOCK_SHARE * (k + 1) / 9) / F.greatest(F.sum("own"), F.lit(1))), F.lit(1e-9))
+    everyone = crowd.select("region", "x", "y", F.lit(1).alias("own"))
+    if others is not None:  # the block that covers a region must hold those who ask too
+        everyone = everyone.unionByName(points.select("region", "x", "y", F.lit(0).alias("own")))
+    frames = everyone.groupBy("region").agg(width.alias("width"), side.alias("side"))
     todo = points.join(frames, "region")
     own = crowd.join(frames.select("region", "side"), "region")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    integral = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in (x, y))
+    kind = points.schema["id"].dataType.simpleString(), points.schema["region"].dataType.simpleString()
+    found_schema = f"region {kind[1]}, id {kind[0]}, done boolean, near array<struct<neighbor: {crowd.schema['id'].dataType.simpleString()}, d2: double>>"
     done = None
     factor = 1
     while True:
         step = F.col("side") * factor
-        asked = _around(todo, step, "x", "y").alias("l")
-        held = own.withColumn("__gx", _cell("x", step)).withColumn("__gy", _cell("y", step)).alias("r")
-        dx, dy = F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y")
-        on = (F.col("l.region") == F.col("r.region")) & (F.col("l.__gx") == F.col("r.__gx")) & (F.col("l.__gy") == F.col("r.__gy"))
-        if not include_self:
-            on = on & (F.col("l.id") != F.col("r.neighbor"))
-        sx, sy = F.col("l.x") / (F.col("l.side") * factor), F.col("l.y") / (F.col("l.side") * factor)
+        sx, sy = F.col("x") / step, F.col("y") / step
         # Distance to the block's border: one cell beyond the nearer edge of the own cell.
-        reach = (1 + F.least(sx - F.floor(sx), 1 - (sx - F.floor(sx)), sy - F.floor(sy), 1 - (sy - F.floor(sy)))) * F.col("l.side") * factor
-        pairs = asked.join(held, on).select(
-            F.col("l.region").alias("region"), F.col("l.id").alias("id"), F.col("r.neighbor").alias("neighbor"), (dx * dx + dy * dy).alias("d2"),
-            (reach * reach).alias("reach2"), (F.col("l.width") < F.col("l.side") * factor).alias("whole"), *[F.col(f"r.{e}").alias(e) for e in extra],
-        )
-        w = Window.partitionBy("region", "id").orderBy("d2", "neighbor")
-        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        whole = Window.partitionBy("region", "id")
-        checked = ranked.withColumn("ok", F.max(F.col("whole") | ((F.col("rank") == k) & (F.col("d2") < F.col("reach2")))).over(whole))
-        good = materialize(checked.where("ok").select("region", "id", "neighbor", "d2", "rank", *extra), "knn")
+        reach = (1 + F.least(sx - F.floor(sx), 1 - (sx - F.floor(sx)), sy - F.floor(sy), 1 - (sy - F.floor(sy)))) * step
+        columns = ["region", "gx", "gy", "asks", "id", "x", "y", "reach", "whole"]
+        asked = todo.select("*", _cell("x", step).alias("gx"), _cell("y", step).alias("gy"), F.lit(True).alias("asks"), (reach * reach).alias("reach"), (F.col("width") < step).alias("whole")).select(*columns)
+        held = _around(own, step, "x", "y").select("region", F.col("__gx").alias("gx"), F.col("__gy").alias("gy"), F.lit(False).alias("asks"), "id", "x", "y", F.lit(0.0).alias("reach"), F.lit(False).alias("whole"))
+        both = held.unionByName(asked).repartition(parts, "region", "gx", "gy").sortWithinPartitions("region", "gx", "gy", "asks")
+        rows = materialize(both.mapInArrow(_nearest(k, include_self), found_schema), "knn")
+        good = rows.where("done").select("region", "id", F.posexplode("near").alias("rank", "n"))
+        d2 = F.col("n.d2").cast("long") if integral else F.col("n.d2")
+        good = good.select("region", "id", F.col("n.neighbor").alias("neighbor"), d2.alias("d2"), (F.col("rank") + 1).alias("rank"))
         done = good if done is None else done.unionByName(good)
-        left = todo.join(good.select("region", "id").distinct(), ["region", "id"], "left_anti")
         # Points that are alone in their region have no neighbours to find.
-        if factor >= 2 ** math.ceil(math.log2(4_000_000)) or left.where(F.col("width") >= F.col("side") * factor).isEmpty():
-            return done
-        todo = materialize(left, "knn-todo")
+        left = rows.where("not done").select("region", "id")
+        if left.isEmpty():
+            break
+        todo = materialize(todo.join(left, ["region", "id"], "left_semi"), "knn-todo")
         factor *= 2
+    if not extra:
+        return done
+    return done.join(source.select(F.col(region).alias("region"), F.col(cell_id).alias("neighbor"), *extra), ["region", "neighbor"]).select("region", "id", "neighbor", "d2", "rank", *extra)
 
 
 def neighbour_windows(neighbours: DataFrame, label: str, values: list, k: int | None = None) -> DataFrame:

@@ -45,6 +45,17 @@ def pearson_p(r: float, n: int) -> float:
     return 1.0 if n < 3 else 0.0 if abs(r) >= 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
+def correlation_test(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """``by.., corr, pvalue, n``: Pearson correlation of each group and its two-sided p-value; rows that lack either value are left out."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    sums = rows.groupBy(*by).agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("corr"), F.count(F.lit(1)).alias("n"))
+
+    def test(r: pd.Series, n: pd.Series) -> pd.Series:  # one row a group
+        return pd.Series([None if math.isnan(a) else pearson_p(a, int(b)) for a, b in zip(r.astype(float), n, strict=True)], dtype="float64")
+
+    return sums.withColumn("pvalue", F.pandas_udf(test, "double")("corr", "n")).select(*by, "corr", "pvalue", "n")
+
+
 def grouped_ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], of: str) -> DataFrame:
     """``by.., coefficient, pvalue, n`` of ``of`` in a least-squares fit of y on xs and a constant.
 
@@ -172,10 +183,10 @@ def log_means(df: DataFrame, by: Sequence[str], columns: Sequence[str], pseudo:
     return df.groupBy(*by).agg(*[F.ln(F.lit(pseudo) + F.avg(c)).alias(c) for c in columns])
 
 
-def permutation_share(df: DataFrame, by: Sequence[str], observed: str, permuted: str) -> DataFrame:
-    """Share of permuted values (an array column) that the observed one exceeds."""
-    rows = df.select(*by, F.col(observed).alias("o"), F.explode(permuted).alias("p"))
-    return rows.groupBy(*by).agg(F.avg((F.col("o") > F.col("p")).cast("double")).alias("share"))
+def permutation_share(observed: DataFrame, permuted: DataFrame, key: Sequence[str], by: Sequence[str], value: str, permuted_value: str) -> DataFrame:
+    """``by.., share``: share of permuted values that the observed value of their ``key`` exceeds; both tables are long."""
+    both = permuted.select(*key, F.col(permuted_value).alias("__p")).join(observed.select(*key, F.col(value).alias("__o")), list(key))
+    return both.groupBy(*by).agg(F.avg((F.col("__o") > F.col("__p")).cast("double")).alias("share"))
 
 
 def nonnegative_tucker(x: np.ndarray, ranks: Sequence[int], steps: int = 300, seed: int = 0) -> tuple[np.ndarray, list[np.ndarray], float]:
@@ -200,6 +211,35 @@ def nonnegative_tucker(x: np.ndarray, ranks: Sequence[int], steps: int = 300, se
     return core, factors, float(((np.einsum(whole, core, *factors) - x) ** 2).mean())
 
 
+def tissue_tensor(cells: DataFrame, donor: str, neighbourhood: str, cell_type: str) -> tuple[np.ndarray, list[list]]:
+    """Cells of each donor, neighbourhood and type as shares of the donor, and the names along the axes.
+
+    Spark counts; the driver holds one number for each combination of three small domains.
+    """
+    counts = cells.groupBy(F.col(donor).alias("d"), F.col(neighbourhood).alias("n"), F.col(cell_type).alias("t")).agg(F.count(F.lit(1)).alias("k")).where("d is not null and n is not null and t is not null").collect()
+    names = [sorted({r[c] for r in counts}) for c in "dnt"]
+    x = np.zeros(tuple(map(len, names)))
+    for r in counts:
+        x[names[0].index(r["d"]), names[1].index(r["n"]), names[2].index(r["t"])] = r["k"]
+    return x / np.maximum(x.sum(axis=(1, 2), keepdims=True), 1), names
+
+
+def tissue_modules(cells: DataFrame, donor: str, neighbourhood: str, cell_type: str, ranks: Sequence[int], steps: int = 300, seed: int = 0) -> DataFrame:
+    """``axis, name, module, loading`` of a non-negative Tucker model, and the core as axis ``core`` with its three numbers as name."""
+    x, names = tissue_tensor(cells, donor, neighbourhood, cell_type)
+    core, factors, _ = nonnegative_tucker(x, ranks, steps, seed)
+    rows = [(axis, str(name), m, float(f[i, m])) for axis, own, f in zip(("donor", "neighbourhood", "type"), names, factors, strict=True) for i, name in enumerate(own) for m in range(f.shape[1])]
+    rows += [("core", f"{i},{j}", k, float(core[i, j, k])) for i in range(core.shape[0]) for j in range(core.shape[1]) for k in range(core.shape[2])]
+    return cells.sparkSession.createDataFrame(rows, "axis string, name string, module int, loading double")
+
+
+def evaluate_ranks(cells: DataFrame, donor: str, neighbourhood: str, cell_type: str, modules: int = 2, most: int = 14, steps: int = 200, seed: int = 0) -> DataFrame:
+    """``modules, rank, error``: mean squared error of Tucker models of ranks (modules, rank, rank), rank from 2 to ``most``."""
+    x, _ = tissue_tensor(cells, donor, neighbourhood, cell_type)
+    rows = [(j, i, nonnegative_tucker(x, (j, i, i), steps, seed)[2]) for j in range(1, modules + 1) for i in range(2, most + 1)]
+    return cells.sparkSession.createDataFrame(rows, "modules int, rank int, error double")
+
+
 def farthest_point_seeds(df: DataFrame, cell_id: str, features: str, n: int) -> DataFrame:
     """Deterministic divisive seeding by cosine distance: ``seed, cell_id, features``.
 
@@ -222,11 +262,22 @@ def farthest_point_seeds(df: DataFrame, cell_id: str, features: str, n: int) ->
     return spark.createDataFrame(seeds, f"seed int, {cell_id} {kind}, features array<double>")
 
 
-def nearest_seed(df: DataFrame, cell_id: str, features: str, seeds: DataFrame) -> DataFrame:
-    """``cell_id, seed, distance`` of the nearest seed by cosine distance; ties by seed. Seeds are few and broadcast."""
+def nearest_seed(df: DataFrame, cell_id: str, features: str, seeds: DataFrame, most: int = 10_000) -> DataFrame:
+    """``cell_id, seed, distance`` of the nearest seed by cosine distance; ties by seed.
+
+    Seeds are cluster centres: the driver holds at most ``most`` of them (more are an
+    error) and each row finds the least of its distances without a join or a sort.
+    """
     from cellweave.functions.scalars import cosine_distance
 
-    pairs = df.select(cell_id, F.col(features).alias("f")).crossJoin(F.broadcast(seeds.select("seed", F.col("features").alias("g"))))
-    scored = pairs.withColumn("distance", cosine_distance(F.col("f"), F.col("g")))
-    w = Window.partitionBy(cell_id).orderBy("distance", "seed")
-    return scored.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(cell_id, "seed", "distance")
+    rows = seeds.select("seed", "features").orderBy("seed").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} seeds")
+    scored = df.select(cell_id, F.col(features).alias("__f"))
+    kind = seeds.schema["seed"].dataType
+    if not rows:
+        return scored.select(cell_id, F.lit(None).cast(kind).alias("seed"), F.lit(None).cast("double").alias("distance"))
+    struct = lambda r: F.struct(cosine_distance(F.col("__f"), F.array(*[F.lit(float(v)) for v in r["features"]])).alias("distance"), F.lit(r["seed"]).cast(kind).alias("seed"))
+    # Distances that are null (a zero vector) come last.
+    best = F.array_min(F.filter(F.array(*map(struct, rows)), lambda s: s["distance"].isNotNull()))
+    return scored.withColumn("__b", best).select(cell_id, F.col("__b.seed").alias("seed"), F.col("__b.distance").alias("distance"))

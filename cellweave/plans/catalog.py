@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import cosine_distance
+from cellweave.functions.scalars import circularity, cosine_distance, is_dark
 from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, spatial, stats
-from cellweave.runtime import ship_package
-from cellweave.sources.cells import MARKERS, cells_view, marker_view, split_markers
+from cellweave.runtime import shared_dir, ship_package
+from cellweave.schema import first_appearance, marker_slice, without_nan
+from cellweave.sources.cells import MARKERS, bare_name, cells_view, format_spatial, list_files, marker_view, read_cells, read_names, register, split_markers, write_by_region
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-TYPES = ["click", "view", "purchase", "login", "logout"]
 CNS = ["CN0", "CN1", "CN2", "CN3"]
 K, THRESHOLD = 20, 0.6
 
@@ -57,7 +58,28 @@ def r6_sql(c: str) -> str:
 
 def events_types(spark: SparkSession, sf_dir: str) -> list[str]:
     """Event types in order: the fixed categories of the cells view."""
-    return sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().limit(100).collect())
+    return sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().collect())
+
+
+def phi_sql(v: str) -> str:
+    """Standard normal distribution function of a plain column within +-6, by the series 1/2 + density * (v + v^3/3 + v^5/(3*5) + ...)."""
+    series = "1.0"
+    for k in range(161, 1, -2):
+        series = f"(1 + {v} * {v} / {k}.0 * {series})"
+    return f"(0.5 + exp(-{v} * {v} / 2) / sqrt(2 * pi()) * {v} * {series})"
+
+
+def student_sql(t: str, free: str) -> str:
+    """Two-sided p-value of a t statistic by the finite series for whole degrees of freedom (over 1); correlated with table ``odds``."""
+    angle = f"atan(abs({t}) / sqrt({free}))"
+    even = f"sin({angle}) * (SELECT sum(exp(even + 2 * j * ln(cos({angle})))) FROM odds WHERE j <= ({free} - 2) / 2)"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce((SELECT sum(exp(odd + 2 * j * ln(cos({angle})))) FROM odds WHERE j <= ({free} - 3) / 2), 0))"
+    return f"1 - CASE WHEN {free} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+#: Logarithms of 1*3*5.../2*4*6... and 2*4*6.../3*5*7..., the coefficients of that series.
+ODDS = """odds AS (SELECT j, coalesce(sum(ln((2 * j - 1) / (2.0 * j))) FILTER (j > 0) OVER (ORDER BY j), 0) AS even, coalesce(sum(ln(2.0 * j / (2 * j + 1))) FILTER (j > 0) OVER (ORDER BY j), 0) AS odd
+ FROM range(0, 100000) r(j))"""
 
 
 # --- preprocessing ---------------------------------------------------------------------------------
@@ -103,9 +125,16 @@ def arcsinh_norm(spark, sf):
     return r6(preprocess.arcsinh(marker_view(spark, sf), MARKERS), *MARKERS)
 
 
-@query()
+_ROW_MEAN = "(" + " + ".join(MARKERS) + f") / {len(MARKERS)}"
+
+
+@query(
+    f"WITH {LINES}, z AS (SELECT {KEYS}, " + ", ".join(f"({m} - avg({m}) OVER ()) / nullif(stddev_pop({m}) OVER (), 0) AS {m}" for m in MARKERS) + f" FROM lines), a AS (SELECT *, {_ROW_MEAN} AS mean FROM z), "
+    "d AS (SELECT *, sqrt((" + " + ".join(f"({m} - mean) * ({m} - mean)" for m in MARKERS) + f") / {len(MARKERS)}) AS std FROM a), "
+    f"n AS (SELECT {KEYS}, " + ", ".join(f"({m} - mean) / nullif(std, 0) AS {m}" for m in MARKERS) + f" FROM d) SELECT {KEYS}, " + ", ".join(f"round(-ln(1 - {phi_sql(m)}), 6) AS {m}" for m in MARKERS) + " FROM n"
+)
 def double_zscore(spark, sf):
-    return preprocess.normalise(marker_view(spark, sf), [], ["l_orderkey", "l_linenumber", "region"], "double_zscore")
+    return r6(preprocess.normalise(marker_view(spark, sf), [], ["l_orderkey", "l_linenumber", "region"], "double_zscore"), *MARKERS)
 
 
 _TOTAL = " + ".join(MARKERS)
@@ -186,16 +215,15 @@ def marker_ranks(spark, sf):
 
 # --- pixels and features ---------------------------------------------------------------------------
 
-#: Pixels of a small label mask, made from the cells: 40 x 40 places, labels in blocks of 7 x 9, channel values from ids.
-PIXELS = """px AS (SELECT 'img' || CAST(event_id // 1600 % 3 AS VARCHAR) AS image, event_id % 1600 // 40 AS y, event_id % 40 AS x,
+#: Pixels of small label masks, made from the cells: 40 x 40 places an image, labels in blocks of 7 x 9, channel values from ids.
+PIXELS = """px AS (SELECT 'img' || CAST(event_id // 1600 AS VARCHAR) AS image, event_id % 1600 // 40 AS y, event_id % 40 AS x,
  CASE WHEN event_id % 1600 // 40 % 7 = 0 THEN 0 ELSE event_id % 1600 // 40 // 7 * 5 + event_id % 40 // 9 + 1 END AS label,
- event_id * 7919 % 101 AS c1, event_id * 104729 % 97 AS c2 FROM events WHERE event_id < 4800)"""
+ event_id * 7919 % 101 AS c1, event_id * 104729 % 97 AS c2 FROM events)"""
 
 
-def pixel_view(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    """Pixels of label masks of 40 x 40 places: three made from the first events as in PIXELS, or with ``whole`` as many as all events fill."""
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return (e if whole else e.where("event_id < 4800")).selectExpr(
+def pixel_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Pixels of label masks of 40 x 40 places, as many as all events fill, as in PIXELS."""
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr(
         "concat('img', cast(event_id div 1600 as string)) as image", "(event_id % 1600) div 40 as y", "event_id % 40 as x",
         "case when ((event_id % 1600) div 40) % 7 = 0 then 0 else ((event_id % 1600) div 40) div 7 * 5 + (event_id % 40) div 9 + 1 end as label",
         "event_id * 7919 % 101 as c1", "event_id * 104729 % 97 as c2",
@@ -235,7 +263,7 @@ def mask_outlines(spark, sf):
 
 @query()
 def spill_compensation(spark, sf):
-    return pixels.compensate(pixel_view(spark, sf, whole=True), ["c1", "c2"])
+    return pixels.compensate(pixel_view(spark, sf), ["c1", "c2"])
 
 
 @query(f"WITH {PIXELS} SELECT image, y, x, CASE WHEN label <> 0 AND x % 3 <> 0 THEN label ELSE 0 END AS cytoplasm FROM px")
@@ -491,12 +519,19 @@ def cn_kmeans(spark, sf):
     return labelled
 
 
-@query()
+@query(
+    f"WITH {CELLS}, {KNN.format(where='', k=K)}, n AS (SELECT c.cn, near.cell_type AS label, count(*) AS n FROM near JOIN cells c ON c.cell_id = near.id GROUP BY 1, 2), w AS (SELECT cn, count(*) AS n FROM cells GROUP BY cn), "
+    "a AS (SELECT cell_type AS label, count(*) / sum(count(*)) OVER () AS avg FROM cells GROUP BY cell_type), "
+    "v AS (SELECT w.cn, a.label, avg, coalesce(n.n, 0) / w.n + avg AS v FROM w CROSS JOIN a LEFT JOIN n ON n.cn = w.cn AND n.label = a.label) "
+    "SELECT cn, label, round(log2(v / sum(v) OVER (PARTITION BY cn) / avg), 6) AS enrichment FROM v"
+)
 def centroid_enrichment(spark, sf):
     types = events_types(spark, sf)
-    _, centres = neighborhoods.cluster_windows(_windows(spark, sf, K, True, "cell_type", types), types, 4)
-    average = composition.share(cells_view(spark, sf), [], "cell_type", 1.0).select(F.col("cell_type").alias("label"), F.col("share").alias("avg"))
-    return composition.centroid_enrichment(centres, "cn", "label", "value", average)
+    cells = cells_view(spark, sf)
+    windows = _windows(spark, sf, K, True, "cell_type", types).join(cells.select(F.col("cell_id").alias("id"), "cn"), "id")
+    centres = windows.groupBy("cn").agg(*[F.avg(t).alias(t) for t in types]).unpivot("cn", types, "label", "value")
+    average = composition.share(cells, [], "cell_type", 1.0).select(F.col("cell_type").alias("label"), F.col("share").alias("avg"))
+    return r6(composition.centroid_enrichment(centres, "cn", "label", "value", average), "enrichment")
 
 
 @query(f"WITH {_FREQ} SELECT combination, round(cum_freq, 6) AS cum_freq, round(freq, 6) AS marginal FROM freqs WHERE cum_freq > 0.85 ORDER BY cum_freq LIMIT 1")
@@ -524,9 +559,27 @@ def radius_edges(spark, sf):
     return spatial.range_pairs(cells, cells, R, inclusive=False)
 
 
-#: A permutation that both engines can form: the n-th label in order of a product hash goes to the n-th cell.
-_PERM = f"""{CELLS}, {_EDGES}, perm AS (SELECT t.region, t.cell_id, g.cell_type FROM (SELECT region, cell_id, row_number() OVER (PARTITION BY region ORDER BY cell_id) AS n FROM cells) t
- JOIN (SELECT region, cell_type, row_number() OVER (PARTITION BY region ORDER BY cell_id * 48271 % 65521, cell_id) AS n FROM cells) g ON t.region = g.region AND t.n = g.n)"""
+def _dealt_sql(steps: int) -> str:
+    """Labels under permutations 0 .. steps - 1 in table ``dealt`` (region, cell_id, s, cell_type): rounds of swaps written out."""
+    p, rounds = interactions.PRIME, interactions.ROUNDS
+    parts = [
+        "spot AS (SELECT region, cell_id, row_number() OVER (PARTITION BY region ORDER BY cell_id) - 1 AS x, count(*) OVER (PARTITION BY region) AS n FROM cells)",
+        f"p0 AS (SELECT region, cell_id, n, s, x FROM spot, range(0, {steps}) r(s))",
+    ]
+    for i in range(rounds):
+        c = f"(s * {rounds} + {i + 1})"
+        parts.append(
+            f"p{i + 1} AS (SELECT region, cell_id, n, s, CASE WHEN (greatest(x, m) + {c}) % {p} * ({c} * 40692 % {p}) % {p} // 1024 % 2 = 1 THEN m ELSE x END AS x "
+            f"FROM (SELECT *, (({c} * 48271 % {p}) * ({c} * 48271 % {p}) % {p} * 69621 % {p} % n + n - x) % n AS m FROM p{i}))"
+        )
+    parts += [
+        "kinds AS (SELECT region, cell_type, sum(k) OVER (PARTITION BY region ORDER BY cell_type) - k AS low, sum(k) OVER (PARTITION BY region ORDER BY cell_type) AS high FROM (SELECT region, cell_type, count(*) AS k FROM cells GROUP BY 1, 2))",
+        f"dealt AS (SELECT p.region, p.cell_id, p.s, k.cell_type FROM p{rounds} p JOIN kinds k ON k.region = p.region AND p.x >= k.low AND p.x < k.high)",
+    ]
+    return ", ".join(parts)
+
+
+_PERM = f"{CELLS}, {_EDGES}, {_dealt_sql(1)}"
 
 
 def _pairs_sql(labels: str) -> str:
@@ -534,13 +587,6 @@ def _pairs_sql(labels: str) -> str:
  JOIN {labels} p ON p.cell_id = id1 JOIN {labels} q ON q.cell_id = id2 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3"""
 
 
-def _permuted(cells: DataFrame) -> DataFrame:
-    w = Window.partitionBy("region")
-    to = cells.select("region", "cell_id", F.row_number().over(w.orderBy("cell_id")).alias("n"))
-    given = cells.select("region", "cell_type", F.row_number().over(w.orderBy((F.col("cell_id") * 48271) % 65521, "cell_id")).alias("n"))
-    return to.join(given, ["region", "n"]).select("region", "cell_id", "cell_type")
-
-
 def _means(edges: DataFrame, labels: DataFrame) -> DataFrame:
     directed = edges.select("region", "id1", "id2", F.sqrt("d2").alias("distance"))
     one = labels.select(F.col("cell_id").alias("id1"), F.col("cell_type").alias("type1"))
@@ -550,31 +596,50 @@ def _means(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 @query(
     f"WITH {_PERM} SELECT o.region, o.type1, o.type2, round(o.mean_dist, 6) AS observed, round(e.mean_dist, 6) AS expected, round(log2(o.mean_dist / e.mean_dist), 6) AS logfold "
-    f"FROM ({_pairs_sql('cells')}) o JOIN ({_pairs_sql('perm')}) e ON o.region = e.region AND o.type1 = e.type1 AND o.type2 = e.type2"
+    f"FROM ({_pairs_sql('cells')}) o JOIN ({_pairs_sql('dealt')}) e ON o.region = e.region AND o.type1 = e.type1 AND o.type2 = e.type2"
 )
 def observed_expected_pairs(spark, sf):
     cells = cells_view(spark, sf).select("region", "cell_id", "cell_type", "x", "y")
     edges = spatial.range_pairs(cells, cells, R, inclusive=False)
     key = ["region", "type1", "type2"]
-    both = _means(edges, cells).withColumnRenamed("mean_dist", "observed").join(_means(edges, _permuted(cells)).withColumnRenamed("mean_dist", "expected"), key)
+    both = _means(edges, cells).withColumnRenamed("mean_dist", "observed").join(_means(edges, interactions.permute_labels(cells, 0)).withColumnRenamed("mean_dist", "expected"), key)
     return r6(both.withColumn("logfold", F.log2(F.col("observed") / F.col("expected"))), "observed", "expected", "logfold")
 
 
-#: Interaction table from conditions: fold of a pair's mean distance against all pairs, with a made-up p-value.
-_INTER = f"""{CELLS}, {_EDGES}, m AS (SELECT a.cond AS condition, a.cell_type AS type1, b.cell_type AS type2, avg(sqrt(d2)) AS observed_mean, count(*) AS n FROM edges JOIN cells a ON a.cell_id = id1 JOIN cells b ON b.cell_id = id2 GROUP BY 1, 2, 3),
- t AS (SELECT *, log2(observed_mean / avg(observed_mean) OVER (PARTITION BY condition)) AS logfold_group, (n % 100) / 100.0 AS pvalue, type1 || '_' || type2 AS pair FROM m),
+#: Permutations of the comparisons that SQL checks; the registered test has 1000. Distances are compared to nine digits, as engines add in other orders.
+DEALS, LEAST = 12, 10
+
+#: The whole comparison over edges within R: cells' mean distances, expected means, rank test and folds.
+_INTER = f"""{CELLS}, {_EDGES}, {_dealt_sql(DEALS)}, obs AS (SELECT a.cond AS condition, a.cell_type AS type1, b.cell_type AS type2, round(avg(sqrt(d2)), 9) AS d FROM edges JOIN cells a ON a.cell_id = id1 JOIN cells b ON b.cell_id = id2 GROUP BY a.cond, e1(id1), 2, 3),
+ per AS (SELECT e.region, a.s, a.cell_type AS type1, b.cell_type AS type2, avg(sqrt(d2)) AS d FROM edges e JOIN dealt a ON a.cell_id = id1 JOIN dealt b ON b.cell_id = id2 AND a.s = b.s GROUP BY e.region, a.s, id1, 3, 4),
+ conds AS (SELECT region, max(cond) AS condition FROM cells GROUP BY region),
+ expd AS (SELECT condition, type1, type2, round(avg(d), 9) AS d FROM per JOIN conds ON conds.region = per.region GROUP BY per.region, s, condition, type1, type2 HAVING avg(d) <= {R}),
+ vals AS (SELECT condition, type1, type2, d, 1 AS seen FROM obs UNION ALL SELECT condition, type1, type2, d, 0 FROM expd),
+ cnt AS (SELECT condition, type1, type2, d, sum(seen) AS a, CAST(count(*) AS DOUBLE) AS t FROM vals GROUP BY 1, 2, 3, 4),
+ rk AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY condition, type1, type2 ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cnt),
+ ts AS (SELECT condition, type1, type2, CAST(sum(a) AS DOUBLE) AS n, sum(t) - sum(a) AS m, sum(t) AS total, sum(a * (before + (t + 1) / 2)) AS ranks, sum(t * t * t - t) AS ties FROM rk GROUP BY 1, 2, 3),
+ zs AS (SELECT *, (greatest(ranks - n * (n + 1) / 2, n * m - (ranks - n * (n + 1) / 2)) - n * m / 2 - 0.5) / sqrt(n * m / 12 * (total + 1 - ties / (total * (total - 1)))) AS z FROM ts),
+ mean AS (SELECT condition, type1, type2, avg(d) FILTER (seen = 1) AS o, avg(d) FILTER (seen = 0) AS e FROM vals GROUP BY 1, 2, 3),
+ t AS (SELECT zs.condition, zs.type1, zs.type2, CAST(n AS BIGINT) AS n, o AS observed_mean, e AS expected_mean, log2(o / e) AS logfold_group, least(1.0, 2 * (1 - {phi_sql('z')})) AS pvalue, zs.type1 || '_' || zs.type2 AS pair
+ FROM zs JOIN mean ON mean.condition = zs.condition AND mean.type1 = zs.type1 AND mean.type2 = zs.type2 WHERE m > {LEAST} AND n > {LEAST}),
  good AS (SELECT DISTINCT pair FROM t WHERE pvalue < 0.5 AND type1 <> type2 AND observed_mean IS NOT NULL AND abs(logfold_group) > 0.001),
- kept AS (SELECT t.* FROM t JOIN good ON t.pair = good.pair)"""
+ kept AS (SELECT t.* FROM t JOIN good ON t.pair = good.pair)""".replace("e1(id1)", "id1")
 
 
-def _interactions(spark, sf) -> DataFrame:
+def _near_edges(spark, sf) -> tuple[DataFrame, DataFrame]:
     cells = cells_view(spark, sf).select("region", "cell_id", "cell_type", "cond", "x", "y")
-    edges = spatial.range_pairs(cells, cells, R, inclusive=False).withColumn("distance", F.sqrt("d2"))
-    one = cells.select(F.col("cell_id").alias("id1"), F.col("cell_type").alias("type1"), F.col("cond").alias("condition"))
-    two = cells.select(F.col("cell_id").alias("id2"), F.col("cell_type").alias("type2"))
-    m = edges.join(one, "id1").join(two, "id2").groupBy("condition", "type1", "type2").agg(F.avg("distance").alias("observed_mean"), F.count(F.lit(1)).alias("n"))
-    fold = F.log2(F.col("observed_mean") / F.avg("observed_mean").over(Window.partitionBy("condition")))
-    return m.withColumn("logfold_group", fold).withColumn("pvalue", F.col("n") % 100 / 100.0)
+    edges = spatial.range_pairs(cells, cells, R, inclusive=False).where("id1 < id2").select("region", "id1", "id2", F.sqrt("d2").alias("distance"))
+    return cells, edges
+
+
+def _interactions(spark, sf) -> DataFrame:
+    cells, edges = _near_edges(spark, sf)
+    return interactions.compare_edges(edges, cells, "cond", R, DEALS, LEAST, digits=9).withColumnRenamed("n_observed", "n").where("n is not null")
+
+
+@query(f"WITH {_INTER} SELECT condition, type1, type2, n, round(observed_mean, 6) AS observed_mean, round(expected_mean, 6) AS expected_mean, round(logfold_group, 6) AS logfold_group, round(pvalue, 6) AS pvalue FROM t")
+def interaction_comparison(spark, sf):
+    return r6(_interactions(spark, sf).select("condition", "type1", "type2", "n", "observed_mean", "expected_mean", "logfold_group", "pvalue"), "observed_mean", "expected_mean", "logfold_group", "pvalue")
 
 
 @query(f"WITH {_INTER} SELECT pair, round(max(CASE WHEN condition = 'a' THEN logfold_group END), 6) AS a, round(max(CASE WHEN condition = 'b' THEN logfold_group END), 6) AS b FROM kept GROUP BY pair HAVING count(DISTINCT condition) = 2")
@@ -592,21 +657,15 @@ def rare_type_antijoin(spark, sf):
 
 
 _TOP = f"""{_INTER}, w AS (SELECT pair, max(CASE WHEN condition = 'a' THEN logfold_group END) AS a, max(CASE WHEN condition = 'b' THEN logfold_group END) AS b FROM kept GROUP BY pair HAVING count(DISTINCT condition) = 2),
- top AS (SELECT pair FROM w ORDER BY round(abs(a - b), 9) DESC, pair LIMIT 3), v AS (SELECT a.cond AS condition, a.cell_type || ' --> ' || b.cell_type AS interaction, sqrt(d2) AS d FROM edges JOIN cells a ON a.cell_id = id1
- JOIN cells b ON b.cell_id = id2 JOIN top ON top.pair = a.cell_type || '_' || b.cell_type)"""
+ top AS (SELECT pair FROM w ORDER BY round(abs(a - b), 9) DESC, pair LIMIT 3), v AS (SELECT condition, type1 || ' --> ' || type2 AS interaction, d FROM obs JOIN top ON top.pair = type1 || '_' || type2)"""
 
 
 @query(f"WITH {_TOP} SELECT condition, interaction, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se FROM v GROUP BY 1, 2")
 def top_n_pairs_explode(spark, sf):
     kept = interactions.filter_interactions(_interactions(spark, sf), 0.5, 0.001)
     top = interactions.top_differences(interactions.fold_table(kept, ["a", "b"]), "a", "b", 3)
-    cells = cells_view(spark, sf).select("region", "cell_id", "cell_type", "cond", "x", "y")
-    edges = spatial.range_pairs(cells, cells, R, inclusive=False).withColumn("distance", F.sqrt("d2"))
-    one = cells.select(F.col("cell_id").alias("id1"), F.col("cell_type").alias("type1"), F.col("cond").alias("condition"))
-    two = cells.select(F.col("cell_id").alias("id2"), F.col("cell_type").alias("type2"))
-    lists = edges.join(one, "id1").join(two, "id2").groupBy("condition", "type1", "type2").agg(F.collect_list("distance").alias("observed"))
-    named = lists.withColumn("pair", F.concat("type1", F.lit("_"), "type2")).withColumn("interaction", F.concat("type1", F.lit(" --> "), "type2"))
-    return r6(interactions.observed_spread(named, top), "mean", "se")
+    cells, edges = _near_edges(spark, sf)
+    return r6(interactions.observed_spread(interactions.cell_distances(edges, cells, "cond", R), top), "mean", "se")
 
 
 @query(
@@ -627,8 +686,9 @@ def pairwise_distance_summary(spark, sf):
 
 @query(f"WITH {CELLS}, v AS (SELECT region, cell_type, avg(value) AS m FROM cells GROUP BY 1, 2) SELECT o.cell_type, round(avg(CASE WHEN o.m > p.value THEN 1.0 ELSE 0.0 END), 6) AS share FROM v o JOIN cells p ON o.region = p.region AND o.cell_type = p.cell_type GROUP BY 1")
 def permutation_share(spark, sf):
-    lists = cells_view(spark, sf).groupBy("region", "cell_type").agg(F.avg("value").alias("m"), F.collect_list("value").alias("perms"))
-    return r6(stats.permutation_share(lists, ["cell_type"], "m", "perms"), "share")
+    cells = cells_view(spark, sf)
+    means = cells.groupBy("region", "cell_type").agg(F.avg("value").alias("m"))
+    return r6(stats.permutation_share(means, cells.select("region", "cell_type", "value"), ["region", "cell_type"], ["cell_type"], "m", "value"), "share")
 
 
 @query()
@@ -636,10 +696,16 @@ def delaunay_edges(spark, sf):
     return interactions.delaunay_edges(cells_view(spark, sf))
 
 
-@query()
+@query(
+    f"""WITH {CELLS}, cnt AS (SELECT cell_type, value AS d, sum(CASE WHEN cond = 'a' THEN 1 ELSE 0 END) AS a, CAST(count(*) AS DOUBLE) AS t FROM cells GROUP BY 1, 2),
+ rk AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY cell_type ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cnt),
+ ts AS (SELECT cell_type, CAST(sum(a) AS DOUBLE) AS n, sum(t) - sum(a) AS m, sum(t) AS total, sum(a * (before + (t + 1) / 2)) AS ranks, sum(t * t * t - t) AS ties FROM rk GROUP BY 1),
+ zs AS (SELECT *, (greatest(ranks - n * (n + 1) / 2, n * m - (ranks - n * (n + 1) / 2)) - n * m / 2 - 0.5) / sqrt(n * m / 12 * (total + 1 - ties / (total * (total - 1)))) AS z FROM ts)
+ SELECT cell_type, round(least(1.0, 2 * (1 - {phi_sql('z')})), 6) AS pvalue FROM zs"""
+)
 def mwu_pvalue(spark, sf):
-    lists = cells_view(spark, sf).groupBy("cell_type").pivot("cond", ["a", "b"]).agg(F.array_sort(F.collect_list("value")))
-    return lists.select("cell_type", interactions.mann_whitney_p("a", "b").alias("pvalue"))
+    cells = cells_view(spark, sf).withColumn("first", F.col("cond") == "a")
+    return r6(interactions.rank_test(cells, ["cell_type"], "value", "first"), "pvalue")
 
 
 @query()
@@ -744,10 +810,17 @@ def farthest_point_seeds(spark, sf):
     return stats.farthest_point_seeds(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 3).select("seed", "vec_id")
 
 
-@query()
+@query(
+    f"""WITH {ODDS}, o AS (SELECT o_orderstatus, o_totalprice AS y, CAST(o_custkey AS DOUBLE) AS x, CASE WHEN o_orderpriority LIKE '1%' THEN 1.0 ELSE 0.0 END AS u FROM orders),
+ s AS (SELECT o_orderstatus, count(*) AS n, count(*) * var_pop(x) AS xx, count(*) * var_pop(u) AS uu, count(*) * var_pop(y) AS yy, count(*) * covar_pop(x, u) AS xu, count(*) * covar_pop(x, y) AS xy, count(*) * covar_pop(u, y) AS uy FROM o GROUP BY 1),
+ b AS (SELECT *, (xx * uy - xu * xy) / (xx * uu - xu * xu) AS bu, (uu * xy - xu * uy) / (xx * uu - xu * xu) AS bx FROM s),
+ t AS (SELECT *, bu / sqrt((yy - bx * xy - bu * uy) / (n - 3) * xx / (xx * uu - xu * xu)) AS t, n - 3 AS free FROM b)
+ SELECT o_orderstatus, round(bu, 4) AS coefficient, round({student_sql('t', 'free')}, 6) AS pvalue, n FROM t"""
+)
 def group_ols(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("urgent", F.col("o_orderpriority").startswith("1").cast("double"))
-    return stats.grouped_ols(o, ["o_orderstatus"], "o_totalprice", ["o_custkey", "urgent"], "urgent")
+    found = stats.grouped_ols(o, ["o_orderstatus"], "o_totalprice", ["o_custkey", "urgent"], "urgent")
+    return r6(found, "pvalue").withColumn("coefficient", F.round("coefficient", 4))
 
 
 @query("SELECT o_orderpriority AS grp, round(ln(0.001 + avg(o_totalprice)), 6) AS o_totalprice FROM orders GROUP BY 1")
@@ -788,6 +861,20 @@ def marker_clusters(spark, sf):
 
 @query()
 def graph_communities(spark, sf):
+    near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
+    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    return annotate.modularity_communities(edges)
+
+
+@query()
+def community_resolutions(spark, sf):
+    near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
+    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    return annotate.resolution_sweep(edges, [0.5, 2.0])
+
+
+@query()
+def label_groups(spark, sf):
     near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
     edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
     return annotate.label_propagation(edges)
@@ -804,3 +891,160 @@ def cosine_neighbours_in_order(spark, sf):
 def coarse_grid(spark, sf):
     c = cells_view(spark, sf)
     return r6(c.groupBy("region", F.floor(F.col("x") / 500).alias("gx"), F.floor(F.col("y") / 500).alias("gy")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
+
+
+@query(
+    "SELECT c_mktsegment AS segment, CAST(n_regionkey AS BIGINT) AS area, round(avg(c_acctbal), 6) AS mean, CAST(row_rank AS INTEGER) AS row_rank, CAST(column_rank AS INTEGER) AS column_rank FROM customer JOIN nation ON c_nationkey = n_nationkey "
+    "JOIN (SELECT segment, row_number() OVER (ORDER BY sum(abs(m)) DESC, segment) AS row_rank FROM (SELECT c_mktsegment AS segment, n_regionkey, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1) r ON r.segment = c_mktsegment "
+    "JOIN (SELECT area, row_number() OVER (ORDER BY sum(abs(m)) DESC, area) AS column_rank FROM (SELECT c_mktsegment, n_regionkey AS area, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1) k ON k.area = n_regionkey GROUP BY 1, 2, 4, 5"
+)
+def ordered_by_absolute_sum(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").join(spark.read.parquet(f"{sf}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey"))
+    means = c.groupBy(F.col("c_mktsegment").alias("segment"), F.col("n_regionkey").cast("long").alias("area")).agg(F.avg("c_acctbal").alias("mean"))
+    return r6(composition.by_absolute_sum(means, "segment", "area", "mean"), "mean")
+
+
+@query(f"WITH {CELLS} SELECT cell_type, CAST(CASE cell_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS INTEGER) AS place, count(*) AS n FROM cells WHERE cell_type IN ('view', 'click', 'purchase') GROUP BY 1, 2")
+def listed_order(spark, sf):
+    counts = cells_view(spark, sf).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+    return composition.custom_order(counts, "cell_type", ["view", "click", "purchase"]).select("cell_type", "place", "n")
+
+
+@query(
+    f"WITH {CELLS}, a AS (SELECT cell_type, count(*) AS n, max(value) AS top FROM cells WHERE cell_type <> 'click' GROUP BY 1), b AS (SELECT cell_type, min(x) AS low, max(value) AS top FROM cells WHERE cell_type <> 'view' GROUP BY 1) "
+    "SELECT coalesce(a.cell_type, b.cell_type) AS cell_type, n, low, round(coalesce(a.top, b.top), 6) AS top FROM a FULL JOIN b ON a.cell_type = b.cell_type"
+)
+def tables_side_by_side(spark, sf):
+    cells = cells_view(spark, sf)
+    one = cells.where("cell_type <> 'click'").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    two = cells.where("cell_type <> 'view'").groupBy("cell_type").agg(F.min("x").alias("low"), F.max("value").alias("top"))
+    return r6(composition.side_by_side(one, two, "cell_type").select("cell_type", "n", "low", "top"), "top")
+
+
+@query(f"WITH {_FREQ} SELECT 'CN' || replace(combination, ',', ' CN') AS names, n FROM freqs")
+def combo_names(spark, sf):
+    found = _combinations(spark, sf).groupBy("combination").agg(F.count(F.lit(1)).alias("n"))
+    return found.select(F.array_join(neighborhoods.combination_names("combination", CNS), " ").alias("names"), "n")
+
+
+@query(f"WITH {_FREQ} SELECT combination, n, round(cum_freq, 6) AS cum_freq FROM freqs WHERE cum_freq - freq <= 0.85")
+def combination_map_top(spark, sf):
+    return r6(neighborhoods.combination_map(cells_view(spark, sf), "cn", CNS, K, THRESHOLD, 0.85)["top"].select("combination", "n", "cum_freq"), "cum_freq")
+
+
+@query(f"WITH {ODDS}, {CELLS}, c AS (SELECT cell_type, corr(CAST(x AS DOUBLE), value) AS r, count(*) AS n FROM cells GROUP BY 1), t AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, n - 2 AS free FROM c) SELECT cell_type, round(r, 6) AS corr, round({student_sql('t', 'free')}, 6) AS pvalue, n FROM t")
+def corr_pvalue(spark, sf):
+    return r6(stats.correlation_test(cells_view(spark, sf), ["cell_type"], "x", "value"), "corr", "pvalue")
+
+
+@query()
+def elbow_costs(spark, sf):
+    types = events_types(spark, sf)
+    return neighborhoods.elbow(_windows(spark, sf, K, True, "cell_type", types), types, [2, 4, 6])
+
+
+@query()
+def tissue_modules(spark, sf):
+    return stats.tissue_modules(cells_view(spark, sf), "region", "cn", "cell_type", (2, 3, 3))
+
+
+@query()
+def module_ranks(spark, sf):
+    return stats.evaluate_ranks(cells_view(spark, sf), "region", "cn", "cell_type", 2, 4)
+
+
+# --- sources, sinks and schema ---------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, sf) -> str:
+    """Cells as segmentation tables: one CSV folder a region, an index column first, names with a prefix."""
+    path = _folder(spark, "csv")
+    cells = cells_view(spark, sf).select("region", F.lit(0).alias("index"), F.col("cell_id").alias("cell:cell_id"), F.col("x").alias("pos:x"), F.col("y").alias("size"), F.col("cell_type").alias("cell:cell_type"))
+    write_by_region(cells, path, "region", [c for c in cells.columns if c != "region"])
+    return path
+
+
+@query(f"WITH {CELLS} SELECT cell_id, x, y AS area, cell_type, substr(region, 4) AS region_num, region AS unique_region, cond AS condition FROM cells")
+def csv_round_trip(spark, sf):
+    path = _written(spark, sf)
+    found = cells_view(spark, sf).groupBy("region").agg(F.max("cond").alias("cond")).orderBy("region").collect()  # eight regions
+    df = read_cells(spark, [f"{path}/region={r['region']}" for r in found], "cellseg", [r["region"] for r in found], [r["cond"] for r in found])
+    return df.select(*[F.col(c).cast("long").alias(c) for c in ("cell_id", "x", "area")], "cell_type", "region_num", "unique_region", "condition")
+
+
+@query(f"WITH {CELLS} SELECT DISTINCT region FROM cells")
+def listed_files(spark, sf):
+    files = list_files(spark, _written(spark, sf), ".csv", recursive=True)
+    return files.select(F.regexp_extract("path", "region=([^/]+)/", 1).alias("region")).distinct()
+
+
+@query("SELECT DISTINCT event_type AS name FROM events")
+def names_from_text(spark, sf):
+    path = _folder(spark, "names")
+    spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit('"'), "event_type", F.lit('",')).alias("value")).distinct().write.text(path)
+    return read_names(spark, path)
+
+
+@query(f"WITH {CELLS} SELECT DISTINCT region || '_' || cell_type AS name FROM cells")
+def bare_names(spark, sf):
+    paths = cells_view(spark, sf).select(F.concat(F.lit("out/cut/"), "region", F.lit("_"), "cell_type", F.lit("_plot.png_cut.png")).alias("path")).distinct()
+    return paths.select(bare_name("path").alias("name"))
+
+
+@query(f"WITH {CELLS} SELECT region, count(*) AS n FROM cells WHERE cond = 'a' GROUP BY region")
+def registered_result(spark, sf):
+    name = f"result_{uuid.uuid4().hex}"
+    register(cells_view(spark, sf).where("cond = 'a'"), name)
+    return spark.sql(f"SELECT region, count(*) AS n FROM {name} GROUP BY region")
+
+
+@query(f"WITH {CELLS} SELECT cell_id, CAST(x AS DOUBLE) AS first, CAST(y AS DOUBLE) AS second, round(value, 6) AS feature FROM cells")
+def spatial_points(spark, sf):
+    points = format_spatial(cells_view(spark, sf).select("cell_id", "x", "y", "value"), "x", "y", ["value"])
+    return r6(points.select("cell_id", F.col("spatial")[0].alias("first"), F.col("spatial")[1].alias("second"), F.col("features")[0].alias("feature")), "feature")
+
+
+@query(f"WITH {LINES} SELECT l_orderkey, l_linenumber, l_quantity FROM lines")
+def positional_slice(spark, sf):
+    lines = marker_view(spark, sf)
+    return lines.select(*marker_slice(lines, 2))
+
+
+@query(f"WITH {CELLS} SELECT cell_id, CASE WHEN cell_id % 7 <> 0 THEN value END AS value FROM cells WHERE cell_id % 7 = 0 OR value > 10")
+def nan_as_null(spark, sf):
+    cells = cells_view(spark, sf).select("cell_id", F.when(F.col("cell_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    return without_nan(cells).where("value is null or value > 10")
+
+
+@query(
+    f"WITH {CELLS}, f AS (SELECT cn, row_number() OVER (ORDER BY min(cell_id), cn) - 1 AS neigh_num FROM cells GROUP BY cn) SELECT cell_id, region || '_' || cond AS patients, c.cn, CAST(neigh_num AS INTEGER) AS neigh_num FROM cells c JOIN f ON f.cn = c.cn"
+)
+def neighbourhood_numbers(spark, sf):
+    cells = cells_view(spark, sf).withColumn("patients", F.concat_ws("_", "region", "cond"))
+    return first_appearance(cells.select("cell_id", "patients", "cn"), "cn", "cell_id", "neigh_num").select("cell_id", "patients", "cn", "neigh_num")
+
+
+@query(
+    f"WITH {PIXELS} SELECT image, label, round(4 * pi() * count(*) / ((max(x) - min(x) + max(y) - min(y) + 2) * 2.0) / ((max(x) - min(x) + max(y) - min(y) + 2) * 2.0), 6) AS circularity, "
+    "0.299 * (label % 5 / 4.0) + 0.587 * (label % 3 / 2.0) + 0.114 * (label % 2) < 0.5 AS dark FROM px WHERE label <> 0 GROUP BY image, label"
+)
+def shape_and_colour(spark, sf):
+    f = pixels.label_features(pixel_view(spark, sf), [])
+    perimeter = (F.col("x_max") - F.col("x_min") + F.col("y_max") - F.col("y_min") + 2) * 2
+    dark = is_dark(F.col("label") % 5 / 4, F.col("label") % 3 / 2, (F.col("label") % 2).cast("double"))
+    return r6(f.select("image", "label", circularity(F.col("area"), perimeter).alias("circularity"), dark.alias("dark")), "circularity")
+
+
+@query(
+    f"WITH {PIXELS}, m AS (SELECT image, label, avg(c1) AS c1 FROM px WHERE label <> 0 GROUP BY 1, 2 HAVING count(*) > 40) SELECT c.image, c.label, round(coalesce(m.c1, c.c1), 6) AS c1, c.c2 "
+    "FROM (SELECT image, label, -1.0 AS c1, max(c2) AS c2 FROM px WHERE label <> 0 GROUP BY 1, 2) c LEFT JOIN m ON m.image = c.image AND m.label = c.label"
+)
+def compensated_cells(spark, sf):
+    px = pixel_view(spark, sf)
+    cells = px.where("label <> 0").groupBy("image", "label").agg(F.max("c2").alias("c2")).withColumn("c1", F.lit(-1.0))
+    means = pixels.label_features(px, ["c1"], 40).select("image", "label", "c1")
+    return r6(pixels.compensate_cells(cells, means, ["c1"]).select("image", "label", "c1", "c2"), "c1")

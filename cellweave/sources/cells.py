@@ -81,6 +81,15 @@ def split_markers(df: DataFrame, markers: Sequence[str], dropped: Sequence[str]
     return df.select(*rest, F.array(*[F.col(m).cast("double") for m in kept]).alias("features"))
 
 
+def format_spatial(df: DataFrame, x: str, y: str, markers: Sequence[str] = ()) -> DataFrame:
+    """Coordinates gathered in ``spatial`` (and markers in ``features``), all other columns beside them; x and y must be numeric."""
+    for c in (x, y):
+        if not isinstance(df.schema[c].dataType, T.NumericType):
+            raise TypeError(f"{c} is not numeric")
+    out = df.withColumn("spatial", F.array(F.col(x).cast("double"), F.col(y).cast("double")))
+    return split_markers(out, markers) if markers else out
+
+
 def cells_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells made from the events table: unique integer coordinates, eight regions, two conditions, a label grid."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -1,11 +1,11 @@
-import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import normal_cdf
-from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, spatial, stats
+from cellweave.functions.scalars import normal_cdf, phi
+from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, ranking, spatial, stats
 from cellweave.plans import catalog
 from cellweave.schema import CellSchema, first_appearance, marker_slice, without_nan
 from cellweave.sources.cells import cells_view
@@ -92,14 +92,63 @@ def test_delaunay_drops_repeated_places(spark):
     assert sorted((r["id1"], r["id2"], r["distance"]) for r in interactions.delaunay_edges(df).collect()) == [(1, 2, 4.0), (1, 3, 3.0), (2, 3, 5.0)]
 
 
-def test_mann_whitney_known_values():
-    assert interactions.mann_whitney([1, 2, 3], []) is None
-    assert interactions.mann_whitney([1, 1], [1, 1]) == 1.0
-    a, b = list(range(1, 13)), list(range(7, 19))
-    u = 126.0  # 12 * 12 less the 18 pairs in which a is over b, ties halved
-    ties = sum(t**3 - t for t in [2] * 6)
-    sd = math.sqrt(12 * 12 / 12 * (25 - ties / (24 * 23)))
-    assert interactions.mann_whitney(a, b) == pytest.approx(2 * (1 - normal_cdf((u - 72 - 0.5) / sd)))
+def mann_whitney(a, b):
+    """Brute force over pairs."""
+    n, m = len(a), len(b)
+    if not n or not m:
+        return None
+    u = sum((x > y) + (x == y) / 2 for x in a for y in b)
+    u = max(u, n * m - u)
+    both = [*a, *b]
+    ties = sum(both.count(v) ** 3 - both.count(v) for v in set(both))
+    var = n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))
+    return 1.0 if var <= 0 else min(1.0, 2 * (1 - normal_cdf((u - n * m / 2 - 0.5) / var**0.5)))
+
+
+def test_rank_test_equals_brute_force(spark):
+    r = random.Random(5)
+    groups = {"plain": ([r.random() for _ in range(300)], [r.random() + 0.1 for _ in range(200)]), "ties": ([r.randrange(4) for _ in range(90)], [r.randrange(5) for _ in range(70)]), "one": ([1.0], []), "same": ([2.0] * 4, [2.0] * 3)}
+    groups["small"] = (list(range(1, 13)), list(range(7, 19)))
+    rows = [(g, float(v), flag) for g, (a, b) in groups.items() for flag, vs in ((True, a), (False, b)) for v in vs] + [("plain", None, True)]
+    got = {x["g"]: x["pvalue"] for x in interactions.rank_test(spark.createDataFrame(rows, "g string, v double, f boolean"), ["g"], "v", "f").collect()}
+    assert got.keys() == groups.keys()
+    for g, (a, b) in groups.items():
+        want = mann_whitney(a, b)
+        assert got[g] is None if want is None else got[g] == pytest.approx(want, abs=1e-9)
+
+
+def test_normal_distribution_function(spark):
+    z = [-38.0, -9.0, -5.0, -4.999, -1.3, 0.0, 0.2, 3.0, 4.9999, 5.0, 6.5, 30.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z double").select(phi(F.col("z"))).collect()]
+    assert got == pytest.approx([normal_cdf(v) for v in z], rel=1e-9, abs=1e-300)
+    assert spark.createDataFrame([(None,)], "z double").select(phi(F.col("z"))).first()[0] is None
+
+
+def test_running_totals_and_quantiles(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [(g, v, r.randrange(5)) for g in "ab" for v in r.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "g string, v long, k long")
+    want = {(g, v): sum(k for h, w, k in rows if h == g and w < v) for g, v, _ in rows}
+    assert {(x["g"], x["v"]): x["s"] for x in ranking.running_before(df, ["g"], "v", "k", "s").collect()} == want
+    named = df.withColumn("v", F.lpad(F.col("v").cast("string"), 6, "0"))
+    assert {(x["g"], int(x["v"])): x["s"] for x in ranking.running_before(named, ["g"], "v", "k", "s").collect()} == want
+    values = spark.createDataFrame([(float(v), float(v % 3), None) for _, v, _ in rows] + [(None, None, None)], "a double, b double, c double")
+    for sorted_ in (100_000, 50):
+        monkeypatch.setattr(ranking, "SORTED", sorted_)
+        got = ranking.exact_quantiles(values, ["a", "b", "c"], (0.0, 0.01, 0.5, 0.777, 1.0))
+        exact = values.agg(*[F.percentile(c, F.array(*map(F.lit, (0.0, 0.01, 0.5, 0.777, 1.0)))).alias(c) for c in "ab"]).first()
+        assert got["a"] == pytest.approx(exact["a"]) and got["b"] == pytest.approx(exact["b"]) and got["c"] == [None] * 5
+
+
+def test_swaps_are_permutations_and_engines_agree(spark):
+    for n in (1, 2, 7, 1000):
+        places = interactions.swapped_places(np.arange(n), n, np.arange(5))
+        assert all(sorted(places[:, s]) == list(range(n)) for s in range(5))
+        got = spark.range(n).select(*[interactions.swapped(F.col("id"), F.lit(n).cast("long"), s).alias(f"s{s}") for s in range(5)], "id").orderBy("id").collect()
+        assert [[x[f"s{s}"] for s in range(5)] for x in got] == places.tolist()
+    many = interactions.swapped_places(np.arange(500), 500, np.arange(200))
+    # Each place goes anywhere: no place keeps to itself or to its neighbourhood.
+    assert abs((many == np.arange(500)[:, None]).mean() - 1 / 500) < 1e-3 and abs((np.abs(np.diff(many, axis=0)) == 1).mean() - 2 / 500) < 3e-3
 
 
 def test_interaction_filter_needs_both_conditions(spark):
@@ -189,10 +238,11 @@ def test_spill_compensation_covers_every_event(spark):
     assert want > 3 and catalog.QUERIES["spill_compensation"](spark, sf).select("image").distinct().count() == want
 
 
-def test_graph_communities_cover_all_regions_and_settle(spark, small):
-    got = {r["id"]: r["community"] for r in catalog.QUERIES["graph_communities"](spark, small).collect()}
+def test_label_groups_cover_all_regions_and_settle(spark, small):
+    got = {r["id"]: r["community"] for r in catalog.QUERIES["label_groups"](spark, small).collect()}
     cells = cells_view(spark, small)
-    assert set(got) == {r["cell_id"] for r in cells.select("cell_id").collect()}
+    ids = {r["cell_id"] for r in cells.select("cell_id").collect()}
+    assert set(got) == ids
     around = {}
     for r in spatial.knn(cells, 6, include_self=False).select("id", "neighbor").collect():
         around.setdefault(r["id"], set()).add(r["neighbor"])
@@ -200,12 +250,71 @@ def test_graph_communities_cover_all_regions_and_settle(spark, small):
     for v, near in around.items():
         votes = [got[u] for u in near]
         assert votes.count(got[v]) == max(map(votes.count, votes))
-
-
-def test_label_propagation_raises_when_labels_still_move(spark):
-    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)], "src long, dst long, weight double")
-    with pytest.raises(RuntimeError):
-        annotate.label_propagation(path, 1)
+    assert {r["id"] for r in catalog.QUERIES["graph_communities"](spark, small).collect()} == ids
+
+
+def test_label_propagation_settles_on_paths_and_rings(spark):
+    path = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)] + [(100 + i, 100 + (i + 1) % 9, 1.0) for i in range(9)], "src long, dst long, weight double")
+    got = {r["id"]: r["community"] for r in annotate.label_propagation(path).collect()}
+    assert len(got) == 60
+
+
+def test_communities_of_planted_groups(spark):
+    r = random.Random(3)
+    edges = [(10 * g + i, 10 * g + j, 1.0) for g in range(6) for i in range(10) for j in range(i) if r.random() < 0.8] + [(10 * g, 10 * ((g + 1) % 6) + 1, 1.0) for g in range(6)] + [(0, 0, 2.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    found = annotate.modularity_communities(df)
+    got = {x["id"]: x["community"] for x in found.collect()}
+    assert got == {10 * g + i: 10 * g for g in range(6) for i in range(10)}
+    total = sum(w for *_, w in edges)
+    inside = sum(w for a, b, w in edges if got[a] == got[b])
+    degree = {}
+    for a, b, w in edges:
+        for v in (a, b):
+            degree[got[v]] = degree.get(got[v], 0) + w
+    assert annotate.modularity(df, found) == pytest.approx(inside / total - sum(d * d for d in degree.values()) / (4 * total * total))
+    sweep = {x["resolution"]: x["communities"] for x in annotate.resolution_sweep(df, [0.05, 1.0]).collect()}
+    assert sweep[1.0] == 6 and sweep[0.05] < 6
+    assert annotate.modularity_communities(df.where("false")).count() == 0
+
+
+def test_nearest_neighbours_equal_brute_force(spark):
+    r = random.Random(9)
+    rows = [(i, f"r{i % 2}", r.choice([r.randrange(40), r.randrange(2000)]), r.randrange(60)) for i in range(400)] + [(1000, "alone", 5, 5), (1001, None, 1, 1), (1002, "r0", None, 1)]
+    df = spark.createDataFrame(rows, "cell_id long, region string, x long, y long")
+    asked = [(5000 + i, "r0", r.randrange(-9000, 9000), r.randrange(50)) for i in range(20)] + [(6000, "r9", 1, 1)]
+    others = spark.createDataFrame(asked, "cell_id long, region string, x long, y long")
+    good = [p for p in rows if p[1] and p[2] is not None]
+    for k, mine, own in ((7, good, True), (7, good, False), (300, good, False), (3, asked, True)):
+        got = {}
+        found = spatial.knn(others if mine is asked else df, k, include_self=own, others=df if mine is asked else None, extra=("x",))
+        for x in found.collect():
+            got.setdefault(x["id"], []).append((x["rank"], x["d2"], x["neighbor"]))
+        for i, g, a, b in mine:
+            near = sorted(((a - c) ** 2 + (b - d) ** 2, j) for j, h, c, d in good if h == g and (own or i != j))[:k]
+            assert sorted(got.get(i, [])) == [(n, d, j) for n, (d, j) in enumerate(near, 1)], (k, i)
+
+
+def test_sparse_least_squares():
+    r = np.random.default_rng(4)
+    a = np.eye(30) + (r.random((30, 30)) < 0.1) * r.random((30, 30))
+    rows, columns = np.nonzero(a)
+    b = r.random((30, 2))
+    assert pixels.least_squares(rows, columns, a[rows, columns], b) == pytest.approx(np.linalg.lstsq(a, b, rcond=None)[0], abs=1e-8)
+
+
+def test_tables_orders_and_maps(spark, small):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", -5.0), ("b", "x", 3.0), ("b", "y", 0.5)], "r string, c string, v double")
+    assert sorted({(x["r"], x["row_rank"]) for x in composition.by_absolute_sum(df, "r", "c", "v").collect()}) == [("a", 1), ("b", 2)]
+    assert [x["r"] for x in composition.custom_order(df.where("c = 'x'"), "r", ["b", "z", "a"]).collect()] == ["b", "a"]
+    both = composition.side_by_side(df.where("c = 'x'").select("r", "v"), spark.createDataFrame([("b", 9.0, 1), ("q", 8.0, 2)], "r string, v double, w int"), "r")
+    assert sorted(map(tuple, both.select("r", "v", "w").collect())) == [("a", 1.0, None), ("b", 3.0, 1), ("q", 8.0, 2)]
+    parts = neighborhoods.combination_map(cells_view(spark, small), "cn", ["CN0", "CN1", "CN2", "CN3"], 10, 0.6, 0.5)
+    assert parts["top"].agg(F.sum("freq")).first()[0] > 0.5 and parts["share"].count() == 1 and parts["edges"].columns == ["src", "dst"]
+    with pytest.raises(ValueError):
+        stats.nearest_seed(spark.createDataFrame([(1, [1.0])], "i long, f array<double>"), "i", "f", spark.range(3).select(F.col("id").alias("seed"), F.array(F.lit(1.0)).alias("features")), 2)
+    loadings = stats.tissue_modules(cells_view(spark, small), "region", "cn", "cell_type", (1, 2, 2), 50)
+    assert {x["axis"] for x in loadings.collect()} == {"donor", "neighbourhood", "type", "core"} and loadings.where("loading < 0").count() == 0
 
 
 def test_ml_predict_labels_every_embedding_from_all_dimensions(spark, small, monkeypatch):
@@ -217,15 +326,17 @@ def test_ml_predict_labels_every_embedding_from_all_dimensions(spark, small, mon
     assert sorted(got) == sorted(r["vec_id"] for r in e.select("vec_id").collect()) and used == [len(e.first()["embedding"])]
 
 
-def test_expected_distances_equal_the_dealt_labels(spark, small):
+def test_expected_distances_equal_the_dealt_labels(spark, small, monkeypatch):
     cells = cells_view(spark, small)
     edges = interactions.delaunay_edges(cells).cache()
-    got = {(r["iteration"], r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.expected_distances(edges, cells, 52).where("iteration in (0, 51)").collect()}
-    want = {}
-    for i in (0, 51):
-        both = interactions.labelled_edges(edges, interactions.permute_labels(cells, i + 1234))
-        want |= {(i, r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.mean_distances(both.select("region", "id1", "type1", "type2", "distance")).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    for block in (2000, 15):  # regions in one block and in many
+        monkeypatch.setattr(interactions, "BLOCK_CELLS", block)
+        got = {(r["iteration"], r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.expected_distances(edges, cells, 22).where("iteration in (0, 21)").collect()}
+        want = {}
+        for i in (0, 21):
+            both = interactions.labelled_edges(edges, interactions.permute_labels(cells, i))
+            want |= {(i, r["region"], r["type1"], r["type2"]): r["mean_dist"] for r in interactions.mean_distances(both.select("region", "id1", "type1", "type2", "distance")).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
 
 
 def test_interaction_test_runs_a_thousand_permutations(spark, small, monkeypatch):
