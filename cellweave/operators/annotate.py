@@ -88,7 +88,7 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * degrees.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * total * total)
 
 
-def modularity_communities(edges: DataFrame, resolution: float = 1.0, patience: int = 4) -> DataFrame:
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, patience: int = 2) -> DataFrame:
     """``id, community`` of a weighted undirected graph ``src, dst, weight`` by local moves and merging.
 
     On each level vertices move to the neighbouring community that adds most to the
@@ -123,13 +123,23 @@ def _moved(graph: DataFrame, total: float, resolution: float, patience: int) ->
     """Best labelling of one level: ``id, community``."""
     ends = materialize(graph.where("src <> dst").select("src", "dst", "weight").unionByName(graph.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "ends")
     degree = graph.select(F.col("src").alias("id"), "weight").unionByName(graph.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
-    labels = materialize(degree.select("id", F.col("id").alias("community"), "k"), "moves")
-    best, most, waited, step = labels, modularity(graph, labels.select("id", "community"), resolution), 0, 0
+    labels = materialize(degree.select("id", F.col("id").alias("community"), "k", F.lit(True).alias("moves")), "moves")
+
+    def figures(now: DataFrame) -> tuple[float, int]:
+        """Modularity and number of vertices that want to move, in one job."""
+        sides = graph.join(now.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(now.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
+        inside = sides.where("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
+        tot = now.groupBy("community").agg(F.sum("k").alias("tot"), F.sum(F.col("moves").cast("long")).alias("moves"))
+        row = inside.crossJoin(tot.agg(F.sum(F.col("tot") * F.col("tot")).alias("squares"), F.sum("moves").alias("moves"))).first()
+        return row["inside"] / total - resolution * row["squares"] / (4 * total * total), row["moves"]
+
+    best, waited, step = labels, 0, 0
+    most, _ = figures(labels)
     while waited < patience:
         tot = labels.groupBy("community").agg(F.sum("k").alias("tot"))
         near = ends.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
         own = labels.select("id", F.col("community").alias("c"), F.lit(0.0).alias("w"))  # a vertex may stay where none of its neighbours is
-        asked = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(labels, "id").join(tot.withColumnRenamed("community", "c"), "c")
+        asked = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(labels.drop("moves"), "id").join(tot.withColumnRenamed("community", "c"), "c")
         rest = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
         gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(2.0 * total)
         chosen = asked.groupBy("id").agg(F.max_by("c", F.struct(F.round(gain, 9), F.col("c") == F.col("community"), -F.col("c"))).alias("next"), F.first("community").alias("community"), F.first("k").alias("k"))
@@ -138,7 +148,7 @@ def _moved(graph: DataFrame, total: float, resolution: float, patience: int) ->
         if labels is not best:
             discard(labels)
         labels = moved
-        now = modularity(graph, labels.select("id", "community"), resolution)
+        now, moving = figures(labels)
         if now > most + 1e-9:
             if best is not labels:
                 discard(best)
@@ -146,7 +156,7 @@ def _moved(graph: DataFrame, total: float, resolution: float, patience: int) ->
         else:
             waited += 1
         step += 1
-        if moved.where("moves").isEmpty():
+        if not moving:
             break
     discard(ends)
     # Communities are named by their least vertex, so names of one level are vertices of it.

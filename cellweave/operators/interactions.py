@@ -198,7 +198,7 @@ def rank_test(df: DataFrame, by: Sequence[str], value: str, first: str) -> DataF
     """
     flag = F.col(first)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.sum(F.when(flag, 1).otherwise(0)).alias("__a"), F.count(F.lit(1)).alias("__t"))
-    ranked = running_before(counts, by, "__v", "__t", "__before")
+    ranked = running_before(materialize(counts, "counts"), by, "__v", "__t", "__before")  # read three times
     t = F.col("__t").cast("double")
     sums = ranked.groupBy(*by).agg(
         F.sum(F.col("__a") * (F.col("__before") + (t + 1) / 2)).alias("rank_sum"), F.sum(t * t * t - t).alias("ties"), F.sum("__a").cast("double").alias("n"), F.sum(t).alias("total")
@@ -220,12 +220,14 @@ def compare_distances(observed: DataFrame, expected: DataFrame, min_observed: in
     """
     key = ["type1", "type2", "condition"]
     both = observed.select(*key, "d", F.lit(True).alias("seen")).unionByName(expected.select(*key, "d", F.lit(False).alias("seen")))
+    both = materialize(both, "distances")
     side = lambda flag, name: (F.sum(F.when(flag, 1).otherwise(0)).alias(f"n_{name}"), F.avg(F.when(flag, F.col("d"))).alias(f"{name}_mean"))
     means = both.groupBy(*key).agg(*side(F.col("seen"), "observed"), *side(~F.col("seen"), "expected")).where(F.col("n_expected") > min_observed)
     enough = F.col("n_observed") > min_observed
     out = means.join(rank_test(both, key, "d", "seen"), key)
     figures = {"observed_mean": F.when(enough, F.col("observed_mean")), "pvalue": F.when(enough, F.col("pvalue")), "n_observed": F.when(enough, F.col("n_observed"))}
-    return out.withColumns(figures).withColumn("logfold_group", F.log2(F.col("observed_mean") / F.col("expected_mean"))).withColumn("interaction", F.concat("type1", F.lit(" --> "), "type2"))
+    out = out.withColumns(figures).withColumn("logfold_group", F.log2(F.col("observed_mean") / F.col("expected_mean"))).withColumn("interaction", F.concat("type1", F.lit(" --> "), "type2"))
+    return materialize(out, "comparison")  # a row for each pair and condition, which filters and pivots read again
 
 
 def cell_distances(edges: DataFrame, cells: DataFrame, condition: str, threshold: float, region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type") -> DataFrame:
@@ -253,6 +255,8 @@ def compare_edges(
     region: str = "region", cell_id: str = "cell_id", cell_type: str = "cell_type", x: str = "x", y: str = "y", digits: int | None = None,
 ) -> DataFrame:
     """The comparison over given undirected edges; ``digits``: distances that agree so far are ties."""
+    if not hasattr(edges, "_cellweave_path"):
+        edges = materialize(edges, "edges")  # read for what was observed and for what is expected
     conditions = cells.groupBy(F.col(region).alias("region")).agg(F.max(condition).alias("condition"))
     observed = cell_distances(edges, cells, condition, threshold, region, cell_id, cell_type)
     means = expected_distances(edges, cells, iterations, region, cell_id, cell_type, x, y)

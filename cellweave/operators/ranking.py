@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces into which a group is cut for running totals, values of a quantile's surroundings that are sorted in one task.
-PIECES, SORTED = 64, 100_000
+#: Pieces into which a group is cut for running totals and cuts looked up at a time, values of a quantile's surroundings that are sorted in one task.
+PIECES, STEP, SORTED = 64, 8, 100_000
 
 
 def running_before(df: DataFrame, by: Sequence[str], order: str, amount: str, out: str) -> DataFrame:
@@ -26,7 +26,11 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, amount: str, ou
         return df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn(out, F.coalesce(F.sum(amount).over(w), F.lit(0)))
     shares = F.array(*[F.lit(i / PIECES) for i in range(1, PIECES)])
     cuts = df.groupBy(*keys).agg(F.percentile_approx(order, shares, 1000).alias("__cuts"))
-    placed = df.join(cuts, keys).withColumn("__piece", F.size(F.filter("__cuts", lambda c: c < F.col(order)))).drop("__cuts")
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % STEP == STEP - 1))
+    # Looked up in two steps: every STEP-th cut first, then the STEP after those that lie below.
+    below = lambda found: F.size(F.filter(found, lambda c: c < F.col(order)))
+    placed = df.join(cuts, keys).withColumn("__passed", below("__coarse") * STEP)
+    placed = placed.withColumn("__piece", F.col("__passed") + below(F.slice("__cuts", F.col("__passed") + 1, F.lit(STEP)))).drop("__cuts", "__coarse", "__passed")
     sums = placed.groupBy(*keys, "__piece").agg(F.sum(amount).alias("__sum"))
     earlier = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__piece", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__offset"))

@@ -607,7 +607,7 @@ def observed_expected_pairs(spark, sf):
 
 
 #: Permutations of the comparisons that SQL checks; the registered test has 1000. Distances are compared to nine digits, as engines add in other orders.
-DEALS, LEAST = 12, 10
+DEALS, LEAST = 6, 10
 
 #: The whole comparison over edges within R: cells' mean distances, expected means, rank test and folds.
 _INTER = f"""{CELLS}, {_EDGES}, {_dealt_sql(DEALS)}, obs AS (SELECT a.cond AS condition, a.cell_type AS type1, b.cell_type AS type2, round(avg(sqrt(d2)), 9) AS d FROM edges JOIN cells a ON a.cell_id = id1 JOIN cells b ON b.cell_id = id2 GROUP BY a.cond, e1(id1), 2, 3),
