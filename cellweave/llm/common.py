@@ -193,6 +193,17 @@ class KeyFilter:
         return ((marks[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)
 
 
+def may_hold(df: DataFrame, column: str, keys: KeyFilter, box: str) -> DataFrame:
+    """Add ``box``: whether the filter lets the value of a whole-number column through; nulls never. Only that column leaves the JVM."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            yield pc.and_(pa.array(keys(values.fill_null(0).to_numpy(zero_copy_only=False)).astype(bool)), values.is_valid())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(box, F.arrow_udf(run, T.BooleanType()).asNondeterministic()(F.col(f"`{column}`").cast("long")))
+
+
 def text_runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges whose sizes sum to at most ``most``, or of one text."""
     lo, size = 0, 0

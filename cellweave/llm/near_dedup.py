@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import KeyFilter, discard, map_arrow, materialize, row_runs, table
+from cellweave.llm.common import KeyFilter, discard, map_arrow, materialize, may_hold, row_runs, table
 from cellweave.llm.substring_dedup import window_hashes, word_bounds, word_hashes
 from cellweave.llm.vector_text import LOWER, text_bytes
 
@@ -404,14 +404,8 @@ def _confirmed(rows: DataFrame, parts: int) -> DataFrame:
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Join texts to ``members`` (v, ...). A bounded filter drops most other texts before they are shuffled."""
-    wanted = KeyFilter.of(members, "v")
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(wanted(batch.column(0).to_numpy(zero_copy_only=False)).astype(bool)))
-
-    near = map_arrow(docs.where("doc is not null").select("doc", "text"), pick, "doc long, text string")
-    return members.join(near.withColumnRenamed("doc", "v"), "v")
+    near = may_hold(docs.where("doc is not null").select("doc", "text"), "doc", KeyFilter.of(members, "v"), "may").where("may")
+    return members.join(near.select(F.col("doc").alias("v"), "text"), "v")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
