@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.chunk_codec import round_trip
-from cellweave.llm.common import materialize, table, vocabulary_path
+from cellweave.llm.common import KeyFilter, discard, free_name, materialize, may_hold, table, vocabulary_path
 from cellweave.llm.decontaminate import contamination
 from cellweave.llm.near_dedup import near_duplicates
 from cellweave.llm.ordinal_quality import fit_model, grades, rate
@@ -32,7 +32,11 @@ def _put_back(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade reaches the classifier's limit."""
+    """Documents whose probability of the best grade reaches the classifier's limit.
+
+    Null and empty texts are rated by their shape; rows of one id are rated each for
+    itself, whatever their number. Without labels every document is kept.
+    """
     model = fit_model(docs.select("doc_id", "text"), grades(table(spark, sf_dir, "labels")))
     return _put_back(rate(_carried(docs), model, keep=["carried_row", "text"]).where("kept"), docs)
 
@@ -47,7 +51,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     known = found.where("doc_id is not null")
     dropped = known.where("not kept").select("doc_id").distinct()
     repeated = known.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(dropped, "doc_id", "left_anti")
+    # A bounded filter lets through all dropped ids and few others: only their rows are joined, the rest stay where they are.
+    box = free_name("__may", docs)
+    marked = may_hold(docs, "doc_id", KeyFilter.of(dropped, "doc_id"), box)
+    looked = marked.where(F.col(box)).join(dropped, "doc_id", "left_anti")
+    kept = marked.where(~F.col(box)).unionByName(looked).drop(box)
     if not repeated.isEmpty():
         carried = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("carried_row"))
         first = carried.withColumn("place", F.row_number().over(Window.partitionBy("carried_row.doc_id").orderBy("carried_row.text", F.xxhash64("carried_row"))))
@@ -56,18 +64,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, repeated rows go or stay together."""
     found = contamination(_carried(docs), table(spark, sf_dir, "benchmark"), keep=["carried_row", "text"])
     return _put_back(found.where("not contaminated"), docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and disclosing terms put in general terms; n_chars follows the text."""
+    """All documents, personal data and disclosing terms put in general terms; n_chars follows the text. Null texts stay null."""
     return sanitise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids and the digest of what those decode to."""
+    """All documents with their token ids and the digest of what those decode to; null texts have no ids, repeated rows stay."""
     path = vocabulary_path("byte_bpe_50k.json")
     base = docs.select("doc_id", "lang", "source", "text")
     return round_trip(base, path, keep=["doc_id", "lang", "source"], ids_col="ids")
@@ -86,5 +94,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return docs
