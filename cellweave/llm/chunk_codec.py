@@ -121,7 +121,7 @@ class ChunkCodec:
         key = (left, middle, right)
         found = self._joins[key]
         if found is None:
-            whole, head, tail = self._plain(left + middle + right), self._plain(left), self._plain(right)
+            whole, head, tail = self._plain(left + middle + right), self._pieces[left], self._pieces[right]
             agrees = len(whole) >= len(head) + len(tail) and whole.startswith(head) and whole.endswith(tail)
             found = (head, whole[len(head) : len(whole) - len(tail)], tail) if agrees else ()
             dict.__setitem__(self._joins, key, found)

@@ -22,7 +22,7 @@ from cellweave.llm.common import free_name, materialize, table, with_struct, wor
 WINDOW = 10
 #: Bytes of item text that one automaton holds. A larger benchmark is cut into parts
 #: of about this size; each is read to the driver and scanned for in a pass of its own.
-AUTOMATON_BYTES = 16_000_000
+AUTOMATON_BYTES = 1_000_000
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)

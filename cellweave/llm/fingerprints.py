@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import TEXT, map_texts, materialize, table
+from cellweave.llm.common import TEXT, map_arrow, map_texts, materialize, row_runs, table
 from cellweave.llm.token_files import bucket_of, range_bounds
 
 #: Bits of the filter that picks texts whose bytes are compared: 16 for each repeated
@@ -73,9 +73,9 @@ def shared_hashes(df: DataFrame, text_col: str) -> frozenset[bytes] | None:
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, bytes] = {}
-        for batch in batches:
+        for part in (p for batch in batches for p in row_runs(batch, 0)):
             out = []
-            for text in batch.column(0).to_pylist():
+            for text in part.column(0).to_pylist():
                 data = canonical(text)
                 key = digest(data)
                 if all(marks[p >> 3] >> (p & 7) & 1 for p in _places(key, bits)) and seen.get(key) != data:
@@ -85,15 +85,15 @@ def shared_hashes(df: DataFrame, text_col: str) -> frozenset[bytes] | None:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (b"", b"")
-        for batch in batches:
+        for part in (p for batch in batches for p in row_runs(batch, 1)):
             out = []
-            for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for pair in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if pair[0] == last[0] and pair[1] != last[1]:
                     out.append(pair[0])
                 last = pair
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["h"])
 
-    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)).mapInArrow(differ, "h binary, data binary")
+    texts = map_arrow(df.select(F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)), differ, "h binary, data binary")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clashes = texts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(compare, "h binary").distinct().limit(LISTED + 1).collect()
     return None if len(clashes) > LISTED else frozenset(bytes(r["h"]) for r in clashes)
@@ -149,7 +149,7 @@ def with_next_text(df: DataFrame, id_col: str, text_col: str, each, schema: str)
     dealt = (
         src.withColumn("to", F.explode(targets))
         .select("to.bucket", "to.ghost", "id", "text")
-        .repartition(parts, "bucket")
+        .repartitionById(parts, F.col("bucket"))  # one range for each task
         .sortWithinPartitions("bucket", "ghost", F.col("id").desc_nulls_last(), F.xxhash64("text"))
     )
 
@@ -157,9 +157,9 @@ def with_next_text(df: DataFrame, id_col: str, text_col: str, each, schema: str)
         from pyspark.sql.pandas.types import to_arrow_schema
 
         wait = None
-        for batch in batches:
+        for part in (p for batch in batches for p in row_runs(batch, 3)):
             ids, texts, nexts = [], [], []
-            for bucket, ghost, key, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for bucket, ghost, key, text in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 if wait is not None and wait[0] == bucket:
                     ids.append(wait[1])
                     texts.append(wait[2])
@@ -168,7 +168,7 @@ def with_next_text(df: DataFrame, id_col: str, text_col: str, each, schema: str)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(each(ids, texts, nexts), to_arrow_schema(out), strict=True)], names=names)
 
-    return dealt.mapInArrow(run, out)
+    return map_arrow(dealt, run, out)
 
 
 def edited_text(text: str, following: str) -> str:
