@@ -166,10 +166,39 @@ def named_tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return names, codes, np.searchsorted(edges, starts, side="right") - 1
 
 
-def keys_of_run(run: bytes, key) -> tuple:
-    """Different keys of the tokens of a run, without the false ones."""
-    found = (key(run.decode()),) if run.isascii() else tuple({key(t) for t in _TERM.findall(run.decode("utf-8"))})
-    return tuple(k for k in found if k is not False)
+class RunKeys:
+    """Hashes of the terms in runs of token bytes that pass a test of many at once; remembered for each run."""
+
+    def __init__(self, test):
+        self._test = test
+        self._cache = TwoAgeCache(lambda _: None, CACHE_TERMS)
+
+    def __call__(self, runs: list[bytes]) -> list[tuple[int, ...]]:
+        found = list(map(self._cache.__getitem__, runs))
+        new = [i for i, v in enumerate(found) if v is None]
+        if new:
+            hashes, owner = [], []
+            for i in new:
+                text = runs[i].decode("utf-8")
+                if text.isascii():
+                    hashes.append(_token_hash(text))
+                    owner.append(i)
+                else:
+                    for token in set(_TERM.findall(text)):
+                        hashes.append(_token_hash(token))
+                        owner.append(i)
+                found[i] = ()
+            all_hashes = np.array(hashes, np.uint64).view(np.int64)
+            for k in np.flatnonzero(self._test(all_hashes)).tolist():
+                found[owner[k]] = (*found[owner[k]], int(all_hashes[k]))
+            for i in new:
+                dict.__setitem__(self._cache, runs[i], found[i])
+        return found
+
+
+def _token_hash(token: str) -> int:
+    """``term_hash`` of a token's term, unsigned."""
+    return xxhash.xxh3_64_intdigest((token.lower() if token.isalpha() else term_of(token)).encode("utf-8", "surrogatepass"))
 
 
 def events(text: str) -> Iterator[tuple[str, set[str], str | None]]:
@@ -240,12 +269,12 @@ def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
     wanted = KeyFilter.of(joint.select("term").distinct(), "term")
 
     def text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def look(token: str) -> int | bool:
+        runs = RunKeys(wanted)
+
+        def key(token: str) -> int | bool:
             h = term_hash(term_of(token))
             return h if wanted.has(h) else False
 
-        key = TwoAgeCache(look, CACHE_TERMS).__getitem__
-        runs = TwoAgeCache(lambda run: keys_of_run(run, key), CACHE_TERMS)
         sums: dict[int, float] = {}
 
         def out():
@@ -258,9 +287,10 @@ def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
                 if spans := base_spans(text):
                     marked[i] = {k for a, b, _ in free_terms(text, spans) if (k := key(text[a:b])) is not False}
             names, codes, owner = named_tokens(part.column(0))
-            keys = [runs[n] for n in names]
+            keys = runs(names)
             wanted_code = np.array([bool(k) for k in keys], bool)
             hit = np.flatnonzero(wanted_code[codes]) if len(keys) else np.zeros(0, np.int64)
+            # Short numbers have no term: their hash is that of nothing, which no event meets.
             met = {(t, k) for t, c in zip(owner[hit].tolist(), codes[hit].tolist(), strict=True) if t not in marked for k in keys[c]}
             met.update((t, k) for t, ks in marked.items() for k in ks)  # tokens inside an entity do not count
             for t, k in met:
@@ -304,14 +334,14 @@ def _mark(df: DataFrame, text_col: str, before: str | None, terms: np.ndarray, b
             return i < len(order) and order[i] == h
 
         strong = TwoAgeCache(look, CACHE_TERMS).__getitem__
-        runs = TwoAgeCache(lambda run: bool(keys_of_run(run, strong)), CACHE_TERMS)
+        runs = RunKeys(lambda h: np.isin(h, terms))
 
         def run(texts: pa.Array, known: pa.Array):
             own = texts.to_pylist()
             may = np.zeros(len(own), bool)
             if len(terms):
                 names, codes, owner = named_tokens(texts)
-                hit = np.array([runs[n] for n in names], bool)
+                hit = np.array([bool(k) for k in runs(names)], bool)
                 may[owner[hit[codes]] if len(names) else []] = True
             found = [spans_of(t, k, strong, m) for t, k, m in zip(own, known.to_pylist(), may.tolist(), strict=True)]
             new = [replaced(t, [(a, KINDS[k], b) for a, k, b in s]) if rewritten and s else None for t, s in zip(own, found, strict=True)]
