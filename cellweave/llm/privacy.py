@@ -288,13 +288,23 @@ def disclosing_terms(df: DataFrame, text_col: str = "text") -> DataFrame:
                     marked[i] = {k for a, b, _ in free_terms(text, spans) if (k := key(text[a:b])) is not False}
             names, codes, owner = named_tokens(part.column(0))
             keys = runs(names)
-            wanted_code = np.array([bool(k) for k in keys], bool)
-            hit = np.flatnonzero(wanted_code[codes]) if len(keys) else np.zeros(0, np.int64)
-            # Short numbers have no term: their hash is that of nothing, which no event meets.
-            met = {(t, k) for t, c in zip(owner[hit].tolist(), codes[hit].tolist(), strict=True) if t not in marked for k in keys[c]}
-            met.update((t, k) for t, ks in marked.items() for k in ks)  # tokens inside an entity do not count
-            for t, k in met:
-                sums[k] = sums.get(k, 0.0) + weights[t]
+            # Numbers for the hashes met here; a text counts once for each, whatever tokens stand for it.
+            number = {k: n for n, k in enumerate(dict.fromkeys([*(k for ks in keys for k in ks), *(k for ks in marked.values() for k in ks)]))}
+            first = np.array([number[ks[0]] if ks else -1 for ks in keys], np.int64)
+            free = np.ones(part.num_rows, bool)
+            free[list(marked)] = False  # tokens inside an entity do not count
+            hit = np.flatnonzero((first[codes] >= 0) & free[owner]) if len(codes) else np.zeros(0, np.int64)
+            pairs_ = [owner[hit] * len(number) + first[codes[hit]]]
+            several = {c: [number[k] for k in ks[1:]] for c, ks in enumerate(keys) if len(ks) > 1}
+            if several:
+                more = hit[np.isin(codes[hit], list(several))]
+                pairs_.append(np.array([t * len(number) + n for t, c in zip(owner[more].tolist(), codes[more].tolist(), strict=True) for n in several[c]], np.int64))
+            pairs_.append(np.array([t * len(number) + number[k] for t, ks in marked.items() for k in ks], np.int64))
+            text, which = np.divmod(np.unique(np.concatenate(pairs_)), max(1, len(number)))
+            total = np.bincount(which, weights[text], len(number)) if len(which) else np.zeros(len(number))
+            for k, w in zip(number, total.tolist(), strict=True):
+                if w:
+                    sums[k] = sums.get(k, 0.0) + w
             if len(sums) >= COUNTED:
                 yield out()
                 sums.clear()
