@@ -67,7 +67,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     data = LOWER[data]
     starts, ends = word_bounds(data, edges)
     per = np.diff(np.searchsorted(starts, edges))
-    words = word_hashes(data, starts, ends)
+    words, _ = word_hashes(data, starts, ends)
     h, text, _ = window_hashes(words, per, SHINGLE)
     cut = np.searchsorted(text, np.arange(len(per) + 1))
     first = np.cumsum(per) - per

@@ -1,7 +1,7 @@
 """Substring dedup: repeated token windows merged into maximal removal intervals.
 
 Every window of WINDOW words gets a Rabin-Karp hash: a polynomial over the hashes of
-its words, rolled over all words of a batch at once. A window is removed from a
+its words (xxh3 of their bytes), rolled over all words of a batch at once. A window is removed from a
 document if it also starts in a document with a smaller id, so what has to be known
 of each hash is the least id that holds it.
 
@@ -14,10 +14,12 @@ of each hash is the least id that holds it.
 3. Decisions meet their documents again by groups of ids; windows become word intervals, which
    are merged and cut out.
 
-Buckets are dealt by a second, independent hash, so two windows count as equal in step 2
-if 64 bits agree and log2(buckets) more. As buckets grow with the windows, n windows have
-n * BUCKET_ENTRIES / 2**65 false equalities to be expected: one in 2e13 windows (some 100
-TB of text), one in a million runs over 100 MB.
+A second polynomial stands on an independent hash of the words. Inside a block both have
+to agree. Buckets are dealt by the second, so in step 2 two windows count as equal if 64
+bits of the first agree and log2(buckets) of the second. As buckets grow with the windows,
+n windows have n * BUCKET_ENTRIES / 2**65 false equalities to be expected: one in 2e13
+windows (some 100 TB of text), one in a million runs over 100 MB. In step 3 the windows of
+one document are looked up among those it has to lose, by the first hash.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import map_arrow, row_runs, table
-from cellweave.llm.vector_text import SPACE, text_bytes
+from cellweave.llm.vector_text import SPACE, name_pieces, text_bytes
 
 WINDOW = 13
 #: Words that a task compares before it passes entries on.
@@ -43,23 +46,10 @@ BUCKET_ENTRIES = 2_000_000
 GROUPS = 4
 GROUP_BYTES = 32_000_000
 
-_RANDOM = np.random.default_rng(7_013)
-_BYTE = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _ROLL = np.uint64(0xD6E8FEB86659FD93)
 #: Of the hash that deals windows into buckets.
 _DEAL = np.uint64(0xA0761D6478BD642F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_powers = np.ones(1, np.uint64)
-
-
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 1024), _BASE, np.uint64)
-        more[0] = 1
-        _powers = np.cumprod(more, dtype=np.uint64)
-    return _powers
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -82,17 +72,11 @@ def word_bounds(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, stops[np.searchsorted(stops, starts, side="right")] if len(starts) else starts
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    stops = np.cumsum(lengths)
-    place = np.arange(int(stops[-1])) - np.repeat(stops - lengths, lengths)
-    where = place + np.repeat(starts, lengths)
-    parts = _BYTE[data[where]] * _power(int(lengths.max()))[place]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts, dtype=np.uint64)])
-    return _mixed(total[stops] - total[stops - lengths] + lengths.astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word's bytes: the halves of its 128-bit xxh3."""
+    codes, words = name_pieces(data, starts, ends)
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2)[codes]
+    return both[:, 0], both[:, 1]
 
 
 def rolled(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
@@ -136,11 +120,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _settle(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For entries (hash, id): whether a smaller id has the same hash."""
-    order = np.argsort(h, kind="stable")
+def _settle(h: np.ndarray, ids: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For entries (hash, id): whether a smaller id has the same hash, and the same ``other`` one where given."""
+    order = np.argsort(h, kind="stable") if other is None else np.lexsort((other, h))
     s = h[order]
-    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    new = s[1:] != s[:-1]
+    if other is not None:
+        new |= other[order][1:] != other[order][:-1]
+    first = np.flatnonzero(np.concatenate([[True], new])) if len(s) else np.zeros(0, np.int64)
     own = ids[order]
     least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(s)))) if len(s) else own
     out = np.empty(len(h), bool)
@@ -160,11 +147,11 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
         ids = np.concatenate([b[0] for b in held])
         keys = np.concatenate([b[1] for b in held])
         counts = np.concatenate([b[2] for b in held])
-        words = np.concatenate([b[3] for b in held])
-        h, text, at = window_hashes(words, counts, window)
-        gone = _settle(h, ids[text])
+        h, text, at = window_hashes(np.concatenate([b[3] for b in held]), counts, window)
         first = np.cumsum(counts) - counts
-        deal = _mixed(rolled(words, window, _DEAL)[(first[text] + at)[~gone]])
+        deal = _mixed(rolled(np.concatenate([b[4] for b in held]), window, _DEAL)[first[text] + at])
+        gone = _settle(h, ids[text], deal)
+        deal = deal[~gone]
         rows: list[tuple] = []
         t, p = text[gone], at[gone]
         if len(t):
@@ -186,7 +173,7 @@ def _local(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iter
         data, edges = text_bytes(part.column(2))
         starts, ends = word_bounds(data, edges)
         per = np.diff(np.searchsorted(starts, edges))
-        held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), per, word_hashes(data, starts, ends)))
+        held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), per, *word_hashes(data, starts, ends)))
         size += len(starts)
         if size >= BLOCK_WORDS:
             yield out()
@@ -262,7 +249,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
             if doc in found and len(words) >= window:
                 raw = np.frombuffer(data, np.uint8)
                 starts, ends = word_bounds(raw, np.array([0, len(raw)]))
-                h, _, place = window_hashes(word_hashes(raw, starts, ends), np.array([len(starts)]), window)
+                h, _, place = window_hashes(word_hashes(raw, starts, ends)[0], np.array([len(starts)]), window)
                 cut += intervals(place[np.isin(h, np.concatenate(found[doc]))], window)
             cut = merged(cut)
             kept, done = [], 0
