@@ -13,6 +13,7 @@ from cellweave.llm.privacy import privacy_query
 from cellweave.llm.substring_dedup import substring_query
 from cellweave.llm.token_counts import token_count_query
 from cellweave.llm.token_files import token_file_query
+from cellweave.llm.warc_files import warc_query
 
 QUERIES = {
     "op1_ordinal_quality": quality_query,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_privacy": privacy_query,
     "op9_fingerprints": fingerprint_query,
     "op10_near_dedup": near_dedup_query,
+    "op11_warc": warc_query,
 }
 
 #: The others hold a tokenizer, a fitted model, page markup or a hash that SQL lacks; tests hold them against brute force.
@@ -32,4 +34,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": sql.OP3,
     "op5_decontaminate": sql.OP5,
     "op10_near_dedup": sql.OP10,
+    "op11_warc": sql.OP11,
 }

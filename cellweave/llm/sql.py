@@ -46,3 +46,12 @@ roots AS (SELECT v, min(r) AS root FROM reach GROUP BY v)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, roots.root AS component_id, roots.root = d.doc_id AS kept
 FROM d JOIN roots ON roots.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+OP11 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+t AS (SELECT page_id, html, n, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+ CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM t
+"""
