@@ -10,6 +10,7 @@ from cellweave.llm.html_text import html_query
 from cellweave.llm.near_dedup import near_dedup_query
 from cellweave.llm.ordinal_quality import quality_query
 from cellweave.llm.privacy import privacy_query
+from cellweave.llm.source_divergence import divergence_query
 from cellweave.llm.substring_dedup import substring_query
 from cellweave.llm.token_counts import token_count_query
 from cellweave.llm.token_files import token_file_query
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_fingerprints": fingerprint_query,
     "op10_near_dedup": near_dedup_query,
     "op11_warc": warc_query,
+    "op12_source_divergence": divergence_query,
 }
 
 #: The others hold a tokenizer, a fitted model, page markup or a hash that SQL lacks; tests hold them against brute force.
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": sql.OP5,
     "op10_near_dedup": sql.OP10,
     "op11_warc": sql.OP11,
+    "op12_source_divergence": sql.OP12,
 }

@@ -55,3 +55,27 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest
  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
 FROM t
 """
+
+_TERMS = _WORDS.format(words=r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+
+OP12 = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS} AS ws FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(ws)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+seen AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(ws) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+volume AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS n FROM seen GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, CAST(coalesce(s.n, 0) AS HUGEINT) AS n, CAST(coalesce(t.n, 0) + 5 * v.v AS HUGEINT) AS room
+ FROM groups g JOIN kept k ON g.lang = k.lang JOIN volume v ON v.lang = g.lang LEFT JOIN total t ON t.lang = g.lang AND t.source = g.source
+ LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // room AS p FROM dense),
+whole AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM dense GROUP BY ALL),
+room AS (SELECT lang, CAST(sum(n) AS HUGEINT) + 5 * count(*) AS room FROM whole GROUP BY lang),
+q AS (SELECT w.lang, w.term, 1 + 1000000000 * (w.n + 5) // r.room AS q FROM whole w JOIN room r ON r.lang = w.lang),
+both_ AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(c.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN both_ c ON c.lang = a.lang AND c.source = a.source AND c.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+"""
