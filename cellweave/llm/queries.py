@@ -11,6 +11,7 @@ from cellweave.llm.near_dedup import near_dedup_query
 from cellweave.llm.ordinal_quality import quality_query
 from cellweave.llm.privacy import privacy_query
 from cellweave.llm.source_divergence import divergence_query
+from cellweave.llm.spelling_variants import variants_query
 from cellweave.llm.substring_dedup import substring_query
 from cellweave.llm.token_counts import token_count_query
 from cellweave.llm.token_files import token_file_query
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup_query,
     "op11_warc": warc_query,
     "op12_source_divergence": divergence_query,
+    "op13_spelling_variants": variants_query,
 }
 
 #: The others hold a tokenizer, a fitted model, page markup or a hash that SQL lacks; tests hold them against brute force.
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_near_dedup": sql.OP10,
     "op11_warc": sql.OP11,
     "op12_source_divergence": sql.OP12,
+    "op13_spelling_variants": sql.OP13,
 }

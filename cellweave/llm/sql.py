@@ -79,3 +79,27 @@ terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
 """
+
+_RUNS = _WORDS.format(words=r"[A-Za-z\x{00C0}-\x{00FF}]+")
+# One bit of a crc32 register, eight times, and its table of 256; bytes of a run are of ASCII or U+00C0 to U+00FF.
+_BIT = "(CASE WHEN {c} % 2 = 1 THEN xor({c} // 2, 3988292384) ELSE {c} // 2 END)"
+
+OP13 = f"""
+WITH RECURSIVE crc_table(k, c, step) AS (SELECT range, CAST(range AS BIGINT), 0 FROM range(256)
+ UNION ALL SELECT k, {_BIT.format(c='c')}, step + 1 FROM crc_table WHERE step < 8),
+t AS (SELECT list(c ORDER BY k) AS t FROM crc_table WHERE step = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+coded AS (SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN [CAST(ord(ch) AS BIGINT)] ELSE [195, ord(ch) - 64] END)) AS b FROM runs),
+hashed AS (SELECT doc_id, run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM coded, t),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near_ AS (SELECT DISTINCT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+ UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS top FROM near_ GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n, CASE WHEN b.top >= 5 * w.n THEN min(x.other) END AS form
+ FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN near_ x ON x.word = w.word AND x.n = b.top GROUP BY w.word, w.n, b.n_near, b.top),
+path(word, stop) AS (SELECT word, word FROM formed UNION ALL SELECT p.word, f.form FROM path p JOIN formed f ON f.word = p.stop WHERE f.form IS NOT NULL),
+ends AS (SELECT p.word, p.stop AS root FROM path p JOIN formed f ON f.word = p.stop WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM formed f JOIN ends e ON e.word = f.word
+"""
