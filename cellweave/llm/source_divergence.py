@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,10 @@ LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 UNIT, PRIOR = 1_000_000_000, 5
 #: Entries (group, term) that a block holds before it is sent on.
 BLOCK_ENTRIES = 1_000_000
-#: Kept terms of a chunk and entries (group, term) that are held for one, and sources that meet all others at a time.
-CHUNK, CHUNK_ENTRIES, TILE = 4096, 500_000, 256
+#: Kept terms of a chunk, rows of step 2 that are taken at a time, and sources that meet all others at a time.
+CHUNK, CHUNK_ROWS, TILE = 4096, 100_000, 256
+#: Bytes of text that are cut into terms at a time.
+TEXT_BYTES = 2_000_000
 
 _TERM = LETTER.copy()
 _TERM[0x80:] = True
@@ -84,7 +87,7 @@ class _Block:
         key, back = np.unique(group[pair // wide] * wide + pair % wide, return_inverse=True)
         self.held.append((key // wide, own[key % wide] if len(key) else key, np.bincount(back, n, len(key)).astype(np.int64), np.bincount(back, minlength=len(key))))
         self.entries += len(key)
-        if self.entries > BLOCK_ENTRIES:
+        if self.entries > 2 * BLOCK_ENTRIES:
             self._fold()
 
     def _fold(self) -> None:
@@ -133,62 +136,84 @@ class _Block:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1: rows (lang, source, text)."""
     block = _Block()
-    for part in (p for batch in batches for p in row_runs(batch, 2)):
+    for part in (p for batch in batches for p in row_runs(batch, 2, most=TEXT_BYTES)):
         block.add(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2))
         if block.full():
             yield from block.rows()
     yield from block.rows()
 
 
-def _encode(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Step 2: rows sorted by language and term; chunks of kept terms."""
-    lang, docs = None, 0
-    seen: list[tuple[bytes, int]] = []  # terms, ascending, and the documents that hold them
-    entries: list[tuple[int, str, int]] = []  # place of the term, source, count
-    held: dict[str, int] = {}
-    enough = 0
-
-    def settle() -> None:
-        """The counts of the term that has ended are whole."""
-        nonlocal enough
-        if held:
-            entries.extend((len(seen) - 1, s, n) for s, n in held.items())
-            seen[-1] = (seen[-1][0], docs)
-            enough += docs >= least
-
-    def out() -> pa.RecordBatch:
-        terms = np.array([t for t, _ in seen], object)
-        kept = terms[np.array([d for _, d in seen]) >= least]
-        term, source, n = zip(*entries, strict=True)
-        theirs = terms[np.array(term)]
-        ids = np.searchsorted(kept, theirs)
-        known = kept[np.minimum(ids, len(kept) - 1)] == theirs
-        sources = sorted({s for s, k in zip(source, known.tolist(), strict=True) if k})
-        place = {s: i for i, s in enumerate(sources)}
-        at = np.array([place.get(s, -1) for s in source], np.int64)[known]
-        n, ids = np.array(n, np.int64)[known], ids[known]
-        sums = np.bincount(at, n, len(sources)).astype(np.int64)  # whole up to 2**53
-        row = [lang, [t.decode() for t in kept], sources, sums.tolist(), at.astype("<i4").tobytes(), ids.astype("<i4").tobytes(), n.astype("<i8").tobytes()]
-        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["lang", "terms", "sources", "sums", "at", "id", "n"])
+def _same(column: pa.Array) -> np.ndarray:
+    """For each row but the first, whether its value is that of the row before."""
+    return pc.equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _united(rows: pa.Table) -> pa.Table:
+    """Rows of one term as one row."""
+    names = rows.column("sources").combine_chunks().flatten().dictionary_encode()
+    n = np.bincount(names.indices.to_numpy(), rows.column("counts").combine_chunks().flatten().to_numpy()).astype(np.int64)
+    one = {"lang": rows.column("lang")[0], "term": rows.column("term")[0], "n_docs": pc.sum(rows.column("n_docs")), "sources": names.dictionary, "counts": pa.array(n)}
+    return pa.table({k: pa.array([one[k].as_py() if k in ("lang", "term", "n_docs") else one[k].to_pylist()], rows.schema.field(k).type) for k in rows.schema.names})
+
+
+def _chunks(rows: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Step 2 for the sorted rows of whole terms."""
+    lang, term = rows.column("lang").combine_chunks(), rows.column("term").combine_chunks()
+    first = np.flatnonzero(np.concatenate([[True], ~(_same(lang) & _same(term))]))
+    docs = np.add.reduceat(rows.column("n_docs").to_numpy(), first)
+    enough = docs >= least
+    # Most terms are rare: their lists are never looked at.
+    held = rows.filter(pa.array(np.repeat(enough, np.diff(np.append(first, len(lang))))))
+    if not held.num_rows:
+        return
+    tongue = held.column("lang").combine_chunks()
+    turns = np.concatenate([[0], np.flatnonzero(~_same(tongue)) + 1, [len(tongue)]]).tolist()
+    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+    for lo, hi in zip(turns, turns[1:], strict=False):
+        part = held.slice(lo, hi - lo)
+        words = np.array(part.column("term").combine_chunks().cast(pa.binary()).to_pylist(), object)
+        kept = np.unique(words)
+        lists = part.column("sources").combine_chunks()
+        names = lists.flatten().dictionary_encode()
+        order = np.argsort(np.array([x.encode() for x in names.dictionary.to_pylist()], object))
+        sources = names.dictionary.take(pa.array(order)).to_pylist()
+        at = np.argsort(order)[names.indices.to_numpy()]
+        ids = np.searchsorted(kept, words).repeat(lists.value_lengths().to_numpy())
+        n = part.column("counts").combine_chunks().flatten().to_numpy()
+        # Blocks are united: one entry for each id and group.
+        key, back = np.unique(ids * len(sources) + at, return_inverse=True)
+        n = np.bincount(back, n, len(key)).astype(np.int64)  # whole up to 2**53
+        ids, at = key // len(sources), key % len(sources)
+        for a in range(0, len(kept), CHUNK):
+            b = min(a + CHUNK, len(kept))
+            x, y = np.searchsorted(ids, [a, b])
+            sums = np.bincount(at[x:y], n[x:y], len(sources)).astype(np.int64)
+            row = [tongue[lo].as_py(), [w.decode() for w in kept[a:b]], sources, sums.tolist(), at[x:y].astype("<i4").tobytes(), (ids[x:y] - a).astype("<i4").tobytes(), n[x:y].astype("<i8").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["lang", "terms", "sources", "sums", "at", "id", "n"])
+
 
+def _encode(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Step 2: rows sorted by language and term, taken so many at a time; the last term waits for its other rows."""
+    held: list[pa.Table] = []
+    size = 0
     for batch in batches:
-        for g, t, d, sources, counts in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            t = t.encode()
-            if not seen or g != lang or t != seen[-1][0]:
-                settle()
-                if g != lang or enough >= CHUNK or len(entries) >= CHUNK_ENTRIES:
-                    if enough:
-                        yield out()
-                    seen, entries, enough = [], [], 0
-                lang, docs, held = g, 0, {}
-                seen.append((t, 0))
-            docs += d
-            for s, n in zip(sources, counts, strict=True):
-                held[s] = held.get(s, 0) + n
-    settle()
-    if enough:
-        yield out()
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size < CHUNK_ROWS:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        lang, term = rows.column("lang").chunk(0), rows.column("term").chunk(0)
+        breaks = np.flatnonzero(~(_same(lang) & _same(term)))
+        cut = int(breaks[-1]) + 1 if len(breaks) else 0
+        if cut:
+            yield from _chunks(rows.slice(0, cut), least)
+        rest = rows.slice(cut)
+        held = [_united(rest) if rest.num_rows > 1 else rest]
+        size = 1
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        if rows.num_rows:
+            yield from _chunks(rows, least)
 
 
 def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:

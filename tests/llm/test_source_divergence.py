@@ -58,6 +58,8 @@ def test_differences_equal_brute_force(spark, monkeypatch, least, top, small):
     if small:
         monkeypatch.setattr(op, "BLOCK_ENTRIES", 50)
         monkeypatch.setattr(op, "CHUNK", 4)
+        monkeypatch.setattr(op, "CHUNK_ROWS", 7)
+        monkeypatch.setattr(op, "TEXT_BYTES", 500)
         monkeypatch.setattr(op, "TILE", 3)
     rows = rows_of_sources()
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, source string, text string, term int, part string").repartition(5)
