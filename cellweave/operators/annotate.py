@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.communities import leiden_communities
+from cellweave.operators.marker_graph import fuzzy_weights, marker_neighbours
 from cellweave.runtime import discard, materialize
 
 
@@ -88,92 +90,37 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return inside / total - resolution * degrees.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * total * total)
 
 
-def modularity_communities(edges: DataFrame, resolution: float = 1.0, patience: int = 2) -> DataFrame:
-    """``id, community`` of a weighted undirected graph ``src, dst, weight`` by local moves and merging.
-
-    On each level vertices move to the neighbouring community that adds most to the
-    modularity, half of them at a time; the best labelling met is kept once ``patience``
-    rounds in turn have not raised it. Then communities become the vertices of the next
-    level, until a level merges none. Communities are named by their least vertex. All
-    levels are joins and aggregates; the driver holds one number a round.
-    """
-    graph = materialize(edges.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")), "graph")
-    vertices = graph.select(F.col("src").alias("id")).unionByName(graph.select(F.col("dst").alias("id"))).distinct()
-    whole = materialize(vertices.select("id", F.col("id").alias("community")), "communities")
-    total = graph.agg(F.sum("weight")).first()[0] or 0.0
-    while total:
-        level = _moved(graph, total, resolution, patience)
-        before, whole = whole, materialize(
-            whole.join(level.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")), "communities"
-        )
-        discard(before)
-        a, b = level.select(F.col("id").alias("src"), F.col("community").alias("a")), level.select(F.col("id").alias("dst"), F.col("community").alias("b"))
-        merged = graph.join(a, "src").join(b, "dst").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
-        settled = level.where("id <> community").isEmpty()
-        old, graph = graph, materialize(merged, "graph")
-        discard(old)
-        discard(level)
-        if settled:
-            break
-    names = whole.groupBy("community").agg(F.min("id").alias("name"))
-    return whole.join(names, "community").select("id", F.col("name").alias("community"))
-
-
-def _moved(graph: DataFrame, total: float, resolution: float, patience: int) -> DataFrame:
-    """Best labelling of one level: ``id, community``."""
-    ends = materialize(graph.where("src <> dst").select("src", "dst", "weight").unionByName(graph.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "ends")
-    degree = graph.select(F.col("src").alias("id"), "weight").unionByName(graph.select(F.col("dst").alias("id"), "weight")).groupBy("id").agg(F.sum("weight").alias("k"))
-    labels = materialize(degree.select("id", F.col("id").alias("community"), "k", F.lit(True).alias("moves")), "moves")
-
-    def figures(now: DataFrame) -> tuple[float, int]:
-        """Modularity and number of vertices that want to move, in one job."""
-        sides = graph.join(now.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(now.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-        inside = sides.where("a = b").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("inside"))
-        tot = now.groupBy("community").agg(F.sum("k").alias("tot"), F.sum(F.col("moves").cast("long")).alias("moves"))
-        row = inside.crossJoin(tot.agg(F.sum(F.col("tot") * F.col("tot")).alias("squares"), F.sum("moves").alias("moves"))).first()
-        return row["inside"] / total - resolution * row["squares"] / (4 * total * total), row["moves"]
-
-    best, waited, step = labels, 0, 0
-    most, _ = figures(labels)
-    while waited < patience:
-        tot = labels.groupBy("community").agg(F.sum("k").alias("tot"))
-        near = ends.join(labels.select(F.col("id").alias("dst"), F.col("community").alias("c")), "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
-        own = labels.select("id", F.col("community").alias("c"), F.lit(0.0).alias("w"))  # a vertex may stay where none of its neighbours is
-        asked = near.unionByName(own).groupBy("id", "c").agg(F.sum("w").alias("w")).join(labels.drop("moves"), "id").join(tot.withColumnRenamed("community", "c"), "c")
-        rest = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - F.lit(resolution) * F.col("k") * rest / F.lit(2.0 * total)
-        chosen = asked.groupBy("id").agg(F.max_by("c", F.struct(F.round(gain, 9), F.col("c") == F.col("community"), -F.col("c"))).alias("next"), F.first("community").alias("community"), F.first("k").alias("k"))
-        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0, F.col("next")).otherwise(F.col("community"))
-        moved = materialize(chosen.select("id", turn.alias("community"), "k", (F.col("next") != F.col("community")).alias("moves")), "moves")
-        if labels is not best:
-            discard(labels)
-        labels = moved
-        now, moving = figures(labels)
-        if now > most + 1e-9:
-            if best is not labels:
-                discard(best)
-            best, most, waited = labels, now, 0
-        else:
-            waited += 1
-        step += 1
-        if not moving:
-            break
-    discard(ends)
-    # Communities are named by their least vertex, so names of one level are vertices of it.
-    names = best.groupBy("community").agg(F.min("id").alias("name"))
-    return materialize(best.join(names, "community").select("id", F.col("name").alias("community")), "level")
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, places: DataFrame | None = None) -> DataFrame:
+    """``id, community`` of a weighted undirected graph ``src, dst, weight``: connected communities by moves, refinement and merging."""
+    return leiden_communities(edges, resolution, places)
 
 
-def resolution_sweep(edges: DataFrame, resolutions: Sequence[float]) -> DataFrame:
+def resolution_sweep(edges: DataFrame, resolutions: Sequence[float], places: DataFrame | None = None) -> DataFrame:
     """``resolution, communities, modularity`` of the communities at each resolution."""
     rows = []
     for r in resolutions:
-        found = materialize(modularity_communities(edges, r), "sweep")
+        found = materialize(modularity_communities(edges, r, places), "sweep")
         rows.append((float(r), found.select("community").distinct().count(), modularity(edges, found, r)))
         discard(found)
     return edges.sparkSession.createDataFrame(rows, "resolution double, communities long, modularity double")
 
 
+def marker_communities(df: DataFrame, cell_id: str, vector: str, k: int = 10, resolution: float = 1.0) -> DataFrame:
+    """``id, community``: cells by the communities of their neighbour graph in marker space, fuzzy weights on its edges.
+
+    Cells without a whole vector, or alone, have no row. Communities are named by their least cell.
+    """
+    graph = materialize(fuzzy_weights(marker_neighbours(df, cell_id, vector, k), k), "weights")
+    return leiden_communities(graph, resolution)
+
+
+def subclustered(df: DataFrame, cell_id: str, vector: str, label: str, subset: Sequence, out: str, k: int = 10, resolution: float = 1.0) -> DataFrame:
+    """Cells of some labels clustered again in marker space and put back: ``out`` is the new community as text, elsewhere the old label."""
+    found = marker_communities(df.where(F.col(label).isin(list(subset))), cell_id, vector, k, resolution)
+    named = found.select(F.col("id").alias(cell_id), F.col("community").cast("string").alias("__community"))
+    return merge_labels(df, named, cell_id, label, "__community", out)
+
+
 def cluster_markers(df: DataFrame, markers: Sequence[str], n: int, seed: int = 42, out: str = "cluster") -> DataFrame:
     """K-means clusters of standardised markers as strings."""
     from pyspark.ml import Pipeline

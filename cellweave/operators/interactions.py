@@ -16,8 +16,8 @@ from cellweave.runtime import materialize
 
 #: Permutations that a block deals at a time, and cells of a block at even density.
 RUNS, BLOCK_CELLS = 20, 2000
-#: Rounds of a permutation, and the modulus of its hashes.
-ROUNDS, PRIME = 24, 2_147_483_647
+#: Rounds of a permutation, and the constants of its hashes of 32 bits.
+ROUNDS, MIX, SPREAD, WORD = 12, 73_244_475, 2_654_435_761, 2**32 - 1
 
 
 def delaunay_edges(df: DataFrame, region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y", truncate: bool = True) -> DataFrame:
@@ -67,38 +67,65 @@ def labelled_edges(edges: DataFrame, cells: DataFrame, cell_id: str = "cell_id",
     return both.join(ends, "id1").join(other, "id2")
 
 
+def _mixed(x):
+    """Hash of whole numbers below 2 ** 32 to such numbers; for columns and numpy arrays."""
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(WORD) if isinstance(x, Column) else (x ^ (x >> 16)) * MIX & WORD
+    return x.bitwiseXOR(F.shiftright(x, 16)) if isinstance(x, Column) else x ^ (x >> 16)
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    """One key for each round (columns) of each permutation (rows)."""
+    return _mixed((steps.astype(np.int64)[:, None] * ROUNDS + np.arange(1, ROUNDS + 1)) * SPREAD & WORD)
+
+
 def swapped(x: Column, n: Column, step: int) -> Column:
     """Place of ``x`` under permutation number ``step`` of 0 .. n - 1.
 
-    A swap-or-not shuffle: in each round a place and its mirror image change places or
-    not, as a hash of the greater one says; mirrors are drawn by squares, as equal steps
-    between them would only shift places. So a permutation of any length needs neither
-    the other places nor a sort. n is less than 2 ** 31.
+    A Feistel network: places fill a rectangle of about sqrt(n) by sqrt(n), and rounds
+    shift the row by a hash of the column and the column by a hash of the row, in turn. What leaves 0 .. n - 1 goes
+    through again until it is back. So a permutation of any length needs neither the other
+    places nor a sort, and neighbours do not move together.
     """
-    rounds = F.array(*[F.lit(step * ROUNDS + i + 1).cast("long") for i in range(ROUNDS)])
+    wide = F.ceil(F.sqrt(n)).cast("long")
+    high = F.floor((n + wide - 1) / wide).cast("long")
+    keys = F.array(*[F.struct(F.lit(int(k)).alias("key"), F.lit(i % 2).alias("side")) for i, k in enumerate(_keys(np.array([step]))[0])])
+
+    def once(at: Column) -> Column:
+        def one(s: Column, c: Column) -> Column:
+            shift = lambda seen, most: _mixed(seen.bitwiseXOR(c.key)) % most
+            row = F.struct(((s.row + shift(s.column, wide)) % wide).alias("row"), s.column.alias("column"))
+            column = F.struct(s.row.alias("row"), ((s.column + shift(s.row, high)) % high).alias("column"))
+            return F.when(c.side == 0, row).otherwise(column)
 
-    def one(at: Column, c: Column) -> Column:
-        drawn = c * 48271 % PRIME
-        mirror = (drawn * drawn % PRIME * 69621 % PRIME % n + n - at) % n
-        top = F.greatest(at, mirror)
-        bit = F.floor((top + c) % PRIME * (c * 40692 % PRIME) % PRIME / 1024) % 2
-        return F.when(bit == 1, mirror).otherwise(at)
+        start = F.struct(F.floor(at / high).cast("long").alias("row"), (at % high).alias("column"))
+        return F.aggregate(keys, start, one, lambda s: s.row * high + s.column)
 
-    return F.aggregate(rounds, x.cast("long"), one)
+    # No more than wide * high - n places lie outside, of which few follow each other.
+    again = F.sequence(F.lit(1), F.least(wide * high - n + 1, F.lit(64)).cast("int"))
+    return F.aggregate(again, once(x.cast("long")), lambda at, _: F.when(at >= n, once(at)).otherwise(at))
 
 
 def swapped_places(x: np.ndarray, n: int, steps: np.ndarray) -> np.ndarray:
     """``swapped`` of each place (rows) under each permutation (columns), with numpy."""
-    at = np.repeat(x.astype(np.int64)[:, None], len(steps), axis=1)
-    for i in range(ROUNDS):
-        c = steps.astype(np.int64) * ROUNDS + i + 1
-        drawn = c * 48271 % PRIME
-        mirror = (drawn * drawn % PRIME * 69621 % PRIME % n + n)[None, :] - at
-        mirror %= n
-        top = np.maximum(at, mirror)
-        bit = (top + c) % PRIME * (c * 40692 % PRIME) % PRIME // 1024 % 2
-        at = np.where(bit == 1, mirror, at)
-    return at
+    wide = int(np.ceil(np.sqrt(n)))
+    high = -(-n // wide) if wide else 0
+    keys = _keys(np.asarray(steps))
+
+    def once(at: np.ndarray, column: np.ndarray) -> np.ndarray:
+        a, b = np.divmod(at, high)
+        for i in range(0, ROUNDS, 2):
+            a = (a + _mixed(b ^ keys[column, i]) % wide) % wide
+            b = (b + _mixed(a ^ keys[column, i + 1]) % high) % high
+        return a * high + b
+
+    out = np.empty((len(x), len(steps)), np.int64)
+    for s in range(len(steps)):
+        at = once(x.astype(np.int64), s)
+        while len(far := np.flatnonzero(at >= n)):
+            at[far] = once(at[far], s)
+        out[:, s] = at
+    return out
 
 
 def _places(cells: DataFrame, region: str, cell_id: str) -> DataFrame:

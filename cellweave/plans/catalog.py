@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import circularity, cosine_distance, is_dark
-from cellweave.operators import annotate, composition, interactions, neighborhoods, patches, pixels, preprocess, spatial, stats
-from cellweave.runtime import shared_dir, ship_package
+from cellweave.operators import annotate, composition, interactions, marker_graph, neighborhoods, patches, pixels, preprocess, som, spatial, stats
+from cellweave.runtime import materialize, shared_dir, ship_package
 from cellweave.schema import first_appearance, marker_slice, without_nan
 from cellweave.sources.cells import MARKERS, bare_name, cells_view, format_spatial, list_files, marker_view, read_cells, read_names, register, split_markers, write_by_region
 
@@ -560,23 +560,22 @@ def radius_edges(spark, sf):
 
 
 def _dealt_sql(steps: int) -> str:
-    """Labels under permutations 0 .. steps - 1 in table ``dealt`` (region, cell_id, s, cell_type): rounds of swaps written out."""
-    p, rounds = interactions.PRIME, interactions.ROUNDS
-    parts = [
-        "spot AS (SELECT region, cell_id, row_number() OVER (PARTITION BY region ORDER BY cell_id) - 1 AS x, count(*) OVER (PARTITION BY region) AS n FROM cells)",
-        f"p0 AS (SELECT region, cell_id, n, s, x FROM spot, range(0, {steps}) r(s))",
-    ]
-    for i in range(rounds):
-        c = f"(s * {rounds} + {i + 1})"
-        parts.append(
-            f"p{i + 1} AS (SELECT region, cell_id, n, s, CASE WHEN (greatest(x, m) + {c}) % {p} * ({c} * 40692 % {p}) % {p} // 1024 % 2 = 1 THEN m ELSE x END AS x "
-            f"FROM (SELECT *, (({c} * 48271 % {p}) * ({c} * 48271 % {p}) % {p} * 69621 % {p} % n + n - x) % n AS m FROM p{i}))"
-        )
-    parts += [
-        "kinds AS (SELECT region, cell_type, sum(k) OVER (PARTITION BY region ORDER BY cell_type) - k AS low, sum(k) OVER (PARTITION BY region ORDER BY cell_type) AS high FROM (SELECT region, cell_type, count(*) AS k FROM cells GROUP BY 1, 2))",
-        f"dealt AS (SELECT p.region, p.cell_id, p.s, k.cell_type FROM p{rounds} p JOIN kinds k ON k.region = p.region AND p.x >= k.low AND p.x < k.high)",
-    ]
-    return ", ".join(parts)
+    """Labels under permutations 0 .. steps - 1 in table ``dealt`` (region, cell_id, s, cell_type): rounds of shifts, again for places outside; the tables are recursive."""
+    p, rounds = interactions.WORD + 1, interactions.ROUNDS
+    mix = lambda x: f"(xor({x}, {x} >> 16) * {interactions.MIX}) % {p}"
+    last = lambda x: f"xor({x}, {x} >> 16)"
+    keyed = f"SELECT *, ((s * {rounds} + i % {rounds} + 1) * {interactions.SPREAD}) % {p} AS k FROM deal WHERE NOT (i > 0 AND i % {rounds} = 0 AND a * high + b < n)"
+    keyed = f"SELECT *, {last('k2')} AS key FROM (SELECT *, {mix('k1')} AS k2 FROM (SELECT *, {mix('k')} AS k1 FROM ({keyed})))"
+    hashed = f"SELECT *, xor(CASE WHEN i % 2 = 0 THEN b ELSE a END, key) AS v FROM ({keyed})"
+    hashed = f"SELECT *, {last('v2')} AS h FROM (SELECT *, {mix('v1')} AS v2 FROM (SELECT *, {mix('v')} AS v1 FROM ({hashed})))"
+    return (
+        "spot AS (SELECT region, cell_id, row_number() OVER (PARTITION BY region ORDER BY cell_id) - 1 AS x, count(*) OVER (PARTITION BY region) AS n FROM cells), "
+        "box AS (SELECT *, (n + wide - 1) // wide AS high FROM (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS wide FROM spot)), "
+        f"deal(region, cell_id, n, wide, high, s, i, a, b) AS (SELECT region, cell_id, n, wide, high, s, 0, x // high, x % high FROM box, range(0, {steps}) r(s) "
+        f"UNION ALL SELECT region, cell_id, n, wide, high, s, i + 1, CASE WHEN i % 2 = 0 THEN (a + h % wide) % wide ELSE a END, CASE WHEN i % 2 = 1 THEN (b + h % high) % high ELSE b END FROM ({hashed})), "
+        "kinds AS (SELECT region, cell_type, sum(k) OVER (PARTITION BY region ORDER BY cell_type) - k AS low, sum(k) OVER (PARTITION BY region ORDER BY cell_type) AS high FROM (SELECT region, cell_type, count(*) AS k FROM cells GROUP BY 1, 2)), "
+        f"dealt AS (SELECT p.region, p.cell_id, p.s, k.cell_type FROM deal p JOIN kinds k ON k.region = p.region AND p.a * p.high + p.b >= k.low AND p.a * p.high + p.b < k.high WHERE p.i > 0 AND p.i % {rounds} = 0 AND p.a * p.high + p.b < p.n)"
+    )
 
 
 _PERM = f"{CELLS}, {_EDGES}, {_dealt_sql(1)}"
@@ -595,7 +594,7 @@ def _means(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 @query(
-    f"WITH {_PERM} SELECT o.region, o.type1, o.type2, round(o.mean_dist, 6) AS observed, round(e.mean_dist, 6) AS expected, round(log2(o.mean_dist / e.mean_dist), 6) AS logfold "
+    f"WITH RECURSIVE {_PERM} SELECT o.region, o.type1, o.type2, round(o.mean_dist, 6) AS observed, round(e.mean_dist, 6) AS expected, round(log2(o.mean_dist / e.mean_dist), 6) AS logfold "
     f"FROM ({_pairs_sql('cells')}) o JOIN ({_pairs_sql('dealt')}) e ON o.region = e.region AND o.type1 = e.type1 AND o.type2 = e.type2"
 )
 def observed_expected_pairs(spark, sf):
@@ -637,19 +636,19 @@ def _interactions(spark, sf) -> DataFrame:
     return interactions.compare_edges(edges, cells, "cond", R, DEALS, LEAST, digits=9).withColumnRenamed("n_observed", "n").where("n is not null")
 
 
-@query(f"WITH {_INTER} SELECT condition, type1, type2, n, round(observed_mean, 6) AS observed_mean, round(expected_mean, 6) AS expected_mean, round(logfold_group, 6) AS logfold_group, round(pvalue, 6) AS pvalue FROM t")
+@query(f"WITH RECURSIVE {_INTER} SELECT condition, type1, type2, n, round(observed_mean, 6) AS observed_mean, round(expected_mean, 6) AS expected_mean, round(logfold_group, 6) AS logfold_group, round(pvalue, 6) AS pvalue FROM t")
 def interaction_comparison(spark, sf):
     return r6(_interactions(spark, sf).select("condition", "type1", "type2", "n", "observed_mean", "expected_mean", "logfold_group", "pvalue"), "observed_mean", "expected_mean", "logfold_group", "pvalue")
 
 
-@query(f"WITH {_INTER} SELECT pair, round(max(CASE WHEN condition = 'a' THEN logfold_group END), 6) AS a, round(max(CASE WHEN condition = 'b' THEN logfold_group END), 6) AS b FROM kept GROUP BY pair HAVING count(DISTINCT condition) = 2")
+@query(f"WITH RECURSIVE {_INTER} SELECT pair, round(max(CASE WHEN condition = 'a' THEN logfold_group END), 6) AS a, round(max(CASE WHEN condition = 'b' THEN logfold_group END), 6) AS b FROM kept GROUP BY pair HAVING count(DISTINCT condition) = 2")
 def interaction_filter_pivot(spark, sf):
     kept = interactions.filter_interactions(_interactions(spark, sf), 0.5, 0.001)
     return r6(interactions.fold_table(kept, ["a", "b"]), "a", "b")
 
 
 @query(
-    f"WITH {_INTER}, rare AS (SELECT cell_type FROM cells GROUP BY cell_type HAVING 100.0 * count(*) / (SELECT count(*) FROM cells) < 20) SELECT condition, type1, type2, n FROM t "
+    f"WITH RECURSIVE {_INTER}, rare AS (SELECT cell_type FROM cells GROUP BY cell_type HAVING 100.0 * count(*) / (SELECT count(*) FROM cells) < 20) SELECT condition, type1, type2, n FROM t "
     "WHERE type1 NOT IN (SELECT cell_type FROM rare) AND type2 NOT IN (SELECT cell_type FROM rare)"
 )
 def rare_type_antijoin(spark, sf):
@@ -660,7 +659,7 @@ _TOP = f"""{_INTER}, w AS (SELECT pair, max(CASE WHEN condition = 'a' THEN logfo
  top AS (SELECT pair FROM w ORDER BY round(abs(a - b), 9) DESC, pair LIMIT 3), v AS (SELECT condition, type1 || ' --> ' || type2 AS interaction, d FROM obs JOIN top ON top.pair = type1 || '_' || type2)"""
 
 
-@query(f"WITH {_TOP} SELECT condition, interaction, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se FROM v GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_TOP} SELECT condition, interaction, round(avg(d), 6) AS mean, round(stddev_samp(d) / sqrt(count(*)), 6) AS se FROM v GROUP BY 1, 2")
 def top_n_pairs_explode(spark, sf):
     kept = interactions.filter_interactions(_interactions(spark, sf), 0.5, 0.001)
     top = interactions.top_differences(interactions.fold_table(kept, ["a", "b"]), "a", "b", 3)
@@ -669,7 +668,7 @@ def top_n_pairs_explode(spark, sf):
 
 
 @query(
-    f"WITH {_INTER}, w AS (SELECT type1, type2, max(CASE WHEN condition = 'a' THEN logfold_group END) AS f, max(CASE WHEN condition = 'b' THEN logfold_group END) AS s FROM kept GROUP BY 1, 2) "
+    f"WITH RECURSIVE {_INTER}, w AS (SELECT type1, type2, max(CASE WHEN condition = 'a' THEN logfold_group END) AS f, max(CASE WHEN condition = 'b' THEN logfold_group END) AS s FROM kept GROUP BY 1, 2) "
     "SELECT type1, type2, round(abs(s - f), 6) AS difference, CAST(sign(s - f) AS DOUBLE) AS direction, round(CASE WHEN s = f THEN 1e-100 ELSE abs(s - f) * 10 END, 6) AS weight FROM w WHERE f IS NOT NULL AND s IS NOT NULL"
 )
 def pair_graph_weights(spark, sf):
@@ -859,18 +858,80 @@ def marker_clusters(spark, sf):
     return annotate.cluster_markers(marker_view(spark, sf), MARKERS, 5)
 
 
+def _planar_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Edges to the six nearest cells, and each cell's place: its region, then strips of 64 across it."""
+    cells = cells_view(spark, sf)
+    near = spatial.knn(cells, 6, include_self=False)
+    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
+    strip = F.pmod(F.hash("region"), F.lit(1 << 20)) * 1e6 + F.floor(F.col("x") / 64) * 1e4 + F.col("y")
+    return edges, cells.select(F.col("cell_id").alias("id"), strip.alias("place"))
+
+
 @query()
 def graph_communities(spark, sf):
-    near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
-    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    return annotate.modularity_communities(edges)
+    edges, places = _planar_graph(spark, sf)
+    return annotate.modularity_communities(edges, places=places)
 
 
 @query()
 def community_resolutions(spark, sf):
-    near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
-    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    return annotate.resolution_sweep(edges, [0.5, 2.0])
+    edges, places = _planar_graph(spark, sf)
+    return annotate.resolution_sweep(materialize(edges, "edges"), [0.5, 2.0], places)
+
+
+#: Squared distances of queries to all vectors, and how each query's neighbours rank.
+_NEAR = """pairs AS (SELECT q.vec_id, v.vec_id AS neighbor, list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))) AS d2
+ FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ near AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, neighbor) AS rank FROM pairs)"""
+
+
+@query(f"WITH {_NEAR} SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbor, round(sqrt(d2), 6) AS distance FROM near WHERE rank <= 10")
+def marker_exact_neighbours(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    found = marker_graph.exact_neighbours(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    ranked = found.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("at", "x"))
+    return ranked.select("vec_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbor"), F.round(F.sqrt("x.d"), 6).alias("distance"))
+
+
+@query()
+def marker_graph_edges(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return marker_graph.fuzzy_weights(marker_graph.marker_neighbours(e, "vec_id", "embedding", 10), 10)
+
+
+@query()
+def marker_communities(spark, sf):
+    return annotate.marker_communities(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", 10)
+
+
+@query()
+def subclustered_communities(spark, sf):
+    return annotate.subclustered(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", "label", [0, 1, 2], "merged", 10).select("vec_id", "label", "merged")
+
+
+#: A map of 4 x 3 nodes that begins with the vectors of the twelve least ids, and its state after one epoch of radius 1.
+_SOM_WIDE, _SOM_HIGH = 4, 3
+_SOM = f"""v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ n0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node, x FROM v ORDER BY vec_id LIMIT {_SOM_WIDE * _SOM_HIGH}),
+ d0 AS (SELECT vec_id, node, list_sum(list_transform(list_zip(v.x, n0.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, n0),
+ a0 AS (SELECT vec_id, arg_min(node, (d, node)) AS node FROM d0 GROUP BY vec_id),
+ s0 AS (SELECT a0.node, i, sum(v.x[i]) AS s, count(*) AS n FROM a0 JOIN v ON v.vec_id = a0.vec_id, range(1, 65) r(i) GROUP BY ALL),
+ h AS (SELECT a.node AS to_node, b.node AS of_node, exp(-(power(a.node % {_SOM_WIDE} - b.node % {_SOM_WIDE}, 2) + power(a.node // {_SOM_WIDE} - b.node // {_SOM_WIDE}, 2)) / 2) AS h FROM n0 a, n0 b),
+ n1 AS (SELECT to_node AS node, list(x ORDER BY i) AS x FROM (SELECT to_node, i, sum(h * s) / sum(h * n) AS x FROM h JOIN s0 ON s0.node = h.of_node GROUP BY ALL) GROUP BY to_node),
+ d1 AS (SELECT vec_id, node, list_sum(list_transform(list_zip(v.x, n1.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, n1)"""
+
+
+@query(f"WITH {_SOM} SELECT vec_id, CAST(arg_min(node, (d, node)) AS INTEGER) AS node, round(min(d), 6) AS distance FROM d1 GROUP BY vec_id")
+def som_epoch(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    begin = [r["embedding"] for r in e.where("vec_id is not null and embedding is not null").orderBy("vec_id").limit(_SOM_WIDE * _SOM_HIGH).select("embedding").collect()]
+    trained = som.train_som(e, "vec_id", "embedding", _SOM_WIDE, _SOM_HIGH, epochs=1, radius=1.0, nodes=begin)
+    return r6(som.assign_nodes(e, "vec_id", "embedding", trained.nodes).withColumnRenamed("id", "vec_id"), "distance")
+
+
+@query()
+def som_clusters(spark, sf):
+    return som.som_clusters(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "embedding", groups=10)
 
 
 @query()

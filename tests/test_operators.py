@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -151,6 +152,22 @@ def test_swaps_are_permutations_and_engines_agree(spark):
     assert abs((many == np.arange(500)[:, None]).mean() - 1 / 500) < 1e-3 and abs((np.abs(np.diff(many, axis=0)) == 1).mean() - 2 / 500) < 3e-3
 
 
+@pytest.mark.parametrize(("n", "steps"), [(1_000, 3000), (12_875, 2000), (100_000, 500), (1_000_000, 300)])
+def test_permutations_spread_as_chance_does(n, steps):
+    """Places of the first half that stay in it: the variance over permutations is the hypergeometric one."""
+    got = np.array([(interactions.swapped_places(np.arange(n // 2), n, np.array([s])) < n // 2).sum() for s in range(steps)])
+    half = n // 2
+    expected = half * half * half * half / (n * n * (n - 1))
+    error = (2 / steps) ** 0.5
+    assert abs(got.var() / expected - 1) < max(0.05, 3 * error)
+    assert abs(got.mean() - half * half / n) < 4 * (expected / steps) ** 0.5
+
+
+def test_small_permutations_are_all_dealt():
+    seen = Counter(tuple(interactions.swapped_places(np.arange(4), 4, np.array([s]))[:, 0].tolist()) for s in range(4800))
+    assert len(seen) == 24 and all(120 < k < 290 for k in seen.values())
+
+
 def test_interaction_filter_needs_both_conditions(spark):
     rows = [("a", "b", "x", 0.01, 0.5, 1.0), ("a", "b", "y", 0.9, -0.5, 1.0), ("a", "c", "x", 0.01, 0.5, 1.0), ("a", "a", "x", 0.0, 9.0, 1.0)]
     df = spark.createDataFrame(rows, "type1 string, type2 string, condition string, pvalue double, logfold_group double, observed_mean double")
