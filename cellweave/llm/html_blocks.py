@@ -41,6 +41,9 @@ OUTSIDE_ONLY = frozenset(["header"])
 #: What becomes of a block: PROSE stays, CHROME goes, and of the rest the repeats decide.
 PROSE, CHROME, BESIDE, HINTED, OPEN = range(5)
 
+#: Elements whose places among the open ones are kept, so that none is looked for by climbing.
+_SPOTTED = frozenset(IMPLIED).union(*IMPLIED.values(), ["p", "head"])
+
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
 )
@@ -111,11 +114,13 @@ def blocks(page: str) -> list[Block]:
     # Element, and the state outside it: furniture (1: a form, which may hold a whole page), hint, whether inside main.
     stack: list[tuple[str, int, str, bool]] = []
     open_names: Counter = Counter()
+    spots: dict[str, list[int]] = {name: [] for name in _SPOTTED}  # places in the stack, ascending
+    walls: list[int] = []  # places of open blocks other than paragraphs
     chrome, hint, inside, any_main = 0, "", False, False
     silent: _Silent | None = None
     endless: set[str] = set()  # elements of RAW that nothing ends any more
     muted = False  # inside an unclosed element without text: up to the next block
-    at, last = 0, max(page.rfind(">"), page.rfind("<!--"))
+    at, stop_at = 0, max(page.rfind(">"), page.rfind("<!--"))
 
     def flush():
         if text:
@@ -130,9 +135,16 @@ def blocks(page: str) -> list[Block]:
         _, chrome, hint, inside = stack[i]
         for name, *_ in stack[i:]:
             open_names[name] -= 1
+            if name in spots:
+                spots[name].pop()
+            if name in BLOCK and name != "p":
+                walls.pop()
         del stack[i:]
 
-    while at <= last:
+    def last(names) -> int:
+        return max((spots[name][-1] for name in names if spots[name]), default=-1)
+
+    while at <= stop_at:
         tag = _TAG.search(page, at)
         if tag is None:
             break
@@ -191,21 +203,11 @@ def blocks(page: str) -> list[Block]:
             flush()
             muted = False
             if name == "body" and open_names["head"] > 0:
-                close(next(i for i in range(len(stack)) if stack[i][0] == "head"))
-            if open_names["p"] > 0:  # a block ends an open paragraph
-                i = len(stack) - 1
-                while i >= 0 and (stack[i][0] == "p" or stack[i][0] not in BLOCK):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    i -= 1
-            if name in IMPLIED and open_names[name] > 0:
-                i = len(stack) - 1
-                while i >= 0 and stack[i][0] not in IMPLIED[name]:
-                    if stack[i][0] == name:
-                        close(i)
-                        break
-                    i -= 1
+                close(spots["head"][0])
+            if open_names["p"] > 0 and spots["p"][-1] > (walls[-1] if walls else -1):  # a block ends an open paragraph
+                close(spots["p"][-1])
+            if name in IMPLIED and open_names[name] > 0 and spots[name][-1] > last(IMPLIED[name]):
+                close(spots[name][-1])
         drop, head, main, word = _attributes(raw) if raw and not raw.isspace() else (False, False, False, "")
         gone = drop or name in DROPPED or (head or name == "header") and not inside
         now = max(chrome, (1 if name == "form" and not drop else 2) if gone else 0)
@@ -214,6 +216,10 @@ def blocks(page: str) -> list[Block]:
             now = 0
         if name not in BLOCK and (now != chrome or word and word != hint or enters):
             flush()
+        if name in spots:
+            spots[name].append(len(stack))
+        if name in BLOCK and name != "p":
+            walls.append(len(stack))
         stack.append((name, chrome, hint, inside))
         open_names[name] += 1
         chrome, hint = now, word or hint

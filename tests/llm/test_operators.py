@@ -393,7 +393,7 @@ def test_shares_of_repeats_equal_brute_force(spark, monkeypatch):
         n = min(run, len(t))
         hit = {j for i in range(len(t) - n + 1) if len(at[n, t[i : i + n]]) > 1 for j in range(i, i + n)}
         want[str(k).encode()] = len(hit) / len(t)
-    df = spark.createDataFrame(rows, "host string, seg binary, tokens binary, low long, high long")
+    df = spark.createDataFrame([(*x, 1 + (x[3] != x[4])) for x in rows], "host string, seg binary, tokens binary, low long, high long, pages int").withColumn("pages", F.col("pages").cast("long"))
     for most in (200_000, 40):  # the second parts hosts into many blocks
         monkeypatch.setattr(html_text, "BLOCK_TOKENS", most)
         got = {bytes(x["seg"]): x["share"] for x in html_text.repeated_shares(df).collect()}
@@ -437,7 +437,7 @@ def test_texts_of_the_drivers_pages_and_what_repeats_do(spark, small, monkeypatc
     masked = pages.withColumn("html", F.regexp_replace("html", 'class="ad"', 'class="k7"'))
     assert {r["page_id"]: r["text"] for r in html_text.extract_text(masked).collect()} == want
     # Without repeats the texts are others.
-    monkeypatch.setattr(html_text, "repeated_shares", lambda found: found.select("seg").distinct().withColumn("share", F.lit(0.0)))
+    monkeypatch.setattr(html_text, "repeated_shares", lambda found: found.select("seg").distinct().selectExpr("seg", "0d as share", "cast('' as binary) as kept", "false as spread"))
     without = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
     assert sum(without[k] != want[k] for k in want) > 0.9 * len(want)
 
