@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import phi
-from cellweave.operators.geometry import triangulation_edges, voronoi_polygons
+from cellweave.operators.geometry import voronoi_polygons
 from cellweave.operators.ranking import running_before
+from cellweave.operators.tiled_delaunay import delaunay_tiled
 from cellweave.runtime import materialize
 
 #: Permutations that a block deals at a time, and cells of a block at even density.
@@ -24,23 +25,12 @@ def delaunay_edges(df: DataFrame, region: str = "region", cell_id: str = "cell_i
     """``region, id1, id2, distance`` of each undirected Delaunay edge, id1 < id2.
 
     Coordinates are cut to integers with ``truncate``. Of cells at one place only the
-    least id takes part. A region is triangulated in one task, as a triangulation has
-    no smaller exact unit; use range_pairs for regions beyond a worker's memory.
+    least id takes part; cells without coordinates do not. Points on one circle are cut from the first of them (by x, then y). Large regions
+    are triangulated in tiles, exactly.
     """
     cast = (lambda c: F.col(c).cast("int").cast("double")) if truncate else (lambda c: F.col(c).cast("double"))
     points = df.select(F.col(region).alias("region"), F.col(cell_id).alias("id"), cast(x).alias("x"), cast(y).alias("y")).where("x is not null and y is not null")
-    points = points.groupBy("region", "x", "y").agg(F.min("id").alias("id"))
-    kind = points.schema["id"].dataType.simpleString()
-
-    def edges(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id")
-        xs, ys, ids = p["x"].tolist(), p["y"].tolist(), p["id"].tolist()
-        whole = all(v == int(v) for v in xs) and all(v == int(v) for v in ys)
-        found = triangulation_edges([(int(a), int(b)) if whole else (a, b) for a, b in zip(xs, ys, strict=True)])
-        rows = [(p["region"].iloc[0], min(ids[i], ids[j]), max(ids[i], ids[j]), ((xs[i] - xs[j]) ** 2 + (ys[i] - ys[j]) ** 2) ** 0.5) for i, j in found]
-        return pd.DataFrame(rows, columns=["region", "id1", "id2", "distance"])
-
-    return points.groupBy("region").applyInPandas(edges, f"region {points.schema['region'].dataType.simpleString()}, id1 {kind}, id2 {kind}, distance double")
+    return delaunay_tiled(points.groupBy("region", "x", "y").agg(F.min("id").alias("id")).where("id is not null"))
 
 
 def voronoi_cells(df: DataFrame, box: tuple[float, float, float, float], region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y") -> DataFrame:

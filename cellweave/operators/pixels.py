@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,75 @@ def outlines(df: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame:
     return _shifted(df, by).where("own <> 0 and own <> other").select(*by, F.col("py").alias("y"), F.col("px").alias("x"), F.col("own").alias("label")).distinct()
 
 
+def label_perimeters(df: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame:
+    """``by.., label, perimeter``: length of the line through the centres of a label's border pixels.
+
+    A border pixel has one of four neighbours outside its label. What it adds depends on how many border
+    pixels of the label lie straight and aslant beside it. Two shuffles of pixels, no joins.
+    """
+    at = [*by, "label", "y", "x"]
+
+    def around(pixels: DataFrame, steps: list[tuple[int, int, str]]) -> DataFrame:
+        """Each place with whether a pixel is there (``own``) and how many of each kind of step lead to it."""
+        kinds = dict.fromkeys(k for _, _, k in steps)
+        moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("k")) for a, b, k in [(0, 0, "own"), *steps]])
+        sent = pixels.select(*at, F.explode(moves).alias("s")).select(*by, "label", (F.col("y") + F.col("s.a")).alias("y"), (F.col("x") + F.col("s.b")).alias("x"), F.col("s.k").alias("k"))
+        return sent.groupBy(*at).agg(*[F.sum((F.col("k") == k).cast("int")).alias(k) for k in ("own", *kinds)]).where("own > 0")
+
+    straight = [(0, 1, "straight"), (0, -1, "straight"), (1, 0, "straight"), (-1, 0, "straight")]
+    aslant = [(a, b, "aslant") for a in (-1, 1) for b in (-1, 1)]
+    border = around(df.where("label <> 0").select(*at).distinct(), straight).where("straight < 4").select(*at)
+    code = F.lit(1) + 2 * F.col("straight") + 10 * F.col("aslant")
+    root = 2**0.5
+    # What each configuration of neighbours on the border adds.
+    length = F.when(code.isin(5, 7, 15, 17, 25, 27), 1.0).when(code.isin(21, 33), root).when(code.isin(13, 23), (1 + root) / 2).otherwise(0.0)
+    return around(border, straight + aslant).groupBy(*by, "label").agg(F.sum(length).alias("perimeter"))
+
+
+def hull_area(rows: list[tuple[int, int, int]]) -> int:
+    """Pixels whose centre lies in the convex hull of a label, given as rows ``(y, least x, greatest x)``; pixels are diamonds of half a side."""
+    points = sorted({p for y, a, b in rows for p in ((2 * a - 1, 2 * y), (2 * b + 1, 2 * y), (2 * a, 2 * y - 1), (2 * a, 2 * y + 1), (2 * b, 2 * y - 1), (2 * b, 2 * y + 1))})
+
+    def half(order):
+        out = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = half(points) + half(points[::-1])
+    ends: dict[int, list[int]] = {}
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if ay == by:
+            if ay % 2 == 0:
+                ends.setdefault(ay, []).append(("lo", -(-min(ax, bx) // 2)))
+                ends[ay].append(("hi", max(ax, bx) // 2))
+            continue
+        if ay > by:
+            ax, ay, bx, by = bx, by, ax, ay
+        for y in range(ay + ay % 2, by + 1, 2):
+            top, low = ax * (by - ay) + (bx - ax) * (y - ay), 2 * (by - ay)
+            ends.setdefault(y, []).append(("lo", -(-top // low)))
+            ends[y].append(("hi", top // low))
+    # On each row the hull reaches from the least crossing to the greatest one.
+    return sum(max(0, max(v for k, v in e if k == "hi") - min(v for k, v in e if k == "lo") + 1) for e in ends.values())
+
+
+def label_hulls(df: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame:
+    """``by.., label, area, convex_area, solidity``. Only the two ends of each pixel row leave a task; a label's rows meet in a list."""
+    rows = df.where("label <> 0").select(*by, "label", "y", "x").distinct().groupBy(*by, "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count(F.lit(1)).alias("n"))
+    shapes = rows.groupBy(*by, "label").agg(F.sum("n").alias("area"), F.collect_list(F.struct(F.col("y").cast("long"), F.col("a").cast("long"), F.col("b").cast("long"))).alias("rows"))
+
+    def hulls(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([hull_area([tuple(r.values()) for r in rows]) for rows in batch.to_pylist()], pa.int64())
+
+    hulls.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    out = shapes.withColumn("convex_area", F.arrow_udf(hulls, "long")("rows"))
+    return out.select(*by, "label", "area", "convex_area", F.try_divide(F.col("area").cast("double"), F.col("convex_area").cast("double")).alias("solidity"))
+
+
 def adjacency(df: DataFrame, by: Sequence[str] = ("image",)) -> DataFrame:
     """``by.., a, b, n``: border contacts between labels, and border pixels of each label as a = b."""
     touch = _shifted(df, by).where("own <> 0 and own <> other")

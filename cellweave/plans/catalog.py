@@ -13,6 +13,7 @@ from cellweave.operators import annotate, composition, interactions, marker_grap
 from cellweave.runtime import materialize, shared_dir, ship_package
 from cellweave.schema import first_appearance, marker_slice, without_nan
 from cellweave.sources.cells import MARKERS, bare_name, cells_view, format_spatial, list_files, marker_view, read_cells, read_names, register, split_markers, write_by_region
+from cellweave.sources.registry import ResultRegistry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -247,6 +248,40 @@ def label_shapes(spark, sf):
     return f.withColumn("eccentricity", F.round("eccentricity", 4))
 
 
+def blob_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The pixels of ``pixel_view`` with ragged labels, as in BLOBS."""
+    inside = F.expr("(y % 7 - 3) * (y % 7 - 3) + (x % 9 - 4) * (x % 9 - 4) + (y * 31 + x * 17 + y * x) % 7 <= 16")
+    return pixel_view(spark, sf).withColumn("label", F.when(inside, F.col("label")).otherwise(0))
+
+
+BLOBS = f"""{PIXELS}, blobs AS (SELECT image, y, x, label FROM px WHERE label <> 0 AND (y % 7 - 3) * (y % 7 - 3) + (x % 9 - 4) * (x % 9 - 4) + (y * 31 + x * 17 + y * x) % 7 <= 16)"""
+
+
+@query(
+    f"WITH {BLOBS}, four AS (SELECT a.image, a.label, a.y, a.x, count(b.x) AS n FROM blobs a LEFT JOIN blobs b ON a.image = b.image AND a.label = b.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL), "
+    "border AS (SELECT image, label, y, x FROM four WHERE n < 4), "
+    "code AS (SELECT a.image, a.label, a.y, a.x, 1 + 2 * count(*) FILTER (abs(a.y - b.y) + abs(a.x - b.x) = 1) + 10 * count(*) FILTER (abs(a.y - b.y) = 1 AND abs(a.x - b.x) = 1) AS c "
+    "FROM border a LEFT JOIN border b ON a.image = b.image AND a.label = b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) "
+    "SELECT image, label, round(sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2) WHEN c IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter FROM code GROUP BY image, label"
+)
+def label_perimeters(spark, sf):
+    return r6(pixels.label_perimeters(blob_view(spark, sf)), "perimeter")
+
+
+@query(
+    f"WITH {BLOBS}, r AS (SELECT image, label, y, min(x) AS a, max(x) AS b FROM blobs GROUP BY ALL), "
+    "c AS (SELECT image, label, unnest([2 * a - 1, 2 * b + 1, 2 * a, 2 * a, 2 * b, 2 * b]) AS x, unnest([2 * y, 2 * y, 2 * y - 1, 2 * y + 1, 2 * y - 1, 2 * y + 1]) AS y FROM r), p AS (SELECT DISTINCT * FROM c), "
+    "e AS (SELECT a.image, a.label, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.image = b.image AND a.label = b.label AND (a.x <> b.x OR a.y <> b.y) JOIN p c ON a.image = c.image AND a.label = c.label "
+    "GROUP BY ALL HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= 0), "
+    "box AS (SELECT image, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, count(*) AS area FROM blobs GROUP BY ALL), "
+    "spot AS (SELECT image, label, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM box), spots AS (SELECT image, label, y, unnest(range(x0, x1 + 1)) AS x FROM spot), "
+    "held AS (SELECT s.image, s.label, s.y, s.x FROM spots s JOIN e ON e.image = s.image AND e.label = s.label GROUP BY ALL HAVING min((bx - ax) * (2 * s.y - ay) - (by_ - ay) * (2 * s.x - ax)) >= 0) "
+    "SELECT h.image, h.label, any_value(area) AS area, count(*) AS convex_area, round(any_value(area) / count(*), 6) AS solidity FROM held h JOIN box ON box.image = h.image AND box.label = h.label GROUP BY h.image, h.label"
+)
+def label_hulls(spark, sf):
+    return r6(pixels.label_hulls(blob_view(spark, sf)), "solidity")
+
+
 _TOUCH = f"""{PIXELS}, t AS (SELECT a.image, a.y, a.x, a.label AS a, b.label AS b FROM px a JOIN px b ON a.image = b.image
  AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.label <> 0 AND a.label <> b.label)"""
 
@@ -1063,6 +1098,17 @@ def registered_result(spark, sf):
     return spark.sql(f"SELECT region, count(*) AS n FROM {name} GROUP BY region")
 
 
+@query(f"WITH {CELLS} SELECT region, cond, count(*) AS n, round(sum(value), 4) AS total FROM cells GROUP BY region, cond")
+def kept_result(spark, sf):
+    kept = ResultRegistry(spark, f"{shared_dir(spark)}/results")
+    name = f"shares-{uuid.uuid4().hex}"
+    cells = cells_view(spark, sf)
+    kept.save(cells.where("cond = 'a'").select("region", "cond", "value"), name, "only one condition")
+    kept.save(cells.select("region", "cond", "value"), name, "all cells")
+    back = ResultRegistry(spark.newSession(), kept.path).read(name)
+    return back.groupBy("region", "cond").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query(f"WITH {CELLS} SELECT cell_id, CAST(x AS DOUBLE) AS first, CAST(y AS DOUBLE) AS second, round(value, 6) AS feature FROM cells")
 def spatial_points(spark, sf):
     points = format_spatial(cells_view(spark, sf).select("cell_id", "x", "y", "value"), "x", "y", ["value"])
