@@ -609,7 +609,7 @@ def _dealt_sql(steps: int) -> str:
         f"deal(region, cell_id, n, wide, high, s, i, a, b) AS (SELECT region, cell_id, n, wide, high, s, 0, x // high, x % high FROM box, range(0, {steps}) r(s) "
         f"UNION ALL SELECT region, cell_id, n, wide, high, s, i + 1, CASE WHEN i % 2 = 0 THEN (a + h % wide) % wide ELSE a END, CASE WHEN i % 2 = 1 THEN (b + h % high) % high ELSE b END FROM ({hashed})), "
         "kinds AS (SELECT region, cell_type, sum(k) OVER (PARTITION BY region ORDER BY cell_type) - k AS low, sum(k) OVER (PARTITION BY region ORDER BY cell_type) AS high FROM (SELECT region, cell_type, count(*) AS k FROM cells GROUP BY 1, 2)), "
-        f"dealt AS (SELECT p.region, p.cell_id, p.s, k.cell_type FROM deal p JOIN kinds k ON k.region = p.region AND p.a * p.high + p.b >= k.low AND p.a * p.high + p.b < k.high WHERE p.i > 0 AND p.i % {rounds} = 0 AND p.a * p.high + p.b < p.n)"
+        f"dealt AS MATERIALIZED (SELECT p.region, p.cell_id, p.s, k.cell_type FROM deal p JOIN kinds k ON k.region = p.region AND p.a * p.high + p.b >= k.low AND p.a * p.high + p.b < k.high WHERE p.i > 0 AND p.i % {rounds} = 0 AND p.a * p.high + p.b < p.n)"
     )
 
 
@@ -645,7 +645,8 @@ DEALS, LEAST = 6, 10
 
 #: The whole comparison over edges within R: cells' mean distances, expected means, rank test and folds.
 _INTER = f"""{CELLS}, {_EDGES}, {_dealt_sql(DEALS)}, obs AS (SELECT a.cond AS condition, a.cell_type AS type1, b.cell_type AS type2, round(avg(sqrt(d2)), 9) AS d FROM edges JOIN cells a ON a.cell_id = id1 JOIN cells b ON b.cell_id = id2 GROUP BY a.cond, e1(id1), 2, 3),
- per AS (SELECT e.region, a.s, a.cell_type AS type1, b.cell_type AS type2, avg(sqrt(d2)) AS d FROM edges e JOIN dealt a ON a.cell_id = id1 JOIN dealt b ON b.cell_id = id2 AND a.s = b.s GROUP BY e.region, a.s, id1, 3, 4),
+ ends AS MATERIALIZED (SELECT e.region, e.id1, e.id2, e.d2, a.s, a.cell_type AS type1 FROM edges e JOIN dealt a ON a.cell_id = id1),
+ per AS (SELECT e.region, e.s, e.type1, b.cell_type AS type2, avg(sqrt(d2)) AS d FROM ends e JOIN dealt b ON b.cell_id = e.id2 AND b.s = e.s GROUP BY e.region, e.s, e.id1, 3, 4),
  conds AS (SELECT region, max(cond) AS condition FROM cells GROUP BY region),
  expd AS (SELECT condition, type1, type2, round(avg(d), 9) AS d FROM per JOIN conds ON conds.region = per.region GROUP BY per.region, s, condition, type1, type2 HAVING avg(d) <= {R}),
  vals AS (SELECT condition, type1, type2, d, 1 AS seen FROM obs UNION ALL SELECT condition, type1, type2, d, 0 FROM expd),
