@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,40 +43,49 @@ def running_before(df: DataFrame, by: Sequence[str], order: str, amount: str, ou
 def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> dict[str, list[float | None]]:
     """Quantiles of each column with linear interpolation, nulls left out; null for a column without values.
 
-    Approximate quantiles bound the two order statistics that are needed; passes over
-    the data narrow the bounds until at most SORTED values (or equal ones) lie between
-    them, and only those are sorted.
+    One sketch a column bounds the order statistics of all its shares; one pass counts what lies
+    between the bounds. Where that is more than SORTED different values the pair of passes is
+    repeated inside the bounds; the rest is brought together and sorted in one job.
     """
     found: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
     numbers = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    open_ = {(c, i): (None, None) for c in columns for i in range(len(shares)) if numbers[c]}
+    value = lambda c: F.col(c).cast("double")
+    within = lambda c, low, high: value(c).isNotNull() & ((value(c) >= low) & (value(c) <= high) if low is not None else F.lit(True))
+    # Column and share, with the bounds of its values, how many are below them and how many between.
+    open_ = {(c, i): (None, None, 0, numbers[c]) for c in columns for i in range(len(shares)) if numbers[c]}
+    small = {}
     while open_:
-        exprs = []
-        for (c, i), (low, high) in open_.items():
-            v = F.col(c).cast("double")
-            inside = F.when((v >= low) & (v <= high) if low is not None else F.lit(True), v)
-            exprs.append(F.sum(F.when(v < low, 1).otherwise(0) if low is not None else F.lit(0)).alias(f"below_{c}_{i}"))
-            exprs.append(F.count(inside).alias(f"count_{c}_{i}"))
-            # A thousand cuts: the next bounds hold a few thousandths of the values at most.
-            exprs.append(F.percentile_approx(inside, F.array(*[F.lit(k / 1000) for k in range(1001)]), 10_000).alias(f"cuts_{c}_{i}"))
-        row = df.agg(*exprs).first()
-        for c, i in list(open_):
-            below, count, cuts = row[f"below_{c}_{i}"] or 0, row[f"count_{c}_{i}"], row[f"cuts_{c}_{i}"]
-            place = shares[i] * (numbers[c] - 1)
-            ranks = [int(place), min(numbers[c] - 1, int(place) + 1)]
+        small |= {k: open_.pop(k) for k in list(open_) if open_[k][3] <= SORTED}
+        ranges = list(dict.fromkeys((c, low, high) for (c, _), (low, high, *_) in open_.items()))
+        if not ranges:
+            break
+        # A thousand cuts: the next bounds hold a few thousandths of the values at most.
+        cut = F.array(*[F.lit(k / 1000) for k in range(1001)])
+        row = df.agg(*[F.percentile_approx(F.when(within(*r), value(r[0])), cut, 10_000).alias(f"r{k}") for k, r in enumerate(ranges)]).first()
+        cuts_of = {r: row[f"r{k}"] for k, r in enumerate(ranges)}
+        for (c, i), (low, high, below, count) in list(open_.items()):
+            cuts, place = cuts_of[c, low, high], shares[i] * (numbers[c] - 1)
             if cuts[0] == cuts[-1]:
                 found[c][i] = cuts[0]
                 del open_[c, i]
-            elif count <= SORTED:
-                low, high = open_.pop((c, i))
-                v = F.col(c).cast("double")
-                rows = df.where(v.isNotNull() & ((v >= low) & (v <= high) if low is not None else F.lit(True))).select(v.alias("v")).orderBy("v").toArrow().column(0)
-                a, b = (rows[r - below].as_py() for r in ranks)
-                found[c][i] = a + (b - a) * (place - ranks[0])
-            else:
-                # Ranks of approximate cuts err by a ten-thousandth: three cuts either side hold both order statistics.
-                lo = max(0, int((ranks[0] - below) / count * 1000) - 3)
-                hi = min(1000, int((ranks[1] - below) / count * 1000) + 4)
-                low, high = (cuts[0] if lo == 0 else cuts[lo]), (cuts[-1] if hi == 1000 else cuts[hi])
-                open_[c, i] = (low, high)
+                continue
+            # Ranks of approximate cuts err by a ten-thousandth: three cuts either side hold both order statistics.
+            lo = max(0, int((int(place) - below) / count * 1000) - 3)
+            hi = min(1000, int((min(numbers[c] - 1, int(place) + 1) - below) / count * 1000) + 4)
+            open_[c, i] = (cuts[lo], cuts[hi], below, count)
+        if open_:
+            keys = list(open_)
+            counts = [e for k, (c, i) in enumerate(keys) for e in (F.count(F.when(value(c) < open_[c, i][0], 1)).alias(f"b{k}"), F.count(F.when(within(c, *open_[c, i][:2]), 1)).alias(f"n{k}"))]
+            row = df.agg(*counts).first()
+            open_ = {key: (*open_[key][:2], row[f"b{k}"], row[f"n{k}"]) for k, key in enumerate(keys)}
+    if small:
+        ranges = list(dict.fromkeys((c, low, high) for (c, _), (low, high, *_) in small.items()))
+        held = F.array(*[F.when(within(*r), F.struct(F.lit(k).alias("k"), value(r[0]).alias("v"))) for k, r in enumerate(ranges)])
+        rows = df.select(F.explode(F.filter(held, lambda x: x.isNotNull())).alias("x")).select("x.k", "x.v").toArrow()
+        which, values = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        sorted_ = {r: np.sort(values[which == k]) for k, r in enumerate(ranges)}
+        for (c, i), (low, high, below, _) in small.items():
+            place = shares[i] * (numbers[c] - 1)
+            a, b = (float(sorted_[c, low, high][r - below]) for r in (int(place), min(numbers[c] - 1, int(place) + 1)))
+            found[c][i] = a + (b - a) * (place - int(place))
     return found
