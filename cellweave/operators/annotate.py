@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.communities import leiden_communities
+from cellweave.operators.communities import heaviest_labels, leiden_communities
 from cellweave.operators.marker_graph import fuzzy_weights, marker_neighbours
 from cellweave.runtime import discard, materialize
 
@@ -55,29 +55,9 @@ def predict(model, df: DataFrame, probabilities: bool = False, keep_truth: bool
     return out.select(*columns, *([vector_to_array("probability").alias("probabilities")] if probabilities else []))
 
 
-def label_propagation(edges: DataFrame) -> DataFrame:
-    """``id, community`` of a weighted graph ``src, dst, weight``: each vertex takes the heaviest label around it.
-
-    Vertices keep their label on ties with it, else the least label wins. Half of the
-    vertices, by a hash of the round, move at a time, so neighbours do not swap labels for
-    ever; each move of a vertex alone makes the weight of edges inside labels grow, so
-    the rounds come to an end. Written to the shared folder each round.
-    """
-    both = materialize(edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "graph")
-    labels = materialize(both.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
-    step = 0
-    while True:
-        votes = both.join(labels.withColumnsRenamed({"id": "dst", "community": "vote"}), "dst").groupBy(F.col("src").alias("id"), F.col("vote").alias("vote")).agg(F.sum("weight").alias("w"))
-        best = votes.join(labels, "id").groupBy("id").agg(F.max_by("vote", F.struct("w", (F.col("vote") == F.col("community")), -F.col("vote"))).alias("next"), F.first("community").alias("community"))
-        # Later rounds move fewer at a time: in the end single vertices, which cannot go round in circles.
-        turn = F.when(F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2 + step // 8)) == 0, F.col("next")).otherwise(F.col("community"))
-        moved = materialize(best.select("id", turn.alias("community"), (F.col("next") != F.col("community")).alias("moves")), "labels")
-        discard(labels)
-        labels = moved.select("id", "community")
-        labels._cellweave_path = moved._cellweave_path
-        if moved.where("moves").isEmpty():
-            return labels
-        step += 1
+def label_propagation(edges: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``id, community`` of a weighted graph ``src, dst, weight``: each vertex has the heaviest label around it, its own on ties."""
+    return heaviest_labels(edges, places)
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:

@@ -233,12 +233,8 @@ def _block(batches: Iterator[pa.RecordBatch], total: float, resolution: float, w
 def _level(edges: DataFrame, vertices: DataFrame, count: int, ends: int, total: float, resolution: float) -> tuple[DataFrame, DataFrame]:
     """One level in blocks: ``id, k, place, block, label`` after the first step and ``id, label, part`` after the second."""
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = int(max(-(-count // BLOCK_VERTICES), -(-ends // BLOCK_EDGES)))
-    cuts = vertices.agg(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 10_000).alias("c")).first()["c"] if blocks > 1 else []
-    cuts = F.lit(np.array(sorted(set(cuts)), float)) if cuts else None
-    number = F.lit(0) if cuts is None else F.size(F.filter(cuts, lambda c: c < F.col("place")))
     both = edges.unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    now = vertices.withColumn("block", number)
+    now = vertices.withColumn("block", _block_number(vertices, count, ends))
 
     def step(state: DataFrame, way: int) -> DataFrame:
         tots = state.groupBy("label").agg(F.sum("k").alias("tot"))
@@ -255,13 +251,8 @@ def _level(edges: DataFrame, vertices: DataFrame, count: int, ends: int, total:
     return now, materialize(step(now, 1), "parts")
 
 
-def leiden_communities(edges: DataFrame, resolution: float = 1.0, places: DataFrame | None = None) -> DataFrame:
-    """``id, community`` of a weighted undirected graph ``src, dst, weight`` (whole numbers as vertices, weights above 0).
-
-    Every community is connected; it is named by its least vertex. Repeated edges and both
-    directions add up; loops count once. Rows with a null end or weight are left out. ``places`` (id, place) tells
-    which vertices are near each other and only serves speed; vertices without a place go by a hash.
-    """
+def _prepared(edges: DataFrame, places: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Edges ``src, dst, weight`` (src up to dst, once) and vertices ``id, k, place, label`` (each its own label)."""
     known = edges.where("src is not null and dst is not null and weight is not null")
     graph = materialize(known.groupBy(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).agg(F.sum(F.col("weight").cast("double")).alias("weight")), "graph")
     sides = lambda g: g.select(F.col("src").alias("id"), "weight").unionByName(g.select(F.col("dst").alias("id"), "weight"))
@@ -272,6 +263,96 @@ def leiden_communities(edges: DataFrame, resolution: float = 1.0, places: DataFr
     else:
         vertices = strengths.join(places.select(F.col("id").cast("long").alias("id"), F.col("place").cast("double").alias("__place")), "id", "left").select("id", "k", F.coalesce("__place", hashed).alias("place"))
     vertices = materialize(vertices.withColumn("label", F.col("id")), "vertices")
+    return graph, vertices
+
+
+def _block_number(vertices: DataFrame, count: int, ends: int):
+    """Column: number of the block that a vertex's place lies in."""
+    blocks = int(max(-(-count // BLOCK_VERTICES), -(-ends // BLOCK_EDGES), 1))
+    cuts = vertices.agg(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 10_000).alias("c")).first()["c"] if blocks > 1 else []
+    return F.size(F.filter(F.lit(np.array(sorted(set(cuts)), float)), lambda c: c < F.col("place"))) if cuts else F.lit(0)
+
+
+def _spread(batches: Iterator[pa.RecordBatch], way: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, id, label, near<struct<id, w, label>>) sorted by block: each block's vertices take the heaviest label around them until none moves."""
+    at, held = None, []
+
+    def out() -> pa.RecordBatch:
+        place = {h[0]: j for j, h in enumerate(held)}
+        label, foreign, a, b, w = [h[1] for h in held], [], [], [], []
+        for j, (_, _, near) in enumerate(held):
+            for e in near:
+                to = place.get(e["id"], -1)
+                if to < 0:
+                    to = len(held) + len(foreign)
+                    foreign.append(e["label"])
+                a.append(j), b.append(to), w.append(e["w"])
+        before, label = label, label + foreign
+        part = Part(len(held), np.array(a, np.int64), np.array(b, np.int64), np.array(w, float), [0.0] * len(held), 0.0, 0.0)
+        part.move(label, dict.fromkeys(label, 0.0), way)
+        own = label[: len(held)]
+        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array(own, pa.int64()), pa.array([x != y for x, y in zip(own, before, strict=True)])], names=["id", "label", "moved"])
+
+    for batch in batches:
+        for block, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if block != at:
+                if held:
+                    yield out()
+                at, held = block, []
+            held.append(row)
+    if held:
+        yield out()
+
+
+def heaviest_labels(edges: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``id, community``: every vertex has the heaviest label around it (its own on ties), from a label of its own at first.
+
+    Vertices move inside blocks until none wants to; then blocks exchange labels, and in turn take only lower and only
+    higher ones across their borders, until every vertex is content. From the eighth round on fewer
+    blocks move at a time. Edges and ``places`` as in ``leiden_communities``.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graph, vertices = _prepared(edges, places)
+    count, ends = vertices.count(), 2 * graph.count()
+    both = graph.where("src <> dst").select("src", "dst", "weight").unionByName(graph.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    both = materialize(both, "ends")
+    now = materialize(vertices.select("id", "label", _block_number(vertices, count, ends).alias("block")), "labels")
+    discard(vertices)
+    step = 0
+    while True:
+        told = both.join(now.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src").agg(F.collect_list(F.struct(F.col("dst").alias("id"), F.col("weight").alias("w"), "label")).alias("near"))
+        rows = now.join(told.withColumnRenamed("src", "id"), "id").select("block", "id", "label", "near")
+        turn, way = 1 + step // 8, -1 if step % 2 == 0 else 1
+        asked = rows.where(F.pmod(F.xxhash64("block", F.lit(step // 2)), F.lit(turn)) == 0).repartition(parts, "block").sortWithinPartitions("block", "id")
+        moved = materialize(asked.mapInArrow(lambda b, way=way: _spread(b, way), "id long, label long, moved boolean"), "moved")
+        changed = not moved.where("moved").isEmpty()
+        if changed:
+            before, now = now, materialize(now.join(moved.select("id", F.col("label").alias("next")), "id", "left").select("id", F.coalesce("next", "label").alias("label"), "block"), "labels")
+            discard(before)
+        discard(moved)
+        step += 1
+        # A round in which only some blocks or one way were open tells nothing of the others.
+        if not changed and _calm(both, now):
+            break
+    discard(both)
+    return now.select("id", F.col("label").alias("community"))
+
+
+def _calm(both: DataFrame, now: DataFrame) -> bool:
+    """Whether every vertex has one of the heaviest labels around it."""
+    votes = both.join(now.select(F.col("id").alias("dst"), F.col("label").alias("vote")), "dst").groupBy("src", "vote").agg(F.sum("weight").alias("w"))
+    own = votes.join(now.select(F.col("id").alias("src"), "label"), "src").groupBy("src").agg(F.max("w").alias("top"), F.coalesce(F.max(F.when(F.col("vote") == F.col("label"), F.col("w"))), F.lit(0.0)).alias("own"))
+    return own.where(F.col("top") > F.col("own") + 1e-9).isEmpty()
+
+
+def leiden_communities(edges: DataFrame, resolution: float = 1.0, places: DataFrame | None = None) -> DataFrame:
+    """``id, community`` of a weighted undirected graph ``src, dst, weight`` (whole numbers as vertices, weights above 0).
+
+    Every community is connected; it is named by its least vertex. Repeated edges and both
+    directions add up; loops count once. Rows with a null end or weight are left out. ``places`` (id, place) tells
+    which vertices are near each other and only serves speed; vertices without a place go by a hash.
+    """
+    graph, vertices = _prepared(edges, places)
     size = vertices.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k")).first()
     total, whole = size["k"] or 0.0, None
     count, ends, stalled = size["n"], graph.count(), 0

@@ -972,9 +972,8 @@ def som_clusters(spark, sf):
 
 @query()
 def label_groups(spark, sf):
-    near = spatial.knn(cells_view(spark, sf), 6, include_self=False)
-    edges = near.select(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst"), F.lit(1.0).alias("weight")).distinct()
-    return annotate.label_propagation(edges)
+    edges, places = _planar_graph(spark, sf)
+    return annotate.label_propagation(edges, places)
 
 
 @query(f"SELECT a.vec_id AS id1, b.vec_id AS id2, round({_cosine_sql('a.embedding', 'b.embedding')}, 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -120,6 +120,19 @@ def test_communities_of_planted_groups(spark, monkeypatch, blocks):
         assert annotate.modularity(df, found) >= annotate.modularity(df, truth) - (0.005 if blocks[0] > 360 else 0.03)
 
 
+@pytest.mark.parametrize("block", [25_000, 50])
+def test_labels_are_the_heaviest_around(spark, monkeypatch, block):
+    monkeypatch.setattr(communities, "BLOCK_VERTICES", block)
+    rows = planted(5)
+    got = {x["id"]: x["community"] for x in communities.heaviest_labels(spark.createDataFrame([*rows, (999, 999, 1.0)], "src long, dst long, weight double")).collect()}
+    assert set(got) == {*range(360), 999} and got[999] == 999
+    votes = {v: Counter() for v in got}
+    for a, b, w in rows:
+        votes[a][got[b]] += w
+        votes[b][got[a]] += w
+    assert all(votes[v][got[v]] == max(votes[v].values()) for v in range(360))
+
+
 def test_communities_of_odd_graphs(spark):
     edges = [(1, 2, 1.0), (2, 1, 1.0), (3, 3, 2.0), (None, 4, 1.0), (5, 6, None), (7, 8, 0.5)]
     df = spark.createDataFrame([(*e, "x") for e in edges], "src long, dst long, weight double, community string")
