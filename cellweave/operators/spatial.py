@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.runtime import materialize
+from cellweave.runtime import discard, materialize
 
 
 def _cell(c: str, side: Column | float) -> Column:
@@ -60,16 +60,21 @@ def near_any(df: DataFrame, sources: DataFrame, radius: float, region: str = "re
     return own.join(near, on, "left_semi").drop("__gx", "__gy")
 
 
-#: Points that the grid block around a point should hold, for each neighbour asked for, and points that are asked about together.
-BLOCK_SHARE, ASKED = 24.0, 512
+#: Points that the grid block around a point should hold, for each neighbour asked for; points that are asked about
+#: together, and distances that are held at once.
+BLOCK_SHARE, ASKED, HELD = 24.0, 512, 1 << 22
+#: Grid cells of a round that are broadcast to the candidates (some 50 bytes each).
+FEW_CELLS = 500_000
+#: A grid cell with more than this many times its share of candidates, and more than CROWD, is cut into four, at most so often.
+CROWDED, CROWD, MOST_CUTS = 4.0, 512, 24
 
 
 def _nearest(k: int, include_self: bool):
-    """Task of ``knn``: rows sorted by (region, gx, gy), candidates before the points that ask; one row for each point.
+    """Task of ``knn``: rows sorted by (region, turn, gx, gy), candidates before the points that ask; one row for each point.
 
-    Columns in: region, gx, gy, asks, id, x, y, reach, whole, all candidates of a grid
+    Columns in: region, turn, gx, gy, asks, id, x, y, reach, whole, all candidates of a grid
     cell's 3 x 3 block standing in that cell. Distances of a slice of points to the
-    block's candidates are formed at once; the block is the largest thing held.
+    block's candidates are formed at once, no more than HELD of them; the block is the largest thing held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +87,9 @@ def _nearest(k: int, include_self: bool):
             order = table.sort_by("id")
             ids = order.column("id").combine_chunks()
             cx, cy = order.column("x").to_numpy().astype(float), order.column("y").to_numpy().astype(float)
-            for at in range(0, asked.num_rows, ASKED):
-                part = asked.slice(at, ASKED)
+            together = max(1, min(ASKED, HELD // max(1, len(cx))))
+            for at in range(0, asked.num_rows, together):
+                part = asked.slice(at, together)
                 x, y = part.column("x").to_numpy().astype(float), part.column("y").to_numpy().astype(float)
                 dx, dy = x[:, None] - cx[None, :], y[:, None] - cy[None, :]
                 d2 = dx * dx + dy * dy
@@ -115,10 +121,10 @@ def _nearest(k: int, include_self: bool):
             if not batch.num_rows:
                 continue
             # Borders between grid cells inside the batch.
-            codes = [batch.column("region").dictionary_encode().indices.to_numpy(), batch.column("gx").to_numpy(), batch.column("gy").to_numpy()]
+            codes = [batch.column("region").dictionary_encode().indices.to_numpy(), batch.column("turn").to_numpy(), batch.column("gx").to_numpy(), batch.column("gy").to_numpy()]
             edges = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                now = (batch.column("region")[lo].as_py(), int(codes[1][lo]), int(codes[2][lo]))
+                now = (batch.column("region")[lo].as_py(), *(int(c[lo]) for c in codes[1:]))
                 if now != key:
                     if held:
                         yield from answers()
@@ -135,6 +141,28 @@ def _nearest(k: int, include_self: bool):
     return run
 
 
+def _cut_levels(points: DataFrame, own: DataFrame, most: float) -> DataFrame:
+    """``points`` with ``turn``: 0, less the times that the grid cell around each is halved.
+
+    A cell of ``own`` (region, x, y, side) with more than ``most`` candidates is cut into four, and so on: a quadtree, of
+    which only the crowded cells are kept, as a written table for each level. A cell whose candidates all stand at one
+    place cannot be cut.
+    """
+    out, inside = points.withColumn("turn", F.lit(0)), own
+    for level in range(MOST_CUTS):
+        cell = {"gx": _cell("x", F.col("side") / 2**level), "gy": _cell("y", F.col("side") / 2**level)}
+        counted = inside.withColumns(cell).groupBy("region", "gx", "gy").agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x") + F.max("y") - F.min("y")).alias("spread"))
+        full = materialize(counted.where((F.col("n") > most) & (F.col("spread") > 0)).select("region", "gx", "gy"), "crowded")
+        if full.isEmpty():
+            discard(full)
+            return materialize(out, "knn-todo") if level else out
+        # A crowded cell lies in a crowded cell, so a point's levels are those from 0 to its last.
+        out = out.withColumns(cell).join(full.withColumn("__full", F.lit(1)), ["region", "gx", "gy"], "left")
+        out = out.withColumn("turn", F.col("turn") - F.coalesce("__full", F.lit(0))).drop("gx", "gy", "__full")
+        inside = inside.withColumns(cell).join(full, ["region", "gx", "gy"], "left_semi").drop("gx", "gy")
+    return materialize(out, "knn-todo")
+
+
 def knn(
     df: DataFrame, k: int, region: str = "region", cell_id: str = "cell_id", x: str = "x", y: str = "y",
     include_self: bool = True, others: DataFrame | None = None, extra: tuple[str, ...] = (),
@@ -148,8 +176,10 @@ def knn(
     nine cells that may ask for them, points to their own, and each cell is answered in
     one pass with numpy: one shuffle of points, none of pairs. A point is done when its
     k-th neighbour is no further than the border of that block can be, or the block covers
-    its region; the rest try again with cells of twice the side. Only unfinished points go
-    on, and each round is written to the shared folder.
+    its region; the rest try again with cells of twice the side. Points in crowded cells begin
+    with smaller ones, so a cell's work does not grow with the density; all sizes are asked in one round. Where sizes
+    differ, and in later rounds, candidates travel to cells that ask only, as long as these are few enough to broadcast.
+    Only unfinished points go on, and each round is written to the shared folder.
     """
     spark = df.sparkSession
     place = [F.col(region).alias("region"), F.col(cell_id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")]
@@ -163,35 +193,45 @@ def knn(
     everyone = crowd.select("region", "x", "y", F.lit(1).alias("own"))
     if others is not None:  # the block that covers a region must hold those who ask too
         everyone = everyone.unionByName(points.select("region", "x", "y", F.lit(0).alias("own")))
-    frames = everyone.groupBy("region").agg(width.alias("width"), side.alias("side"))
-    todo = points.join(frames, "region")
+    frames = materialize(everyone.groupBy("region").agg(width.alias("width"), side.alias("side")), "frames")
     own = crowd.join(frames.select("region", "side"), "region")
+    todo = _cut_levels(points.join(frames, "region"), own, max(CROWD, CROWDED * BLOCK_SHARE * (k + 1) / 9))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     integral = all(isinstance(df.schema[c].dataType, T.IntegralType) for c in (x, y))
     kind = points.schema["id"].dataType.simpleString(), points.schema["region"].dataType.simpleString()
     found_schema = f"region {kind[1]}, id {kind[0]}, done boolean, near array<struct<neighbor: {crowd.schema['id'].dataType.simpleString()}, d2: double>>"
     done = None
-    factor = 1
+    step = F.col("side") * F.pow(F.lit(2.0), "turn")
+    sx, sy = F.col("x") / step, F.col("y") / step
+    # Distance to the block's border: one cell beyond the nearer edge of the own cell.
+    reach = (1 + F.least(sx - F.floor(sx), 1 - (sx - F.floor(sx)), sy - F.floor(sy), 1 - (sy - F.floor(sy)))) * step
+    at, columns = ["region", "turn", "gx", "gy"], ["region", "turn", "gx", "gy", "asks", "id", "x", "y", "reach", "whole"]
     while True:
-        step = F.col("side") * factor
-        sx, sy = F.col("x") / step, F.col("y") / step
-        # Distance to the block's border: one cell beyond the nearer edge of the own cell.
-        reach = (1 + F.least(sx - F.floor(sx), 1 - (sx - F.floor(sx)), sy - F.floor(sy), 1 - (sy - F.floor(sy)))) * step
-        columns = ["region", "gx", "gy", "asks", "id", "x", "y", "reach", "whole"]
+        turns = sorted(r[0] for r in todo.select("turn").distinct().collect()) if hasattr(todo, "_cellweave_path") else [0]
         asked = todo.select("*", _cell("x", step).alias("gx"), _cell("y", step).alias("gy"), F.lit(True).alias("asks"), (reach * reach).alias("reach"), (F.col("width") < step).alias("whole")).select(*columns)
-        held = _around(own, step, "x", "y").select("region", F.col("__gx").alias("gx"), F.col("__gy").alias("gy"), F.lit(False).alias("asks"), "id", "x", "y", F.lit(0.0).alias("reach"), F.lit(False).alias("whole"))
-        both = held.unionByName(asked).repartition(parts, "region", "gx", "gy").sortWithinPartitions("region", "gx", "gy", "asks")
+        sized = own.withColumn("turn", F.explode(F.array(*[F.lit(t) for t in turns or [0]])))
+        held = _around(sized, step, "x", "y").select("region", "turn", F.col("__gx").alias("gx"), F.col("__gy").alias("gy"), F.lit(False).alias("asks"), "id", "x", "y", F.lit(0.0).alias("reach"), F.lit(False).alias("whole"))
+        cells = None
+        if done is not None or len(turns) > 1:  # few cells ask; otherwise all do
+            cells = materialize(asked.select(*at).distinct(), "asking")
+            if cells.count() <= FEW_CELLS:
+                held = held.join(F.broadcast(cells), at, "left_semi").select(*columns)
+        both = held.unionByName(asked).repartition(parts, *at).sortWithinPartitions(*at, "asks")
         rows = materialize(both.mapInArrow(_nearest(k, include_self), found_schema), "knn")
         good = rows.where("done").select("region", "id", F.posexplode("near").alias("rank", "n"))
         d2 = F.col("n.d2").cast("long") if integral else F.col("n.d2")
         good = good.select("region", "id", F.col("n.neighbor").alias("neighbor"), d2.alias("d2"), (F.col("rank") + 1).alias("rank"))
         done = good if done is None else done.unionByName(good)
         # Points that are alone in their region have no neighbours to find.
-        left = rows.where("not done").select("region", "id")
+        before, left = todo, rows.where("not done").select("region", "id")
+        if cells is not None:
+            discard(cells)
         if left.isEmpty():
+            discard(before)
             break
-        todo = materialize(todo.join(left, ["region", "id"], "left_semi"), "knn-todo")
-        factor *= 2
+        todo = materialize(todo.join(left, ["region", "id"], "left_semi").withColumn("turn", F.col("turn") + 1), "knn-todo")
+        discard(before)
+    discard(frames)
     if not extra:
         return done
     return done.join(source.select(F.col(region).alias("region"), F.col(cell_id).alias("neighbor"), *extra), ["region", "neighbor"]).select("region", "id", "neighbor", "d2", "rank", *extra)
