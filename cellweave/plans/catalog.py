@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import circularity, cosine_distance, is_dark
-from cellweave.operators import annotate, composition, interactions, marker_graph, neighborhoods, patches, pixels, preprocess, som, spatial, stats
+from cellweave.operators import annotate, composition, interactions, marker_graph, neighborhoods, patches, pixels, preprocess, raster, som, spatial, stats
 from cellweave.runtime import materialize, shared_dir, ship_package
 from cellweave.schema import first_appearance, marker_slice, without_nan
-from cellweave.sources.cells import MARKERS, bare_name, cells_view, format_spatial, list_files, marker_view, read_cells, read_names, register, split_markers, write_by_region
+from cellweave.sources.cells import MARKERS, bare_name, cells_view, format_spatial, image_info, list_files, marker_view, read_cells, read_names, register, split_markers, write_by_region
 from cellweave.sources.registry import ResultRegistry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,6 +296,25 @@ def mask_outlines(spark, sf):
     return pixels.outlines(pixel_view(spark, sf))
 
 
+_FLOOD = "steps(dy, dx) AS (VALUES (0, 1), (0, -1), (1, 0), (-1, 0))"
+_NEXT = "s.image = t.image AND s.y + dy = t.y AND s.x + dx = t.x"
+
+
+@query(
+    f"WITH RECURSIVE {PIXELS}, {_FLOOD}, over AS (SELECT image, y, x, (c1 * 31 + c2 * 17 + c1 * c2) % 101 AS v FROM px WHERE (c1 * 31 + c2 * 17 + c1 * c2) % 101 > 54), "
+    f"seen AS (SELECT image, y, x FROM over WHERE v >= 96 UNION SELECT t.image, t.y, t.x FROM seen s CROSS JOIN steps JOIN over t ON {_NEXT}), "
+    "frame AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY image), outside AS (SELECT image, y, x FROM px ANTI JOIN seen USING (image, y, x)), "
+    "bare AS (SELECT image, y, x FROM outside JOIN frame USING (image) WHERE y IN (y0, y1) OR x IN (x0, x1) "
+    f"UNION SELECT t.image, t.y, t.x FROM bare s CROSS JOIN steps JOIN outside t ON {_NEXT}), "
+    "tissue AS (SELECT image, y, x FROM px ANTI JOIN bare USING (image, y, x)), "
+    f"reached AS (SELECT image, y, x, y * 2147483648 + x AS piece FROM tissue UNION SELECT t.image, t.y, t.x, s.piece FROM reached s CROSS JOIN steps JOIN tissue t ON {_NEXT}) "
+    "SELECT image, y, x, min(piece) AS piece FROM reached GROUP BY image, y, x"
+)
+def tissue_pieces(spark, sf):
+    px = pixel_view(spark, sf).selectExpr("image", "y", "x", "(c1 * 31 + c2 * 17 + c1 * c2) % 101 as v")
+    return raster.label_tissue(px, "v", 54, 96)
+
+
 @query()
 def spill_compensation(spark, sf):
     return pixels.compensate(pixel_view(spark, sf), ["c1", "c2"])
@@ -316,8 +335,8 @@ def feature_split(spark, sf):
 @query("SELECT DISTINCT event_type AS tissue, 'reg00' || CAST(user_id % 8 AS VARCHAR) AS region, '/out/' || event_type || '/reg00' || CAST(user_id % 8 AS VARCHAR) || '.png' AS path FROM events WHERE event_type NOT IN ('login')")
 def path_info_distinct(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").where(~F.col("event_type").isin("login"))
-    region = F.concat(F.lit("reg00"), (F.col("user_id") % 8).cast("string"))
-    return e.select(F.col("event_type").alias("tissue"), region.alias("region")).distinct().withColumn("path", F.concat(F.lit("/out/"), "tissue", F.lit("/"), "region", F.lit(".png")))
+    e = e.withColumn("region", F.concat(F.lit("reg00"), (F.col("user_id") % 8).cast("string")))
+    return image_info(e, "event_type", "region", "/out")
 
 
 # --- composition -----------------------------------------------------------------------------------
@@ -986,7 +1005,7 @@ def cosine_neighbours_in_order(spark, sf):
 @query(f"WITH {CELLS} SELECT region, CAST(x // 500 AS BIGINT) AS gx, CAST(y // 500 AS BIGINT) AS gy, count(*) AS n, round(avg(value), 6) AS value FROM cells GROUP BY 1, 2, 3")
 def coarse_grid(spark, sf):
     c = cells_view(spark, sf)
-    return r6(c.groupBy("region", F.floor(F.col("x") / 500).alias("gx"), F.floor(F.col("y") / 500).alias("gy")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")), "value")
+    return r6(raster.downscaled(c, 500, ["value"], ["region"]), "value")
 
 
 @query(

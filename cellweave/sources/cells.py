@@ -115,3 +115,9 @@ def marker_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marker matrix made from lineitem, its year of shipping as region."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select("l_orderkey", "l_linenumber", *MARKERS, F.year("l_shipdate").cast("long").alias("region"))
+
+
+def image_info(df: DataFrame, tissue: str, region: str, folder: str, ending: str = ".png") -> DataFrame:
+    """``tissue, region, path``: one row for each tissue and region that occurs, with the place of its image; nulls give a null path."""
+    pairs = df.select(F.col(tissue).cast("string").alias("tissue"), F.col(region).cast("string").alias("region")).distinct()
+    return pairs.withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "tissue", F.lit("/"), "region", F.lit(ending)))
