@@ -320,6 +320,28 @@ def spill_compensation(spark, sf):
     return pixels.compensate(pixel_view(spark, sf), ["c1", "c2"])
 
 
+_HALVES = f"""{PIXELS}, half AS (SELECT image, y, x, CASE WHEN y % 13 = 0 THEN 0 WHEN x < 15 + y * 7 % 11 THEN 1 ELSE 2 END AS label, c1 * (CASE WHEN x < 15 + y * 7 % 11 THEN 1 ELSE 3 END) AS c1, c2 FROM px)"""
+
+
+@query(
+    f"WITH {_HALVES}, t AS (SELECT a.image, a.y, a.x, a.label AS a, b.label AS b FROM half a JOIN half b ON a.image = b.image AND abs(a.y - b.y) + abs(a.x - b.x) = 1 WHERE a.label <> 0 AND a.label <> b.label), "
+    "m AS (SELECT image, label, avg(c1) AS c1, avg(c2) AS c2 FROM half WHERE label <> 0 GROUP BY ALL), border AS (SELECT image, a, count(DISTINCT y * 100 + x) AS n FROM t GROUP BY ALL), "
+    "share AS (SELECT t.image, t.a, count(*) / (2.0 * any_value(border.n)) AS u FROM t JOIN border ON border.image = t.image AND border.a = t.a WHERE t.b <> 0 GROUP BY ALL), "
+    "pair AS (SELECT m.image, m.label, m.c1, m.c2, coalesce(o.c1, 0) AS o1, coalesce(o.c2, 0) AS o2, coalesce(s.u, 0) AS u, coalesce(v.u, 0) AS v FROM m LEFT JOIN m o ON o.image = m.image AND o.label <> m.label "
+    "LEFT JOIN share s ON s.image = m.image AND s.a = m.label LEFT JOIN share v ON v.image = m.image AND v.a <> m.label) "
+    "SELECT image, label, round(greatest((c1 - u * o1) / (1 - u * v), 0), 6) AS c1, round(greatest((c2 - u * o2) / (1 - u * v), 0), 6) AS c2_compensated FROM pair"
+)
+def compensated_halves(spark, sf):
+    """Two labels an image: the sparse solver against the closed form, its means joined to cells both ways."""
+    first = F.col("x") < 15 + F.col("y") * 7 % 11
+    px = pixel_view(spark, sf).withColumns({"label": F.when(F.col("y") % 13 == 0, 0).when(first, 1).otherwise(2), "c1": F.col("c1") * F.when(first, 1).otherwise(3)})
+    solved = pixels.compensate(px, ["c1", "c2"])
+    cells = px.where("label <> 0").groupBy("image", "label").agg(F.lit(-1.0).alias("c1"))
+    over = pixels.compensate_cells(cells, solved.drop("c2"), ["c1"])
+    beside = pixels.compensate_cells(over, solved.drop("c1"), ["c2"], overwrite=False)
+    return r6(beside.select("image", "label", "c1", "c2_compensated"), "c1", "c2_compensated")
+
+
 @query(f"WITH {PIXELS} SELECT image, y, x, CASE WHEN label <> 0 AND x % 3 <> 0 THEN label ELSE 0 END AS cytoplasm FROM px")
 def compartment_split(spark, sf):
     px = pixel_view(spark, sf).withColumn("nucleus", F.when(F.col("x") % 3 == 0, F.col("label")).otherwise(0))
