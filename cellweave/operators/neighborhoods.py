@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.operators.spatial import knn, neighbour_windows
+from cellweave.operators.spatial import nearest_windows
 from cellweave.runtime import materialize
 
 
@@ -137,8 +137,7 @@ def combination_map(
     ``top`` ones up to the first whose running share passes ``kept``, and that
     ``share``. Cells of a region with fewer than k others use all of them.
     """
-    near = knn(cells, k, region, cell_id, x, y, include_self=False, extra=(label,))
-    windows = materialize(neighbour_windows(near, label, list(labels)), "windows")
+    windows = nearest_windows(cells, k, label, list(labels), region, cell_id, x, y, include_self=False)
     found = combinations(windows, labels, k, threshold)
     frequencies = materialize(combination_frequencies(found), "frequencies")
     share = share_at(frequencies, kept)
