@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
@@ -170,30 +172,173 @@ def outline(points: list[tuple], longest: float) -> list[int]:
     return sorted(border | (set(range(len(points))) - inner))
 
 
+#: Places of a leaf, leaves of a group, neighbours kept for each place (about), and distances held at once.
+LEAF, GROUP, KEPT, HELD = 64, 16, 48, 1 << 21
+
+
+def _leaves(places: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places cut at medians of the wider side until no piece holds more than ``size``; pieces near each other stand together."""
+    todo, out = [np.arange(len(places))], []
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            out.append(own)
+            continue
+        axis = int(np.argmax(np.ptp(places[own], axis=0)))
+        order = own[np.argpartition(places[own, axis], len(own) // 2)]
+        todo += [order[len(own) // 2 :], order[: len(own) // 2]]
+    return out
+
+
+def _boxes(places: np.ndarray, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([places[k].min(axis=0) for k in pieces]), np.array([places[k].max(axis=0) for k in pieces])
+
+
+def _apart(low: np.ndarray, high: np.ndarray, low1: np.ndarray, high1: np.ndarray) -> np.ndarray:
+    """Lower bound of the distance between points of boxes (last axis: x, y)."""
+    gap = np.maximum(0, np.maximum(low - high1, low1 - high))
+    return np.hypot(gap[..., 0], gap[..., 1]) * (1 - 1e-12)
+
+
+def reach_tree(xy: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distances and ends of the minimum spanning tree of mutual reachability, as Prim's algorithm finds it from point 0.
+
+    The next point is the nearest (of equals the first), hung on the first visited point that is as near. Memory grows with
+    the points alone: distances are formed between leaves of a median tree, at most HELD at a time, and only pairs within
+    one radius are kept as neighbours. Where that graph ends, the next point is looked for in all groups of leaves that
+    can hold it. Points at one place share their distances and are handled as one place.
+    """
+    n = len(xy)
+    places, which, many = np.unique(xy, axis=0, return_inverse=True, return_counts=True)
+    which, m = which.ravel(), len(places)
+    members = np.argsort(which, kind="stable")
+    start = np.concatenate([[0], np.cumsum(many)])
+    x, y = places[:, 0].copy(), places[:, 1].copy()
+    leaves = _leaves(places, max(LEAF, 2 * least))
+    low, high = _boxes(places, leaves)
+    core = np.empty(m)
+
+    def rows(leaf: np.ndarray, others: np.ndarray):
+        """Slices of ``leaf`` and their distances to ``others``."""
+        step = max(1, HELD // max(1, len(others)))
+        for at in range(0, len(leaf), step):
+            part = leaf[at : at + step]
+            yield part, np.hypot(x[part][:, None] - x[others], y[part][:, None] - y[others])
+
+    times = np.minimum(many, least)
+    for i, leaf in enumerate(leaves):
+        own = np.repeat(leaf, times[leaf])
+        most = np.inf
+        if len(own) >= least:
+            most = max(np.partition(d, least - 1, axis=1)[:, least - 1].max() for _, d in rows(leaf, own))
+        near = np.concatenate([leaves[k] for k in np.flatnonzero(_apart(low, high, low[i], high[i]) <= most)])
+        for part, d in rows(leaf, np.repeat(near, times[near])):
+            core[part] = np.partition(d, least - 1, axis=1)[:, least - 1]
+
+    def neighbours(i: int, radius: float):
+        """Numbers of neighbours of a leaf's places, and these, place by place."""
+        near = np.concatenate([leaves[k] for k in np.flatnonzero(_apart(low, high, low[i], high[i]) <= radius)])
+        for part, d in rows(leaves[i], near):
+            hit = (d <= radius) & (core[near] <= radius) & (core[part] <= radius)[:, None] & (near != part[:, None])
+            yield hit.sum(axis=1), near[np.nonzero(hit)[1]].astype(np.int32)
+
+    radius = float(max(core.max(), np.sqrt(8 * np.prod(np.ptp(places, axis=0)) / m)))
+    some = range(0, len(leaves), 16)
+    while sum(int(c.sum()) for i in some for c, _ in neighbours(i, radius)) > KEPT * sum(len(leaves[i]) for i in some):
+        radius *= 0.8
+    found = [f for i in range(len(leaves)) for f in neighbours(i, radius)]
+    to = np.concatenate([f[1] for f in found])
+    order = np.concatenate(leaves)
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([f[0] for f in found]))])
+    first, last = np.empty(m, np.int64), np.empty(m, np.int64)
+    first[order], last[order] = ends[:-1], ends[1:]
+    del found
+    groups = [np.concatenate(leaves[k : k + GROUP]) for k in range(0, len(leaves), GROUP)]
+    glow, ghigh = _boxes(places, groups)
+    leaf_of = np.repeat(np.arange(len(leaves)), [len(k) for k in leaves])[np.argsort(order)]
+    seen, turn, head = np.zeros(m, bool), np.zeros(m, np.int64), members[start[:-1]].copy()
+    seen_in, size_of = np.zeros(len(leaves), np.int64), np.array([len(k) for k in leaves])
+    best, link, used = np.full(m, np.inf), np.zeros(m, np.int64), np.zeros(m, np.int64)
+    heap: list[tuple[float, int, int]] = []
+    visits = 0
+
+    def visit(at: int, point: int) -> None:
+        nonlocal visits
+        used[at] += 1
+        if not seen[at]:
+            seen[at], turn[at], visits = True, visits, visits + 1
+            seen_in[leaf_of[at]] += 1
+            near = to[first[at] : last[at]]
+            near = near[~seen[near]]
+            d = np.maximum(np.maximum(np.hypot(x[near] - x[at], y[near] - y[at]), core[near]), core[at])
+            closer = d < best[near]
+            near, d = near[closer], d[closer]
+            best[near], link[near] = d, point
+            for e in zip(d.tolist(), head[near].tolist(), near.tolist(), strict=True):
+                heapq.heappush(heap, e)
+            if core[at] < best[at]:
+                best[at], link[at] = core[at], point
+        if used[at] < many[at]:
+            head[at] = members[start[at] + used[at]]
+            heapq.heappush(heap, (float(best[at]), int(head[at]), at))
+
+    def beyond() -> tuple[float, int, int, int]:
+        """The nearest unvisited place: distance, first point, place, first visited place that is as near."""
+        came, left = (np.unique(np.flatnonzero(k) // GROUP) for k in (seen_in, seen_in < size_of))
+        apart = _apart(glow[left][:, None], ghigh[left][:, None], glow[came], ghigh[came]).ravel()
+        nearest = (np.inf, n, -1, -1)
+        for k in np.argsort(apart, kind="stable").tolist():
+            if apart[k] > nearest[0]:
+                break
+            new, old = (np.arange(g * GROUP, min((g + 1) * GROUP, len(leaves))) for g in (left[k // len(came)], came[k % len(came)]))
+            new, old = new[seen_in[new] < size_of[new]], old[seen_in[old] > 0]
+            inner = _apart(low[new][:, None], high[new][:, None], low[old], high[old]).ravel()
+            for j in np.argsort(inner, kind="stable").tolist():
+                if inner[j] > nearest[0]:
+                    break
+                u, v = leaves[new[j // len(old)]], leaves[old[j % len(old)]]
+                u, v = u[~seen[u]], v[seen[v]]
+                d = np.maximum(np.maximum(np.hypot(x[u][:, None] - x[v], y[u][:, None] - y[v]), core[u][:, None]), core[v])
+                if d.min() > nearest[0]:
+                    continue
+                row, col = np.nonzero(d == d.min())
+                row, col = u[row], v[col]
+                i = np.lexsort((turn[col], head[row]))[0]
+                more = (float(d.min()), int(head[row[i]]), int(row[i]), int(col[i]))
+                if nearest[3] < 0 or (more[:2], turn[more[3]]) < (nearest[:2], turn[nearest[3]]):
+                    nearest = more
+        return nearest
+
+    out_d, out_a, out_b = np.empty(n - 1), np.empty(n - 1, np.int64), np.empty(n - 1, np.int64)
+    visit(int(which[0]), 0)
+    known, far = -1, (np.inf, n, -1, -1)
+    for i in range(n - 1):
+        while heap and (used[heap[0][2]] == many[heap[0][2]] or heap[0][0] != best[heap[0][2]] or heap[0][1] != head[heap[0][2]]):
+            heapq.heappop(heap)
+        if (not heap or heap[0][0] > radius) and visits < m:
+            if known != visits:
+                known, far = visits, beyond()
+            if not heap or far[:2] < heap[0][:2]:
+                best[far[2]], link[far[2]] = far[0], members[start[far[3]]]
+                heapq.heappush(heap, far[:3])
+        d, point, at = heapq.heappop(heap)
+        out_d[i], out_a[i], out_b[i] = d, link[at], point
+        visit(at, point)
+    return out_d, out_a, out_b
+
+
 def density_clusters(xy: np.ndarray, least: int) -> np.ndarray:
     """Hierarchical density clusters (excess of mass, one cluster allowed); -1 is noise.
 
     Core distance is that of the ``least``-th point, itself included; the minimum
     spanning tree of mutual reachability is condensed to clusters of ``least`` points.
+    Memory grows with the points alone.
     """
-    n = len(xy)
+    n, least = len(xy), max(1, least)
     if n < max(2, least):
         return np.full(n, -1)
-    xy = np.asarray(xy, float)
-    core = np.empty(n)
-    for lo in range(0, n, 512):
-        d = np.hypot(xy[lo : lo + 512, None, 0] - xy[None, :, 0], xy[lo : lo + 512, None, 1] - xy[None, :, 1])
-        core[lo : lo + 512] = np.partition(d, min(n, least) - 1, axis=1)[:, min(n, least) - 1]
-    best, link, open_ = np.full(n, np.inf), np.zeros(n, int), np.ones(n, bool)
-    now, tree = 0, []
-    for _ in range(n - 1):
-        open_[now] = False
-        d = np.maximum(np.maximum(np.hypot(xy[:, 0] - xy[now, 0], xy[:, 1] - xy[now, 1]), core), core[now])
-        closer = open_ & (d < best)
-        best[closer], link[closer] = d[closer], now
-        nxt = int(np.argmin(np.where(open_, best, np.inf)))
-        tree.append((best[nxt], link[nxt], nxt))
-        now = nxt
+    far, one, two = reach_tree(np.asarray(xy, float), least)
+    order = np.lexsort((two, one, far))
     # Single linkage: node n + i joins two nodes at tree[i]'s distance.
     parent, size, children = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
 
@@ -203,7 +348,7 @@ def density_clusters(xy: np.ndarray, least: int) -> np.ndarray:
             i = parent[i]
         return i
 
-    for i, (d, a, b) in enumerate(sorted(tree)):
+    for i, (d, a, b) in enumerate(zip(far[order].tolist(), one[order].tolist(), two[order].tolist(), strict=True)):
         ra, rb, node = find(a), find(b), n + i
         parent[ra] = parent[rb] = node
         size[node] = size[ra] + size[rb]
@@ -247,25 +392,29 @@ def density_clusters(xy: np.ndarray, least: int) -> np.ndarray:
             if not big:
                 break
             node = big[0]
-    chosen: dict[int, list[int]] = {}
     for c in sorted(clusters, reverse=True):
         kids = clusters[c]["kids"]
         below = sum(clusters[k]["best"] for k in kids)
-        if kids and below > clusters[c]["stability"]:
-            clusters[c]["best"] = below
-            chosen[c] = [x for k in kids for x in chosen[k]]
-        else:
-            clusters[c]["best"] = clusters[c]["stability"]
-            chosen[c] = [c]
+        clusters[c]["cut"] = bool(kids) and below > clusters[c]["stability"]
+        clusters[c]["best"] = below if clusters[c]["cut"] else clusters[c]["stability"]
 
     def below_points(c):
-        out = list(clusters[c]["points"])
-        for k in clusters[c]["kids"]:
-            out += below_points(k)
+        todo, out = [c], []
+        while todo:
+            t = todo.pop()
+            out += clusters[t]["points"]
+            todo += clusters[t]["kids"]
         return out
 
+    chosen, todo = [], [0]
+    while todo:
+        c = todo.pop()
+        if clusters[c]["cut"]:
+            todo += clusters[c]["kids"]
+        else:
+            chosen.append(c)
     labels = np.full(n, -1)
-    groups = [sorted(below_points(c)) for c in chosen[0]]
+    groups = [sorted(below_points(c)) for c in chosen]
     for i, g in enumerate(sorted(groups)):
         labels[g] = i
     return labels

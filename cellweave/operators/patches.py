@@ -17,7 +17,7 @@ def density_patches(cells: DataFrame, label: str, group, least: int = 80, region
     """``region, cell_id, x, y, patch, on_outline`` of the group's cells; patch -1 is noise.
 
     Regions with fewer than ``least`` such cells have no rows. Clusters are found for
-    each region in one task.
+    each region in one task, with memory that grows with the region's cells of the group alone.
     """
     own = cells.where(F.col(label) == group).select(F.col(region).alias("region"), F.col(cell_id).alias("cell_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     schema = f"region {own.schema['region'].dataType.simpleString()}, cell_id {own.schema['cell_id'].dataType.simpleString()}, x double, y double, patch int, on_outline boolean"
@@ -26,14 +26,15 @@ def density_patches(cells: DataFrame, label: str, group, least: int = 80, region
         p = p.sort_values("cell_id").reset_index(drop=True)
         if len(p) < least:
             return p.assign(patch=np.int32(-1), on_outline=False).iloc[:0]
+        xs, ys = p["x"].tolist(), p["y"].tolist()
         labels = density_clusters(p[["x", "y"]].to_numpy(), least)
         border = np.zeros(len(p), bool)
         for c in range(labels.max() + 1):
             members = np.flatnonzero(labels == c)
             points: dict[tuple, int] = {}
-            for i in members:
-                points.setdefault((p["x"][i], p["y"][i]), int(i))
-            border[[list(points.values())[k] for k in outline(list(points), longest)]] = True
+            for i in members.tolist():
+                points.setdefault((xs[i], ys[i]), i)
+            border[np.array(list(points.values()))[outline(list(points), longest)]] = True
         return p.assign(patch=labels.astype(np.int32), on_outline=border)
 
     return own.groupBy("region").applyInPandas(run, schema)

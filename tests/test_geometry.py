@@ -1,10 +1,11 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from cellweave.operators.geometry import density_clusters, outline, triangulate, triangulation_edges, voronoi_polygons
+from cellweave.operators.geometry import density_clusters, outline, reach_tree, triangulate, triangulation_edges, voronoi_polygons
 
 
 def circle_is_empty(points, t):
@@ -84,3 +85,45 @@ def test_voronoi_cells_fill_the_box_and_hold_their_points():
         for x, y in cell:
             own = (x - px) ** 2 + (y - py) ** 2
             assert own <= min((x - a) ** 2 + (y - b) ** 2 for a, b in points) + 1e-6
+
+
+def dense_tree(xy, least):
+    """Prim's algorithm over all distances."""
+    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    core = np.partition(d, least - 1, axis=1)[:, least - 1]
+    d = np.maximum(np.maximum(d, core), core[:, None])
+    best, link, open_, now, tree = np.full(len(xy), np.inf), np.zeros(len(xy), int), np.ones(len(xy), bool), 0, []
+    for _ in range(len(xy) - 1):
+        open_[now] = False
+        closer = open_ & (d[now] < best)
+        best[closer], link[closer] = d[now][closer], now
+        now = int(np.argmin(np.where(open_, best, np.inf)))
+        tree.append((best[now], link[now], now))
+    return tree
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spanning_tree_of_leaves_is_that_of_all_distances(seed):
+    """Ties, repeated places, gaps, and single points far away; in the order in which points are reached."""
+    rng = np.random.default_rng(seed)
+    parts = [rng.integers(0, 30, (300, 2)), rng.integers(400, 900, (400, 2)), rng.integers(0, 3000, (20, 2)), np.full((50, 2), 7)]
+    xy = rng.permutation(np.concatenate(parts)).astype(float)
+    least = (2, 10, 40)[seed % 3]
+    assert list(zip(*(c.tolist() for c in reach_tree(xy, least)), strict=True)) == dense_tree(xy, least)
+
+
+def test_density_clusters_hold_no_rows_of_distances():
+    xy = np.random.default_rng(3).random((6000, 2)) * 1000
+    tracemalloc.start()
+    density_clusters(xy, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 512 rows of all distances alone take 25 MB for each array
+
+
+def test_density_clusters_of_a_long_chain_of_splits():
+    """Clusters that split once more at each gap, deeper than Python's stack."""
+    n = 1300
+    at = np.repeat(np.cumsum(10 + np.arange(n) * 0.01), 2)
+    labels = density_clusters(np.stack([at, np.zeros(2 * n)], axis=1), 2)
+    assert len(labels) == 2 * n and (labels[::2] == labels[1::2]).all()
