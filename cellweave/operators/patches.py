@@ -59,9 +59,8 @@ def proximity(cells: DataFrame, borders: DataFrame, radius: float, label: str, g
     """
     left = borders.select(F.col("region").alias(region), F.col("cell_id").alias(cell_id), F.col("x").alias(x), F.col("y").alias(y), "patch")
     right = cells.where(F.col(label) != group).select(region, cell_id, x, y, F.col(label).alias("neighbor_label"))
-    pairs = range_pairs(left, right, radius, region, cell_id, x, y)
-    by_patch = pairs.join(left.select(F.col(region), F.col(cell_id).alias("id1"), "patch"), [region, "id1"])
-    nearest = by_patch.groupBy(region, F.col("id2").alias(cell_id), "patch").agg(F.min("d2").alias("distance2"))
+    # The patch goes with the pairs, so they are reduced where they are formed and never shuffled.
+    nearest = range_pairs(left, right, radius, region, cell_id, x, y, carried=("patch",)).groupBy(region, F.col("id2").alias(cell_id), "patch").agg(F.min("d2").alias("distance2"))
     named = nearest.join(right.select(region, cell_id, "neighbor_label"), [region, cell_id])
     unique = F.concat(F.col(region).cast("string"), F.lit(f"_{group}_patch_no_"), F.col("patch").cast("string"))
     return named.select(F.col(region), F.col(cell_id), "patch", "neighbor_label", "distance2", unique.alias("unique_patch"))

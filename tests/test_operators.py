@@ -184,6 +184,15 @@ def test_patches_around_a_cluster(spark):
     assert patches.patch_proximity(df, "cn", "P", least=500).count() == 0
 
 
+def test_pairs_around_patches_are_reduced_where_they_are_formed(spark):
+    cells = spark.createDataFrame([(1, "r", 0, 0, "Q"), (2, "r", 3, 0, "Q")], "cell_id long, region string, x long, y long, cn string")
+    borders = spark.createDataFrame([("r", 9, 1, 0, 0), ("r", 9, 1, 0, 1), ("r", 8, 2, 0, 0)], "region string, cell_id long, x long, y long, patch int")
+    near = patches.proximity(cells, borders, 5, "cn", "P")
+    assert sorted((r["cell_id"], r["patch"], r["distance2"]) for r in near.collect()) == [(1, 0, 1), (1, 1, 1), (2, 0, 1), (2, 1, 4)]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2  # pairs, and the labels of what was found
+
+
 def test_compensation_never_negative(spark):
     px = [("i", y, x, 1 if x < 3 else 2, 100.0 if x < 3 else 1.0) for y in range(4) for x in range(6)]
     df = spark.createDataFrame(px, "image string, y long, x long, label long, c double")
