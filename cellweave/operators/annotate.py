@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.operators.communities import heaviest_labels, leiden_communities
+from cellweave.operators.communities import Prepared, heaviest_labels, leiden_communities
 from cellweave.operators.marker_graph import fuzzy_weights, marker_neighbours
 from cellweave.runtime import discard, materialize
 
@@ -63,11 +63,10 @@ def label_propagation(edges: DataFrame, places: DataFrame | None = None) -> Data
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of ``labels`` (id, community) on a weighted graph ``src, dst, weight``; loops count once."""
     sides = edges.join(labels.withColumnsRenamed({"id": "src", "community": "a"}), "src").join(labels.withColumnsRenamed({"id": "dst", "community": "b"}), "dst")
-    total, inside = sides.agg(F.sum("weight"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0))).first()
-    if not total:
-        return 0.0
-    degrees = sides.select(F.col("a").alias("c"), "weight").unionByName(sides.select(F.col("b").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
-    return inside / total - resolution * degrees.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (4 * total * total)
+    ends = F.array(F.struct(F.col("a").alias("c"), (F.col("a") == F.col("b")).alias("inside")), F.struct(F.col("b").alias("c"), F.lit(False).alias("inside")))
+    degrees = sides.select(F.explode(ends).alias("e"), "weight").groupBy("e.c").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("e.inside"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    twice, inside, squares = degrees.agg(F.sum("k"), F.sum("inside"), F.sum(F.col("k") * F.col("k"))).first()
+    return 2 * inside / twice - resolution * squares / (twice * twice) if twice else 0.0
 
 
 def modularity_communities(edges: DataFrame, resolution: float = 1.0, places: DataFrame | None = None) -> DataFrame:
@@ -77,10 +76,10 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, places: Da
 
 def resolution_sweep(edges: DataFrame, resolutions: Sequence[float], places: DataFrame | None = None) -> DataFrame:
     """``resolution, communities, modularity`` of the communities at each resolution."""
-    rows = []
+    rows, ready = [], Prepared(edges, places)
     for r in resolutions:
-        found = materialize(modularity_communities(edges, r, places), "sweep")
-        rows.append((float(r), found.select("community").distinct().count(), modularity(edges, found, r)))
+        found = leiden_communities(ready, r)
+        rows.append((float(r), found.select("community").distinct().count(), modularity(ready.graph, found, r)))
         discard(found)
     return edges.sparkSession.createDataFrame(rows, "resolution double, communities long, modularity double")
 

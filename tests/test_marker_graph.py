@@ -201,3 +201,26 @@ def test_subclusters_are_put_back(spark, groups):
     got = {r["id"]: r["merged"] for r in annotate.subclustered(cells, "id", "v", "label", [1], "merged").collect()}
     assert all(got[i] == "0" for i in range(900) if own[i] <= 2)
     assert len({(got[i], own[i]) for i in range(900) if own[i] > 2}) == len({got[i] for i in range(900) if own[i] > 2}) >= 3
+
+
+def written(monkeypatch):
+    """Names and numbers of rows of the tables that the communities write."""
+    tables, write = [], communities.materialize
+
+    def spy(df, name="table"):
+        out = write(df, name)
+        tables.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(communities, "materialize", spy)
+    return tables
+
+
+def test_label_steps_move_blocks_not_vertices(spark, monkeypatch):
+    monkeypatch.setattr(communities, "BLOCK_VERTICES", 100)
+    tables = written(monkeypatch)
+    rows = [(v, v + d, 1.0) for v in range(2000) for d in (1, 2)]
+    places = spark.createDataFrame([(v, float(v)) for v in range(2002)], "id long, place double")
+    assert communities.heaviest_labels(spark.createDataFrame(rows, "src long, dst long, weight double"), places).count() == 2002
+    # Some 21 blocks, each with its graph, its labels and two borders: no step writes a row for each vertex or edge.
+    assert all(n < 200 for name, n in tables if name not in ("graph", "vertices", "found"))
