@@ -369,3 +369,10 @@ def test_interaction_test_runs_a_thousand_permutations(spark, small, monkeypatch
     run = interactions.expected_distances
     monkeypatch.setattr(interactions, "expected_distances", lambda edges, cells, n, *a: asked.append(n) or run(edges, cells, n, *a))
     assert catalog.QUERIES["interaction_test"](spark, small).count() >= 0 and asked == [1000]
+
+
+@pytest.mark.parametrize("name", ["combo_dag", "combo_frequency_cumulative", "combo_in_degree", "combo_names", "combo_share_at", "combo_size_distribution"])
+def test_combinations_are_not_joined_to_their_cells(spark, small, name):
+    """Windows know all that the combinations need: a join sorts the whole table once more, and the cells' ids with it."""
+    plan = catalog.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "cell_id" not in plan
