@@ -224,3 +224,12 @@ def test_label_steps_move_blocks_not_vertices(spark, monkeypatch):
     assert communities.heaviest_labels(spark.createDataFrame(rows, "src long, dst long, weight double"), places).count() == 2002
     # Some 21 blocks, each with its graph, its labels and two borders: no step writes a row for each vertex or edge.
     assert all(n < 200 for name, n in tables if name not in ("graph", "vertices", "found"))
+
+
+def test_resolutions_share_the_prepared_graph(spark, monkeypatch):
+    monkeypatch.setattr(communities, "BLOCK_VERTICES", 90)
+    tables = written(monkeypatch)
+    df = spark.createDataFrame(planted(), "src long, dst long, weight double")
+    assert [r["resolution"] for r in annotate.resolution_sweep(df, [0.5, 2.0]).collect()] == [0.5, 2.0]
+    assert sum(n == len(planted()) for name, n in tables if name == "graph") == 1
+    assert all(n < 200 for name, n in tables if name in ("blocks", "labels"))
