@@ -171,8 +171,8 @@ def _far(xs: list[float], ys: list[float], a: int, b: int) -> float:
     return ((xs[a] - xs[b]) ** 2 + (ys[a] - ys[b]) ** 2) ** 0.5
 
 
-def _strips(points: DataFrame, by: list[str], column: str, count) -> DataFrame:
-    """``by.., low, high, from, to``: arrays of the bounds of strips of a column, and of what their margins hold."""
+def _strips(points: DataFrame, by: list[str], column: str, count, margin: float) -> DataFrame:
+    """``by.., low, high, from, to``: arrays of the bounds of strips of a column, and of what their margins hold; written, as sketches come out otherwise when they are merged again."""
     shares = [i / MOST_STRIPS for i in range(1, MOST_STRIPS)]
     found = points.groupBy(*by).agg(F.percentile_approx(column, shares, 10_000).alias("q"), F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
     found = found.withColumn("s", F.least(F.greatest(count, F.lit(1)), F.lit(MOST_STRIPS)).cast("int"))
@@ -181,7 +181,7 @@ def _strips(points: DataFrame, by: list[str], column: str, count) -> DataFrame:
     found = found.withColumn("cuts", cuts)
     endless = F.lit(float("inf"))
     edges = found.select(*by, F.concat(F.array("lo"), "cuts").alias("a"), F.concat("cuts", F.array("hi")).alias("b"), F.size("cuts").alias("last"))
-    width = lambda a, b: (b - a) * MARGIN
+    width = lambda a, b: (b - a) * margin
     tiles = F.transform(
         F.arrays_zip("a", "b"),
         lambda t, i: F.struct(
@@ -190,25 +190,30 @@ def _strips(points: DataFrame, by: list[str], column: str, count) -> DataFrame:
             F.when(i == 0, -endless).otherwise(t.a - width(t.a, t.b)).alias("from"), F.when(i == F.col("last"), endless).otherwise(t.b + width(t.a, t.b)).alias("to"),
         ),
     )
-    return edges.select(*by, tiles.alias("tiles"))
+    return materialize(edges.select(*by, tiles.alias("tiles")), "strips")
 
 
 def _dealt(points: DataFrame, strips: DataFrame, by: list[str], column: str, name: str) -> DataFrame:
     """Each point once for each strip that it lies in or beside; ``own`` stays true in its own."""
     met = points.join(strips, by).withColumn("t", F.explode(F.filter("tiles", lambda t: (F.col(column) >= t["from"]) & (F.col(column) <= t["to"]))))
     own = F.col("own") & (F.col(column) > F.col("t.low")) & (F.col(column) <= F.col("t.high"))
-    return met.select(*points.columns, own.alias("__own"), F.col("t.k").alias(name), F.col("t.from").alias(f"{name}0"), F.col("t.to").alias(f"{name}1")).drop("own").withColumnRenamed("__own", "own")
+    return met.select(*points.columns, own.alias("__own"), F.col("t.k").alias(name), F.col("t.from").alias(f"{name}0"), F.col("t.to").alias(f"{name}1"), F.col("t.low").alias(f"{name}_low"), F.col("t.high").alias(f"{name}_high")).drop("own").withColumnRenamed("__own", "own")
 
 
-def delaunay_tiled(points: DataFrame, tile: int = TILE) -> DataFrame:
-    """``region, id1, id2, distance`` (id1 < id2) of the Delaunay edges of different places ``region, id, x, y`` (doubles)."""
-    region, kind = points.schema["region"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
+def deal_tiles(points: DataFrame, tile: int, margin: float) -> tuple[DataFrame, DataFrame]:
+    """Points with ``key`` (their region as text), and points dealt to the tiles ``key, gx, gy`` that hold or see them; ``own`` stays true in one."""
     points = materialize(points.withColumn("own", F.lit(True)), "points")
     named = points.withColumn("key", F.when(F.col("region").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("region").cast("string"))))
-    columns = _strips(named, ["key"], "x", F.ceil(F.sqrt(F.col("n") / F.lit(float(tile)))))
+    columns = _strips(named, ["key"], "x", F.ceil(F.sqrt(F.col("n") / F.lit(float(tile)))), margin)
     in_columns = _dealt(named, columns, ["key"], "x", "gx")
-    rows = _strips(in_columns.where("own"), ["key", "gx"], "y", F.ceil(F.col("n") / F.lit(float(tile))))
-    dealt = _dealt(in_columns, rows, ["key", "gx"], "y", "gy")
+    rows = _strips(in_columns.where("own"), ["key", "gx"], "y", F.ceil(F.col("n") / F.lit(float(tile))), margin)
+    return named, _dealt(in_columns, rows, ["key", "gx"], "y", "gy")
+
+
+def delaunay_tiled(points: DataFrame, tile: int = TILE) -> DataFrame:
+    """``region, id1, id2, distance`` (id1 < id2) of the Delaunay edges of different places ``region, id, x, y`` (doubles)."""
+    region, kind = points.schema["region"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
+    named, dealt = deal_tiles(points, tile, MARGIN)
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
