@@ -23,11 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.cell_cutting import triangulation_parts
 from cellweave.operators.geometry import triangulate
 from cellweave.runtime import materialize
 
 #: Points of a tile, strips of a region at most, and the margin in sides of a tile.
 TILE, MOST_STRIPS, MARGIN = 4000, 64, 0.3
+#: Extent of a tile up to which circles of whole coordinates are tested with numbers of 64 bits.
+WHOLE = 1 << 14
 
 
 def whole_points(xs: list[float], ys: list[float]) -> list[tuple[int, int]]:
@@ -218,7 +221,13 @@ def delaunay_tiled(points: DataFrame, tile: int = TILE) -> DataFrame:
     def one(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
         head = p.iloc[0]
-        found, rest = tile_rows(p["x"].tolist(), p["y"].tolist(), p["own"].tolist(), (head["gx0"], head["gy0"], head["gx1"], head["gy1"]))
+        x, y, box = p["x"].to_numpy(), p["y"].to_numpy(), tuple(head[c] for c in ("gx0", "gy0", "gx1", "gy1"))
+        if not np.isinf(box).all() and (x % 1 == 0).all() and (y % 1 == 0).all() and max(np.ptp(x), np.ptp(y)) < WHOLE:
+            kind, a, b, rest = triangulation_parts(x, y, p["own"].to_numpy(), box)
+            ids = p["id"].to_numpy()
+            parts = (np.concatenate([kind, np.full(len(rest), 2)]), np.concatenate([a, rest]), np.concatenate([b, rest]))
+            return pd.DataFrame({"key": head["key"], "kind": parts[0], "a": ids[parts[1]], "b": ids[parts[2]], "distance": np.hypot(x[parts[1]] - x[parts[2]], y[parts[1]] - y[parts[2]])})
+        found, rest = tile_rows(p["x"].tolist(), p["y"].tolist(), p["own"].tolist(), box)
         ids, xs, ys = p["id"].tolist(), p["x"].tolist(), p["y"].tolist()
         out = [(head["key"], k, ids[a], ids[b], _far(xs, ys, a, b)) for k, a, b in found] + [(head["key"], 2, ids[i], ids[i], 0.0) for i in rest]
         return pd.DataFrame(out, columns=["key", "kind", "a", "b", "distance"])

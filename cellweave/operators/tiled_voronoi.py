@@ -16,152 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.cell_cutting import EXACT, box_polygons, circles_inside, cut_cells
 from cellweave.operators.tiled_delaunay import TILE, deal_tiles
 from cellweave.runtime import materialize
 
-#: Points of a bucket, candidates held at once, candidates between two looks at what can still cut, and the margin in sides of a tile.
-BUCKET, HELD, LOOK, MARGIN = 2, 1 << 17, 64, 0.2
-#: Share of the box's size under which lengths are rounding.
-EXACT = 1e-12
-
-
-def _cut(cx: np.ndarray, cy: np.ndarray, count: np.ndarray, dx: np.ndarray, dy: np.ndarray, exact: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Polygons (a row each, the last corner repeated) cut by the bisectors to (dx, dy), and the rows that changed."""
-    far = np.hypot(dx, dy)
-    with np.errstate(invalid="ignore"):
-        side = (cx * (dx / far)[:, None] + cy * (dy / far)[:, None]) - (far / 2)[:, None]
-    out = side > exact
-    rows = np.flatnonzero(out.any(axis=1))
-    if not len(rows):
-        return cx, cy, count, rows
-    x, y, s, o, n = cx[rows], cy[rows], side[rows], out[rows], count[rows]
-    width = x.shape[1]
-    ax, ay, sa, oa = (np.roll(c, 1, axis=1) for c in (x, y, s, o))
-    crossed = (o != oa) & (np.where(o, sa, s) < -exact)  # a corner on the line is its own crossing
-    with np.errstate(invalid="ignore", divide="ignore"):
-        t = sa / (sa - s)
-        both_x, both_y = np.stack([ax + t * (x - ax), x], axis=2), np.stack([ay + t * (y - ay), y], axis=2)
-    kept = np.stack([crossed, ~o & (np.arange(width) < n[:, None])], axis=2).reshape(len(rows), -1)
-    chosen, many = np.flatnonzero(kept), kept.sum(axis=1)
-    if (most := int(many.max())) > width:
-        cx, cy = (np.concatenate([c, np.repeat(c[:, -1:], most + 2 - width, axis=1)], axis=1) for c in (cx, cy))
-        width = cx.shape[1]
-    at = (np.cumsum(many) - many)[:, None] + np.clip(np.arange(width), 0, np.maximum(many - 1, 0)[:, None])
-    some = many > 0  # a point outside the box may have no cell in it
-    chosen = chosen[at[some]]
-    cx[rows[some]], cy[rows[some]] = both_x.ravel()[chosen], both_y.ravel()[chosen]
-    cx[rows[~some]] = cy[rows[~some]] = 0.0
-    count[rows] = many
-    return cx, cy, count, rows
-
-
-def _nearest_first(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, near: np.ndarray, cx: np.ndarray, cy: np.ndarray, count: np.ndarray, exact: float):
-    """Polygons of the points (px, py) cut by their candidates ``near`` (numbers in x, y; -1: none)."""
-    dx, dy = x[near] - px[:, None], y[near] - py[:, None]
-    d2 = np.where(near < 0, np.inf, dx * dx + dy * dy)
-    d2[d2 == 0] = np.inf
-    order = np.argsort(d2, axis=1)
-    d2, dx, dy = (np.take_along_axis(c, order, axis=1) for c in (d2, dx, dy))
-    done_x, done_y, done = cx.copy(), cy.copy(), count.copy()
-    left = np.arange(len(px))
-    r2 = (cx * cx + cy * cy).max(axis=1)
-
-    def put() -> None:
-        nonlocal done_x, done_y
-        if (more := cx.shape[1] - done_x.shape[1]) > 0:
-            done_x, done_y = (np.concatenate([c, np.repeat(c[:, -1:], more, axis=1)], axis=1) for c in (done_x, done_y))
-        done_x[left], done_y[left], done[left] = cx, cy, count
-
-    k = 0
-    while k < d2.shape[1]:
-        go = d2[:, k] < 4 * r2
-        if not go.any():
-            break
-        if 4 * go.sum() < 3 * len(go):
-            put()
-            left, cx, cy, count, r2, d2, dx, dy = (c[go] for c in (left, cx, cy, count, r2, d2, dx, dy))
-            go = np.ones(len(left), bool)
-        if k == LOOK and d2.shape[1] > 4 * LOOK:  # many are left: only those that cut the polygon as it is
-            far = np.sqrt(d2[:, k:])
-            with np.errstate(invalid="ignore"):
-                reach = np.max([cx[:, [c]] * dx[:, k:] + cy[:, [c]] * dy[:, k:] for c in range(cx.shape[1])], axis=0) / far - far / 2
-            cuts = np.isfinite(far) & (reach > exact)
-            order = np.argsort(~cuts, axis=1, kind="stable")[:, : int(cuts.sum(axis=1).max())]
-            d2, dx, dy = (np.take_along_axis(c, order, axis=1) for c in (np.where(cuts, d2[:, k:], np.inf), dx[:, k:], dy[:, k:]))
-            k = 0
-            continue
-        found = np.flatnonzero(np.isfinite(d2[:, k]) & go)
-        if len(found) == len(left):
-            cx, cy, count, rows = _cut(cx, cy, count, dx[:, k], dy[:, k], exact)
-        else:
-            some = _cut(cx[found], cy[found], count[found], dx[found, k], dy[found, k], exact)
-            if (more := some[0].shape[1] - cx.shape[1]) > 0:
-                cx, cy = (np.concatenate([c, np.repeat(c[:, -1:], more, axis=1)], axis=1) for c in (cx, cy))
-            rows = found[some[3]]
-            cx[rows], cy[rows], count[rows] = some[0][some[3]], some[1][some[3]], some[2][some[3]]
-        r2[rows] = (cx[rows] ** 2 + cy[rows] ** 2).max(axis=1)
-        k += 1
-    put()
-    return done_x, done_y, done
-
-
-def _inside(px, py, cx, cy, box) -> np.ndarray:
-    """Whether the circles around the corners, through the point, lie in ``box`` (arrays or numbers; infinite where nothing lies beyond)."""
-    r = np.hypot(cx, cy) * (1 + 1e-9)
-    column = lambda c: np.asarray(c, float).reshape(-1, 1)
-    x, y = cx + px[:, None], cy + py[:, None]
-    return ((x - r >= column(box[0])) & (y - r >= column(box[1])) & (x + r <= column(box[2])) & (y + r <= column(box[3]))).all(axis=1)
-
-
-def cut_cells(x: np.ndarray, y: np.ndarray, asked: np.ndarray, polygons: tuple[np.ndarray, np.ndarray, np.ndarray], exact: float):
-    """Polygons (relative to their points: x, y, number of corners) of the points ``asked``, cut by all points (x, y); other places only."""
-    cx, cy, count = polygons
-    low_x, low_y, high_x, high_y = x.min(), y.min(), x.max(), y.max()
-    wide, high = max(high_x - low_x, exact), max(high_y - low_y, exact)
-    side = max(np.sqrt(wide * high * BUCKET / len(x)), max(wide, high) / len(x), exact)
-    nx, ny = int(wide / side) + 1, int(high / side) + 1
-    bx, by = np.minimum(((x - low_x) / side).astype(np.int64), nx - 1), np.minimum(((y - low_y) / side).astype(np.int64), ny - 1)
-    order = np.argsort(by * nx + bx, kind="stable")
-    first = np.searchsorted((by * nx + bx)[order], np.arange(nx * ny + 1))
-    todo, ring = np.arange(len(asked)), 2
-    while len(todo):
-        ix, iy = bx[asked[todo]], by[asked[todo]]
-        rows = iy[:, None] + np.arange(-min(ring, ny), min(ring, ny) + 1)
-        known = (rows >= 0) & (rows < ny)
-        line = np.where(known, rows, 0) * nx
-        begin, end = first[line + np.maximum(ix - ring, 0)[:, None]], first[line + np.minimum(ix + ring, nx - 1)[:, None] + 1]
-        size = np.where(known, end - begin, 0)
-        total = size.sum(axis=1)
-        by_size = np.argsort(total, kind="stable")
-        at = 0
-        while at < len(by_size):
-            many = max(1, HELD // int(total[by_size[at]]))
-            many = max(1, min(many, HELD // int(total[by_size[min(at + many, len(by_size)) - 1]])))
-            part = by_size[at : at + many]
-            at += many
-            flat, width = size[part].ravel(), int(total[part].max())
-            jump = np.repeat(begin[part].ravel() - (np.cumsum(flat) - flat), flat)
-            near = np.full((len(part), width), -1, np.int64)
-            near[np.arange(width) < total[part][:, None]] = order[jump + np.arange(len(jump))]
-            which = todo[part]
-            found = _nearest_first(x[asked[which]], y[asked[which]], x, y, near, cx[which], cy[which], count[which].copy(), exact)
-            if (more := found[0].shape[1] - cx.shape[1]) > 0:
-                cx, cy = (np.concatenate([c, np.repeat(c[:, -1:], more, axis=1)], axis=1) for c in (cx, cy))
-            elif more < 0:
-                found = (*(np.concatenate([c, np.repeat(c[:, -1:], -more, axis=1)], axis=1) for c in found[:2]), found[2])
-            cx[which], cy[which], count[which] = found
-        edge = lambda i, step, low, last: np.where(i + step < 0 if step < 0 else i + step > last, np.sign(step) * np.inf, low + (i + step + (step > 0)) * side)
-        bounds = (edge(ix, -ring, low_x, 0), edge(iy, -ring, low_y, 0), edge(ix, ring, low_x, nx - 1), edge(iy, ring, low_y, ny - 1))
-        final = _inside(x[asked[todo]], y[asked[todo]], cx[todo], cy[todo], bounds)
-        if ring >= max(nx, ny):
-            break
-        todo, ring = todo[~final], ring * 2
-    return cx, cy, count
-
-
-def _boxes(px: np.ndarray, py: np.ndarray, box: tuple[float, float, float, float]):
-    x0, y0, x1, y1 = box
-    return np.stack([x0 - px, x1 - px, x1 - px, x0 - px], axis=1), np.stack([y0 - py, y0 - py, y1 - py, y1 - py], axis=1), np.full(len(px), 4)
+#: Margin in sides of a tile.
+MARGIN = 0.2
 
 
 def _lists(px, py, cx, cy, count, box, exact) -> pa.Array:
@@ -178,7 +38,7 @@ def _unlisted(px, py, corners: pa.ChunkedArray):
     lists = corners.to_pylist()
     width = max(map(len, lists))
     full = np.array([c + [c[-1]] * (width - len(c)) for c in lists], float)
-    return full[:, :, 0] - px[:, None], full[:, :, 1] - py[:, None], np.array([len(c) for c in lists])
+    return full[:, :, 0] - px[:, None], full[:, :, 1] - py[:, None], np.full(full.shape[:2], -1), np.array([len(c) for c in lists])
 
 
 def voronoi_tiled(points: DataFrame, box: tuple[float, float, float, float], tile: int = TILE) -> DataFrame:
@@ -191,11 +51,11 @@ def voronoi_tiled(points: DataFrame, box: tuple[float, float, float, float], til
     def one(t: pa.Table) -> pa.Table:
         x, y, own = t["x"].to_numpy(), t["y"].to_numpy(), np.flatnonzero(t["own"].to_numpy())
         px, py = x[own], y[own]
-        cx, cy, count = cut_cells(x, y, own, _boxes(px, py, box), exact) if len(own) else (np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0, int))
+        cx, cy, _, count = cut_cells(x, y, own, box_polygons(px, py, box), exact) if len(own) else box_polygons(px, py, box)
         seen, tile_ = ([t[f"{c}{i}"][0].as_py() for i in ends for c in ("gx", "gy")] for ends in ((0, 1), ("_low", "_high")))
         out = t.take(pa.array(own))
-        final = _inside(px, py, cx, cy, seen)
-        border = ~_inside(px, py, cx, cy, tile_)
+        final = circles_inside(px, py, cx, cy, seen)
+        border = ~circles_inside(px, py, cx, cy, tile_)
         return pa.table([out["key"], out["cell_id"], out["x"], out["y"], pa.array(final), pa.array(border), _lists(px, py, cx, cy, count, box, exact)], names=["key", "cell_id", "x", "y", "final", "border", "corners"])
 
     found = materialize(dealt.groupBy("key", "gx", "gy").applyInArrow(one, schema), "cells")
@@ -208,8 +68,8 @@ def voronoi_tiled(points: DataFrame, box: tuple[float, float, float, float], til
             x, y, asked = t["x"].to_numpy(), t["y"].to_numpy(), np.flatnonzero(~t["final"].to_numpy(zero_copy_only=False))
             out = t.take(pa.array(asked))
             px, py = x[asked], y[asked]
-            cells_ = cut_cells(x, y, asked, _unlisted(px, py, out["corners"]), exact)
-            return pa.table([out["key"], out["cell_id"], _lists(px, py, *cells_, box, exact)], names=["key", "cell_id", "corners"])
+            cx, cy, _, count = cut_cells(x, y, asked, _unlisted(px, py, out["corners"]), exact)
+            return pa.table([out["key"], out["cell_id"], _lists(px, py, cx, cy, count, box, exact)], names=["key", "cell_id", "corners"])
 
         met = rest.select(*beside.columns).unionByName(beside)
         cells = cells.unionByName(met.groupBy("key").applyInArrow(last, f"key string, cell_id {kind}, corners array<array<double>>"))
